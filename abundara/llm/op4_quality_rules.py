@@ -28,7 +28,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 RULES = ("length", "symbols", "dup_lines", "repeats", "variety", "shouting", "line_ends", "runs", "word_length")
 #: Posterior of the good class from which a document is kept.
 KEEP_FROM = 0.5
-EM_ROUNDS = 100
+EM_ROUNDS = 200
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 
@@ -116,39 +116,46 @@ def unpack(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_posteriors(patterns: list[tuple[int, int]], rounds: int = EM_ROUNDS) -> dict[int, float]:
+def fit_posteriors(patterns: list[tuple[int, int]], rounds: int = EM_ROUNDS, false_alarm: float = 0.003, hit: float = 0.9, pseudo: float = 0.1) -> dict[int, float]:
     """Posterior of the good class by vote pattern, from (pattern, documents) rows.
 
-    Each rule has a table of P(vote | class) over good, abstain, bad. It starts from "rules are mostly
-    right", which fixes which class is the good one; Dirichlet pseudo-counts keep a rule better than
-    chance from being turned round by a corpus without bad documents.
+    The latent classes are "good" and, as junk of one sort trips one rule and passes the others, one kind
+    of bad document for each rule. Each class has a table of P(vote | class) for each rule, which is the
+    rule's accuracy in that class; expectation-maximisation fits tables and shares to the counts.
+    Dirichlet pseudo-counts (a share `pseudo` of the documents) say what is known beforehand: a rule
+    rarely votes bad on good documents (`false_alarm`) and mostly does on its own kind (`hit`). They also
+    fix which class is the good one, so a corpus without junk isn't split in two.
     """
     if not patterns:
         return {}
     codes, n = (np.array(x) for x in zip(*patterns))
     v = unpack(codes) + 1  # 0 bad, 1 abstain, 2 good
     n = n.astype(float)
-    prior = np.array([[0.70, 0.25, 0.05], [0.05, 0.25, 0.70]])  # rows: bad class, good class
-    strength = 0.02 * n.sum() + 5
-    table = np.repeat(prior[:, None, :], len(RULES), 1)  # class, rule, vote
-    share = np.array([0.2, 0.8])
+    r = len(RULES)
+    table = np.empty((r + 1, r, 3))  # class, rule, vote; class 0 is good
+    table[0] = false_alarm, 0.1, 0.9 - false_alarm
+    table[1:] = 0.1, 0.2, 0.7
+    for j in range(r):
+        table[j + 1, j] = hit, 0.05, 0.95 - hit
+    strength = np.full(r + 1, pseudo * n.sum() / r / 5 + 5)
+    strength[0] = pseudo * n.sum() + 5
+    expected = table * strength[:, None, None]
+    share = np.array([0.9] + [0.1 / r] * r)
     for _ in range(rounds):
-        logp = np.log(share)[None] + sum(np.log(table[:, j, v[:, j]]).T for j in range(len(RULES)))
+        logp = np.log(share)[None] + sum(np.log(table[:, j, v[:, j]]).T for j in range(r))
         post = np.exp(logp - logp.max(1, keepdims=True))
         post /= post.sum(1, keepdims=True)
         weight = post * n[:, None]
-        new = np.zeros_like(table)
-        for j in range(len(RULES)):
+        new = expected.copy()
+        for j in range(r):
             for k in range(3):
-                new[:, j, k] = weight[v[:, j] == k].sum(0)
-        new = new + strength * prior[:, None, :]
+                new[:, j, k] += weight[v[:, j] == k].sum(0)
         new /= new.sum(2, keepdims=True)
-        share_new = (weight.sum(0) + 1) / (n.sum() + 2)
-        done = abs(new - table).max() < 1e-9 and abs(share_new - share).max() < 1e-9
-        table, share = new, share_new
-        if done:
+        moved = abs(new - table).max()
+        table, share = new, (weight.sum(0) + 1) / (n.sum() + r + 1)
+        if moved < 1e-9:
             break
-    return {int(c): float(p) for c, p in zip(codes, post[:, 1])}
+    return {int(c): float(p) for c, p in zip(codes, post[:, 0])}
 
 
 def judged(counted: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
