@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import op2_token_files as op2
 from . import op4_quality_rules as op4
+from . import op7_bpe as op7
+from . import op8_packing as op8
 from . import op9_exact_dedup as op9
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_token_files": op2.op2_token_files,
         "op4_quality_rules": op4.op4_quality_rules,
+        "op7_bpe": op7.op7_bpe,
+        "op8_packing": op8.op8_packing,
         "op9_exact_dedup": op9.op9_exact_dedup,
     }
 
