@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import op1_pii as op1
 from . import op2_token_files as op2
 from . import op4_quality_rules as op4
 from . import op7_bpe as op7
@@ -15,6 +16,7 @@ from . import op9_exact_dedup as op9
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": op1.op1_pii,
         "op2_token_files": op2.op2_token_files,
         "op4_quality_rules": op4.op4_quality_rules,
         "op7_bpe": op7.op7_bpe,
