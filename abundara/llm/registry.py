@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import op1_pii as op1
+from . import op10_near_dedup as op10
 from . import op2_token_files as op2
 from . import op4_quality_rules as op4
 from . import op7_bpe as op7
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_bpe": op7.op7_bpe,
         "op8_packing": op8.op8_packing,
         "op9_exact_dedup": op9.op9_exact_dedup,
+        "op10_near_dedup": op10.op10_near_dedup,
     }
 
 
