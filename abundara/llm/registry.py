@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import op1_pii as op1
 from . import op10_near_dedup as op10
 from . import op2_token_files as op2
@@ -17,6 +19,7 @@ from . import op9_exact_dedup as op9
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_pii": op1.op1_pii,
         "op2_token_files": op2.op2_token_files,
         "op4_quality_rules": op4.op4_quality_rules,
