@@ -12,6 +12,7 @@ from . import op1_pii as op1
 from . import op10_near_dedup as op10
 from . import op2_token_files as op2
 from . import op4_quality_rules as op4
+from . import op6_lm as op6
 from . import op7_bpe as op7
 from . import op8_packing as op8
 from . import op9_exact_dedup as op9
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pii": op1.op1_pii,
         "op2_token_files": op2.op2_token_files,
         "op4_quality_rules": op4.op4_quality_rules,
+        "op6_lm": op6.op6_lm,
         "op7_bpe": op7.op7_bpe,
         "op8_packing": op8.op8_packing,
         "op9_exact_dedup": op9.op9_exact_dedup,
