@@ -11,7 +11,9 @@ import corpus_pipeline
 from . import op1_pii as op1
 from . import op10_near_dedup as op10
 from . import op2_token_files as op2
+from . import op3_warc as op3
 from . import op4_quality_rules as op4
+from . import op5_toxicity as op5
 from . import op6_lm as op6
 from . import op7_bpe as op7
 from . import op8_packing as op8
@@ -23,7 +25,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pipeline": corpus_pipeline.run,
         "op1_pii": op1.op1_pii,
         "op2_token_files": op2.op2_token_files,
+        "op3_warc": op3.op3_warc,
         "op4_quality_rules": op4.op4_quality_rules,
+        "op5_toxicity": op5.op5_toxicity,
         "op6_lm": op6.op6_lm,
         "op7_bpe": op7.op7_bpe,
         "op8_packing": op8.op8_packing,
