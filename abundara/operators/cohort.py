@@ -82,8 +82,8 @@ def sample_detail(facts: DataFrame) -> DataFrame:
     """Values, date and name of the largest one, per sample."""
     return facts.groupBy("patient_id", "sample_id").agg(
         F.count(F.lit(1)).alias("feature_count"),
-        F.max_by("sample_date", F.struct(F.col("value"), -F.col("pos"))).alias("top_date"),
-        F.max_by("taxon", F.struct(F.col("value"), -F.col("pos"))).alias("top_taxon"),
+        F.min_by("sample_date", F.struct(-F.col("value"), F.col("pos"), F.col("taxon"))).alias("top_date"),
+        F.min_by("taxon", F.struct(-F.col("value"), F.col("pos"), F.col("taxon"))).alias("top_taxon"),
     )
 
 

@@ -138,15 +138,20 @@ def best(hits: DataFrame, query_key: str, key: str, k: int, least: float = 0.0,
     return kept.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def topic_bonus(hits: DataFrame, queries: DataFrame, topics: DataFrame, query_key: str, key: str, bonus: float = 0.20) -> DataFrame:
-    """Adds the bonus to chunks whose topic the query names, also to chunks without any shared token.
+def topic_bonus(hits: DataFrame, queries: DataFrame, topics: DataFrame, query_key: str, key: str, k: int, bonus: float = 0.20) -> DataFrame:
+    """Adds the bonus to chunks whose topic the query names.
 
-    `topics` (key, topic) meets a query by the topic's words being among the query's, not pair by pair.
+    A chunk without any shared token gets the bonus alone, so it can only follow in order of key: the first k of
+    each topic are enough for a list of k. `topics`: (key, topic).
     """
-    words = queries.select(query_key, F.explode(F.array_distinct(F.split(F.lower("text"), r"[^a-z0-9_-]+"))).alias("topic"))
-    named = words.join(topics.select(key, F.lower("topic").alias("topic")).filter("topic <> ''"), "topic").select(query_key, key, F.lit(bonus).alias("bonus"))
-    both = hits.select(query_key, key, "score").unionByName(named.select(query_key, key, F.col("bonus").alias("score")))
-    return both.groupBy(query_key, key).agg(F.sum("score").alias("score"))
+    named = queries.select(query_key, F.explode(F.array_distinct(F.split(F.lower("text"), r"[^a-z0-9_-]+"))).alias("topic"))
+    low = topics.select(key, F.lower("topic").alias("topic")).filter("topic <> ''")
+    first = low.withColumn("rank", F.row_number().over(Window.partitionBy("topic").orderBy(key))).filter(F.col("rank") <= k).drop("rank")
+    alone = named.join(first, "topic").select(query_key, key, "topic", F.lit(0.0).alias("score"))
+    every = hits.join(low, key, "left").select(query_key, key, "topic", "score").unionByName(alone)
+    best_ = every.groupBy(query_key, key, "topic").agg(F.max("score").alias("score"))
+    given = best_.join(named.withColumn("hit", F.lit(True)), [query_key, "topic"], "left")
+    return given.select(query_key, key, (F.col("score") + F.when(F.col("hit"), bonus).otherwise(0.0)).alias("score"))
 
 
 # --- keyword search ----------------------------------------------------------------

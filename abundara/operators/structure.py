@@ -74,7 +74,7 @@ def deviation_insight(comparisons: DataFrame, level: Column | None = None) -> Da
     item = F.struct("rank", name.alias("name"), "direction")
     rows = comparisons.groupBy("patient_id", "sample_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
     names = lambda which: F.array_distinct(F.transform(F.filter("items", which), lambda x: x["name"]))
-    raised, lowered = (F.slice(names(lambda x, d=d: x["direction"] == d), 1, 3) for d in ("higher", "lower"))
+    raised, lowered = F.slice(names(lambda x: x["direction"] == "higher"), 1, 3), F.slice(names(lambda x: x["direction"] == "lower"), 1, 3)
     out = rows.select("patient_id", "sample_id", F.slice(names(lambda x: x["name"] != ""), 1, 5).alias("top"), raised.alias("raised"), lowered.alias("lowered"))
     level = F.lit("mild") if level is None else level
     some = (F.size("raised") > 0) | (F.size("lowered") > 0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import time
 import uuid
 from collections.abc import Callable, Sequence
@@ -12,6 +13,12 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
+def scratch_folder(spark, tag: str) -> str:
+    """A new folder under spark.checkpoint.dir, which executors share; a local one where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="abundara-")
+    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
 def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str], updated: Sequence[str] | None = None, order: str | None = None) -> DataFrame:
     """Rows after an insert that updates on conflict.
 
