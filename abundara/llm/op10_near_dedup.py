@@ -196,40 +196,30 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
 
 
+def star_round(edges: DataFrame) -> DataFrame:
+    """Large-star, then small-star. Edges go from a to a smaller b, before and after."""
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    # each node keeps its least neighbour; its other neighbours, all smaller than it, hang on that one
+    return large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (a, b); the root is the least node of the component.
 
     Large-star: each node links its greater neighbours to the least of its neighbours and itself. Small-star:
     each node links its smaller neighbours to the least. Both keep components and shorten paths; a
-    written table of edges after each round cuts lineage. Stars only, when a round changes nothing.
+    written table of edges after each round cuts lineage. It ends when the edges are stars: no node hangs on
+    two others, and none that hangs on another has some hanging on it.
     """
-    spark = edges.sparkSession
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        if large:
-            both = both.unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        linked = both.join(least, "u")
-        if large:
-            return linked.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        own = least.filter("u <> m").select(F.col("u").alias("a"), F.col("m").alias("b"))
-        return linked.filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(own).distinct()
-
-    def tidy(e: DataFrame) -> DataFrame:
-        return e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-
-    now = common.spill(tidy(edges), "edges")
-    print_of = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31)))).first())
-    mark = print_of(now)
+    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
     while True:
-        now = common.spill(tidy(star(tidy(star(now, True)), False)), "edges")
-        new = print_of(now)
-        if new == mark:
+        now = common.spill(star_round(now), "edges")
+        sides = now.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.lit(1).alias("down"), F.lit(0).alias("up")), F.struct(F.col("b").alias("n"), F.lit(0).alias("down"), F.lit(1).alias("up")))).alias("s")).select("s.*")
+        if sides.groupBy("n").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down + up > 1 AND down > 0").isEmpty():
             break
-        mark = new
-    if mark[0] == 0:
-        return spark.createDataFrame([], "node binary, root binary")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
@@ -245,8 +235,7 @@ def links(docs: DataFrame, sketched: DataFrame, id_col: str = "doc_id", text_col
     # the pivot of each bucket is its least node
     pivots = members.groupBy("bucket").agg(F.min("node").alias("a"))
     pairs = members.join(pivots, "bucket").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
-    edges = common.spill(verified(likely(pairs, nodes), sets), "links")
-    roots = components(edges)
+    roots = components(common.spill(verified(likely(pairs, nodes), sets), "links"))
     tried = pivots.select("bucket", F.col("a").alias("node"))
     while True:
         more = open_pairs(members, roots, tried)
@@ -256,8 +245,7 @@ def links(docs: DataFrame, sketched: DataFrame, id_col: str = "doc_id", text_col
         found = common.spill(verified(likely(pairs, nodes), sets), "links")
         tried = common.spill(tried.unionByName(tried_now), "tried")
         if not found.isEmpty():
-            edges = common.spill(edges.unionByName(found), "links")
-            roots = components(edges)
+            roots = components(found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
 def open_pairs(members: DataFrame, roots: DataFrame, tried: DataFrame):
@@ -267,7 +255,10 @@ def open_pairs(members: DataFrame, roots: DataFrame, tried: DataFrame):
     were no pivot lie in two components at least; those outside the largest are pivots now, as many as fit.
     """
     named = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    left = named.join(tried, ["bucket", "node"], "left_anti")
+    several = common.spill(named.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("bucket"), "several")
+    if several.isEmpty():
+        return None
+    left = common.spill(named.join(several, "bucket", "left_semi").join(tried, ["bucket", "node"], "left_anti"), "untried")
     per = left.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     total = per.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
     open_ = common.spill(left.join(total.select("bucket", "all", F.col("top.root").alias("main")), "bucket"), "open")
