@@ -9,15 +9,18 @@ digest of the set, so copies never meet each other in pairs.
    union are the maxima, so sketches merge.
 2. Bands of registers are hashed to buckets; nodes that share a bucket are candidates. With BANDS bands
    of ROWS registers a pair at similarity 0.75 misses every band with probability (1-0.75^4)^40 < 3e-7.
-3. Within a bucket every member is tried against a pivot, not against every other. Members that end up in one
-   component need no more trying. Where a bucket still spans several components, the members outside its
-   largest one become the next pivots, a bounded number of pairs a round, until no two untried members
-   of different components are left: no link between different components is lost, and a bucket of m
-   near copies costs about m pairs rather than m squared.
-4. A pair's similarity is first estimated from both sketches jointly (maximum likelihood for the counts of
+3. Two sets share at most what each has in common with any candidate. So a member's "core" (its shingles that
+   some other candidate has) bounds its similarity with every other one, and members or pairs that can't
+   reach the threshold go without a look at their sets. Copies with many changes of their own go here.
+4. Within a bucket every member is tried against a pivot, not against every other: the one with the least of
+   its own. Members that end up in one component need no more trying. Where a bucket still spans several
+   components, the members outside its largest one become the next pivots, a bounded number of pairs a round,
+   until no two untried members of different components are left: no link between different components
+   is lost, and a bucket of m near copies costs about m pairs rather than m squared.
+5. A pair's similarity is first estimated from both sketches jointly (maximum likelihood for the counts of
    greater, smaller and equal registers, given both set sizes). Pairs whose estimate is far below the
    threshold (over 6 standard errors) go; all others are verified on the full sets.
-5. Components of verified links come from alternating large-star and small-star rounds.
+6. Components of verified links come from alternating large-star and small-star rounds.
 
 Edge cases: null and empty texts are components of their own. Texts are read whole. Repeated rows (equal id
 and text) share a component; each is returned. Null ids take part and are never a component's name unless
@@ -31,7 +34,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -44,7 +47,7 @@ BASE, RATE, Q = 1.001, 20.0, (1 << 16) - 2
 #: Estimates below this can't belong to a pair at 0.75: over 6 standard errors of M registers.
 ESTIMATE_FROM = 0.52
 #: Pairs that one bucket may try in one round, beyond one for each member.
-PAIRS_A_ROUND = 4096
+PAIRS_A_ROUND = 65536
 _rng = np.random.default_rng(20240613)
 MULTIPLY = _rng.integers(0, 1 << 63, M, np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _rng.integers(0, 1 << 63, M, np.uint64) * np.uint64(2)
@@ -223,8 +226,40 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def lone_counts(sets: DataFrame) -> DataFrame:
+    """(owner, lone): shingles that no other candidate has, by the first eight bytes of the node."""
+
+    def run(batches):
+        for batch in batches:
+            owners, parts = [], []
+            for node, elements in zip(batch.column(0), batch.column(1)):
+                one = np.frombuffer(elements.as_py(), np.int64)
+                parts.append(one)
+                owners += [node.as_py()[:8]] * len(one)
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(owners, pa.binary())], names=["shingle", "owner"])
+
+    # a shingle of many candidates is one row per map task after the partial aggregate
+    seen = sets.select("node", "elements").mapInArrow(run, "shingle long, owner binary").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("owner").alias("owner"))
+    return seen.filter("n = 1").groupBy("owner").agg(F.count(F.lit(1)).alias("lone"))
+
+
+def may_link(n_a: Column, core_a: Column, n_b: Column, core_b: Column) -> Column:
+    """Whether sizes allow the similarity: two sets share at most the smaller core (what some other candidate has too)."""
+    both = F.least(core_a, core_b)
+    return 100 * both >= PERCENT * (n_a + n_b - both)
+
+
+def narrowed(members: DataFrame) -> DataFrame:
+    """Members that could link with one of their bucket's sizes, in buckets that keep two at least."""
+    sizes = members.groupBy("bucket").agg(F.min("n").alias("least"))
+    able = members.join(sizes, "bucket").filter(may_link(F.col("n"), F.col("core"), F.greatest("least", "core"), F.col("core"))).drop("least")
+    many = able.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("bucket")
+    return able.join(many, "bucket", "left_semi")
+
+
 def links(docs: DataFrame, sketched: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
-    """(node, root) of all nodes that have links; None if no two nodes share a bucket."""
+    """(node, root) of all nodes that have links; None if there are none."""
     full = sketched.filter("node is not null")
     nodes = common.spill(full.groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("doc"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles")), "nodes")
     members = common.spill(buckets(nodes), "buckets")
@@ -232,11 +267,19 @@ def links(docs: DataFrame, sketched: DataFrame, id_col: str = "doc_id", text_col
         return None
     wanted = members.select("node").distinct()
     sets = common.spill(sets_of(docs, nodes.join(wanted, "node", "left_semi").select("node", "doc.id", "doc.text_hash"), text_col, id_col), "sets")
-    # the pivot of each bucket is its least node
-    pivots = members.groupBy("bucket").agg(F.min("node").alias("a"))
-    pairs = members.join(pivots, "bucket").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+    # a member's core is what some other candidate has too; a partner can share no more
+    lone = lone_counts(sets)
+    sized = sets.select("node", (F.length("elements") / 8).cast("long").alias("n"), F.substring("node", 1, 8).alias("owner"))
+    profile = sized.join(lone, "owner", "left").select("node", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("core")).filter(100 * F.col("core") >= PERCENT * F.col("n"))
+    members = common.spill(narrowed(members.join(profile, "node")), "members")
+    if members.isEmpty():
+        return None
+    # the pivot of a bucket is the member with the least of its own, the most like all others
+    pivots = members.groupBy("bucket").agg(F.min(F.struct((1 - F.col("core") / F.col("n")).alias("own"), "node", "n", "core")).alias("p"))
+    near = members.join(pivots, "bucket").filter((F.col("node") != F.col("p.node")) & may_link(F.col("n"), F.col("core"), F.col("p.n"), F.col("p.core")))
+    pairs = near.select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
     roots = components(common.spill(verified(likely(pairs, nodes), sets), "links"))
-    tried = pivots.select("bucket", F.col("a").alias("node"))
+    tried = pivots.select("bucket", F.col("p.node").alias("node"))
     while True:
         more = open_pairs(members, roots, tried)
         if more is None:
@@ -259,16 +302,17 @@ def open_pairs(members: DataFrame, roots: DataFrame, tried: DataFrame):
     if several.isEmpty():
         return None
     left = common.spill(named.join(several, "bucket", "left_semi").join(tried, ["bucket", "node"], "left_anti"), "untried")
-    per = left.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    total = per.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    per = left.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n_root"))
+    total = per.groupBy("bucket").agg(F.sum("n_root").alias("all"), F.max(F.struct("n_root", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
     open_ = common.spill(left.join(total.select("bucket", "all", F.col("top.root").alias("main")), "bucket"), "open")
     if open_.isEmpty():
         return None
     outside = open_.filter("root <> main")
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(1 - F.col("core") / F.col("n"), "node"))
     chosen = outside.withColumn("rank", rank).filter(F.col("rank") <= F.greatest(F.lit(1), F.lit(PAIRS_A_ROUND) / F.col("all")))
-    pivots = chosen.select("bucket", F.col("node").alias("p"), F.col("root").alias("p_root"))
-    met = open_.select("bucket", "node", "root").join(pivots, "bucket").filter("root <> p_root")
+    pivots = chosen.select("bucket", F.col("node").alias("p"), F.col("root").alias("p_root"), F.col("n").alias("p_n"), F.col("core").alias("p_core"))
+    fits = (F.col("m.bucket") == F.col("v.bucket")) & (F.col("root") != F.col("p_root")) & may_link(F.col("n"), F.col("core"), F.col("p_n"), F.col("p_core"))
+    met = open_.select("bucket", "node", "root", "n", "core").alias("m").join(pivots.alias("v"), fits)
     pairs = met.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
     return pairs, pivots.select("bucket", F.col("p").alias("node"))
 
