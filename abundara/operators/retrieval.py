@@ -23,7 +23,7 @@ SKIPPED_SECTIONS = ("references", "reference", "bibliography", "acknowledgment",
 def paper(docs: DataFrame, text: str = "text") -> DataFrame:
     """title, metadata (map), abstract and body of Markdown papers."""
     t = T.normalise(F.col(text))
-    block = lambda name: F.trim(F.regexp_extract(t, rf"(?ms)^## {name}[^\n]*\n(.*?)(?=^## |\z)", 1))
+    block = lambda name: F.regexp_replace(F.regexp_extract(t, rf"(?ms)^## {name}[^\n]*\n(.*?)(?=^## |\z)", 1), r"^\s+|\s+$", "")
     lines = F.filter(F.split(block("Metadata"), "\n"), lambda x: x.rlike(r"^- [^:]+:"))
     pair = lambda x: F.struct(F.lower(F.trim(F.regexp_extract(x, r"^- ([^:]+):", 1))).alias("key"), F.trim(F.regexp_extract(x, r"^- [^:]+:(.*)$", 1)).alias("value"))
     pairs = F.transform(lines, pair)
@@ -35,7 +35,7 @@ def sections(docs: DataFrame, text: str = "text", marks: str = "#{3}") -> DataFr
     """(position, heading, content) of the parts that headings begin; parts without content and reference-like ones are dropped."""
     rows = docs.select("*", F.posexplode(F.split(F.col(text), rf"(?m)(?=^{marks} )")).alias("position", "part"))
     heading = F.trim(F.regexp_extract("part", rf"^{marks} ([^\n]*)", 1))
-    content = F.trim(F.regexp_replace("part", rf"^{marks} [^\n]*\n?", ""))
+    content = F.regexp_replace(F.regexp_replace("part", rf"^{marks} [^\n]*\n?", ""), r"^\s+|\s+$", "")
     skipped = F.lower("heading").rlike("|".join(map(re.escape, SKIPPED_SECTIONS)))
     return rows.select("*", heading.alias("heading"), content.alias("content")).filter((F.col("content") != "") & ~skipped).drop("part")
 

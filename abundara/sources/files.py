@@ -74,5 +74,4 @@ def read_artifact(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_markdown(spark: SparkSession, path: str, pattern: str = "*.md", recursive: bool = False, key_pattern: str = r"([^/]+)\.md$") -> DataFrame:
     """(path, key, text) of Markdown files, sorted by path only where the caller orders."""
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.regexp_extract(F.col("_metadata.file_path"), key_pattern, 1).alias("key"), without_bom(F.col("value")).alias("text"))
+    return spark.read.text(path, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=recursive).select(F.col("_metadata.file_path").alias("path"), F.regexp_extract(F.col("_metadata.file_path"), key_pattern, 1).alias("key"), without_bom(F.col("value")).alias("text"))

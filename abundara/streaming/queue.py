@@ -30,6 +30,12 @@ def scored(messages: DataFrame, key: str = "user_id") -> DataFrame:
     return messages.withColumns({"risk_score": score, "risk_level": vectors.risk_label(score)})
 
 
+def newest(rows: DataFrame, key: str) -> DataFrame:
+    """The latest row of each key by time, so messages may come in any order."""
+    names = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*names), "ts").alias("r")).select(key, "r.*")
+
+
 class Consumer:
     """Merges each batch into a versioned table, then tells listeners which keys changed.
 
@@ -44,8 +50,8 @@ class Consumer:
     def __call__(self, batch: DataFrame, number: int) -> None:
         if number <= self.done:
             return
-        latest = scored(batch, self.key).groupBy(self.key).agg(F.max_by(F.struct("risk_score", "risk_level"), F.struct("ts", "event_id")).alias("r"), F.max("ts").alias("ts")).select(self.key, "r.*", "ts")
-        table = latest if self.path is None else sinks.upsert(self.spark.read.parquet(self.path), latest, [self.key])
+        latest = newest(scored(batch, self.key).select(self.key, "risk_score", "risk_level", "ts"), self.key)
+        table = latest if self.path is None else newest(self.spark.read.parquet(self.path).unionByName(latest), self.key)
         self.path = sinks.versioned_overwrite(table, self.root, self.view)
         self.done = number
         if self.notify:
