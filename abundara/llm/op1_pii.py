@@ -44,6 +44,8 @@ LOOSE = {
     "phone": r"(?<![0-9+(-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
     "token": r"(?i)(?<![a-z])(?:token|secret|passwd|password|api[_-]?key)\x20?[:=]\x20?[\"']?[A-Za-z0-9_./+=-]{6,}+[\"']?",
 }
+#: What a text must have for a pattern to match at all: characters to look for, or a cheap pattern.
+NEEDS = {("email", 0): ("@",), ("phone", 0): ("+",), ("email", 1): ("t]", "t)", "T]", "T)"), ("token", 1): (":", "="), ("ip", 0): r"[0-9]\.[0-9]", ("card", 0): r"[0-9][\x20-]?[0-9]", ("phone", 1): r"[0-9][\x20.-][0-9]"}
 CUES = (r"(?i)(?:card|visa|carte|karte|tarjeta)", r"(?i)(?:phone|tel|call|fax|mobil)", r"(?i)(?:mail|contact)", r"(?i)(?:\bip\b|host|server|addr)", r"(?i)(?:account|iban|id|no)\W*$")
 DIGIT_EDGES, LENGTH_EDGES = (1, 7, 9, 13, 16, 17, 20), (8, 12, 16, 20, 28)
 FEATURES = ("kind", "loose", "digits", "length", "separators", "left", "right", "cue")
@@ -56,8 +58,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches: array of (start, end, value, left, right), with up to 24 characters of context."""
+def may_match(text: Column, kind: str, loose: int) -> Column:
+    needs = NEEDS[kind, loose]
+    if isinstance(needs, str):
+        return text.rlike(needs)
+    out = F.contains(text, F.lit(needs[0]))
+    for n in needs[1:]:
+        out = out | F.contains(text, F.lit(n))
+    return out
+
+
+def matches(text: Column, pattern: str, possible: Column) -> Column:
+    """Leftmost non-overlapping matches: array of (start, end, value, left, right), with up to 24 characters of context.
+
+    Texts that can't match (`possible`) aren't searched: most texts of a corpus pass at the price of a look for a character.
+    """
     parts = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{MARK}$0{MARK}")), MARK)
 
     def total(lengths: Column) -> Column:
@@ -81,10 +96,10 @@ def matches(text: Column, pattern: str) -> Column:
         return let(F.struct(s["parts"].alias("parts"), s["lengths"].alias("lengths"), bases.alias("bases")), place)
 
     def found(p: Column) -> Column:
-        none = F.array().cast("array<struct<start:int,end:int,value:string,left:string,right:string>>")
         return F.when(F.size(p) > 1, let(F.struct(p.alias("parts"), F.transform(p, F.length).alias("lengths")), with_bases)).otherwise(none)
 
-    return let(parts, found)
+    none = F.array().cast("array<struct<start:int,end:int,value:string,left:string,right:string>>")
+    return F.when(possible, let(parts, found)).otherwise(none)
 
 
 def digits(value: Column) -> Column:
@@ -136,16 +151,16 @@ def candidate(kind: str, loose: bool) -> Callable[[Column], Column]:
 
 def candidates(text: Column) -> Column:
     """Array of candidate spans of `text` (a column without nulls), in order of kind."""
-    clean = F.translate(text, MARK, STAND_IN)
+    clean = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, STAND_IN)).otherwise(text)
     lists = []
     for kind in KINDS:
         if kind in PATTERNS:
-            found = matches(clean, PATTERNS[kind])
+            found = matches(clean, PATTERNS[kind], may_match(text, kind, 0))
             if kind == "card":
                 found = F.filter(found, lambda m: F.length(digits(m["value"])).between(12, 20))
             lists.append(F.transform(found, candidate(kind, False)))
         if kind in LOOSE:
-            lists.append(F.transform(matches(clean, LOOSE[kind]), candidate(kind, True)))
+            lists.append(F.transform(matches(clean, LOOSE[kind], may_match(text, kind, 1)), candidate(kind, True)))
     return F.concat(*lists)
 
 
