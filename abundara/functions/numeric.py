@@ -145,5 +145,5 @@ def range_text(low: Column, high: Column) -> Column:
 
 def parse_vector(text: Column) -> Column:
     """Numbers of "v1,v2\\n...": commas, tabs and line breaks separate; blanks are skipped, other text is null."""
-    parts = F.filter(F.transform(F.split(text, r"[,\n\t]"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, r"[,\n\t]"), lambda x: F.trim(x)), lambda x: x != "")
     return F.transform(parts, lambda x: x.try_cast("double"))

@@ -104,3 +104,15 @@ def dashboard(patients: DataFrame) -> DataFrame:
     top = counts.agg(F.max_by("disease", F.struct(F.col("n"), F.col("disease"))).alias("most_common_disease"), F.max("n").alias("most_common_count"))
     one = patients.agg(F.count("patient_id").alias("total_patients"), F.min("age").alias("min_age"), F.max("age").alias("max_age"), F.count_distinct("country").alias("regions"))
     return one.join(F.broadcast(top)).withColumn("most_common_disease", F.coalesce("most_common_disease", F.lit("N/A")))  # two single rows
+
+
+def grouped_rows(facts: DataFrame) -> DataFrame:
+    """Rows of each sample in input order, with the first date that isn't null."""
+    item = F.struct("pos", "taxon", "value")
+    return facts.groupBy("patient_id", "sample_id").agg(F.min_by("sample_date", F.when(F.col("sample_date").isNotNull(), F.col("pos"))).alias("first_date"), F.array_sort(F.collect_list(item)).alias("rows"))
+
+
+def insight(values: Column, k: int = 3) -> Column:
+    """The first k values that aren't blank, and how many there are."""
+    kept = F.filter(F.coalesce(values, F.array().cast("array<string>")), T.present)
+    return F.struct(F.slice(kept, 1, k).alias("first"), F.size(kept).alias("n"))

@@ -93,3 +93,8 @@ def consistency_label(disease: Column, top1: Column) -> Column:
 
 def confidence_advice(top1_percent: Column) -> Column:
     return F.when(top1_percent >= 70, "follow_top1").otherwise("weigh_top2")
+
+
+def difference_text(name: Column, value: Column, reference: Column, fold: Column) -> Column:
+    """One line per taxon: value, reference and signed fold change."""
+    return F.format_string("%s: %.4f vs %.4f (log2FC %+.2f)", name, value, reference, fold)

@@ -775,3 +775,83 @@ def x_session(spark, d):
 @query(WITH + "SELECT body_site, disease, count(*) AS n FROM v_patients GROUP BY ROLLUP (body_site, disease)")
 def x_rollup(spark, d):
     return P(spark, d).rollup("body_site", "disease").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- smaller operators -----------------------------------------------------------------
+
+
+@query(WITH + "SELECT patient_id, sample_id, min(sample_date) AS first_date, count(*) AS n, arg_min(value, (pos, taxon, value)) AS first_value FROM v_abundance GROUP BY 1, 2".replace("min(sample_date) AS first_date", "arg_min(sample_date, pos) AS first_date"))
+def sample_rows_in_order(spark, d):
+    rows = cohort.grouped_rows(A(spark, d))
+    return rows.select("patient_id", "sample_id", "first_date", F.size("rows").cast("long").alias("n"), F.get("rows", F.lit(0))["value"].alias("first_value"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'male' WHEN 1 THEN 'female' WHEN 2 THEN '-' ELSE c_name END AS label FROM customer")
+def gender_normalised(spark, d):
+    raw = F.when(F.col("c_custkey") % 4 == 0, " M ").when(F.col("c_custkey") % 4 == 1, "Female").when(F.col("c_custkey") % 4 == 3, F.col("c_name"))
+    return t(spark, d, "customer").select("c_custkey", T.gender_label(raw).alias("label"))
+
+
+_ROUTED = f"SELECT conv_id, turn, {_RISKY} AS intent, contains(lower(text), 'search') OR contains(lower(text), 'evidence') OR contains(lower(text), 'latest') OR contains(lower(text), 'guideline') OR contains(lower(text), 'literature') AS outside FROM conversations"
+
+
+@query(f"SELECT conv_id, turn, CAST(CASE WHEN intent = 'DASHBOARD_QA' THEN 5 WHEN conv_id % 4 = 0 THEN 8 WHEN conv_id % 2 = 0 THEN 5 ELSE 4 END AS INTEGER) AS n_tools, outside AS allow_external_evidence, conv_id % 4 = 0 AND intent <> 'DASHBOARD_QA' AS allow_prediction FROM ({_ROUTED})")
+def tool_policy(spark, d):
+    text = lambda k: F.when(F.col("conv_id") % k == 0, F.col("conv_id").cast("string"))
+    rows = t(spark, d, "conversations").withColumn("intent", rules.intent(F.col("text"), F.col("role")))
+    rows = rows.withColumn("tools", rules.available_tools(F.col("intent"), text(2), text(4)))
+    flags = rules.policies(F.col("text"), F.col("intent"), F.col("tools"), text(4), F.lit("low"))
+    return rows.select("conv_id", "turn", F.size("tools").alias("n_tools"), flags["allow_external_evidence"].alias("allow_external_evidence"), flags["allow_prediction"].alias("allow_prediction"))
+
+
+@query("SELECT conv_id, CAST(count(*) AS INTEGER) AS n_steps, CAST(7 - (count(DISTINCT role) FILTER (role IN ('workflow', 'intent_resolved'))) AS INTEGER) AS n_missing FROM conversations GROUP BY 1")
+def trace_completeness(spark, d):
+    steps = t(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list("role").alias("steps"))
+    issues = rules.trace_issues(F.col("steps"), {}, F.lit("DASHBOARD_QA"), F.lit(True), F.lit(True))
+    return steps.select("conv_id", F.size("steps").alias("n_steps"), F.size(F.filter(issues, lambda i: F.startswith(i, F.lit("missing_step:")))).alias("n_missing"))
+
+
+@query("SELECT doc_id, CASE WHEN contains(upper(coalesce(text, '')), 'WARN') THEN 'OPTIMIZE' WHEN contains(upper(coalesce(text, '')), 'FAIL') THEN 'FAIL' ELSE 'PASS' END AS gate FROM documents WHERE NOT (contains(upper(coalesce(text, '')), 'FAIL') AND contains(upper(coalesce(text, '')), 'WARN')) AND NOT contains(upper(coalesce(text, '')), 'OPTIMIZE')")
+def staged_gate(spark, d):
+    text = F.upper(F.coalesce("text", F.lit("")))
+    has = lambda w: F.contains(text, F.lit(w))
+    rows = t(spark, d, "documents").filter(~(has("FAIL") & has("WARN")) & ~has("OPTIMIZE"))
+    steps = F.array(F.struct(F.lit("assistant").alias("kind"), F.col("text").alias("output")), F.struct(F.lit("quality").alias("kind"), F.lit("").alias("output")))
+    return rows.select("doc_id", rules.staged_fold(steps, F.lit("")).getField("gate").alias("gate"))
+
+
+@query("SELECT event_id, 'user ' || CAST(user_id AS VARCHAR) || ' did ' || event_type AS line FROM events")
+def template_filled(spark, d):
+    values = F.create_map(F.lit("who"), F.col("user_id").cast("string"), F.lit("what"), F.col("event_type"))
+    return t(spark, d, "events").select("event_id", T.filled_template(F.lit("user {{who}} did {{what}}"), values).alias("line"))
+
+
+@query("SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, round(list_sum(list_transform(embedding, lambda x: round(x::DOUBLE * 1000))), 3) AS total FROM embeddings")
+def vector_parsed(spark, d):
+    raw = F.array_join(F.transform("embedding", lambda x: F.round(x * 1000).cast("long").cast("string")), ",")
+    rows = E(spark, d).select("vec_id", N.parse_vector(F.concat(raw, F.lit("\n\t , "))).alias("v"))
+    return rows.select("vec_id", F.size("v").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 3).alias("total"))
+
+
+@query("SELECT user_id, event_id, last_value(CASE WHEN event_id % 3 = 0 THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS seen FROM events")
+def running_context(spark, d):
+    rows = t(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_id") % 3 == 0, F.col("event_type")).alias("seen"))
+    return traces.running_context(rows, "user_id", "event_id", ["seen"])
+
+
+@query("SELECT vec_id, CAST((row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) % 5 AS INTEGER) AS fold FROM embeddings")
+def stratified_folds(spark, d):
+    return vectors.folds(E(spark, d), "label", "vec_id", 5).select("vec_id", "fold")
+
+
+@query("SELECT doc_id, CAST(doc_id % 1000 AS VARCHAR) AS first_id FROM documents")
+def first_id(spark, d):
+    text = F.concat(F.lit("ref 1234567, id "), (F.col("doc_id") % 1000).cast("string"), F.lit(" or 77"))
+    return t(spark, d, "documents").select("doc_id", T.first_id(text).alias("first_id"))
+
+
+@query("SELECT (SELECT count(DISTINCT o_custkey) FROM orders) AS matched, (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) AS unmatched")
+def semi_and_anti(spark, d):
+    c, o = t(spark, d, "customer"), t(spark, d, "orders")
+    side = c.join(o, c.c_custkey == o.o_custkey, "left_semi").select(F.lit(1).alias("m")).unionByName(c.join(o, c.c_custkey == o.o_custkey, "left_anti").select(F.lit(0).alias("m")))
+    return side.agg(F.count_if(F.col("m") == 1).alias("matched"), F.count_if(F.col("m") == 0).alias("unmatched"))
