@@ -28,7 +28,7 @@ from . import common, token_cache
 
 LENGTH, END_ID = 2048, 0
 #: Pieces of one size that are ranked together.
-RANKED_TOGETHER = 2048
+RANKED_TOGETHER = 256
 
 
 def token_pieces(docs: DataFrame, path: str, end_id: int = END_ID, length: int = LENGTH) -> DataFrame:
