@@ -182,21 +182,21 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.select("a", "b", "sketch_a", "sketch_b", "n_a", "n_b").mapInArrow(run, "a binary, b binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the similarity."""
+def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, both, linked): shared elements of the full sets, and whether they reach the similarity."""
     one = lambda x: sets.select(F.col("node").alias(x), F.col("elements").alias(f"set_{x}"))
 
     def run(batches):
         for batch in batches:
-            keep = []
+            shared, linked = [], []
             for x, y in zip(batch.column(2), batch.column(3)):
                 p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(p) + len(q) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+                shared.append(both)
+                linked.append(100 * both >= PERCENT * (len(p) + len(q) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "both", "linked"])
 
-    return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
+    return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary, both long, linked boolean")
 
 
 def star_round(edges: DataFrame) -> DataFrame:
@@ -244,6 +244,11 @@ def lone_counts(sets: DataFrame) -> DataFrame:
     return seen.filter("n = 1").groupBy("owner").agg(F.count(F.lit(1)).alias("lone"))
 
 
+def could_share(inner_a: Column, outer_a: Column, inner_b: Column, outer_b: Column) -> Column:
+    """Most that two members of a bucket share: within its pivot and besides it. Without a count for the pivot, inner and outer are both the core."""
+    return F.least(inner_a, inner_b) + F.least(outer_a, outer_b)
+
+
 def may_link(n_a: Column, core_a: Column, n_b: Column, core_b: Column) -> Column:
     """Whether sizes allow the similarity: two sets share at most the smaller core (what some other candidate has too)."""
     both = F.least(core_a, core_b)
@@ -278,14 +283,18 @@ def links(docs: DataFrame, sketched: DataFrame, id_col: str = "doc_id", text_col
     pivots = members.groupBy("bucket").agg(F.min(F.struct((1 - F.col("core") / F.col("n")).alias("own"), "node", "n", "core")).alias("p"))
     near = members.join(pivots, "bucket").filter((F.col("node") != F.col("p.node")) & may_link(F.col("n"), F.col("core"), F.col("p.n"), F.col("p.core")))
     pairs = near.select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
-    roots = components(common.spill(verified(likely(pairs, nodes), sets), "links"))
+    met = common.spill(measured(likely(pairs, nodes), sets), "links")
+    roots = components(met.filter("linked").select("a", "b"))
     tried = pivots.select("bucket", F.col("p.node").alias("node"))
+    # what a member has in common with its bucket's pivot, and what it shares besides with others
+    shared = members.join(pivots.select("bucket", F.col("p.node").alias("a")), "bucket").join(met.select("a", F.col("b").alias("node"), "both"), ["a", "node"], "left")
+    members = common.spill(shared.select("bucket", "node", "n", "core", F.coalesce("both", "core").alias("inner"), (F.col("core") - F.coalesce("both", F.lit(0))).alias("outer")), "members")
     while True:
         more = open_pairs(members, roots, tried)
         if more is None:
             return roots
         pairs, tried_now = more
-        found = common.spill(verified(likely(pairs, nodes), sets), "links")
+        found = common.spill(measured(likely(pairs, nodes), sets).filter("linked").select("a", "b"), "links")
         tried = common.spill(tried.unionByName(tried_now), "tried")
         if not found.isEmpty():
             roots = components(found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
@@ -310,9 +319,10 @@ def open_pairs(members: DataFrame, roots: DataFrame, tried: DataFrame):
     outside = open_.filter("root <> main")
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy(1 - F.col("core") / F.col("n"), "node"))
     chosen = outside.withColumn("rank", rank).filter(F.col("rank") <= F.greatest(F.lit(1), F.lit(PAIRS_A_ROUND) / F.col("all")))
-    pivots = chosen.select("bucket", F.col("node").alias("p"), F.col("root").alias("p_root"), F.col("n").alias("p_n"), F.col("core").alias("p_core"))
-    fits = (F.col("m.bucket") == F.col("v.bucket")) & (F.col("root") != F.col("p_root")) & may_link(F.col("n"), F.col("core"), F.col("p_n"), F.col("p_core"))
-    met = open_.select("bucket", "node", "root", "n", "core").alias("m").join(pivots.alias("v"), fits)
+    pivots = chosen.select("bucket", F.col("node").alias("p"), F.col("root").alias("p_root"), *[F.col(c).alias(f"p_{c}") for c in ("n", "core", "inner", "outer")])
+    bound = F.least(F.col("core"), F.col("p_core"), could_share(F.col("inner"), F.col("outer"), F.col("p_inner"), F.col("p_outer")))
+    fits = (F.col("m.bucket") == F.col("v.bucket")) & (F.col("root") != F.col("p_root")) & may_link(F.col("n"), bound, F.col("p_n"), bound)
+    met = open_.select("bucket", "node", "root", "n", "core", "inner", "outer").alias("m").join(pivots.alias("v"), fits)
     pairs = met.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
     return pairs, pivots.select("bucket", F.col("p").alias("node"))
 
