@@ -13,7 +13,7 @@ needs no keys. Each block then has the corpus counts of its n-grams in memory, a
 blocks and answers follow: sums for the weights, then scores. A frequent n-gram is one row per block,
 whatever its number of occurrences.
 
-N-grams are told apart by 64-bit hashes. Weight sums are kept by cell (context buckets and octaves of the
+Words are told apart by 64-bit hashes, longer n-grams by 56 bits. Weight sums are kept by cell (context buckets and octaves of the
 estimates), a table of bounded size.
 
 Edge cases: null and empty texts have the end token alone. Words of any length count as they are. Repeated
@@ -37,9 +37,10 @@ from . import common
 
 FOLDS, ORDER = 10, 3
 #: Bytes of text in a block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Hash ranges for each shuffle partition.
 RANGES = 4
+HASH_BITS = (64, 56, 56)
 CONTEXT_CAPS = (12, 8)  # greatest bucket of one-word and two-word contexts
 OCTAVES = 24
 EM_ROUNDS = 60
@@ -71,26 +72,26 @@ class Block:
     """Documents as word numbers; number 0 is the end of a text, which also stands before its first word."""
 
     def __init__(self, docs: pa.Table, hashes: np.ndarray, ids: np.ndarray):
-        self.docs, self.hashes, self.ids = docs, hashes, ids.astype(np.int64)
+        self.docs, self.hashes, self.ids = docs, hashes, ids.astype(np.int32)
         self.lengths = docs.column("n_tokens").to_numpy().astype(np.int64)
-        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        self.doc = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
         first = np.zeros(len(ids), bool)
         first[np.cumsum(self.lengths) - self.lengths] = True
         self.train = docs.column("train").to_numpy(zero_copy_only=False)[self.doc]
+        # a text's first token has no two-word context
+        self.has_two = ~first
+        words = np.int64(len(hashes))
+        self.before = np.where(first, 0, np.concatenate(([0], self.ids[:-1]))).astype(np.int32)
         # n-grams by order: hash of each distinct one, and which one ends at each token
-        self.grams = [(hashes, self.ids)]
-        before = np.where(first, 0, np.concatenate(([0], self.ids[:-1])))
-        pairs, pair = np.unique(before * len(hashes) + self.ids, return_inverse=True)
+        pairs, pair = np.unique(self.before * words + self.ids, return_inverse=True)
+        pair = pair.astype(np.int32)
         with np.errstate(over="ignore"):
-            h1, h2 = hashes[pairs // len(hashes)], hashes[pairs % len(hashes)]
-            pair_hash = mixed(h1 * np.uint64(0x9E3779B97F4A7C15) + h2)
-            self.grams.append((pair_hash, pair))
-            self.before = before
-            # a text's first token has no two-word context
-            self.has_two = ~first
-            self.before_pair = np.where(first, 0, np.concatenate(([0], pair[:-1])))
-            triples, triple = np.unique((self.before_pair * len(hashes) + self.ids)[self.has_two], return_inverse=True)
-            self.grams.append((mixed(mixed(pair_hash[triples // len(hashes)] * np.uint64(0xD6E8FEB86659FD93)) + hashes[triples % len(hashes)]), triple))
+            pair_hash = mixed(hashes[pairs // words] * np.uint64(0x9E3779B97F4A7C15) + hashes[pairs % words])
+            del pairs
+            self.before_pair = np.where(first, 0, np.concatenate(([0], pair[:-1]))).astype(np.int32)
+            triples, triple = np.unique((self.before_pair * words + self.ids)[self.has_two], return_inverse=True)
+            triple_hash = mixed(mixed(pair_hash[triples // words] * np.uint64(0xD6E8FEB86659FD93)) + hashes[triples % words])
+        self.grams = [(hashes, self.ids), (pair_hash >> np.uint64(8), pair), (triple_hash >> np.uint64(8), triple.astype(np.int32))]
 
     def order(self, k: int) -> np.ndarray:
         return np.argsort(self.grams[k][0], kind="stable")
@@ -162,7 +163,7 @@ def corpus_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     system, where = common.file_system(folder)
     system.create_dir(where, recursive=True)
     rows = docs.select("doc_id", (common.fold(F.col("doc_id"), FOLDS) != 0).alias("train"), common.text_or_empty(text_col).cast("binary").alias("data"))
-    width = np.uint64((1 << 64) // ranges + 1)
+    widths = [np.uint64((1 << bits) // ranges + 1) for bits in HASH_BITS]
 
     def ask(batches):
         for block in blocks_of(batches):
@@ -172,7 +173,7 @@ def corpus_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             for k in range(ORDER):
                 order = block.order(k)
                 hashes, counts = block.grams[k][0][order], block.train_counts(k)[order]
-                cuts = np.searchsorted(hashes, np.arange(1, ranges, dtype=np.uint64) * width)
+                cuts = np.searchsorted(hashes, np.arange(1, ranges, dtype=np.uint64) * widths[k])
                 for part, (h, c) in enumerate(zip(np.split(hashes, cuts), np.split(counts, cuts))):
                     out["block"].append(uri)
                     out["part"].append(part)
