@@ -351,3 +351,15 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_components(common.documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+ORACLE = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, shingle FROM (SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) AS shingle FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * shared >= 75 * (a.n + b.n - shared)),
+r(doc, root) AS (SELECT doc_id, doc_id FROM w UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.doc),
+c AS (SELECT doc, min(root) AS component_id FROM r GROUP BY 1)
+SELECT doc AS doc_id, coalesce(n, 0) AS n_shingles, component_id, doc = component_id AS kept FROM c LEFT JOIN n ON n.doc_id = doc
+"""

@@ -216,3 +216,15 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("response.type").alias("record_type"),
         F.when(F.col("response.refers_to").isNotNull(), page(F.col("response.refers_to")).cast(number)).alias("refers_to"),
     )
+
+
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, html, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS original FROM p),
+g AS (SELECT *, list_transform(range(0, 4), lambda k: ('0x' || substring(hex, 10 * k + 1, 10))::BIGINT) AS words FROM h)
+SELECT page_id, octet_length(encode(html)) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((words[i // 8 + 1] >> (35 - 5 * (i % 8))) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> original THEN original END AS refers_to
+FROM g
+"""

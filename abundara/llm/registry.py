@@ -37,4 +37,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": op9.ORACLE}
+    return {"op3_warc": op3.ORACLE, "op9_exact_dedup": op9.ORACLE, "op10_near_dedup": op10.ORACLE}
