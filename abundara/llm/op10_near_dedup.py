@@ -46,8 +46,8 @@ M = BANDS * ROWS
 BASE, RATE, Q = 1.001, 20.0, (1 << 16) - 2
 #: Estimates below this can't belong to a pair at 0.75: over 6 standard errors of M registers.
 ESTIMATE_FROM = 0.52
-#: Pairs that one bucket may try in one round, beyond one for each member.
-PAIRS_A_ROUND = 65536
+#: Pairs that the buckets of one pivot may try in one round, beyond one for each member.
+PAIRS_A_ROUND = 1 << 20
 _rng = np.random.default_rng(20240613)
 MULTIPLY = _rng.integers(0, 1 << 63, M, np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _rng.integers(0, 1 << 63, M, np.uint64) * np.uint64(2)
@@ -288,7 +288,7 @@ def links(docs: DataFrame, sketched: DataFrame, id_col: str = "doc_id", text_col
     tried = pivots.select("bucket", F.col("p.node").alias("node"))
     # what a member has in common with its bucket's pivot, and what it shares besides with others
     shared = members.join(pivots.select("bucket", F.col("p.node").alias("a")), "bucket").join(met.select("a", F.col("b").alias("node"), "both"), ["a", "node"], "left")
-    members = common.spill(shared.select("bucket", "node", "n", "core", F.coalesce("both", "core").alias("inner"), (F.col("core") - F.coalesce("both", F.lit(0))).alias("outer")), "members")
+    members = common.spill(shared.select("bucket", "node", F.col("a").alias("pivot"), "n", "core", F.coalesce("both", "core").alias("inner"), (F.col("core") - F.coalesce("both", F.lit(0))).alias("outer")), "members")
     while True:
         more = open_pairs(members, roots, tried)
         if more is None:
@@ -316,15 +316,20 @@ def open_pairs(members: DataFrame, roots: DataFrame, tried: DataFrame):
     open_ = common.spill(left.join(total.select("bucket", "all", F.col("top.root").alias("main")), "bucket"), "open")
     if open_.isEmpty():
         return None
-    outside = open_.filter("root <> main")
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(1 - F.col("core") / F.col("n"), "node"))
-    chosen = outside.withColumn("rank", rank).filter(F.col("rank") <= F.greatest(F.lit(1), F.lit(PAIRS_A_ROUND) / F.col("all")))
-    pivots = chosen.select("bucket", F.col("node").alias("p"), F.col("root").alias("p_root"), *[F.col(c).alias(f"p_{c}") for c in ("n", "core", "inner", "outer")])
+    # buckets of a group of copies have the same pivot and mostly the same members: pairs are made once for each
+    # pivot, which covers all its buckets
+    names = ["pivot", "node", "root", "n", "core", "inner", "outer"]
+    every = open_.select(*names).distinct()
+    sizes = every.groupBy("pivot").agg(F.count(F.lit(1)).alias("all"))
+    rank = F.row_number().over(Window.partitionBy("pivot").orderBy(1 - F.col("core") / F.col("n"), "node"))
+    outside = open_.filter("root <> main").select(*names).distinct().withColumn("rank", rank).join(sizes, "pivot")
+    chosen = outside.filter(F.col("rank") <= F.greatest(F.lit(1), F.lit(PAIRS_A_ROUND) / F.col("all")))
+    chosen = common.spill(chosen.select("pivot", *[F.col(c).alias(f"p_{c}") for c in names[1:]]), "chosen")
     bound = F.least(F.col("core"), F.col("p_core"), could_share(F.col("inner"), F.col("outer"), F.col("p_inner"), F.col("p_outer")))
-    fits = (F.col("m.bucket") == F.col("v.bucket")) & (F.col("root") != F.col("p_root")) & may_link(F.col("n"), bound, F.col("p_n"), bound)
-    met = open_.select("bucket", "node", "root", "n", "core", "inner", "outer").alias("m").join(pivots.alias("v"), fits)
-    pairs = met.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
-    return pairs, pivots.select("bucket", F.col("p").alias("node"))
+    fits = (F.col("m.pivot") == F.col("v.pivot")) & (F.col("root") != F.col("p_root")) & may_link(F.col("n"), bound, F.col("p_n"), bound)
+    met = every.alias("m").join(chosen.alias("v"), fits)
+    pairs = met.select(F.least("p_node", "node").alias("a"), F.greatest("p_node", "node").alias("b")).distinct()
+    return pairs, open_.join(chosen.select("pivot", F.col("p_node").alias("node")), ["pivot", "node"], "left_semi").select("bucket", "node")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
