@@ -68,7 +68,7 @@ def word_hash(word: bytes) -> int:
     if h is None:
         h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         if len(word) <= 64:
-            if len(_word_hashes) > 500_000:
+            if len(_word_hashes) > 200_000:
                 _word_hashes.clear()
             _word_hashes[word] = h
     return h

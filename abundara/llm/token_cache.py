@@ -13,7 +13,7 @@ from array import array
 from collections.abc import Callable
 
 #: Pieces in each of a cache's two generations.
-GENERATION = 400_000
+GENERATION = 200_000
 #: Longer pieces (one "word" of many kilobytes) are encoded but not kept.
 LONGEST_KEPT = 64
 DOUBLE_SPACE = re.compile(r"\s\s")
