@@ -59,10 +59,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_row_each(docs: DataFrame, keys: dict[str, Column], winners: DataFrame) -> DataFrame:
     """Rows of `docs` whose keys are in `winners`; rows that repeat a key collapse to the least of them.
 
+    Null keys equal each other: keys are fields of one struct, which is never null itself.
     Copies collapse in the map-side aggregate, before the shuffle; text moves once.
     """
     names = docs.columns
-    tmp = {k: f"__key_{k}" for k in keys}
-    rows = docs.groupBy(*[c.alias(tmp[k]) for k, c in keys.items()]).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in names])).alias("__row"))
-    kept = winners.select(*[F.col(k).alias(tmp[k]) for k in keys])
-    return rows.join(kept, list(tmp.values()), "left_semi").select("__row.*")
+    rows = docs.groupBy(F.struct(*[c.alias(k) for k, c in keys.items()]).alias("__key")).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in names])).alias("__row"))
+    kept = winners.select(F.struct(*keys).alias("__key"))
+    return rows.join(kept, "__key", "left_semi").select("__row.*")

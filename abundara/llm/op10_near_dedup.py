@@ -332,23 +332,31 @@ def open_pairs(members: DataFrame, roots: DataFrame, tried: DataFrame):
     return pairs, open_.join(chosen.select("pivot", F.col("p_node").alias("node")), ["pivot", "node"], "left_semi").select("bucket", "node")
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Row per document: id, text_hash, n_shingles, component_id."""
+def rooted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Row per document: id, text_hash, n_shingles, root (the node that names its component; null for empty sets)."""
     sketched = common.spill(sketches(docs, id_col, text_col), "sketches")
     roots = links(docs, sketched, id_col, text_col)
     rows = sketched.select("id", "text_hash", "n_shingles", "node")
     if roots is None:
-        named = rows.withColumn("root", F.col("node"))
-    else:
-        named = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        return rows.withColumnRenamed("node", "root")
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Row per document: id, text_hash, n_shingles, component_id."""
+    named = rooted(docs, id_col, text_col)
     least = named.filter("root is not null").groupBy("root").agg(F.min("id").alias("component"))
     return named.join(least, "root", "left").select("id", "text_hash", "n_shingles", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, one of each component, with all their columns. Texts without words all stay."""
-    found = near_components(docs, id_col, text_col)
-    winners = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("id", "text_hash")).alias("w")).select("w.id", "w.text_hash")
+    """The rows of `docs` that stay, one of each component, with all their columns. Texts without words all stay.
+
+    A null id never wins over an id. Components are told apart by their root, as several can have no id, or the same least one.
+    """
+    found = rooted(docs, id_col, text_col)
+    least = F.min(F.struct(F.col("id").isNull(), "id", "text_hash")).alias("w")
+    winners = found.filter("n_shingles > 0").groupBy("root").agg(least).select("w.id", "w.text_hash")
     winners = winners.unionByName(found.filter("n_shingles = 0").select("id", "text_hash").distinct())
     return common.one_row_each(docs, {"id": F.col(id_col), "text_hash": F.xxhash64(common.text_or_empty(text_col))}, winners)
 

@@ -130,6 +130,19 @@ def test_near_dedup_edges(edges, empty, wide):
     assert kept.columns == wide.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 6, 7, 8, 9, 10]
 
 
+def test_near_dedup_keeps_rows_without_ids(spark):
+    base = [[f"{c}{k}" for k in range(30)] for c in "abcde"]
+    near = [" ".join([*b[:-1], "z"]) for b in base]
+    full = [" ".join(b) for b in base]
+    # a group with ids and without; two groups without ids; a lone text without id; one least id in two groups; no words, no id
+    rows = [(None, full[0]), (2, near[0]), (None, full[1]), (None, near[1]), (None, full[2]), (None, full[2]), (None, full[3]), (1, full[4]), (3, near[4]), (1, "q " + full[4].replace("e", "f")), (None, " "), (None, "\t"), (None, None), (5, "")]
+    got = op10_near_dedup.deduplicate(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    texts = {(r.doc_id, r.text) for r in got}
+    assert len(texts) == len(got) == 10
+    lone = {(2, near[0]), (None, full[2]), (None, full[3]), (1, full[4]), (1, "q " + full[4].replace("e", "f")), (None, " "), (None, "\t"), (None, None), (5, "")}
+    assert texts - lone in ({(None, full[1])}, {(None, near[1])}) and lone <= texts
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(3)
     for share in (0.5, 0.75, 0.95):
