@@ -71,6 +71,17 @@ def test_exact_dedup_keeps_one_row(wide):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 6, 7, 8, 9, 10]
 
 
+def test_exact_dedup_keeps_texts_without_ids(spark):
+    rows = [*EDGES, (None, "null  id"), (None, "other"), (None, "a b"), (None, None), (11, "with id"), (None, "with id")]
+    got = op9_exact_dedup.deduplicate(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    ids = collections.defaultdict(list)
+    for i, t in rows:
+        ids[norm(t)] += [i] if i is not None else []
+    want = {t: min(v, default=None) for t, v in ids.items()}
+    assert len(got) == len(want) and {norm(r.text): r.doc_id for r in got} == want
+
+
 # --- near dedup --------------------------------------------------------------------
 
 
