@@ -89,18 +89,19 @@ class Lexicon:
     """Weights of insult stems; a stem that ends in "$" is a whole word."""
 
     def __init__(self, stems: dict[str, float]):
-        self.stems, self.kept = stems, {}
-
-    def weight(self, token: str) -> float:
-        """Greatest weight of the words in a piece between blanks."""
-        w = self.kept.get(token)
-        if w is None:
-            w = max((self.of_word(x) for x in WORD.findall(token)), default=0.0)
+        self.stems = stems
+        self.kept: dict[str, bool] = {}
+
+    def matches(self, token: str) -> bool:
+        """Whether a piece between blanks has an insult or a threat among its words: the grammar counts nothing else."""
+        found = self.kept.get(token)
+        if found is None:
+            found = any(x in THREATS or self.of_word(x) > 0 for x in WORD.findall(token))
             if len(token) <= 40:
                 if len(self.kept) > 500_000:
                     self.kept.clear()
-                self.kept[token] = w
-        return w
+                self.kept[token] = found
+        return found
 
     def of_word(self, word: str) -> float:
         stems = self.stems
@@ -132,8 +133,7 @@ def clause_weight(clause: str, lexicon: Lexicon) -> tuple[float, int]:
 def text_features(text: str, lexicon: Lexicon) -> tuple[float, float, float]:
     """Greatest clause weight, logarithm of all weights, matched clauses per clause."""
     low = text.lower()
-    tokens = set(low.split())
-    if not any(map(lexicon.weight, tokens)) and tokens.isdisjoint(THREATS):
+    if not any(map(lexicon.matches, set(low.split()))):
         return 0.0, 0.0, 0.0
     best = total = 0.0
     clauses = matched = 0

@@ -472,6 +472,20 @@ def test_grammar_weighs_context():
     assert weight("a calm day") == 0 and weight("we shoot pictures") < weight("you will kill them") and negated > 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([" ", "\n", ".", ",", "(", ")", "'", "’", "_", "1", "kill", "Burn", "matar", "you", "idiot", "idiots", "calm", "é"]), max_size=12).map("".join))
+def test_toxicity_skips_no_match(text):
+    lexicon = op5_toxicity.Lexicon({"idiot": 2.0})
+    matches = sum(op5_toxicity.clause_weight(c, lexicon)[1] for c in op5_toxicity.CLAUSE_END.split(text.lower()))
+    assert (op5_toxicity.text_features(text, lexicon)[2] > 0) == (matches > 0)
+
+
+def test_toxicity_scores_threats_beside_punctuation():
+    lexicon = op5_toxicity.Lexicon({"idiot$": 2.0})
+    for text, spaced in (("you will burn.", "you will burn ."), ("(kill)", "( kill )"), ("matar, no", "matar , no")):
+        assert op5_toxicity.text_features(text, lexicon) == op5_toxicity.text_features(spaced, lexicon) > (0.0, 0.0, 0.0)
+
+
 def test_toxicity_learns_stems(spark):
     rng = random.Random(8)
     rows, labels = [], []
