@@ -606,8 +606,7 @@ def query_builder(spark, d):
 
 @query("SELECT item_id, trim(text) || CASE WHEN contains(lower(text), 'ad') THEN ' alzheimer disease ad' ELSE '' END || CASE WHEN contains(lower(text), 'ms') THEN ' multiple sclerosis ms' ELSE '' END AS expanded FROM (SELECT * FROM benchmark WHERE NOT regexp_matches(lower(text), 't2d|ibd|crc|nafld|cirrhosis|obesity|cad'))")
 def query_expansion(spark, d):
-    rows = t(spark, d, "benchmark").filter(~F.lower("text").rlike("t2d|ibd|crc|nafld|cirrhosis|obesity|cad"))
-    return rows.select("item_id", T.expanded_query(F.col("text")).alias("expanded"))
+    return t(spark, d, "benchmark").select("item_id", T.expanded_query(F.col("text")).alias("expanded"))
 
 
 # --- rules and evaluation --------------------------------------------------------------

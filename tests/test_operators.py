@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from abundara.functions import numeric as N
 from abundara.functions import text as T
 from abundara.operators import cohort, deviation, ingest, retrieval, rules, structure, traces, vectors
+from abundara.plans import queries as Q
 from abundara.sources import files, sinks
 from abundara.streaming import queue
 
@@ -235,6 +236,26 @@ def test_rules(spark):
     assert one(spark, rules.fix_layers(none, strings("x"), strings("y"), strings(), strings("prediction_layer_not_used"))) == ["prediction-pipeline", "workflow-orchestration", "prompt-policy", "review-loop", "response-synthesis"]
 
 
+def sf_of(folder, spark, name, rows, schema):
+    """Folder of tables with one table of these rows."""
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_query_expansion_takes_all_rows_and_rules(spark, tmp_path):
+    texts = [None, "", "  ", "x", "A decade of T2D", "academic", "IBD or crc", "NAFLD, Cirrhosis ", "obesity cad", "糖尿病", "研究 ms", *[w for words, _ in T.EXPANSIONS for w in words]]
+
+    def brute(text):
+        low = (text or "").lower()
+        adds = [more for words, more in T.EXPANSIONS if any(w in low for w in words)]
+        adds += [] if any("a" <= c <= "z" for c in low) else [T.NO_LATIN]
+        return ((text or "").strip() + "".join(adds)).strip()
+
+    d = sf_of(tmp_path, spark, "benchmark", list(enumerate(texts)), "item_id long, text string")
+    got = {r.item_id: r.expanded for r in Q.query_expansion(spark, d).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(texts)}
+
+
 def test_staged_fold(spark):
     step = lambda k, o: F.struct(F.lit(k).alias("kind"), F.lit(o).alias("output"))
     row = one(spark, rules.staged_fold(F.array(step("assistant", "a1"), step("quality", "WARN: b"), step("coordinator", "")), F.lit("start")))
