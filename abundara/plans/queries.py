@@ -600,8 +600,7 @@ def evidence_merge(spark, d):
 @query("SELECT conv_id, turn, CASE WHEN lower(trim(role)) = 'user' THEN concat_ws(' ', 'user', split_part(text, ' ', 1)) ELSE concat_ws(' ', role, CASE WHEN split_part(text, ' ', 1) <> role THEN split_part(text, ' ', 1) END) END AS built FROM conversations WHERE trim(split_part(text, ' ', 1)) <> '' AND role <> split_part(text, ' ', 1)")
 def query_builder(spark, d):
     first = F.split("text", " ")[0]
-    rows = t(spark, d, "conversations").filter((F.trim(first) != "") & (F.col("role") != first))
-    return rows.select("conv_id", "turn", T.distinct_words(F.col("role"), first, F.col("role"), F.lit(" ")).alias("built"))
+    return t(spark, d, "conversations").select("conv_id", "turn", T.distinct_words(F.col("role"), first, F.col("role"), F.lit(" ")).alias("built"))
 
 
 @query("SELECT item_id, trim(text) || CASE WHEN contains(lower(text), 'ad') THEN ' alzheimer disease ad' ELSE '' END || CASE WHEN contains(lower(text), 'ms') THEN ' multiple sclerosis ms' ELSE '' END AS expanded FROM (SELECT * FROM benchmark WHERE NOT regexp_matches(lower(text), 't2d|ibd|crc|nafld|cirrhosis|obesity|cad'))")
@@ -812,11 +811,8 @@ def trace_completeness(spark, d):
 
 @query("SELECT doc_id, CASE WHEN contains(upper(coalesce(text, '')), 'WARN') THEN 'OPTIMIZE' WHEN contains(upper(coalesce(text, '')), 'FAIL') THEN 'FAIL' ELSE 'PASS' END AS gate FROM documents WHERE NOT (contains(upper(coalesce(text, '')), 'FAIL') AND contains(upper(coalesce(text, '')), 'WARN')) AND NOT contains(upper(coalesce(text, '')), 'OPTIMIZE')")
 def staged_gate(spark, d):
-    text = F.upper(F.coalesce("text", F.lit("")))
-    has = lambda w: F.contains(text, F.lit(w))
-    rows = t(spark, d, "documents").filter(~(has("FAIL") & has("WARN")) & ~has("OPTIMIZE"))
     steps = F.array(F.struct(F.lit("assistant").alias("kind"), F.col("text").alias("output")), F.struct(F.lit("quality").alias("kind"), F.lit("").alias("output")))
-    return rows.select("doc_id", rules.staged_fold(steps, F.lit("")).getField("gate").alias("gate"))
+    return t(spark, d, "documents").select("doc_id", rules.staged_fold(steps, F.lit("")).getField("gate").alias("gate"))
 
 
 @query("SELECT event_id, 'user ' || CAST(user_id AS VARCHAR) || ' did ' || event_type AS line FROM events")

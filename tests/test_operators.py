@@ -256,6 +256,19 @@ def test_query_expansion_takes_all_rows_and_rules(spark, tmp_path):
     assert got == {i: brute(t) for i, t in enumerate(texts)}
 
 
+def test_staged_gate_takes_all_rows(spark, tmp_path):
+    texts = {"fail, then warn": "FAIL", "WARN": "OPTIMIZE", "optimize": "OPTIMIZE", "Optimize or fail": "FAIL", "warn optimize": "OPTIMIZE", "fine": "PASS", "": "PASS", None: "PASS"}
+    d = sf_of(tmp_path, spark, "documents", list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.gate for r in Q.staged_gate(spark, d).collect()} == dict(enumerate(texts.values()))
+
+
+def test_query_builder_takes_all_rows(spark, tmp_path):
+    rows = [("user", "user asks"), ("user", "hello all"), ("user", None), ("user", ""), ("user", " led by a blank"), ("bot", "bot"), (None, "hello"), (None, None)]
+    built = ["user", "user hello", "user", "user", "user", "bot", "hello", ""]
+    d = sf_of(tmp_path, spark, "conversations", [(i, 0, *r) for i, r in enumerate(rows)], "conv_id long, turn long, role string, text string")
+    assert [r.built for r in Q.query_builder(spark, d).orderBy("conv_id").collect()] == built
+
+
 def test_staged_fold(spark):
     step = lambda k, o: F.struct(F.lit(k).alias("kind"), F.lit(o).alias("output"))
     row = one(spark, rules.staged_fold(F.array(step("assistant", "a1"), step("quality", "WARN: b"), step("coordinator", "")), F.lit("start")))
