@@ -3,7 +3,7 @@
 Pieces and gaps are sorted by size. Sizes are whole numbers up to the sequence length L, so the sorted
 order is fully told by counts per size: at most L rows, whatever the corpus. Each sweep takes the next
 size class of pieces (largest first) and matches it with its successor among the gaps, the smallest
-gap that holds it: all gaps of that size take one piece at once, the pieces of lowest rank first, so
+gap that holds it: each gap of that size takes as many pieces as it holds, the pieces of lowest rank first, so
 two pieces never get the same place. Gaps are updated and the sweep repeats until the class is placed; what
 fits nowhere opens new sequences. This gives the same packing as best-fit decreasing one piece at a time.
 The sweeps work on counts; placing the rows is distributed: each piece finds its rank within its size
@@ -75,10 +75,12 @@ def best_fit_plan(counts: dict[int, int], length: int = LENGTH) -> np.ndarray:
                 first, count = runs[gap].pop()
                 if not runs[gap]:
                     del runs[gap], gaps[at]
-                took = min(count, left)
-                plan.append((size, rank, first, 1, length - gap))
-                put(gap, first + took, count - took)
-                put(gap - size, first, took)
+                each = min(gap // size, left)  # a gap that took a piece is the tightest for the next one while it fits
+                filled = min(count, left // each)
+                took = filled * each
+                plan.append((size, rank, first, each, length - gap))
+                put(gap, first + filled, count - filled)
+                put(gap - each * size, first, filled)
             else:
                 fit = length // size
                 took = min(left, max(1, left // fit) * fit)  # whole sequences of this size, or one that isn't full

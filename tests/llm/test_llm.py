@@ -414,6 +414,30 @@ def test_packing_is_best_fit(spark, seed):
     assert check_packing(got, 64) == best_fit_one_by_one(lengths, 64)
 
 
+def test_packing_fills_a_gap_before_the_next(spark):
+    lengths = [1030] * 2 + [500] * 2 + [260] * 3
+    got = op8_packing.pack(spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length long"), 2048).collect()
+    assert sorted((r.doc_id, r.length) for r in got) == list(enumerate(lengths))
+    assert check_packing(got, 2048) == best_fit_one_by_one(lengths, 2048) == 2
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 9), max_size=12))
+def test_packing_plan_is_best_fit(counts):
+    plan, rows = op8_packing.best_fit_plan(counts, 64), []
+    for size, n in counts.items():
+        mine = plan[plan[:, 0] == size]
+        for rank in range(n):
+            _, at, first, each, offset = mine[np.searchsorted(mine[:, 1], rank, "right") - 1]
+            rows.append((first + (rank - at) // each, offset + (rank - at) % each * size, size))
+    places = collections.defaultdict(list)
+    for sequence, offset, size in rows:
+        places[sequence].append((offset, size))
+    for x in places.values():
+        assert [o for o, _ in sorted(x)] == [sum(n for _, n in sorted(x)[:k]) for k in range(len(x))] and sum(n for _, n in x) <= 64
+    assert len(places) == best_fit_one_by_one([s for s, n in counts.items() for _ in range(n)], 64)
+
+
 def test_packing_edges(spark, edges, empty, library):
     got = op8_packing.pack_documents(edges, WORD).collect()
     check_packing(got, 2048)
