@@ -72,9 +72,8 @@ def patient_page_totals(spark, d):
 @query(WITH + """SELECT p.patient_id, p.patient_name, coalesce(n, 0) AS n_features, coalesce(total, 0) AS total FROM v_patients p
 LEFT JOIN (SELECT patient_id, count(*) AS n, sum(value) AS total FROM v_abundance GROUP BY 1) a USING (patient_id)""")
 def patient_nested_detail(spark, d):
-    rows = cohort.nested_detail(P(spark, d), A(spark, d))
-    total = F.aggregate("features", F.lit(0.0), lambda s, x: s + x["value"])
-    return rows.select("patient_id", "patient_name", F.size("features").cast("long").alias("n_features"), total.alias("total"))
+    n = A(spark, d).groupBy("patient_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("sum"))
+    return P(spark, d).join(n, "patient_id", "left").select("patient_id", "patient_name", F.coalesce("n", F.lit(0)).alias("n_features"), F.coalesce("sum", F.lit(0.0)).alias("total"))
 
 
 @query(WITH + "SELECT patient_id, count(DISTINCT sample_id) AS sample_count, count(taxon) AS value_count FROM v_patients LEFT JOIN v_abundance USING (patient_id) GROUP BY 1")
@@ -179,7 +178,7 @@ def sample_detail(spark, d):
 
 @query(WITH + "SELECT patient_id, sample_id, 'standard_abundance' AS source, taxon AS name, value, 'count' AS meta FROM v_abundance")
 def prediction_payload(spark, d):
-    return cohort.payload(A(spark, d)).select("patient_id", "sample_id", "source", F.explode("features").alias("f")).select("patient_id", "sample_id", "source", "f.*")
+    return A(spark, d).select("patient_id", "sample_id", F.lit("standard_abundance").alias("source"), F.col("taxon").alias("name"), "value", F.lit("count").alias("meta"))
 
 
 # --- healthy cohort --------------------------------------------------------------------
@@ -780,8 +779,9 @@ def x_rollup(spark, d):
 
 @query(WITH + "SELECT patient_id, sample_id, min(sample_date) AS first_date, count(*) AS n, arg_min(value, (pos, taxon, value)) AS first_value FROM v_abundance GROUP BY 1, 2".replace("min(sample_date) AS first_date", "arg_min(sample_date, pos) AS first_date"))
 def sample_rows_in_order(spark, d):
-    rows = cohort.grouped_rows(A(spark, d))
-    return rows.select("patient_id", "sample_id", "first_date", F.size("rows").cast("long").alias("n"), F.get("rows", F.lit(0))["value"].alias("first_value"))
+    first_date = F.min_by("sample_date", F.when(F.col("sample_date").isNotNull(), F.col("pos")))
+    first_value = F.min_by("value", F.struct("pos", "taxon", "value"))
+    return A(spark, d).groupBy("patient_id", "sample_id").agg(first_date.alias("first_date"), F.count(F.lit(1)).alias("n"), first_value.alias("first_value"))
 
 
 @query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'male' WHEN 1 THEN 'female' WHEN 2 THEN '-' ELSE c_name END AS label FROM customer")
@@ -804,9 +804,8 @@ def tool_policy(spark, d):
 
 @query("SELECT conv_id, CAST(count(*) AS INTEGER) AS n_steps, CAST(7 - (count(DISTINCT role) FILTER (role IN ('workflow', 'intent_resolved'))) AS INTEGER) AS n_missing FROM conversations GROUP BY 1")
 def trace_completeness(spark, d):
-    steps = t(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list("role").alias("steps"))
-    issues = rules.trace_issues(F.col("steps"), {}, F.lit("DASHBOARD_QA"), F.lit(True), F.lit(True))
-    return steps.select("conv_id", F.size("steps").alias("n_steps"), F.size(F.filter(issues, lambda i: F.startswith(i, F.lit("missing_step:")))).alias("n_missing"))
+    there = F.count_distinct(F.when(F.col("role").isin(*rules.CORE_STEPS), F.col("role")))
+    return t(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).cast("int").alias("n_steps"), (len(rules.CORE_STEPS) - there).cast("int").alias("n_missing"))
 
 
 @query("SELECT doc_id, CASE WHEN contains(upper(coalesce(text, '')), 'WARN') THEN 'OPTIMIZE' WHEN contains(upper(coalesce(text, '')), 'FAIL') THEN 'FAIL' ELSE 'PASS' END AS gate FROM documents WHERE NOT (contains(upper(coalesce(text, '')), 'FAIL') AND contains(upper(coalesce(text, '')), 'WARN')) AND NOT contains(upper(coalesce(text, '')), 'OPTIMIZE')")

@@ -269,6 +269,11 @@ def test_query_builder_takes_all_rows(spark, tmp_path):
     assert [r.built for r in Q.query_builder(spark, d).orderBy("conv_id").collect()] == built
 
 
+@pytest.mark.parametrize("name", ["patient_nested_detail", "prediction_payload", "sample_rows_in_order", "trace_completeness"])
+def test_no_array_of_a_whole_group(spark, sf_dir, name):
+    assert "collect_list" not in Q.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_staged_fold(spark):
     step = lambda k, o: F.struct(F.lit(k).alias("kind"), F.lit(o).alias("output"))
     row = one(spark, rules.staged_fold(F.array(step("assistant", "a1"), step("quality", "WARN: b"), step("coordinator", "")), F.lit("start")))
