@@ -13,9 +13,16 @@ needs no keys. Each block then has the corpus counts of its n-grams in memory, a
 blocks and answers follow: sums for the weights, then scores. A frequent n-gram is one row per block,
 whatever its number of occurrences.
 
-Words are told apart by 64-bit hashes, longer n-grams by 56 bits. Weight sums are kept by cell (context buckets and octaves of the
+Words are told apart by 64-bit hashes, longer n-grams by 56 bits. Counts are whole numbers of up to 53 bits, each list written
+in the fewest bytes that hold its greatest. Weight sums are kept by cell (context buckets and octaves of the
 estimates), a table of bounded size.
 
+A block's name is made of its partition, its place there and a digest of its documents, and a block that is there already
+isn't written again: a task that is repeated after a lost executor gives the same names and bytes, so answers for either
+attempt stand for both. This needs input whose partitions read alike when repeated, as a written table does.
+The number of hash ranges follows the bytes of the input (RANGE_BYTES), so a range's group doesn't grow with the corpus; a
+block asks at most one row per range and order, so larger corpora want larger blocks (`block_bytes`), as memory allows.
+
 Edge cases: null and empty texts have the end token alone. Words of any length count as they are. Repeated
 rows are scored alike. An empty table, or one without training documents, gives uniform scores. Other
 columns are ignored.
@@ -30,6 +37,8 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +47,8 @@ from . import common
 FOLDS, ORDER = 10, 3
 #: Bytes of text in a block.
 BLOCK_BYTES = 8 << 20
-#: Hash ranges for each shuffle partition.
-RANGES = 4
+#: Hash ranges for each shuffle partition, and bytes of input files for a range where that gives more ranges.
+RANGES, RANGE_BYTES = 4, 64 << 20
 HASH_BITS = (64, 56, 56)
 CONTEXT_CAPS = (12, 8)  # greatest bucket of one-word and two-word contexts
 OCTAVES = 24
@@ -55,16 +64,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def squeezed(a: np.ndarray) -> bytes:
-    """An array as compressed bytes, the bytes of one weight together."""
+    """Whole numbers from 0 as compressed bytes: the fewest that hold the greatest, the bytes of one weight together."""
+    a = a.astype(np.min_scalar_type(int(a.max()))) if len(a) else a
     raw = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
-    return len(a).to_bytes(8, "little") + (_codec().compress(raw, asbytes=True) if raw else b"")
+    return len(a).to_bytes(8, "little") + bytes([a.itemsize]) + (_codec().compress(raw, asbytes=True) if raw else b"")
 
 
-def unsqueezed(data: bytes, kind: type) -> np.ndarray:
-    n, size = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+def unsqueezed(data: bytes) -> np.ndarray:
+    n, size = int.from_bytes(data[:8], "little"), data[8]
+    kind = np.dtype(f"u{size}")
     if not n:
         return np.zeros(0, kind)
-    raw = _codec().decompress(data[8:], n * size, asbytes=True)
+    raw = _codec().decompress(data[9:], n * size, asbytes=True)
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).reshape(-1).view(kind)
 
 
@@ -98,26 +109,41 @@ class Block:
 
     def train_counts(self, k: int) -> np.ndarray:
         train = self.train if k < 2 else self.train[self.has_two]
-        return np.bincount(self.grams[k][1], train, len(self.grams[k][0])).astype(np.uint32)
+        return np.bincount(self.grams[k][1], train, len(self.grams[k][0])).astype(np.uint64)
 
-    def save(self, uri: str) -> None:
-        files, path = common.file_system(uri)
+    def save(self, folder: str, place: str) -> str:
+        """Writes the block unless it is there; its name."""
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, self.docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
             w.write_table(self.docs)
-        row = pa.table({"docs": [sink.getvalue().to_pybytes()], "hashes": [self.hashes.tobytes()], "ids": [squeezed(self.ids.astype(np.uint32))]}, pa.schema([(c, pa.large_binary()) for c in ("docs", "hashes", "ids")]))
-        with files.open_output_stream(path) as f, pa.ipc.new_file(f, row.schema) as w:
-            w.write_table(row)
+        parts = [sink.getvalue().to_pybytes(), self.hashes.tobytes(), squeezed(self.ids)]
+        digest = hashlib.blake2b(digest_size=16)
+        for x in parts:
+            digest.update(x)
+        name = f"{place}-{digest.hexdigest()}"
+        files, path = common.file_system(f"{folder}/{name}.arrow")
+        if files.get_file_info(path).type == fs.FileType.NotFound:
+            draft = f"{path}.{uuid.uuid4().hex}"
+            row = pa.table(dict(zip(("docs", "hashes", "ids"), ([x] for x in parts))), pa.schema([(c, pa.large_binary()) for c in ("docs", "hashes", "ids")]))
+            with files.open_output_stream(draft) as f, pa.ipc.new_file(f, row.schema) as w:
+                w.write_table(row)
+            # a name appears with its whole content, and whoever comes second has the same bytes
+            try:
+                files.move(draft, path)
+            except OSError:
+                if files.get_file_info(path).type == fs.FileType.NotFound:
+                    raise
+        return name
 
     @staticmethod
     def load(uri: str) -> Block:
         files, path = common.file_system(uri)
         with files.open_input_file(path) as f:
             docs, hashes, ids = (c[0].as_py() for c in pa.ipc.open_file(f).read_all().columns)
-        return Block(pa.ipc.open_stream(docs).read_all(), np.frombuffer(hashes, np.uint64), unsqueezed(ids, np.uint32))
+        return Block(pa.ipc.open_stream(docs).read_all(), np.frombuffer(hashes, np.uint64), unsqueezed(ids))
 
 
-def blocks_of(batches):
+def blocks_of(batches, block_bytes: int = BLOCK_BYTES):
     """Blocks from batches of (doc_id, train, text in UTF-8)."""
 
     def fresh():
@@ -147,7 +173,7 @@ def blocks_of(batches):
             doc_ids.append(batch.column(0).slice(i, 1))
             train.append(batch.column(1).slice(i, 1))
             lengths.append(len(one))
-            if size >= BLOCK_BYTES:
+            if size >= block_bytes:
                 yield made()
                 numbers, ids, doc_ids, train, lengths = fresh()
                 size = 0
@@ -155,60 +181,66 @@ def blocks_of(batches):
         yield made()
 
 
-def corpus_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Answers: a row (block, part, kind, counts) per block, hash range and order; rows without block sum up a range's words."""
-    spark = docs.sparkSession
-    ranges = RANGES * common.shuffle_partitions(spark)
-    folder = common.new_folder(spark, "lm-blocks")
-    system, where = common.file_system(folder)
-    system.create_dir(where, recursive=True)
-    rows = docs.select("doc_id", (common.fold(F.col("doc_id"), FOLDS) != 0).alias("train"), common.text_or_empty(text_col).cast("binary").alias("data"))
-    widths = [np.uint64((1 << bits) // ranges + 1) for bits in HASH_BITS]
+def make_folder(folder: str) -> None:
+    files, path = common.file_system(folder)
+    files.create_dir(path, recursive=True)
 
-    def ask(batches):
-        for block in blocks_of(batches):
-            uri = f"{folder}/block-{uuid.uuid4().hex}.arrow"
-            block.save(uri)
-            out = {k: [] for k in ("block", "part", "kind", "hashes", "counts")}
-            for k in range(ORDER):
-                order = block.order(k)
-                hashes, counts = block.grams[k][0][order], block.train_counts(k)[order]
-                cuts = np.searchsorted(hashes, np.arange(1, ranges, dtype=np.uint64) * widths[k])
-                for part, (h, c) in enumerate(zip(np.split(hashes, cuts), np.split(counts, cuts))):
-                    out["block"].append(uri)
+
+def asked(batches, folder: str, partition: int, ranges: int, block_bytes: int):
+    """Writes the blocks of a partition; batches of (block, part, kind, hashes, counts), a row per block, hash range and order."""
+    widths = [np.uint64((1 << bits) // ranges + 1) for bits in HASH_BITS]
+    for nth, block in enumerate(blocks_of(batches, block_bytes)):
+        name = block.save(folder, f"{partition}-{nth}")
+        out = {k: [] for k in ("block", "part", "kind", "hashes", "counts")}
+        for k in range(ORDER):
+            order = block.order(k)
+            hashes, counts = block.grams[k][0][order], block.train_counts(k)[order]
+            cuts = np.searchsorted(hashes, np.arange(1, ranges, dtype=np.uint64) * widths[k])
+            for part, (h, c) in enumerate(zip(np.split(hashes, cuts), np.split(counts, cuts))):
+                if len(h):
+                    out["block"].append(name)
                     out["part"].append(part)
                     out["kind"].append(k)
                     out["hashes"].append(squeezed(np.diff(h, prepend=np.uint64(0))))
                     out["counts"].append(squeezed(c))
-            yield pa.RecordBatch.from_arrays([pa.array(out["block"]), pa.array(out["part"], pa.int32()), pa.array(out["kind"], pa.int32()), pa.array(out["hashes"], pa.binary()), pa.array(out["counts"], pa.binary())], names=list(out))
+        yield pa.RecordBatch.from_arrays([pa.array(out["block"]), pa.array(out["part"], pa.int32()), pa.array(out["kind"], pa.int32()), pa.array(out["hashes"], pa.binary()), pa.array(out["counts"], pa.binary())], names=list(out))
 
-    def answer(table: pa.Table) -> pa.Table:
-        out = []
-        for k in range(ORDER):
-            mine = table.filter(pa.compute.equal(table.column("kind"), k)).to_pylist()
-            if not mine:
-                continue
-            hashes = [np.cumsum(unsqueezed(r["hashes"], np.uint64), dtype=np.uint64) for r in mine]
-            counts = np.concatenate([unsqueezed(r["counts"], np.uint32) for r in mine])
-            _, which = np.unique(np.concatenate(hashes), return_inverse=True)
-            total = np.bincount(which, counts) if len(which) else np.zeros(0)
-            for r, found in zip(mine, np.split(total[which].astype(np.uint32), np.cumsum([len(h) for h in hashes])[:-1])):
-                out.append((r["block"], r["part"], k, squeezed(found), 0, 0))
-            if k == 0:
-                out.append((None, mine[0]["part"], 0, None, int((total > 0).sum()), int(total.sum())))
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*out), (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()))], names=["block", "part", "kind", "counts", "words", "tokens"])
-
-    asked = rows.mapInArrow(ask, "block string, part int, kind int, hashes binary, counts binary")
-    return common.spill(asked.groupBy("part").applyInArrow(answer, "block string, part int, kind int, counts binary, words long, tokens long"), "lm-counts")
-
-
-def answered(table: pa.Table) -> tuple[Block, list[np.ndarray]]:
+
+def answers(table: pa.Table) -> pa.Table:
+    """Adds up one range's counts: (block, part, kind, counts, words, tokens); the row without block has the range's words."""
+    out = []
+    for k in range(ORDER):
+        mine = table.filter(pa.compute.equal(table.column("kind"), k)).to_pylist()
+        if not mine:
+            continue
+        hashes = [np.cumsum(unsqueezed(r["hashes"]), dtype=np.uint64) for r in mine]
+        counts = np.concatenate([unsqueezed(r["counts"]) for r in mine])
+        _, which = np.unique(np.concatenate(hashes), return_inverse=True)
+        total = np.bincount(which, counts)  # exact up to 2^53
+        for r, found in zip(mine, np.split(total[which].astype(np.uint64), np.cumsum([len(h) for h in hashes])[:-1])):
+            out.append((r["block"], r["part"], k, squeezed(found), 0, 0))
+        if k == 0:
+            out.append((None, mine[0]["part"], 0, None, int((total > 0).sum()), int(total.sum())))
+    return pa.table([pa.array(x, t) for x, t in zip(zip(*out), (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()))], names=["block", "part", "kind", "counts", "words", "tokens"])
+
+
+def corpus_counts(docs: DataFrame, text_col: str = "text", block_bytes: int | None = None) -> tuple[DataFrame, str]:
+    """Answers for every block and hash range, and the folder of the blocks."""
+    ranges = max(RANGES * common.shuffle_partitions(docs.sparkSession), (common.input_bytes(docs) or 0) // RANGE_BYTES)
+    folder, size = common.new_folder(docs.sparkSession, "lm-blocks"), block_bytes or BLOCK_BYTES
+    make_folder(folder)
+    rows = docs.select("doc_id", (common.fold(F.col("doc_id"), FOLDS) != 0).alias("train"), common.text_or_empty(text_col).cast("binary").alias("data"))
+    asks = rows.mapInArrow(lambda batches: asked(batches, folder, TaskContext.get().partitionId(), ranges, size), "block string, part int, kind int, hashes binary, counts binary")
+    return common.spill(asks.groupBy("part").applyInArrow(answers, "block string, part int, kind int, counts binary, words long, tokens long"), "lm-counts"), folder
+
+
+def answered(table: pa.Table, folder: str) -> tuple[Block, list[np.ndarray]]:
     """A block, and the corpus count of each of its distinct n-grams by order."""
-    block = Block.load(table.column("block")[0].as_py())
+    block = Block.load(f"{folder}/{table.column('block')[0].as_py()}.arrow")
     counts = []
     for k in range(ORDER):
         mine = table.filter(pa.compute.equal(table.column("kind"), k)).sort_by("part")
-        found = np.concatenate([unsqueezed(x.as_py(), np.uint32) for x in mine.column("counts")])
+        found = np.concatenate([unsqueezed(x.as_py()) for x in mine.column("counts")]) if len(mine) else np.zeros(0)
         by_gram = np.empty(len(found), np.int64)
         by_gram[block.order(k)] = found
         counts.append(by_gram)
@@ -259,9 +291,9 @@ def mixture_weights(cells: list[tuple], rounds: int = EM_ROUNDS) -> np.ndarray:
     return weights / weights.sum(1, keepdims=True)
 
 
-def learned(counts: DataFrame, words: int, tokens: int) -> np.ndarray:
+def learned(counts: DataFrame, folder: str, words: int, tokens: int) -> np.ndarray:
     def cells(table: pa.Table) -> pa.Table:
-        block, found = answered(table)
+        block, found = answered(table, folder)
         bucket, p = estimates(block, found, words, tokens, True)
         bucket, p = bucket[block.train], p[:, block.train] * (words + 1)
         octave = np.clip(np.ceil(np.log2(np.maximum(p[1:], 2.0**-OCTAVES))).astype(int) + 1, 0, OCTAVES)
@@ -276,15 +308,15 @@ def learned(counts: DataFrame, words: int, tokens: int) -> np.ndarray:
     return mixture_weights([(r.bucket, r.n, *(r[f"p{k}"] / r.n for k in range(4))) for r in sorted(found, key=lambda r: r.cell)])
 
 
-def scores(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def scores(docs: DataFrame, text_col: str = "text", block_bytes: int | None = None) -> DataFrame:
     """Row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    counts = corpus_counts(docs, text_col)
+    counts, folder = corpus_counts(docs, text_col, block_bytes)
     words, tokens = counts.filter("block is null").agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
-    weights = learned(counts, words, tokens)
+    weights = learned(counts, folder, words, tokens)
 
     def score(table: pa.Table) -> pa.Table:
-        block, found = answered(table)
+        block, found = answered(table, folder)
         bucket, p = estimates(block, found, words, tokens, False)
         mix = np.zeros(len(bucket))
         for k in range(4):
