@@ -6,11 +6,13 @@ records, and `assemble` joins the records of a capture through their concurrent-
 nested row.
 
 Of pages with equal payloads the one with the greatest page_id is the response and the others revisit it. Groups are found
-on digests alone (pre-aggregated, so one payload on a third of all pages is one row per map task);
-payloads move once, by page.
+on SHA-256 digests (pre-aggregated, so one payload on a third of all pages is one row per map task and salt);
+payloads move once, by digest and salt, so no task has all pages of a group. The SHA-1 of the archive's
+headers decides nothing.
 
 Edge cases: null html is an empty payload. Payloads below `least_bytes` are always responses. Rows that repeat
-page_id and payload are captures of their own; the first of the greatest page_id is the response. Line breaks,
+page_id and payload are captures of their own; the first of the greatest page_id is the response. A null page_id is below
+all others: such a page revisits one with an id; a payload that only such pages have is a response in each of them. Line breaks,
 blanks and controls in a URL are percent-encoded; a null URL is "about:blank". An empty table writes
 no archive and gives an empty result. Other columns are ignored.
 """
@@ -124,14 +126,13 @@ def described(data: bytes, with_payload: bool) -> dict:
 
 
 def with_originals(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, sha, original (the page that it repeats, null for responses or for the group's greatest page itself)."""
+    """page_id, url, payload, sha, original (the greatest page of those with this payload; null if there is one page alone, or none with an id)."""
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("sha", F.sha1("payload"))
-    narrow = rows.filter(F.length("payload") >= least_bytes).select("page_id", "sha")
-    groups = narrow.groupBy("sha").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    repeats = narrow.join(groups, "sha").distinct()
-    dealt = rows.repartition(common.shuffle_partitions(pages.sparkSession), "page_id", "sha")
-    return dealt.join(repeats, ["page_id", "sha"], "left")
+    rows = rows.withColumns({"sha": F.sha2("payload", 256), "salt": common.salt_of(F.col("page_id"))})
+    groups = rows.filter(F.length("payload") >= least_bytes).groupBy("sha").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n"), common.salt_bits("salt").alias("salts")).filter("n > 1")
+    # dealt by hand, so that adaptive execution doesn't part rows that repeat a page
+    dealt = rows.repartition(common.shuffle_partitions(pages.sparkSession), "sha", "salt")
+    return dealt.join(common.by_salt(groups.drop("n"), "salts", "salt"), ["sha", "salt"], "left").drop("salt")
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> list[str]:
@@ -152,7 +153,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> list[
                     sink.write(record("warcinfo", f"urn:uuid:{uuid.uuid4()}", b"format: WARC File Format 1.1\r\n", "application/warc-fields"))
                 nth = nth + 1 if (page_id, sha) == last else 0
                 last = page_id, sha
-                refers_to = None if original is None or original == page_id and nth == 0 else f"urn:capture:{original}:{sha}:0"
+                refers_to = None if original is None or (original == page_id and nth == 0) else f"urn:capture:{original}:{sha}:0"
                 for x in capture(f"urn:capture:{page_id}:{sha}:{nth}", page_id, url, payload, refers_to):
                     sink.write(x)
                 n += 1
