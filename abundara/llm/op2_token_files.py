@@ -2,7 +2,7 @@
 
 Documents are range-partitioned and sorted by id; each task encodes its range, appends an end id to each
 document, and writes the stream of ids as rows of `sequence_length` ids with a mask of the same length
-(false in the padding of a shard's last row). Every record batch but the last holds ROWS_PER_BATCH
+(a byte for each id, 0 in the padding of a shard's last row). Every record batch but the last holds ROWS_PER_BATCH
 rows, so row i is row i % ROWS_PER_BATCH of batch i // ROWS_PER_BATCH: with a memory map, any sequence or
 mask is a view of the file. Ids take 16 bits if the vocabulary allows it. A second small Arrow file
 beside each shard has the place of each document. Tasks write under a new name and tell it in their
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from . import common, token_cache
 
 SEQUENCE_LENGTH, ROWS_PER_BATCH, END_ID = 2048, 64, 2
+#: Bytes of input files for a shard, where that gives more shards than shuffle partitions.
+SHARD_BYTES = 256 << 20
 
 
 def id_type(vocabulary: int) -> pa.DataType:
@@ -38,7 +40,7 @@ class ShardWriter:
 
     def __init__(self, sink, kind: pa.DataType, length: int):
         self.kind, self.length, self.held, self.size = kind, length, [], 0
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
         self.writer = pa.ipc.new_file(sink, self.schema)
 
     def add(self, ids: np.ndarray) -> None:
@@ -61,7 +63,7 @@ class ShardWriter:
         self.held, self.size = [rest], len(rest)
 
     def put(self, ids: np.ndarray, n: int) -> None:
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, np.arange(len(ids)) < n)]
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, (np.arange(len(ids)) < n).astype(np.uint8))]
         self.writer.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
     def close(self) -> None:
@@ -82,15 +84,15 @@ class TokenFile:
         with system.open_input_file(path + ".docs") as f:
             self.docs = pa.ipc.open_file(f).read_all()
 
-    def batch(self, k: int) -> tuple[np.ndarray, pa.Array]:
+    def batch(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         b = self.reader.get_batch(k)
-        return b.column(0).values.to_numpy(zero_copy_only=True), b.column(1).values
+        return b.column(0).values.to_numpy(zero_copy_only=True), b.column(1).values.to_numpy(zero_copy_only=True)
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and mask of row i."""
         ids, mask = self.batch(i // ROWS_PER_BATCH)
         at = i % ROWS_PER_BATCH * self.length
-        return ids[at : at + self.length], mask.slice(at, self.length).to_numpy(zero_copy_only=False)
+        return ids[at : at + self.length], mask[at : at + self.length]
 
     def stream(self, start: int, n: int) -> np.ndarray:
         """n ids from place `start` of the shard."""
@@ -112,7 +114,8 @@ def write_token_files(docs: DataFrame, folder: str, path: str, vocabulary: int,
     system, where = common.file_system(folder)
     system.create_dir(where, recursive=True)
     rows = docs.select("doc_id", common.text_or_empty().alias("text")).withColumn("tie", F.xxhash64("text"))
-    rows = rows.repartitionByRange(partitions or common.shuffle_partitions(session), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
+    partitions = partitions or max(common.shuffle_partitions(session), (common.input_bytes(docs) or 0) // SHARD_BYTES)
+    rows = rows.repartitionByRange(partitions, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
 
     def write(batches):
         encoder, writer, ids_of, starts, counts, at = token_cache.library_encoder(path), None, [], [], [], 0
