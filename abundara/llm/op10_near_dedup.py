@@ -148,8 +148,7 @@ def buckets(nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), batch.column(0).take(pa.array(rows))], names=["bucket", "node"])
 
     rows = nodes.select("node", "sketch").mapInArrow(run, "bucket long, node binary")
-    many = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("bucket")
-    return rows.join(many, "bucket", "left_semi")
+    return common.with_group(rows, ["bucket"], {"members": F.count(F.lit(1))}, ["node"], "members > 1").drop("members")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -257,10 +256,9 @@ def may_link(n_a: Column, core_a: Column, n_b: Column, core_b: Column) -> Column
 
 def narrowed(members: DataFrame) -> DataFrame:
     """Members that could link with one of their bucket's sizes, in buckets that keep two at least."""
-    sizes = members.groupBy("bucket").agg(F.min("n").alias("least"))
-    able = members.join(sizes, "bucket").filter(may_link(F.col("n"), F.col("core"), F.greatest("least", "core"), F.col("core"))).drop("least")
-    many = able.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("bucket")
-    return able.join(many, "bucket", "left_semi")
+    sized = common.with_group(members, ["bucket"], {"least": F.min("n")}, ["node"])
+    able = sized.filter(may_link(F.col("n"), F.col("core"), F.greatest("least", "core"), F.col("core"))).drop("least")
+    return common.with_group(able, ["bucket"], {"m": F.count(F.lit(1))}, ["node"], "m > 1").drop("m")
 
 
 def links(docs: DataFrame, sketched: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
@@ -332,21 +330,26 @@ def open_pairs(members: DataFrame, roots: DataFrame, tried: DataFrame):
     return pairs, open_.join(chosen.select("pivot", F.col("p_node").alias("node")), ["pivot", "node"], "left_semi").select("bucket", "node")
 
 
-def rooted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Row per document: id, text_hash, n_shingles, root (the node that names its component; null for empty sets)."""
-    sketched = common.spill(sketches(docs, id_col, text_col), "sketches")
+def rooted(docs: DataFrame, sketched: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Row per node: node, root (the node that names its component), first (the least (no id, id, text_hash) of its rows), salts."""
+    rows = sketched.filter("node is not null").select("id", "text_hash", "node", common.salt_of(F.col("id"), F.col("text_hash")).alias("salt"))
+    nodes = rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("first"), common.salt_bits("salt").alias("salts"))
     roots = links(docs, sketched, id_col, text_col)
-    rows = sketched.select("id", "text_hash", "n_shingles", "node")
     if roots is None:
-        return rows.withColumnRenamed("node", "root")
-    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
+        return nodes.withColumn("root", F.col("node"))
+    return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Row per document: id, text_hash, n_shingles, component_id."""
-    named = rooted(docs, id_col, text_col)
-    least = named.filter("root is not null").groupBy("root").agg(F.min("id").alias("component"))
-    return named.join(least, "root", "left").select("id", "text_hash", "n_shingles", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
+    """Row per document: id, text_hash, n_shingles, component_id. Copies with equal sets meet their component once for the node, then by salt."""
+    sketched = common.spill(sketches(docs, id_col, text_col), "sketches")
+    named = common.with_group(rooted(docs, sketched, id_col, text_col), ["root"], {"component": F.min("first")}, ["node"])
+    named = common.by_salt(named.select("node", "salts", F.col("component.id").alias("component_id")), "salts", "salt")
+    rows = sketched.select("id", "text_hash", "n_shingles", "node")
+    some = rows.filter("node is not null").withColumn("salt", common.salt_of(F.col("id"), F.col("text_hash"))).join(named, ["node", "salt"])
+    none = rows.filter("node is null").withColumn("component_id", F.col("id"))
+    names = ["id", "text_hash", "n_shingles", "component_id"]
+    return some.select(*names).unionByName(none.select(*names))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -354,10 +357,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     A null id never wins over an id. Components are told apart by their root, as several can have no id, or the same least one.
     """
-    found = rooted(docs, id_col, text_col)
-    least = F.min(F.struct(F.col("id").isNull(), "id", "text_hash")).alias("w")
-    winners = found.filter("n_shingles > 0").groupBy("root").agg(least).select("w.id", "w.text_hash")
-    winners = winners.unionByName(found.filter("n_shingles = 0").select("id", "text_hash").distinct())
+    sketched = common.spill(sketches(docs, id_col, text_col), "sketches")
+    winners = rooted(docs, sketched, id_col, text_col).groupBy("root").agg(F.min("first").alias("w")).select("w.id", "w.text_hash")
+    winners = winners.unionByName(sketched.filter("node is null").select("id", "text_hash").distinct())
     return common.one_row_each(docs, {"id": F.col(id_col), "text_hash": F.xxhash64(common.text_or_empty(text_col))}, winners)
 
 

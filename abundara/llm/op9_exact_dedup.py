@@ -4,11 +4,12 @@ Texts are equal when they are identical after each run of ASCII white space beco
 Stage 1 combines equal texts inside each map task (partial aggregate), stage 2 merges them by
 (digest, salt, text), stage 3 combines the salt winners by (digest, text). The text itself is a
 grouping key at every stage, so no decision rests on a digest. A group with a third of all rows
-reaches stage 2 as at most one row per map task and salt, and stage 3 as one row per salt.
+reaches stage 2 as at most one row per map task and salt, and stage 3 as one row per salt. Rows meet their
+group by (digest, salt) too, so no task has all rows of a group.
 
 Edge cases: null text counts as empty, and empty texts equal each other. A null id never wins over an
 id; a group of null ids only has keep_id null and kept true. Repeated rows count each in group_size;
-`deduplicate` returns one of them. An empty table gives an empty result. Columns of the input besides
+`deduplicate` returns one of them, the least in all columns. An empty table gives an empty result. Columns of the input besides
 id and text are ignored by `exact_groups` and carried through by `deduplicate`.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SALTS = 16
+SALTS = common.SALTS
 
 
 def sha256(text: Column) -> Column:
@@ -33,11 +34,11 @@ def normalised(text_col: str = "text") -> Column:
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """One row per distinct normalised text: digest, norm, keep_id, group_size."""
+    """One row per distinct normalised text: digest, norm, keep_id, group_size, and the salts of its rows."""
     rows = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm"))
-    rows = rows.select("id", "norm", digest(F.col("norm")).alias("digest"), F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"))
+    rows = rows.select("id", "norm", digest(F.col("norm")).alias("digest"), common.salt_of(F.col("id"), salts=salts).alias("salt"))
     salted = rows.groupBy("digest", "salt", "norm").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    return salted.groupBy("digest", "norm").agg(F.min("id").alias("keep_id"), F.sum("n").alias("group_size"))
+    return salted.groupBy("digest", "norm").agg(F.min("id").alias("keep_id"), F.sum("n").alias("group_size"), common.salt_bits("salt").alias("salts"))
 
 
 def exact_membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, digest: Callable[[Column], Column] = sha256) -> DataFrame:
@@ -46,18 +47,18 @@ def exact_membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Groups meet the rows again by digest; digests that stand for several texts (none with SHA-256, but
     the result does not rely on it) are joined by the text as well.
     """
-    spark = docs.sparkSession
     found = exact_groups(docs, id_col, text_col, salts, digest)
-    groups = common.spill(found.select("digest", "keep_id", "group_size"), "exact-groups")
+    groups = common.spill(found.select("digest", "keep_id", "group_size", "salts"), "exact-groups")
     clashes = groups.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("digest")
     rows = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm"))
-    rows = rows.select("id", "norm", digest(F.col("norm")).alias("digest"))
+    rows = rows.select("id", "norm", digest(F.col("norm")).alias("digest"), common.salt_of(F.col("id"), salts=salts).alias("salt"))
+    by_salt = lambda g: common.by_salt(g, "salts", "salt")
     if clashes.isEmpty():
-        joined = rows.drop("norm").join(groups, "digest")
+        joined = rows.drop("norm").join(by_salt(groups), ["digest", "salt"])
     else:
         clashes = common.spill(clashes, "exact-clashes")
-        plain = rows.join(clashes, "digest", "left_anti").drop("norm").join(groups, "digest")
-        full = rows.join(clashes, "digest", "left_semi").join(found.join(clashes, "digest", "left_semi"), ["digest", "norm"]).drop("norm")
+        plain = rows.join(clashes, "digest", "left_anti").drop("norm").join(by_salt(groups), ["digest", "salt"])
+        full = rows.join(clashes, "digest", "left_semi").join(by_salt(found.join(clashes, "digest", "left_semi")), ["digest", "norm", "salt"]).drop("norm")
         joined = plain.unionByName(full)
     return joined.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 

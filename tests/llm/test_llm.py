@@ -38,9 +38,9 @@ def docs(spark, sf_dir):
 
 @pytest.fixture(scope="module")
 def wide(spark):
-    """Columns of the documents' table and some whose names clash with the operators' own."""
-    rows = [(i, t, "en", "s", 0 if t is None else len(t), "own", 7, "k") for i, t in EDGES if i is not None]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, node string, digest long, kept string")
+    """Columns of the documents' table, some whose names clash with the operators' own, and a map; null ids and repeated rows too."""
+    rows = [(i, t, "en", "s", 0 if t is None else len(t), "own", 7, "k", {"a": 1, "b": 2}, 5, "w", "r") for i, t in EDGES]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, node string, digest long, kept string, extra map<string,int>, salt int, id string, rank string")
 
 
 def words(text):
@@ -68,7 +68,8 @@ def test_exact_dedup(spark, edges, digest):
 def test_exact_dedup_keeps_one_row(wide):
     kept = op9_exact_dedup.deduplicate(wide)
     assert kept.columns == wide.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 6, 7, 8, 9, 10]
+    got = kept.collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == [1, 3, 4, 6, 7, 8, 9, 10] and len(got) == 9 and all(r.extra == {"a": 1, "b": 2} and r.salt == 5 for r in got)
 
 
 def test_exact_dedup_keeps_texts_without_ids(spark):
@@ -138,7 +139,8 @@ def test_near_dedup_edges(edges, empty, wide):
     assert op10_near_dedup.near_components(edges).count() == len(EDGES)
     assert op10_near_dedup.near_components(empty).count() == 0
     kept = op10_near_dedup.deduplicate(wide)
-    assert kept.columns == wide.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 6, 7, 8, 9, 10]
+    got = kept.collect()
+    assert kept.columns == wide.columns and sorted(r.doc_id for r in got if r.doc_id is not None) == [1, 2, 3, 4, 6, 7, 8, 9, 10] and len(got) == 10
 
 
 def test_near_dedup_keeps_rows_without_ids(spark):
@@ -475,6 +477,15 @@ def test_warc(spark):
             assert r.response.type == "revisit" and r.response.refers_to.split(":")[2] == str(first)
 
 
+def test_warc_pages_without_id_and_clashing_columns(spark):
+    rows = [(None, "u", "same", 1, "x"), (None, "v", "same", 2, "x"), (4, "w", "same", 3, "x"), (None, "z", "alone", 4, "x"), (None, "z", "alone", 4, "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, salt int, sha string")
+    uris = op3_warc.write_archives(pages, common.new_folder(spark, "warc"))
+    got = op3_warc.assemble(op3_warc.read_archives(spark, uris)).collect()
+    kinds = collections.Counter((r.capture_id.split(":")[2], r.response.type, (r.response.refers_to or "::").split(":")[2]) for r in got)
+    assert kinds == {("4", "response", ""): 1, ("None", "revisit", "4"): 2, ("None", "response", ""): 2}
+
+
 def test_warc_repeated_pages_and_nothing(spark):
     schema = "page_id long, url string, html string"
     pages = spark.createDataFrame([(5, "u", "same"), (5, "u", "same"), (3, "v", "same"), (7, "w", "tiny")], schema)
@@ -541,8 +552,7 @@ def test_toxicity_without_labels(spark, edges, empty):
 
 
 @pytest.mark.parametrize("block", [op6_lm.BLOCK_BYTES, 20_000])
-def test_lm_base_and_gain(spark, docs, block, monkeypatch):
-    monkeypatch.setattr(op6_lm, "BLOCK_BYTES", block)
+def test_lm_base_and_gain(spark, docs, block):
     text = {r.doc_id: r.text for r in docs.collect()}
     n = collections.Counter()
     for i, t in text.items():
@@ -550,7 +560,7 @@ def test_lm_base_and_gain(spark, docs, block, monkeypatch):
             n.update((t or "").encode().lower().split())
             n[None] += 1
     total, v = sum(n.values()), len(n)
-    got = op6_lm.scores(docs).collect()
+    got = op6_lm.scores(docs, block_bytes=block).collect()
     for r in got:
         w = [*(text[r.doc_id] or "").encode().lower().split(), None]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(x in n for x in w), total)
@@ -560,10 +570,66 @@ def test_lm_base_and_gain(spark, docs, block, monkeypatch):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_lm_counts_equal_brute_force(spark):
-    rows = [(i, t) for i, t in enumerate(["a b a b", "a b c", None, "", "b b b b b", "x"] * 3)]
-    got = {r.doc_id: r for r in op6_lm.scores(spark.createDataFrame(rows, SCHEMA).repartition(2)).collect()}
-    assert len(got) == len(rows) and all(r.score <= 0 and math.isfinite(r.score) for r in got.values())
+def lm_brute(rows, weights):
+    """Counts and interpolated scores in plain Python: an end before the first word, no two-word context there."""
+    grams = [collections.Counter() for _ in range(3)]
+    texts = {i: ["<e>", *(t or "").lower().split(), "<e>"] for i, t in rows}
+    for i, w in texts.items():
+        if zlib.crc32(str(i).encode()) % 10:
+            for k in range(1, len(w)):
+                grams[0][w[k]] += 1
+                grams[1][w[k - 1], w[k]] += 1
+                if k > 1:
+                    grams[2][w[k - 2], w[k - 1], w[k]] += 1
+    total, v = sum(grams[0].values()), len(grams[0])
+    bucket = lambda c, cap: min(math.ceil(math.log2(c + 1)), cap)
+    out = {}
+    for i, w in texts.items():
+        score = 0.0
+        for k in range(1, len(w)):
+            one, two = grams[0][w[k - 1]], grams[1][w[k - 2], w[k - 1]] if k > 1 else 0
+            p = [1 / (v + 1), grams[0][w[k]] / total, grams[1][w[k - 1], w[k]] / one if one else 0, grams[2][w[k - 2], w[k - 1], w[k]] / two if two else 0]
+            b = bucket(one, op6_lm.CONTEXT_CAPS[0]) * (op6_lm.CONTEXT_CAPS[1] + 1) + bucket(two, op6_lm.CONTEXT_CAPS[1])
+            score += math.log10(sum(x * y for x, y in zip(weights[b], p)))
+        out[i] = (sum(grams[0][x] > 0 for x in w[1:]), total, score)
+    return out
+
+
+@pytest.mark.parametrize("block", [op6_lm.BLOCK_BYTES, 60])
+def test_lm_counts_and_scores_equal_brute_force(spark, block):
+    rng = random.Random(12)
+    rows = [(i, t) for i, t in enumerate(["a b a b", "a b c", None, "", "b b b b b", "x"] * 3)] + [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(40)))) for i in range(20, 80)]
+    docs = common.spill(spark.createDataFrame(rows, SCHEMA).repartition(2), "lm-test")
+    counts, folder = op6_lm.corpus_counts(docs, block_bytes=block)
+    words, tokens = counts.filter("block is null").agg(F.sum("words"), F.sum("tokens")).first()
+    weights = op6_lm.learned(counts, folder, words, tokens)
+    want = lm_brute(rows, weights)
+    got = {r.doc_id: r for r in op6_lm.scores(docs, block_bytes=block).collect()}
+    assert set(got) == set(want)
+    for i, r in got.items():
+        assert (r.n_known, r.train_tokens) == want[i][:2] and r.score == pytest.approx(want[i][2], rel=1e-9)
+
+
+def test_lm_counts_beyond_32_bits():
+    hashes, counts = np.array([3, 9, 2**63], np.uint64), [np.array([5_000_000_000, 1, 2**40], np.uint64), np.array([4_000_000_000, 0, 7], np.uint64)]
+    rows = [{"block": f"b{i}", "part": 0, "kind": k, "hashes": op6_lm.squeezed(np.diff(hashes, prepend=np.uint64(0))), "counts": op6_lm.squeezed(c)} for i, c in enumerate(counts) for k in range(3)]
+    import pyarrow as pa
+
+    got = op6_lm.answers(pa.Table.from_pylist(rows)).to_pylist()
+    assert all(op6_lm.unsqueezed(r["counts"]).tolist() == [9_000_000_000, 1, 2**40 + 7] for r in got if r["block"])
+    assert [(r["words"], r["tokens"]) for r in got if r["block"] is None] == [(3, 9_000_000_001 + 2**40 + 7)]
+
+
+def test_lm_blocks_are_the_same_when_repeated(tmp_path):
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(30)), "train": [i % 3 > 0 for i in range(30)], "data": [f"w{i} a b c w{i % 7}".encode() for i in range(30)]})
+    folder = f"file://{tmp_path}/blocks"
+    op6_lm.make_folder(folder)
+    once = [b.to_pydict() for b in op6_lm.asked([rows], folder, 4, 5, 100)]
+    files = {p.name: p.read_bytes() for p in (tmp_path / "blocks").iterdir()}
+    again = [b.to_pydict() for b in op6_lm.asked([rows.slice(0, 11), rows.slice(11)], folder, 4, 5, 100)]
+    assert once == again and len(files) > 1 and {p.name: p.read_bytes() for p in (tmp_path / "blocks").iterdir()} == files
 
 
 def test_lm_edges(edges, empty):
