@@ -499,26 +499,103 @@ def test_warc_repeated_pages_and_nothing(spark):
 # --- toxicity ----------------------------------------------------------------------
 
 
+O5 = op5_toxicity
+VOCABULARY = ["idiot", "zorga", "vikk", "kill", "you", "not", "said", '"', "calm", "day"]
+LEARNED = {"zorg": O5.STRONG, "vik": O5.WEAK}
+
+
+def labels_brute(words_):
+    """The grammar's labels by their definitions, word by word, without machines."""
+    kind = [{"idiot": "insult", "zorga": "stem", "vikk": "weak", "kill": "threat", "you": "target", "not": "negation", "said": "report", '"': "quote"}.get(w, "other") for w in words_]
+    out, bad = [], ("insult", "stem", "weak")
+    for i, k in enumerate(kind):
+        before = kind[:i]
+        if k == "weak":
+            out.append("pair" if any(x in bad for x in before) else "weak")
+        elif k in bad:
+            out += [k] + (["pile"] if any(x in bad[:2] for x in before) else ["pair"] if "weak" in before else [])
+        if k in bad and "target" in before[-3:]:
+            out.append("aimed")
+        if k in (*bad, "threat") and "negation" in before[-2:]:
+            out.append("negated")
+        if k in (*bad, "threat") and ("report" in before or before.count("quote") % 2):
+            out.append("reported")
+        near = next((x for x in reversed(before[-3:]) if x in ("threat", "target")), None)
+        if k == "threat":
+            out.append("threat" if near == "target" else "menace")
+        if k == "target" and near == "threat":
+            out.append("threat")
+    return collections.Counter(out)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(VOCABULARY), max_size=14))
+def test_grammar_equals_its_definitions(words_):
+    got = O5.clause_labels(" ".join(words_), O5.Stems(LEARNED))
+    assert collections.Counter(O5.LABELS[x] for x in got) == labels_brute(words_)
+    features = O5.text_features(" ".join(words_), O5.Stems(LEARNED))
+    assert features[:-1] == pytest.approx([math.log2(1 + labels_brute(words_)[x]) for x in O5.LABELS])
+
+
 def test_grammar_weighs_context():
-    lexicon = op5_toxicity.Lexicon({"idiot$": 2.0})
-    weight = lambda t: op5_toxicity.clause_weight(t, lexicon)[0]
-    plain, aimed, negated, said = (weight(t) for t in ("some idiot here", "you are an idiot", "he has not an idiot", "report says some idiot here"))
-    assert aimed > plain > said and weight("is not idiot") < plain and weight("idiot idiot") > 2 * plain
-    assert weight("a calm day") == 0 and weight("we shoot pictures") < weight("you will kill them") and negated > 0
+    stems = O5.Stems({})
+    score = lambda t: O5.probability(np.array([O5.text_features(t, stems)]), O5.DEFAULT)[0]
+    plain = score("some idiot here")
+    assert score("you are an idiot") > plain > O5.TOXIC_FROM > score("he is not an idiot") and score("report says some idiot here") < plain > score('an "idiot" here')
+    assert score("a calm day") < 0.1 and score("we shoot pictures") < 0.5 < score("you will kill them") and score("idiot idiot") > plain
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from([" ", "\n", ".", ",", "(", ")", "'", "’", "_", "1", "kill", "Burn", "matar", "you", "idiot", "idiots", "calm", "é"]), max_size=12).map("".join))
+@given(st.lists(st.sampled_from([" ", "\n", ".", ",", "(", ")", "'", "’", "_", "1", "kill", "Burn", "matar", "you", "idiot", "zorgs", "calm", "é"]), max_size=12).map("".join))
 def test_toxicity_skips_no_match(text):
-    lexicon = op5_toxicity.Lexicon({"idiot": 2.0})
-    matches = sum(op5_toxicity.clause_weight(c, lexicon)[1] for c in op5_toxicity.CLAUSE_END.split(text.lower()))
-    assert (op5_toxicity.text_features(text, lexicon)[2] > 0) == (matches > 0)
+    stems = O5.Stems(LEARNED)
+    matches = any(O5.clause_labels(c, stems) for c in O5.CLAUSE_END.split(text.lower()))
+    assert (O5.text_features(text, stems)[-1] > 0) == matches
 
 
 def test_toxicity_scores_threats_beside_punctuation():
-    lexicon = op5_toxicity.Lexicon({"idiot$": 2.0})
+    stems = O5.Stems({})
     for text, spaced in (("you will burn.", "you will burn ."), ("(kill)", "( kill )"), ("matar, no", "matar , no")):
-        assert op5_toxicity.text_features(text, lexicon) == op5_toxicity.text_features(spaced, lexicon) > (0.0, 0.0, 0.0)
+        assert O5.text_features(text, stems) == O5.text_features(spaced, stems) > [0.0] * 11
+
+
+def test_longest_stem_decides():
+    stems = O5.Stems({"ab": O5.WEAK, "abcd": O5.STRONG, "abx$": O5.STRONG})
+    assert [stems.read(w) for w in ("a", "abc", "abcde", "abx", "abxy", "idiot", "idiots")] == [O5.OTHER, O5.WEAK, O5.STRONG, O5.STRONG, O5.WEAK, O5.INSULT, O5.OTHER]
+
+
+def test_grammar_matters(spark):
+    """Clean documents quote or negate insults, toxic ones say them: without the paths' context both look alike."""
+    rng = random.Random(5)
+    rows, labels = [], []
+    for i in range(600):
+        toxic = rng.random() < 0.5
+        filler = lambda n: [f"wort{rng.randrange(60)}" for _ in range(n)]
+        bad = rng.choice(["idiot", "moron", "loser"])
+        clause = ["you", bad] if toxic else rng.choice([["not", "a", bad], ["someone", "said", bad], ['"', bad, '"']])
+        rows.append((i, " ".join(filler(12) + ["."] + clause + filler(3) + ["."] + filler(9))))
+        labels.append((i, int(toxic)))
+    docs, labelled = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int")
+    learned, weights = O5.train(docs, labelled)
+    held = [(r, t) for r, t in zip(rows, dict(labels).values()) if zlib.crc32(str(r[0]).encode()) % 3 == 1]
+    x, y = np.array([O5.text_features(t, O5.Stems(learned)) for (_, t), _ in held]), np.array([t for _, t in held])
+    accuracy = lambda w: ((O5.probability(x, w) >= 0.5) == y).mean()
+    context = [1 + O5.LABELS.index(n) for n in ("aimed", "negated", "reported")]
+    without = weights.copy()
+    without[context] = 0
+    assert accuracy(weights) > 0.95 and accuracy(without) < accuracy(weights) - 0.2
+    refit = [k for k in range(x.shape[1]) if k + 1 not in context]
+    assert ((O5.probability(x[:, refit], O5.fitted(x[:, refit], y, O5.DEFAULT[[0, *(k + 1 for k in refit)]])) >= 0.5) == y).mean() < 0.8  # even refitted to the answers
+
+
+def test_toxicity_on_tables(spark):
+    """Held-out rows of the smaller tables: few labels, so known insults carry most of it."""
+    sf = "/root/testdata/sf0.01"
+    docs, labelled = common.documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    got = op5_toxicity.op5_toxicity(spark, sf).join(labelled, "doc_id").filter("held_out").select("toxic", "predicted").collect()
+    both = sum(r.toxic and r.predicted for r in got)
+    assert both >= 0.5 * sum(r.toxic for r in got) and both >= 0.9 * sum(r.predicted for r in got)
+    assert docs.count() == op5_toxicity.op5_toxicity(spark, sf).count()
 
 
 def test_toxicity_learns_stems(spark):
@@ -541,10 +618,11 @@ def test_toxicity_learns_stems(spark):
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items())
 
 
-def test_toxicity_without_labels(spark, edges, empty):
+def test_toxicity_without_labels(spark, edges, empty, wide):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = op5_toxicity.scores(edges, *op5_toxicity.train(edges, none)).collect()
     assert len(got) == len(EDGES) and all(0 <= r.score <= 1 for r in got)
+    assert op5_toxicity.scores(wide, *op5_toxicity.train(wide, none)).count() == len(EDGES)
     assert op5_toxicity.scores(empty, *op5_toxicity.train(empty, none)).count() == 0
 
 
@@ -632,6 +710,14 @@ def test_lm_blocks_are_the_same_when_repeated(tmp_path):
     assert once == again and len(files) > 1 and {p.name: p.read_bytes() for p in (tmp_path / "blocks").iterdir()} == files
 
 
+def test_clashing_columns(spark, edges, wide):
+    shards = [op2_token_files.write_token_files(d, common.new_folder(spark, "tokens"), BYTE, 50_257) for d in (edges, wide)]
+    rows = [sorted(map(str, op2_token_files.read_token_files(spark, x).collect())) for x in shards]
+    assert rows[0] == rows[1]
+    for op in (op6_lm.scores, lambda d: op7_bpe.round_trip(d, BYTE), lambda d: op8_packing.pack_documents(d, WORD).drop("sequence_id", "offset")):
+        assert sorted(map(str, op(edges).collect())) == sorted(map(str, op(wide).collect()))
+
+
 def test_lm_edges(edges, empty):
     assert op6_lm.scores(edges).count() == len(EDGES)
     assert op6_lm.scores(empty).count() == 0
