@@ -1,13 +1,14 @@
 """Best-fit packing of token pieces into sequences, in bulk-synchronous sweeps.
 
-Pieces and gaps are sorted by size. Sizes are whole numbers up to the sequence length L, so the sorted
-order is fully told by counts per size: at most L rows, whatever the corpus. Each sweep takes the next
-size class of pieces (largest first) and matches it with its successor among the gaps, the smallest
-gap that holds it: each gap of that size takes as many pieces as it holds, the pieces of lowest rank first, so
-two pieces never get the same place. Gaps are updated and the sweep repeats until the class is placed; what
-fits nowhere opens new sequences. This gives the same packing as best-fit decreasing one piece at a time.
-The sweeps work on counts; placing the rows is distributed: each piece finds its rank within its size
-by salted counting (no task sees a whole size class), and its place from its rank.
+Pieces are range-sorted by size, largest first, so a piece's rank within its size is its place in its range plus the counts of
+the ranges before: no task sees a whole size, and a size with a third of all pieces lies over many ranges. Sizes
+are whole numbers up to the sequence length L, so the sorted order of pieces and gaps is fully told by counts per
+size: at most L rows, whatever the corpus. Each sweep takes the next size class of pieces (largest first) and
+matches it with its successor among the gaps, the smallest gap that holds it: each gap of that size takes as many pieces
+as it holds, the pieces of lowest rank first, so two pieces never get the same place. Gaps are updated and the
+sweep repeats until the class is placed; what fits nowhere opens new sequences. This gives the same packing as
+best-fit decreasing one piece at a time. The sweeps work on these counts, on the driver; sorting, ranking and placing
+the rows is distributed.
 
 Edge cases: null and empty texts are pieces of the end id alone. Documents longer than L are cut into
 pieces of L and a rest. Repeated rows are packed each. An empty table gives an empty result. Other columns
@@ -21,14 +22,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, token_cache
 
 LENGTH, END_ID = 2048, 0
-#: Pieces of one size that are ranked together.
-RANKED_TOGETHER = 256
 
 
 def token_pieces(docs: DataFrame, path: str, end_id: int = END_ID, length: int = LENGTH) -> DataFrame:
@@ -92,34 +91,41 @@ def best_fit_plan(counts: dict[int, int], length: int = LENGTH) -> np.ndarray:
     return np.array(sorted(plan), np.int64).reshape(-1, 5)
 
 
-def ranked(pieces: DataFrame, counts: dict[int, int], tie: list[str]) -> DataFrame:
-    """Adds `rank`, from 0 within each length."""
-    spark = pieces.sparkSession
-    salts = F.broadcast(spark.createDataFrame([(k, -(-n // RANKED_TOGETHER)) for k, n in counts.items()], "length long, salts long"))  # a row per length
-    salted = pieces.join(salts, "length").withColumn("salt", F.pmod(F.xxhash64(*tie), F.col("salts"))).drop("salts")
-    n = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    before = n.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).drop("n")
-    own = salted.withColumn("own", F.row_number().over(Window.partitionBy("length", "salt").orderBy(*tie)) - 1)
-    return own.join(before, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("own")).drop("salt", "base", "own")
+def range_sorted(pieces: DataFrame, tie: list[str]) -> DataFrame:
+    """The pieces as a written table, sorted by size over ranges, with `place`: range << 33 plus place in it.
+
+    Rows that tie in everything are told apart by their place in the input, so no range is larger than the others.
+    """
+    keyed = pieces.withColumn("__place", F.monotonically_increasing_id())
+    order = [F.desc("length"), *[F.col(c) for c in tie], F.col("__place")]
+    ranges = keyed.repartitionByRange(common.shuffle_partitions(pieces.sparkSession), *order).sortWithinPartitions(*order)
+    return common.spill(ranges.withColumn("__place", F.monotonically_increasing_id()), "sorted")
 
 
 def pack(pieces: DataFrame, length: int = LENGTH, tie: list[str] | None = None) -> DataFrame:
-    """Adds sequence_id and offset to rows with a `length` from 1 to `length`. Reads `pieces` three times: give a written table."""
+    """Adds sequence_id and offset to rows with a `length` from 1 to `length`. Reads `pieces` twice: give a written table."""
     tie = tie or [c for c in pieces.columns if c != "length"]
-    counts = {r[0]: r[1] for r in pieces.groupBy("length").agg(F.count(F.lit(1))).collect()}  # at most `length` rows
     spark, names = pieces.sparkSession, pieces.columns
-    plan = spark.sparkContext.broadcast(best_fit_plan(counts, length))
-    rows = ranked(pieces, counts, tie).select(*names, "rank")
+    rows = range_sorted(pieces, tie).select(*names, "__place")
+    runs = rows.groupBy(F.shiftright("__place", 33).alias("range"), "length").agg(F.min("__place").alias("first"), F.count(F.lit(1)).alias("n"))
+    runs = sorted(runs.select("first", "length", "n").collect())  # at most `length` rows more than there are ranges, as ranges are sorted
+    seen: dict[int, int] = {}
+    bases = np.zeros((len(runs), 2), np.int64)
+    for k, (first, size, n) in enumerate(runs):
+        bases[k] = first, first - seen.get(size, 0)  # a rank is the place less this
+        seen[size] = seen.get(size, 0) + n
+    plan = spark.sparkContext.broadcast((bases, best_fit_plan(seen, length)))
     schema = rows.select(*names).schema.add("sequence_id", "long").add("offset", "long")
 
     def place(batches):
-        p = plan.value
+        starts, p = plan.value
         keys = (p[:, 0] << 44) + p[:, 1]
         for batch in batches:
-            size, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
-            at = p[np.searchsorted(keys, (size << 44) + rank, "right") - 1]
-            nth = rank - at[:, 1]
-            seq, offset = at[:, 2] + nth // at[:, 3], at[:, 4] + nth % at[:, 3] * size
+            size, at = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "__place"))
+            rank = at - starts[np.searchsorted(starts[:, 0], at, "right") - 1, 1] if len(at) else at
+            put = p[np.searchsorted(keys, (size << 44) + rank, "right") - 1] if len(at) else p[:0]
+            nth = rank - put[:, 1]
+            seq, offset = put[:, 2] + nth // np.maximum(put[:, 3], 1), put[:, 4] + nth % np.maximum(put[:, 3], 1) * size
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(seq), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     return rows.mapInArrow(place, schema)

@@ -416,6 +416,15 @@ def test_packing_is_best_fit(spark, seed):
     assert check_packing(got, 64) == best_fit_one_by_one(lengths, 64)
 
 
+def test_packing_spreads_one_size(spark):
+    """One size for nearly all pieces, and rows that tie in everything: ranges stay even."""
+    df = common.spill(spark.createDataFrame([(7, 2048)] * 3000 + [(i, 100 + i % 9) for i in range(300)], "doc_id long, length long").repartition(3), "pieces")
+    ranges = [r.n for r in op8_packing.range_sorted(df, ["doc_id"]).groupBy(F.shiftright("__place", 33)).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(ranges) == 3300 and len(ranges) == 4 and max(ranges) < 1500
+    got = op8_packing.pack(df).collect()
+    assert len(got) == 3300 and check_packing(got, 2048) == best_fit_one_by_one([r.length for r in got], 2048)
+
+
 def test_packing_fills_a_gap_before_the_next(spark):
     lengths = [1030] * 2 + [500] * 2 + [260] * 3
     got = op8_packing.pack(spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length long"), 2048).collect()
