@@ -2,13 +2,18 @@
 
 Generators propose spans with high recall: the four base patterns whatever their checks say, and looser
 forms (spelled-out e-mail addresses, local telephone numbers, credentials). Spans of different
-generators may overlap. Each candidate gets a few small features of its format and context. A candidate
-that a base pattern proposed has a weak label, whether it passes its kind's check (Luhn sum, number
-ranges, number of digits), which isn't among the features. Candidates with equal features are alike for
+generators may overlap. Each candidate gets a few small features of its format and context. Weak labels come from what isn't
+among the features: a check of its kind (Luhn sum, number ranges, number of digits, letters in the last part of a
+domain, mixture of characters in a credential), agreement with a base span of the same kind or of another, a cue
+word before it (telephone, server, ...) or a word that speaks against it (order, version, ISBN, ...).
+Candidates without such evidence have no label, but get a score like all others. Candidates with equal features are alike for
 the trees, so one aggregate over all documents gives the whole training set as counts (at most the
 product of the features' sizes), boosted trees are fitted to these, and a threshold for each kind is
-calibrated on a held-out fold. The trees become one column expression. Base spans always stay; a further
-candidate is selected if its score reaches its kind's threshold and it overlaps no base span.
+calibrated on a held-out fold: the lowest score from which enough labelled candidates are right; a kind without such a score
+adds nothing. The trees become one column expression. Base spans always stay; further candidates are
+selected from the greatest score down if they reach their kind's threshold and overlap no base span and none selected before.
+
+Candidates are made once and written with their documents; fitting reads only them.
 
 No Python runs on the executors. Patterns are possessive where that changes nothing, so long runs of
 digits or letters cost linear time and no recursion.
@@ -46,9 +51,11 @@ LOOSE = {
 }
 #: What a text must have for a pattern to match at all: characters to look for, or a cheap pattern.
 NEEDS = {("email", 0): ("@",), ("phone", 0): ("+",), ("email", 1): ("t]", "t)", "T]", "T)"), ("token", 1): (":", "="), ("ip", 0): r"[0-9]\.[0-9]", ("card", 0): r"[0-9][\x20-]?[0-9]", ("phone", 1): r"[0-9][\x20.-][0-9]"}
-CUES = (r"(?i)(?:card|visa|carte|karte|tarjeta)", r"(?i)(?:phone|tel|call|fax|mobil)", r"(?i)(?:mail|contact)", r"(?i)(?:\bip\b|host|server|addr)", r"(?i)(?:account|iban|id|no)\W*$")
+#: Words before a span that speak for its kind, and words right before it that speak against any.
+CUES = {"card": r"(?i)(?:card|visa|carte|karte|tarjeta)", "phone": r"(?i)(?:phone|\btel|call|fax|mobil)", "email": r"(?i)(?:mail|contact)", "ip": r"(?i)(?:\bip\b|host|server|addr)"}
+AGAINST = r"(?i)(?:order|invoice|isbn|issn|version|build|serial|sku|part|item|page|fig|vol|ref|lot)\.?\x20?(?:no|nr|num|number|id)?\.?\x20?[:#=]?\x20?#?$"
 DIGIT_EDGES, LENGTH_EDGES = (1, 7, 9, 13, 16, 17, 20), (8, 12, 16, 20, 28)
-FEATURES = ("kind", "loose", "digits", "length", "separators", "left", "right", "cue")
+FEATURES = ("kind", "loose", "digits", "length", "separators", "left", "right", "near")
 ROUNDS, RATE, FOLDS, PRECISION = 24, 0.4, 4, 0.95
 BLOCK = 128
 
@@ -124,7 +131,27 @@ def binned(x: Column, edges: tuple[int, ...]) -> Column:
 
 
 def side(char: Column) -> Column:
-    return F.when(F.length(char) == 0, 0).when(char.rlike(r"^\s"), 0).when(char.rlike(r"^[\p{L}\p{N}]"), 1).otherwise(2)
+    """0 nothing or blank, 1 letter or digit, 2 bracket or quote, 3 sign of a field or a number, 4 other."""
+    return (
+        F.when((F.length(char) == 0) | char.rlike(r"^\s"), 0).when(char.rlike(r"^[\p{L}\p{N}]"), 1)
+        .when(char.rlike(r"^[\[(<{\"'\])>}]"), 2).when(char.rlike(r"^[#=:/_&@$%*|-]"), 3).otherwise(4)
+    )
+
+
+def evidence(kind: str, loose: bool, m: Column) -> Column:
+    """Weak label by the candidate alone: 1, 0, or -1 for none."""
+    value = m["value"]
+    if kind == "token":
+        bare = F.regexp_replace(value, r"^[^:=]*[:=]\x20?[\"']?|[\"']$", "")
+        distinct = F.size(F.array_distinct(F.split(bare, "")))
+        own = F.when(bare.rlike("[0-9]") & bare.rlike("[A-Za-z]") & (distinct >= 9), 1).when(bare.rlike("^[A-Za-z]+$") | (distinct <= 4), 0).otherwise(-1)
+    elif loose:
+        own = F.when(m["left"].rlike(CUES[kind]), 1).otherwise(-1)
+    elif kind == "email":
+        own = value.rlike(r"\.[A-Za-z]{2,}$").cast("int")
+    else:
+        own = valid(kind, value).cast("int")
+    return F.when(m["left"].rlike(AGAINST), 0).otherwise(own)
 
 
 def candidate(kind: str, loose: bool) -> Callable[[Column], Column]:
@@ -133,35 +160,46 @@ def candidate(kind: str, loose: bool) -> Callable[[Column], Column]:
     def make(m: Column) -> Column:
         value = m["value"]
         marks = F.regexp_replace(value, "[A-Za-z0-9]", "")
-        cue = F.lit(0)
-        for i, pattern in reversed(list(enumerate(CUES))):
-            cue = F.when(m["left"].rlike(pattern), i + 1).otherwise(cue)
-        passes = valid(kind, value) if not loose or kind == "token" else F.lit(False)
-        label = F.lit(-1) if loose and kind != "token" else passes.cast("int")
+        base = valid(kind, value) if kind in BASE_KINDS and not loose else F.lit(False)
         return F.struct(
             m["start"].alias("start"), m["end"].alias("end"), F.lit(k).alias("kind"), F.lit(int(loose)).alias("loose"),
             binned(F.length(digits(value)), DIGIT_EDGES).alias("digits"), binned(F.length(value), LENGTH_EDGES).alias("length"),
             F.when(F.length(marks) == 0, 0).when(F.length(F.array_join(F.array_distinct(F.split(marks, "")), "")) == 1, 1).otherwise(2).alias("separators"),
-            side(F.substring(m["left"], -1, 1)).alias("left"), side(m["right"]).alias("right"), cue.alias("cue"),
-            label.alias("label"), (passes if kind in BASE_KINDS and not loose else F.lit(False)).alias("base"),
+            side(F.substring(m["left"], -1, 1)).alias("left"), side(m["right"]).alias("right"), m["left"].rlike("[0-9]").cast("int").alias("near"),
+            evidence(kind, loose, m).alias("label"), base.alias("base"),
         )
 
     return make
 
 
+def overlaps(a: Column, b: Column) -> Column:
+    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+
 def candidates(text: Column) -> Column:
     """Array of candidate spans of `text` (a column without nulls), in order of kind."""
     clean = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, STAND_IN)).otherwise(text)
-    lists = []
+    strict, loose = [], []
     for kind in KINDS:
         if kind in PATTERNS:
             found = matches(clean, PATTERNS[kind], may_match(text, kind, 0))
             if kind == "card":
                 found = F.filter(found, lambda m: F.length(digits(m["value"])).between(12, 20))
-            lists.append(F.transform(found, candidate(kind, False)))
+            strict.append(F.transform(found, candidate(kind, False)))
         if kind in LOOSE:
-            lists.append(F.transform(matches(clean, LOOSE[kind], may_match(text, kind, 1)), candidate(kind, True)))
-    return F.concat(*lists)
+            loose.append(F.transform(matches(clean, LOOSE[kind], may_match(text, kind, 1)), candidate(kind, True)))
+
+    def agreed(s: Column) -> Column:
+        base = F.filter(s["strict"], lambda b: b["base"])
+
+        def one(c: Column) -> Column:
+            met = F.filter(base, lambda b: overlaps(b, c))
+            label = F.when(F.exists(met, lambda b: b["kind"] == c["kind"]), 1).when(F.size(met) > 0, 0).otherwise(c["label"])
+            return c.withField("label", F.when(c["label"] == 0, 0).otherwise(label))
+
+        return F.concat(s["strict"], F.when(F.size(s["loose"]) > 0, F.transform(s["loose"], one)).otherwise(s["loose"]))
+
+    return let(F.struct(F.concat(*strict).alias("strict"), F.concat(*loose).alias("loose")), agreed)
 
 
 # --- boosted trees over counts -------------------------------------------------
@@ -220,9 +258,9 @@ def score_column(model: tuple[float, list], c: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-sum((walk(t) for t in model[1]), F.lit(model[0]))))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[tuple[float, list] | None, dict[int, float]]:
-    """Model and thresholds by kind (none: nothing more is selected for it), from all documents."""
-    rows = docs.select(common.fold(F.col(id_col), FOLDS).alias("fold"), F.explode(candidates(common.text_or_empty(text_col))).alias("c")).filter("c.label >= 0")
+def fit(found: DataFrame, id_col: str) -> tuple[tuple[float, list] | None, dict[int, float]]:
+    """Model and thresholds by kind (none: nothing more is selected for it), from the `candidates` of all documents."""
+    rows = found.select(common.fold(F.col(id_col), FOLDS).alias("fold"), F.explode("candidates").alias("c")).filter("c.label >= 0")
     counts = rows.groupBy("fold", *[F.col(f"c.{f}").alias(f) for f in FEATURES]).agg(F.sum("c.label").alias("pos"), F.count(F.lit(1)).alias("n")).collect()
     if not counts:
         return None, {}
@@ -236,9 +274,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
         at = held & (x[:, 0] == kind)
         order = np.argsort(-p[at])
         hit, all_ = np.cumsum(pos[at][order]), np.cumsum(n[at][order])
-        good = np.flatnonzero((hit >= PRECISION * all_) & (np.append(np.diff(p[at][order]), -1) < 0))
-        if len(good):
-            thresholds[int(kind)] = float(p[at][order][good[-1]])
+        score = p[at][order]
+        good = np.flatnonzero((hit >= PRECISION * all_) & (np.append(np.diff(score), -1) < 0))
+        if len(good):  # halfway to the next lower score, but never what is likelier wrong than right
+            below = score[good[-1] + 1] if good[-1] + 1 < len(score) else 0.0
+            thresholds[int(kind)] = float(max(0.5, (score[good[-1]] + below) / 2))
     return model, thresholds
 
 
@@ -251,18 +291,22 @@ def selected(model, thresholds: dict[int, float]) -> Column:
     span = lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"))
     base = F.transform(F.filter(cands, lambda c: c["base"]), span)
     if model is None or not thresholds:
-        return base
-    enough = lambda c: F.coalesce(*[F.when(c["kind"] == k, score_column(model, c) >= t) for k, t in thresholds.items()], F.lit(False))
-    more = F.transform(F.filter(cands, lambda c: ~c["base"] & enough(c)), span)
-    apart = lambda bs: F.filter(more, lambda m: ~F.exists(bs, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return let(base, lambda bs: F.array_sort(F.concat(bs, apart(bs))))
+        return F.array_sort(base)
+    enough = lambda c, score: F.coalesce(*[F.when(c["kind"] == k, score >= t) for k, t in thresholds.items()], F.lit(False))
+    scored = F.transform(F.filter(cands, lambda c: ~c["base"]), lambda c: F.struct((-score_column(model, c)).alias("less"), span(c).alias("span")))
+    able = F.array_sort(F.filter(scored, lambda x: enough(x["span"], -x["less"])))
+    kept = lambda bs: F.aggregate(able, bs, lambda acc, x: F.when(F.exists(acc, lambda b: overlaps(b, x["span"])), acc).otherwise(F.concat(acc, F.array(x["span"]))))
+    return F.array_sort(kept(base))
 
 
-def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Adds `spans`, an array of (kind, start, end, base), to the rows of `docs`."""
-    model, thresholds = fit(docs, id_col, text_col)
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.select(*names, candidates(common.text_or_empty(text_col)).alias("candidates")).select(*names, selected(model, thresholds).alias("spans"))
+def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Adds `spans`, an array of (kind, start, end, base), to the rows of `docs` (to their columns in `keep`, if given)."""
+    names = docs.columns if keep is None else keep
+    # under a name of their own, whatever the columns of `docs` are called
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id_col).alias("id"), candidates(common.text_or_empty(text_col)).alias("candidates"))
+    found = common.spill(held, "candidates")
+    model, thresholds = fit(found, "id")
+    return found.select(*[F.col("row")[c].alias(c) for c in names], selected(model, thresholds).alias("spans"))
 
 
 def redacted(text: Column, spans: Column) -> Column:
@@ -310,7 +354,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_spans(common.documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "spans")
+    # only ids are written beside the candidates
+    found = find_spans(common.documents(spark, sf_dir).select("doc_id", "text"), keep=["doc_id"]).select("doc_id", "spans")
     names = F.array(*[F.lit(k) for k in KINDS])
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["base"])

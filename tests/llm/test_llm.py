@@ -258,6 +258,7 @@ def test_pii_spans(spark):
         assert base == base_brute(text[r.doc_id])
         extra = [(s.start, s.end) for s in r.spans if not s.base]
         assert all(e <= a or b <= s for a, b in extra for _, s, e in base)
+        assert all(e <= a or b <= s for k, (a, b) in enumerate(extra) for s, e in extra[:k])
     plan = op1_pii.find_spans(spark.createDataFrame(rows[:5], SCHEMA))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
@@ -287,6 +288,39 @@ def test_pii_redaction(spark, wide, empty):
     assert op1_pii.find_spans(empty).count() == 0
 
 
+def planted_pii():
+    """(rows, spans of personal data that no base pattern has, look-alikes), the half of both without any cue word."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    local = lambda: f"({number(3)}) {number(3)}-{number(4)}"
+    rows, good, bad = [], set(), set()
+    for i in range(1200):
+        kind = i % 8
+        before, value, where = {
+            0: ("", "+1 " + local(), None), 1: (rng.choice(["call ", "", "tel "]), local(), good), 2: (rng.choice(["order no. ", "#", "ref ", "/"]), f"{number(3)}-{number(3)}-{number(4)}", bad),
+            3: ("", f'token = "{rng.getrandbits(160):040x}"', good), 4: ("", f"password: {rng.choice(['required', 'forgotten', 'aaaaaaaa'])}", bad), 5: ("", f"{word()}.{word()}@{word()}.com", None),
+            6: (rng.choice(["mail ", "contact "]), f"{word()}.{word()} [at] {word()} [dot] com", good), 7: ("", " ".join(word() for _ in range(6)), None),
+        }[kind]
+        head = " ".join(word() for _ in range(rng.randint(1, 6))) + " " + before
+        rows.append((i, f"{head}{value} {word()}"))
+        if where is not None:
+            where.add((i, len(head), len(head) + len(value)))
+    return rows, good, bad
+
+
+def test_pii_finds_planted_and_leaves_look_alikes(spark):
+    rows, good, bad = planted_pii()
+    found = spark.createDataFrame(rows, SCHEMA)
+    added = {(r.doc_id, s.start, s.end) for r in op1_pii.find_spans(found).collect() for s in r.spans if not s.base}
+    assert len(added & good) >= 0.9 * len(good) and len(added & good) >= 0.9 * len(added) and len(added & bad) <= 0.05 * len(bad)
+    held = common.spill(found.select("doc_id", op1_pii.candidates(F.col("text")).alias("candidates")), "candidates")
+    model, thresholds = op1_pii.fit(held, "doc_id")
+    seen = held.select(F.explode("candidates").alias("c")).select("c.*").filter("not base").collect()
+    below = [c for c in seen if c.kind not in thresholds or op1_pii.predict(model, np.array([[c[f] for f in op1_pii.FEATURES]]))[0] < thresholds[c.kind]]
+    assert len(below) > 100 and {c.label for c in seen} == {-1, 0, 1}
+
+
 def test_trees_learn_counts():
     x = np.array([[a, b] for a in range(3) for b in range(3)])
     pos = np.array([90.0 if a == 1 and b > 0 else 2.0 for a, b in x])
