@@ -120,39 +120,38 @@ def fit_posteriors(patterns: list[tuple[int, int]], rounds: int = EM_ROUNDS, fal
     """Posterior of the good class by vote pattern, from (pattern, documents) rows.
 
     The latent classes are "good" and, as junk of one sort trips one rule and passes the others, one kind
-    of bad document for each rule. Each class has a table of P(vote | class) for each rule, which is the
-    rule's accuracy in that class; expectation-maximisation fits tables and shares to the counts.
-    Dirichlet pseudo-counts (a share `pseudo` of the documents) say what is known beforehand: a rule
-    rarely votes bad on good documents (`false_alarm`) and mostly does on its own kind (`hit`). They also
+    of bad document for each rule. Each class has a probability for each rule that its vote is bad, which is the
+    rule's accuracy in that class; expectation-maximisation fits these and the shares to the counts.
+    Pseudo-counts (a share `pseudo` of the documents) say what is known beforehand: a rule
+    rarely votes bad on good documents (`false_alarm`), mostly does on its own kind (`hit`), and votes on other kinds as it
+    does on good ones until the corpus says otherwise, so small corpora learn too. They also
     fix which class is the good one, so a corpus without junk isn't split in two.
     """
     if not patterns:
         return {}
     codes, n = (np.array(x) for x in zip(*patterns))
-    v = unpack(codes) + 1  # 0 bad, 1 abstain, 2 good
+    v = unpack(codes)
     n = n.astype(float)
     r = len(RULES)
-    table = np.empty((r + 1, r, 3))  # class, rule, vote; class 0 is good
-    table[0] = false_alarm, 0.1, 0.9 - false_alarm
-    table[1:] = 0.1, 0.2, 0.7
-    for j in range(r):
-        table[j + 1, j] = hit, 0.05, 0.95 - hit
+    bad = np.empty((r + 1, r))  # probability that a rule that votes votes bad; class 0 is good
+    bad[:] = false_alarm
+    bad[np.arange(1, r + 1), np.arange(r)] = hit
     strength = np.full(r + 1, pseudo * n.sum() / r / 5 + 5)
     strength[0] = pseudo * n.sum() + 5
-    expected = table * strength[:, None, None]
     share = np.array([0.9] + [0.1 / r] * r)
     for _ in range(rounds):
-        logp = np.log(share)[None] + sum(np.log(table[:, j, v[:, j]]).T for j in range(r))
+        # an abstention says nothing of the class: rules about the same thing abstain together
+        logp = np.log(share)[None] + (v == -1) @ np.log(bad).T + (v == 1) @ np.log1p(-bad).T
         post = np.exp(logp - logp.max(1, keepdims=True))
         post /= post.sum(1, keepdims=True)
         weight = post * n[:, None]
-        new = expected.copy()
-        for j in range(r):
-            for k in range(3):
-                new[:, j, k] += weight[v[:, j] == k].sum(0)
-        new /= new.sum(2, keepdims=True)
-        moved = abs(new - table).max()
-        table, share = new, (weight.sum(0) + 1) / (n.sum() + r + 1)
+        expected = np.repeat(bad[:1], r + 1, 0)
+        expected[0] = false_alarm
+        expected[np.arange(1, r + 1), np.arange(r)] = hit
+        voted_bad, voted = weight.T @ (v == -1), weight.T @ (v != 0)
+        new = np.clip((voted_bad + expected * strength[:, None]) / (voted + strength[:, None]), 1e-9, 1 - 1e-9)
+        moved = abs(new - bad).max()
+        bad, share = new, (weight.sum(0) + 1) / (n.sum() + r + 1)
         if moved < 1e-9:
             break
     return {int(c): float(p) for c, p in zip(codes, post[:, 0])}

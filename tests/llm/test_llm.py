@@ -213,8 +213,18 @@ def test_quality_keeps_clean_and_finds_junk(spark, docs, sf_dir):
     truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     got = op4_quality_rules.judged(op4_quality_rules.with_counts(docs, keep=["doc_id"])).collect()
     seen = [(truth[r.row.doc_id], r.kept) for r in got if r.row.doc_id in truth and not r.base_failed]
-    clean = [k for t, k in seen if t == 1]
-    assert sum(clean) / len(clean) > 0.95
+    clean, junk = ([k for t, k in seen if t == q] for q in (1, 0))
+    assert sum(clean) / len(clean) > 0.95 and sum(junk) <= 0.2 * len(junk) and junk
+
+
+def test_posteriors_find_kinds_of_junk():
+    """Few documents, three kinds of junk; abstentions of two rules together aren't evidence."""
+    good, rules = 3**9 - 1, op4_quality_rules.RULES
+    vote = lambda rule, v: good + (v - 1) * 3 ** (len(rules) - 1 - rules.index(rule))
+    both = vote("dup_lines", 0) + vote("repeats", 0) - good
+    rows = [(good, 700), (both, 30), (vote("line_ends", 0), 80), *[(vote(r, -1), 8) for r in ("symbols", "shouting", "runs")]]
+    got = op4_quality_rules.fit_posteriors(rows)
+    assert min(got[good], got[both], got[vote("line_ends", 0)]) > 0.9 and max(got[vote(r, -1)] for r in ("symbols", "shouting", "runs")) < 0.5
 
 
 def test_posteriors_without_junk():
