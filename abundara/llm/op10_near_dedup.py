@@ -14,9 +14,11 @@ digest of the set, so copies never meet each other in pairs.
    reach the threshold go without a look at their sets. Copies with many changes of their own go here.
 4. Within a bucket every member is tried against a pivot, not against every other: the one with the least of
    its own. Members that end up in one component need no more trying. Where a bucket still spans several
-   components, the members outside its largest one become the next pivots, a bounded number of pairs a round,
-   until no two untried members of different components are left: no link between different components
-   is lost, and a bucket of m near copies costs about m pairs rather than m squared.
+   components, its members are tried by prefixes: put a set's shingles in one order for all, rare ones first; two sets at
+   the similarity share a shingle among the first seventh of the smaller and the first quarter of the larger
+   one, at places that leave enough behind them. So a passage that many documents have, being last in their orders,
+   brings no pairs. For each such shingle, nodes outside its largest component meet the others, never all with all. No
+   link between different components is lost, and a bucket of m near copies costs about m pairs rather than m squared.
 5. A pair's similarity is first estimated from both sketches jointly (maximum likelihood for the counts of
    greater, smaller and equal registers, given both set sizes). Pairs whose estimate is far below the
    threshold (over 6 standard errors) go; all others are verified on the full sets.
@@ -46,8 +48,6 @@ M = BANDS * ROWS
 BASE, RATE, Q = 1.001, 20.0, (1 << 16) - 2
 #: Estimates below this can't belong to a pair at 0.75: over 6 standard errors of M registers.
 ESTIMATE_FROM = 0.52
-#: Pairs that the buckets of one pivot may try in one round, beyond one for each member.
-PAIRS_A_ROUND = 1 << 20
 _rng = np.random.default_rng(20240613)
 MULTIPLY = _rng.integers(0, 1 << 63, M, np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _rng.integers(0, 1 << 63, M, np.uint64) * np.uint64(2)
@@ -225,27 +225,26 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def lone_counts(sets: DataFrame) -> DataFrame:
-    """(owner, lone): shingles that no other candidate has, by the first eight bytes of the node."""
+def exploded(sets: DataFrame, kept: list[str]) -> DataFrame:
+    """A row per shingle of (elements, *kept)."""
+    rows = sets.select("elements", *kept)
 
     def run(batches):
         for batch in batches:
-            owners, parts = [], []
-            for node, elements in zip(batch.column(0), batch.column(1)):
-                one = np.frombuffer(elements.as_py(), np.int64)
-                parts.append(one)
-                owners += [node.as_py()[:8]] * len(one)
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(owners, pa.binary())], names=["shingle", "owner"])
+            if batch.num_rows:
+                parts = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(0)]
+                owner = pa.array(np.repeat(np.arange(len(parts)), [len(x) for x in parts]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), *[c.take(owner) for c in batch.columns[1:]]], names=["shingle", *kept])
 
-    # a shingle of many candidates is one row per map task after the partial aggregate
-    seen = sets.select("node", "elements").mapInArrow(run, "shingle long, owner binary").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("owner").alias("owner"))
-    return seen.filter("n = 1").groupBy("owner").agg(F.count(F.lit(1)).alias("lone"))
+    return rows.mapInArrow(run, ", ".join(["shingle long", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept)]))
 
 
-def could_share(inner_a: Column, outer_a: Column, inner_b: Column, outer_b: Column) -> Column:
-    """Most that two members of a bucket share: within its pivot and besides it. Without a count for the pivot, inner and outer are both the core."""
-    return F.least(inner_a, inner_b) + F.least(outer_a, outer_b)
+def lone_counts(sets: DataFrame) -> DataFrame:
+    """(owner, lone): shingles that no other candidate has, by the first eight bytes of the node."""
+    # a shingle of many candidates is one row per map task after the partial aggregate
+    seen = exploded(sets.select("elements", F.substring("node", 1, 8).alias("owner")), ["owner"])
+    seen = seen.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("owner").alias("owner"))
+    return seen.filter("n = 1").groupBy("owner").agg(F.count(F.lit(1)).alias("lone"))
 
 
 def may_link(n_a: Column, core_a: Column, n_b: Column, core_b: Column) -> Column:
@@ -278,56 +277,44 @@ def links(docs: DataFrame, sketched: DataFrame, id_col: str = "doc_id", text_col
     if members.isEmpty():
         return None
     # the pivot of a bucket is the member with the least of its own, the most like all others
-    pivots = members.groupBy("bucket").agg(F.min(F.struct((1 - F.col("core") / F.col("n")).alias("own"), "node", "n", "core")).alias("p"))
-    near = members.join(pivots, "bucket").filter((F.col("node") != F.col("p.node")) & may_link(F.col("n"), F.col("core"), F.col("p.n"), F.col("p.core")))
+    pivot = F.min(F.struct((1 - F.col("core") / F.col("n")).alias("own"), "node", "n", "core"))
+    near = common.with_group(members, ["bucket"], {"p": pivot}, ["node"]).filter((F.col("node") != F.col("p.node")) & may_link(F.col("n"), F.col("core"), F.col("p.n"), F.col("p.core")))
     pairs = near.select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
     met = common.spill(measured(likely(pairs, nodes), sets), "links")
     roots = components(met.filter("linked").select("a", "b"))
-    tried = pivots.select("bucket", F.col("p.node").alias("node"))
-    # what a member has in common with its bucket's pivot, and what it shares besides with others
-    shared = members.join(pivots.select("bucket", F.col("p.node").alias("a")), "bucket").join(met.select("a", F.col("b").alias("node"), "both"), ["a", "node"], "left")
-    members = common.spill(shared.select("bucket", "node", F.col("a").alias("pivot"), "n", "core", F.coalesce("both", "core").alias("inner"), (F.col("core") - F.coalesce("both", F.lit(0))).alias("outer")), "members")
-    while True:
-        more = open_pairs(members, roots, tried)
-        if more is None:
-            return roots
-        pairs, tried_now = more
-        found = common.spill(measured(likely(pairs, nodes), sets).filter("linked").select("a", "b"), "links")
-        tried = common.spill(tried.unionByName(tried_now), "tried")
-        if not found.isEmpty():
-            roots = components(found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    named = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    spanning = common.with_group(named, ["bucket"], {"first": F.min("root"), "last": F.max("root")}, ["node"], "first <> last")
+    open_ = common.spill(spanning.select("node", "root").distinct(), "open")
+    if open_.isEmpty():
+        return roots
+    left = prefix_pairs(sets.join(open_, "node")).join(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    found = common.spill(measured(likely(left, nodes), sets).filter("linked").select("a", "b"), "links")
+    if found.isEmpty():
+        return roots
+    return components(found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
-def open_pairs(members: DataFrame, roots: DataFrame, tried: DataFrame):
-    """Pairs still to try, with the (bucket, node) they use up; None if there are none.
+def prefix_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b) of the nodes in `sets` (node, root, elements) with different roots that could be similar enough, each pair once.
 
-    A node that was a pivot of a bucket has met all its members. A bucket is open while members that
-    were no pivot lie in two components at least; those outside the largest are pivots now, as many as fit.
+    `place` counts a set's shingles in the common order: first those that no other set has, then by how many have them.
     """
-    named = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = common.spill(named.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("bucket"), "several")
-    if several.isEmpty():
-        return None
-    left = common.spill(named.join(several, "bucket", "left_semi").join(tried, ["bucket", "node"], "left_anti"), "untried")
-    per = left.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n_root"))
-    total = per.groupBy("bucket").agg(F.sum("n_root").alias("all"), F.max(F.struct("n_root", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-    open_ = common.spill(left.join(total.select("bucket", "all", F.col("top.root").alias("main")), "bucket"), "open")
-    if open_.isEmpty():
-        return None
-    # buckets of a group of copies have the same pivot and mostly the same members: pairs are made once for each
-    # pivot, which covers all its buckets
-    names = ["pivot", "node", "root", "n", "core", "inner", "outer"]
-    every = open_.select(*names).distinct()
-    sizes = every.groupBy("pivot").agg(F.count(F.lit(1)).alias("all"))
-    rank = F.row_number().over(Window.partitionBy("pivot").orderBy(1 - F.col("core") / F.col("n"), "node"))
-    outside = open_.filter("root <> main").select(*names).distinct().withColumn("rank", rank).join(sizes, "pivot")
-    chosen = outside.filter(F.col("rank") <= F.greatest(F.lit(1), F.lit(PAIRS_A_ROUND) / F.col("all")))
-    chosen = common.spill(chosen.select("pivot", *[F.col(c).alias(f"p_{c}") for c in names[1:]]), "chosen")
-    bound = F.least(F.col("core"), F.col("p_core"), could_share(F.col("inner"), F.col("outer"), F.col("p_inner"), F.col("p_outer")))
-    fits = (F.col("m.pivot") == F.col("v.pivot")) & (F.col("root") != F.col("p_root")) & may_link(F.col("n"), bound, F.col("p_n"), bound)
-    met = every.alias("m").join(chosen.alias("v"), fits)
-    pairs = met.select(F.least("p_node", "node").alias("a"), F.greatest("p_node", "node").alias("b")).distinct()
-    return pairs, open_.join(chosen.select("pivot", F.col("p_node").alias("node")), ["pivot", "node"], "left_semi").select("bucket", "node")
+    rows = exploded(sets.withColumn("n", (F.length("elements") / 8).cast("int")), ["node", "root", "n"])
+    seen = common.with_group(rows, ["shingle"], {"f": F.count(F.lit(1))}, ["node"], "f > 1")
+    of_node = Window.partitionBy("node")
+    place = F.col("n") - F.count(F.lit(1)).over(of_node) + F.row_number().over(of_node.orderBy("f", "shingle"))
+    # at least 3/4 of the larger set is shared, and 6/7 of the smaller
+    first = seen.withColumn("place", place).filter(100 * (F.col("n") - F.col("place") + 1) >= PERCENT * F.col("n")).drop("f")
+    first = common.spill(first, "prefixes")
+    counts = first.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n_root"))
+    several = counts.groupBy("shingle").agg(F.max(F.struct("n_root", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("shingle", F.col("top.root").alias("main"))
+    first = first.join(several, "shingle")
+    one = lambda x: first.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "n", "place", "main")])
+    behind = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y")) + 1
+    # x lies outside the shingle's largest component; where y does too, the lesser node is x
+    fits = (F.col("root_x") != F.col("root_y")) & ((F.col("root_y") == F.col("main_y")) | (F.col("node_x") < F.col("node_y"))) & ((100 + PERCENT) * behind >= PERCENT * (F.col("n_x") + F.col("n_y")))
+    met = one("x").filter("root_x <> main_x").join(one("y"), "shingle").filter(fits)
+    return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
 def rooted(docs: DataFrame, sketched: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -135,6 +135,22 @@ def test_near_dedup_of_tables(docs):
     assert sorted((r.id, r.n_shingles, r.component_id) for r in got) == near_brute(rows)
 
 
+def test_near_dedup_of_template_pages(spark):
+    """Pages share a template at a similarity of 0.6; their other passages recur in pairs of pages. Few pairs are tried."""
+    rng = random.Random(7)
+    template, rows = " ".join(f"t{k}" for k in range(94)), []
+    passage = lambda: " ".join(f"p{rng.randrange(10**6)}" for _ in range(13))
+    for i in range(0, 1500, 3):
+        a, b, c = passage(), passage(), passage()
+        rows += [(i, f"{template} {a} {b}"), (i + 1, f"{template} {b} {c}"), (i + 2, f"{template} {c} {a} x y")]
+    rows += [(1500 + k, rows[k * 3][1] + " near") for k in range(50)]
+    docs = common.spill(spark.createDataFrame(rows, SCHEMA).repartition(4), "pages")
+    sets = op10_near_dedup.sets_of(docs, docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"))).withColumn("root", F.col("node"))
+    assert op10_near_dedup.prefix_pairs(sets).count() < 5 * len(rows)
+    got = sorted((r.id, r.n_shingles, r.component_id) for r in op10_near_dedup.near_components(docs).collect())
+    assert got == near_brute(rows)
+
+
 def test_near_dedup_edges(edges, empty, wide):
     assert op10_near_dedup.near_components(edges).count() == len(EDGES)
     assert op10_near_dedup.near_components(empty).count() == 0
