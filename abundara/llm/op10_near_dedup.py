@@ -306,9 +306,9 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
     # at least 3/4 of the larger set is shared, and 6/7 of the smaller
     first = seen.withColumn("place", place).filter(100 * (F.col("n") - F.col("place") + 1) >= PERCENT * F.col("n")).drop("f")
     first = common.spill(first, "prefixes")
-    counts = first.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n_root"))
-    several = counts.groupBy("shingle").agg(F.max(F.struct("n_root", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("shingle", F.col("top.root").alias("main"))
-    first = first.join(several, "shingle")
+    counted = common.with_group(first, ["shingle", "root"], {"n_root": F.count(F.lit(1))}, ["node"])
+    aggs = {"top": F.max(F.struct("n_root", "root")), "least": F.min("root"), "most": F.max("root")}
+    first = common.with_group(counted, ["shingle"], aggs, ["node"], "least <> most").withColumn("main", F.col("top.root"))
     one = lambda x: first.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "n", "place", "main")])
     behind = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y")) + 1
     # x lies outside the shingle's largest component; where y does too, the lesser node is x
