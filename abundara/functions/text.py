@@ -7,14 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numeric import ERF_A, ERF_P
+
 #: Token pattern and stop words of the retrieval tokenizer.
 TOKEN_PATTERN = r"([A-Za-z][A-Za-z0-9_-]+|[一-鿿]+)"
 STOP_WORDS = (
-    "a an the and or to of in for on with by is are was were be as at from that this it its into their than then but if we "
-    "our can could may might not no yes have has had also these those which who whom what when where why how such using used "
-    "use between within without about after before during over under all any each other more most some many much via per "
-    "both new one two three"
-).split()
+    "a", "an", "the", "and", "or", "to", "of", "in", "for", "on", "with", "by", "is", "are", "was", "were", "be", "as", "at",
+    "from", "that", "this", "it", "its", "into", "their", "than", "then", "but", "if", "we", "our", "can", "could", "may",
+    "might", "not", "no", "yes", "have", "has", "had", "also", "these", "those", "which", "who", "whom", "what", "when", "where",
+    "why", "how", "such", "using", "used", "use", "between", "within", "without", "about", "after", "before", "during", "over",
+    "under", "all", "any", "each", "other", "more", "most", "some", "many", "much", "via", "per", "both", "new", "one", "two",
+    "three",
+)
 
 
 def blank(c: Column) -> Column:
@@ -67,10 +71,14 @@ def last_segment(c: Column) -> Column:
     return F.element_at(F.split(c, r"\."), -1)
 
 
+#: White space at the ends of a text, as wide as Unicode has it.
+ENDS = r"^[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+|[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+$"
+
+
 def normalise(c: Column) -> Column:
     """Line ends to LF, special blanks to blanks, three breaks or more to two, trimmed."""
-    unified = F.regexp_replace(F.regexp_replace(c, "\r\n?", "\n"), "[   　]", " ")
-    return F.regexp_replace(F.regexp_replace(unified, "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    unified = F.regexp_replace(F.regexp_replace(c, "\r\n?", "\n"), r"[\u2009\u2002\u2003\xa0]", " ")
+    return F.regexp_replace(F.regexp_replace(unified, "\n{3,}", "\n\n"), ENDS, "")
 
 
 def collapse(c: Column) -> Column:
@@ -95,13 +103,14 @@ def snippet(c: Column, most: int) -> Column:
 
 
 def kwic(c: Column, words: Column, before: int = 28, after: int = 88, fallback: int = 120) -> Column:
-    """Window around the first of `words` that the text holds, with ellipses where it is cut."""
-    hits = F.filter(F.transform(words, lambda w: F.position(w, F.lower(c))), lambda p: p > 0)
-    at = F.get(hits, F.lit(0))
-    start = F.greatest(F.lit(1), at - before)
-    end = F.least(F.length(c), at + after)
-    window = F.concat(F.when(start > 1, "...").otherwise(""), F.substring(c, start, end - start + 1), F.when(end < F.length(c), "...").otherwise(""))
-    return F.when(at.isNull(), cut(c, fallback, fallback)).otherwise(window)
+    """Window around the first of `words` that the collapsed text holds, trimmed, with ellipses where it is cut; else the text's beginning."""
+    flat = collapse(c)
+    hits = F.filter(F.transform(words, lambda w: F.position(F.lower(w), F.lower(flat))), lambda p: p > 0)
+    at = F.get(hits, F.lit(0)) - 1  # from 0
+    start, end = F.greatest(F.lit(0), at - before), F.least(F.length(flat), at + after)
+    window = F.concat(F.when(start > 0, "...").otherwise(""), F.trim(F.substring(flat, start + 1, end - start)), F.when(end < F.length(flat), "...").otherwise(""))
+    head = F.when(F.length(flat) > fallback, F.concat(F.trim(F.substring(flat, 1, fallback)), F.lit("..."))).otherwise(flat)
+    return F.when(at.isNull(), head).otherwise(window)
 
 
 def host(url: Column) -> Column:
@@ -170,9 +179,16 @@ def filled_template(template: Column, values: Column) -> Column:
 
 
 def library_of(path: Column) -> Column:
+    """First part of a path, lower case; "general" where there is none."""
     return F.when(F.instr(path, "/") > 1, F.lower(F.split(path, "/")[0])).otherwise("general")
 
 
+def document_title(markdown: Column, path: Column) -> Column:
+    """First heading of the first level, else the file's name without .md."""
+    heading = F.trim(F.regexp_extract(markdown, r"(?m)^[ \t]*# +([^\n]*)", 1))
+    return F.when(markdown.rlike(r"(?m)^[ \t]*# "), heading).otherwise(F.regexp_replace(F.regexp_extract(path, "[^/]*$", 0), r"\.md$", ""))
+
+
 def contains_any(c: Column, words: Sequence[str]) -> Column:
     low = F.lower(F.coalesce(c, F.lit("")))
     out = F.lit(False)
@@ -213,8 +229,34 @@ def distinct_words(*parts: Column) -> Column:
     return F.concat_ws(" ", F.array_distinct(F.filter(F.array(*parts), present)))
 
 
+def _percentile_sql() -> str:
+    t = f"(1D / (1D + {ERF_P}D * abs(greatest(-8D, least(8D, z)) / sqrt(2D))))"
+    poly = "0D"
+    for a in reversed(ERF_A):
+        poly = f"(({poly} + {a}D) * {t})"
+    x = "(greatest(-8D, least(8D, z)) / sqrt(2D))"
+    return f"50D * (1D + signum({x}) * (1D - {poly} * exp(-{x} * {x})))"
+
+
+PERCENTILE_SQL = _percentile_sql()
+
+
 def register(spark) -> None:
-    """Names for SQL users, as SQL functions that the optimizer inlines."""
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION bm25_idf(n DOUBLE, df DOUBLE) RETURNS DOUBLE RETURN ln(1 + (n - df + 0.5D) / (df + 0.5D))")
-    spark.sql(r"CREATE OR REPLACE TEMPORARY FUNCTION strip_taxon_prefix(x STRING) RETURNS STRING RETURN trim(translate(regexp_replace(trim(x), '^[a-z]__', ''), '_-', '  '))")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION log2_fold(v DOUBLE, r DOUBLE) RETURNS DOUBLE RETURN ln((v + 1e-9D) / (r + 1e-9D)) / ln(2D)")
+    """Names for SQL users, as SQL functions that the optimizer inlines, and the chunker as a table function."""
+    from ..operators import retrieval
+
+    strip = r"trim(translate(regexp_replace(trim(l), '^[a-z]__', ''), '_-', '  '))"
+    last = f"element_at(filter(transform(reverse(split(x, '[|;.]')), l -> {strip}), l -> l <> '' AND lower(l) NOT IN ('unclassified', 'unknown')), 1)"
+    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    shifted = "transform(v, y -> greatest(coalesce(y, 0D), 0D) + 1e-6D)"
+    functions = (
+        "bm25_idf(n DOUBLE, df DOUBLE) RETURNS DOUBLE RETURN ln(1 + (n - df + 0.5D) / (df + 0.5D))",
+        "log2_fold(v DOUBLE, r DOUBLE) RETURNS DOUBLE RETURN ln((v + 1e-9D) / (r + 1e-9D)) / ln(2D)",
+        f"short_taxon_name(x STRING) RETURNS STRING RETURN CASE WHEN x IS NULL OR trim(x) = '' THEN 'unnamed' WHEN size(filter(split(x, '[|;.]'), l -> {strip} <> '' AND lower({strip}) NOT IN ('unclassified', 'unknown'))) = 0 THEN {strip.replace('(l)', '(x)')} WHEN length({last}) > 26 THEN substring({last}, 1, 23) || '...' ELSE {last} END",
+        f"retrieval_tokens(x STRING) RETURNS ARRAY<STRING> RETURN filter(regexp_extract_all(lower(coalesce(x, '')), '{TOKEN_PATTERN}', 1), w -> length(w) > 1 AND w NOT IN ({stop}))",
+        f"centered_log_ratio(v ARRAY<DOUBLE>) RETURNS ARRAY<DOUBLE> RETURN transform({shifted}, y -> ln(y) - aggregate({shifted}, 0D, (a, z) -> a + ln(z)) / size(v))",
+        f"percentile_of_z(z DOUBLE) RETURNS DOUBLE RETURN {PERCENTILE_SQL}",
+    )
+    for f in functions:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {f}")
+    spark.udtf.register("text_chunks", retrieval.chunk_table())

@@ -52,11 +52,15 @@ def age_gender(patients: DataFrame) -> DataFrame:
 
 
 def age_gender_pivot(patients: DataFrame) -> DataFrame:
-    """Every bracket, with counts of both genders; spellings that differ by case are summed."""
-    spark = patients.sparkSession
-    brackets = spark.createDataFrame([(i, b[2]) for i, b in enumerate(N.AGE_BRACKETS)] + [(len(N.AGE_BRACKETS), N.AGE_REST)], "position int, age_group string")
-    wide = age_gender(patients.withColumn("gender", F.lower("gender"))).groupBy("age_group").pivot("gender", ["male", "female"]).sum("count")
-    return brackets.join(wide, "age_group", "left").fillna(0, ["male", "female"])
+    """Every bracket, with counts of both genders; spellings that differ by case are summed.
+
+    One aggregate over the patients; brackets are unfolded from its single row of counts, so empty ones are there too.
+    """
+    names = [b[2] for b in N.AGE_BRACKETS] + [N.AGE_REST]
+    bracket, sex = N.bucketize(F.col("age"), N.AGE_BRACKETS, N.AGE_REST), F.lower("gender")
+    count = lambda name, s: F.count_if((bracket == name) & (sex == s)).alias(s)
+    row = patients.agg(*[F.struct(F.lit(i).alias("position"), F.lit(n).alias("age_group"), count(n, "male"), count(n, "female")).alias(f"b{i}") for i, n in enumerate(names)])
+    return row.select(F.explode(F.array(*[F.col(f"b{i}") for i in range(len(names))])).alias("b")).select("b.*")
 
 
 def rolled_up(df: DataFrame, column: str, k: int = 5, when_over: int = 6) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as T
+from ..sources import sinks
 
 #: Samples a body site needs for a cohort of its own; limits and sizes of the comparison.
 LEAST_SCOPED_SAMPLES, DEFAULT_LIMIT, MOST_LIMIT, DOMINANT = 20, 8, 30, 120
@@ -111,11 +112,12 @@ def spatial_deviation(current: DataFrame, cohort: DataFrame, centre: DataFrame)
 
 
 def missing_signature(samples: DataFrame, signature: DataFrame, k: int = 3) -> DataFrame:
-    """For each sample, the first k signature taxa (taxon, position) that aren't among its stored ones.
+    """For each sample, the first k signature taxa (taxon, position) that aren't among its DOMINANT largest rows.
 
     The signature has a fixed, small number of rows (the caller's limit), so each sample meets each of its rows.
     """
-    per = samples.select("patient_id", "sample_id", "taxon").distinct()
+    order = Window.partitionBy("patient_id", "sample_id").orderBy(F.desc("value"), "taxon", "pos")
+    per = samples.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= DOMINANT).select("patient_id", "sample_id", "taxon").distinct()
     names = signature.agg(F.array_sort(F.collect_list(F.struct("position", "taxon"))).alias("wanted"))
     held = per.join(F.broadcast(signature.select("taxon")), "taxon").groupBy("patient_id", "sample_id").agg(F.collect_set("taxon").alias("held"))
     all_ = per.select("patient_id", "sample_id").distinct().join(held, ["patient_id", "sample_id"], "left").join(F.broadcast(names))  # one row
@@ -123,12 +125,16 @@ def missing_signature(samples: DataFrame, signature: DataFrame, k: int = 3) -> D
     return all_.select("patient_id", "sample_id", F.posexplode(kept).alias("at", "w")).select("patient_id", "sample_id", (F.col("at") + 1).alias("position"), F.col("w.taxon").alias("taxon"))
 
 
-def healthy_reference(patients: DataFrame, healthy: DataFrame, facts: DataFrame, patient_id: int, sample_id: str, limit: int = DEFAULT_LIMIT) -> dict[str, DataFrame]:
-    """All parts of the comparison of one sample, from one cohort join."""
+def healthy_reference(patients: DataFrame, healthy: DataFrame, facts: DataFrame, target: DataFrame, limit: int = DEFAULT_LIMIT) -> dict[str, DataFrame]:
+    """All parts of the comparison of one sample: `target` is one row (patient_id, sample_id).
+
+    The cohort's rows are joined once and written: scope, counts, statistics and distances all read that table.
+    """
     limit = N.clamp_limit(limit, DEFAULT_LIMIT, MOST_LIMIT)
-    patient = patients.filter(F.col("patient_id") == patient_id)
-    current = facts.filter((F.col("patient_id") == patient_id) & (F.col("sample_id") == sample_id))
-    every = cohort_facts(healthy, facts, ("body_site",))
+    one = F.broadcast(target.select("patient_id", "sample_id"))  # one row
+    patient = patients.join(F.broadcast(target.select("patient_id")), "patient_id", "left_semi")  # one row
+    current = facts.join(one, ["patient_id", "sample_id"], "left_semi")
+    every = sinks.written(cohort_facts(healthy, facts, ("body_site",)).select("patient_id", "sample_id", "taxon", "value", "pos", "body_site"), "cohort")
     scope = scopes(patient, every)
     mine = F.broadcast(scope)  # one row
     cohort = every.join(mine.select(F.col("body_site").alias("site"), "reference_scope"), (F.col("reference_scope") == "all_healthy") | (F.col("body_site") == F.col("site"))).drop("site", "reference_scope", "body_site")

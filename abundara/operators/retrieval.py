@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as T
+from ..sources import sinks
 
 #: Chunk sizes in characters, and the share of a chunk behind which a boundary counts.
 MOST, OVERLAP, LEAST, BOUNDARY_FROM = 1800, 250, 240, 0.62
@@ -21,65 +22,115 @@ SKIPPED_SECTIONS = ("references", "reference", "bibliography", "acknowledgment",
 
 
 def paper(docs: DataFrame, text: str = "text") -> DataFrame:
-    """title, metadata (map), abstract and body of Markdown papers."""
-    t = T.normalise(F.col(text))
-    block = lambda name: F.regexp_replace(F.regexp_extract(t, rf"(?ms)^## {name}[^\n]*\n(.*?)(?=^## |\z)", 1), r"^\s+|\s+$", "")
-    lines = F.filter(F.split(block("Metadata"), "\n"), lambda x: x.rlike(r"^- [^:]+:"))
-    pair = lambda x: F.struct(F.lower(F.trim(F.regexp_extract(x, r"^- ([^:]+):", 1))).alias("key"), F.trim(F.regexp_extract(x, r"^- [^:]+:(.*)$", 1)).alias("value"))
+    """title, metadata (map, keys in lower case, the last of a key wins), abstract and body of Markdown papers.
+
+    The abstract reaches from its heading to that of the full text, the full text from there to the end.
+    """
+    t = F.regexp_replace(F.col(text), "\r\n?", "\n")
+    full = r"(?m)^[ \t]*## Full Text[ \t]*$"
+    head = F.split(t, full, 2)[0]
+    body = F.coalesce(F.get(F.split(t, full, 2), F.lit(1)), F.lit(""))
+    abstract = F.regexp_extract(head, r"(?s).*(?:^|\n)[ \t]*## Abstract[ \t]*(?:\n(.*)|$)", 1)
+    block = F.regexp_extract(head, r"(?s)(?:^|\n)[ \t]*## Metadata[ \t]*\n(.*?)(?:\n[ \t]*## |$)", 1)
+    lines = F.filter(F.transform(F.split(block, "\n"), lambda x: F.trim(x)), lambda x: x.rlike("^- [^:]*:"))
+    pair = lambda x: F.struct(F.lower(F.trim(F.regexp_extract(x, "^- ([^:]*):", 1))).alias("key"), F.trim(F.regexp_extract(x, "^- [^:]*:(.*)$", 1)).alias("value"))
     pairs = F.transform(lines, pair)
-    first = F.filter(pairs, lambda p, i: F.array_position(F.transform(pairs, lambda q: q["key"]), p["key"]) == i + 1)
-    return docs.withColumns({"title": F.trim(F.regexp_extract(t, r"(?m)^# ([^\n]*)", 1)), "metadata": F.map_from_entries(first), "abstract": block("Abstract"), "body": block("Full Text")})
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda q: q["key"] == p["key"]))
+    return docs.withColumns({"title": F.trim(F.regexp_extract(head, r"(?m)^# ([^\n]*)", 1)), "metadata": F.map_from_entries(last), "abstract": T.normalise(abstract), "body": T.normalise(body)})
 
 
-def sections(docs: DataFrame, text: str = "text", marks: str = "#{3}") -> DataFrame:
+def sections(docs: DataFrame, text: str = "text", marks: str = "#{3}", untitled: str = "正文") -> DataFrame:
     """(position, heading, content) of the parts that headings begin; parts without content and reference-like ones are dropped."""
     rows = docs.select("*", F.posexplode(F.split(F.col(text), rf"(?m)(?=^{marks} )")).alias("position", "part"))
     heading = F.trim(F.regexp_extract("part", rf"^{marks} ([^\n]*)", 1))
-    content = F.regexp_replace(F.regexp_replace("part", rf"^{marks} [^\n]*\n?", ""), r"^\s+|\s+$", "")
+    content = T.normalise(F.regexp_replace("part", rf"^{marks} [^\n]*\n?", ""))
     skipped = F.lower("heading").rlike("|".join(map(re.escape, SKIPPED_SECTIONS)))
-    return rows.select("*", heading.alias("heading"), content.alias("content")).filter((F.col("content") != "") & ~skipped).drop("part")
+    return rows.select("*", F.when(heading == "", untitled).otherwise(heading).alias("heading"), content.alias("content")).filter((F.col("content") != "") & ~skipped).drop("part")
+
+
+def knowledge_sections(docs: DataFrame, text: str = "text", path: str = "path") -> DataFrame:
+    """(id, library, title, content) of Markdown notes: headings of the second and third level begin sections, those of the first are dropped.
+
+    A first-level heading before any content of a section becomes its title. A note without sections is one under its own title.
+    """
+    plain = F.array_join(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\r\n|[\n\r\u0085\u2028\u2029\u000b\u000c]"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
+    title = T.document_title(F.col(text), F.col(path))
+    top = lambda p: F.regexp_extract(p, r"^(?:#{2,3} [^\n]*\n)?(?:# [^\n]*\n)*# ([^\n]*)(?:\n|$)", 1)
+    own = lambda p: F.trim(F.regexp_extract(p, r"^#{2,3}\s+([^\n]*)", 1))
+    rest = lambda p: T.collapse(F.regexp_replace(F.regexp_replace(p, r"^#{2,3} [^\n]*\n?", ""), r"(?m)^# [^\n]*$", ""))
+    one = lambda p: F.struct(F.when(p.rlike(r"^(?:#{2,3} [^\n]*\n)?# "), F.trim(top(p))).when(p.rlike("^#{2,3} "), own(p)).otherwise(title).alias("title"), rest(p).alias("content"))
+    found = F.filter(F.transform(F.split(plain, r"(?m)(?=^#{2,3} )"), one), lambda s: s["content"] != "")
+    whole = F.array(F.struct(title.alias("title"), T.collapse(F.col(text)).alias("content")))
+    rows = docs.filter(T.present(F.col(text))).select(path, F.posexplode(F.when(F.size(found) > 0, found).otherwise(whole)).alias("at", "s")).filter("s.content <> ''")
+    return rows.select(F.concat(F.col(path), F.lit("#"), (F.col("at") + 1).cast("string")).alias("id"), T.library_of(F.col(path)).alias("library"), F.col("s.title").alias("title"), F.col("s.content").alias("content"))
+
 
+#: A place where a chunk may end: behind the mark, or in a blank line.
+BOUNDARY = re.compile(r"[。！？.!?;；]\s|\n\n")
 
-SENTENCE_END = re.compile(r"[.!?。！？]\s|\n\n")
 
+def normalised(text: str) -> str:
+    """T.normalise for one text."""
+    return re.sub(r"\n{3,}", "\n\n", re.sub("[\u2009\u2002\u2003\xa0]", " ", re.sub("\r\n?", "\n", text))).strip()
 
-def cut_points(text: str, most: int = MOST, overlap: int = OVERLAP, least: int = LEAST) -> list[tuple[int, int]]:
-    """Ranges of a text's overlapping chunks. A chunk ends behind the last sentence end or blank line in its window, if that lies past 62 % of it."""
+
+def cut_texts(text: str, most: int = MOST, overlap: int = OVERLAP, least: int = LEAST) -> list[str]:
+    """Overlapping chunks of a normalised text, each normalised, without those below `least` characters.
+
+    A chunk ends one character behind the start of the last boundary in its window, if that is at least 62 % into it.
+    """
     if overlap >= BOUNDARY_FROM * most:
         raise ValueError("an overlap this large would never advance")
+    if len(text) <= most:
+        return [text] if len(text) >= least else []
     out, at = [], 0
     while at < len(text):
         end = min(at + most, len(text))
-        if end < len(text):
-            ends = [m.end() for m in SENTENCE_END.finditer(text, at, end)]
-            if ends and ends[-1] - at > BOUNDARY_FROM * most:
-                end = ends[-1]
-        if end - at >= least or not out:
-            out.append((at, end))
-        if end == len(text):
+        last = max((m.start() for m in BOUNDARY.finditer(text[at:end])), default=None)
+        if last is not None and at + last + 1 >= min(len(text), at + int(most * BOUNDARY_FROM)):
+            end = at + last + 1
+        chunk = normalised(text[at:end])
+        if len(chunk) >= least:
+            out.append(chunk)
+        if end >= len(text):
             break
-        at = end - overlap
+        at = max(0, end - overlap)
     return out
 
 
-def chunks(docs: DataFrame, key: str, text: str, most: int = MOST, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
-    """(key, number, chunk): texts that fit are one chunk without leaving the JVM; longer ones are cut in Arrow batches."""
-    short = docs.filter((F.length(text) <= most) & (F.trim(F.col(text)) != "")).select(key, F.lit(1).alias("number"), F.col(text).alias("chunk"))
-    long = docs.filter(F.length(text) > most).select(key, F.col(text).alias("chunk"))
+def chunks(docs: DataFrame, key: str | list[str], text: str, most: int = MOST, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
+    """(*key, number, chunk): texts that fit are one chunk without leaving the JVM; longer ones are cut in Arrow batches."""
+    keys = [key] if isinstance(key, str) else list(key)
+    rows = docs.select(*keys, T.normalise(F.coalesce(text, F.lit(""))).alias("chunk"))
+    short = rows.filter(F.length("chunk").between(least, most)).select(*keys, F.lit(1).alias("number"), "chunk")
+    long = rows.filter(F.length("chunk") > most)
 
     def cut(batches):
         import pyarrow as pa
 
         for batch in batches:
             row, number, chunk = [], [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                for n, (a, b) in enumerate(cut_points(t, most, overlap, least), 1):
+            for i, t in enumerate(batch.column(len(keys)).to_pylist()):
+                for n, piece in enumerate(cut_texts(t, most, overlap, least), 1):
                     row.append(i)
                     number.append(n)
-                    chunk.append(t[a:b])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), pa.array(chunk, pa.string())], names=[key, "number", "chunk"])
+                    chunk.append(piece)
+            yield pa.RecordBatch.from_arrays([*[c.take(pa.array(row, pa.int64())) for c in batch.columns[:-1]], pa.array(number, pa.int32()), pa.array(chunk, pa.string())], names=[*keys, "number", "chunk"])
+
+    schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys), "number int", "chunk string"])
+    return short.unionByName(long.mapInArrow(cut, schema))
+
+
+def chunk_table():
+    """The chunker as a table function for SQL: SELECT ... FROM docs, LATERAL text_chunks(docs.text)."""
+    from pyspark.sql.functions import udtf
 
-    return short.unionByName(long.mapInArrow(cut, f"{key} {docs.schema[key].dataType.simpleString()}, number int, chunk string"))
+    @udtf(returnType="number int, chunk string")
+    class TextChunks:
+        def eval(self, text: str):
+            yield from enumerate(cut_texts(normalised(text or "")), 1)
+
+    return TextChunks
 
 
 def numbered_chunks(parts: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
@@ -88,6 +139,29 @@ def numbered_chunks(parts: DataFrame, key: str, order: Sequence[str]) -> DataFra
     return parts.withColumn("chunk_id", F.format_string("%s-%s%03d", F.col(key).cast("string"), F.when(F.col("kind") == "abstract", "A").otherwise("F"), rank))
 
 
+#: Fields of a paper's metadata that its chunks carry.
+CARRIED = ("pmid", "topic", "year", "journal", "doi")
+
+
+def paper_chunks(docs: DataFrame, index: DataFrame, key: str = "pmcid", text: str = "text") -> DataFrame:
+    """Chunk rows of Markdown papers: parsed, joined to the index (pmcid, ingested, pmid, topic, source_url), split, cut and numbered.
+
+    A paper that the index excludes is left out; fields come from the paper, then the index; a topic is "unknown" at last.
+    """
+    known = index.select(key, "ingested", *[F.col(c).alias(f"i_{c}") for c in ("pmid", "topic", "source_url")])
+    rows = paper(docs.select(key, text), text).drop(text).join(known, key, "left").filter(~F.col("ingested").eqNullSafe(False))
+    meta = lambda c: F.coalesce(F.try_element_at("metadata", F.lit(c)), F.lit(""))
+    first = lambda *cs: F.coalesce(*[F.nullif(c, F.lit("")) for c in cs], F.lit(""))
+    fields = {"pmid": first(meta("pmid"), F.col("i_pmid")), "topic": F.coalesce(F.nullif(first(meta("topic"), F.col("i_topic")), F.lit("")), F.lit("unknown")), "year": meta("year"), "journal": meta("journal"), "doi": meta("doi"), "source_url": first(F.col("i_source_url"), meta("europepmc"))}
+    rows = rows.withColumns(fields).drop("metadata", "ingested", "i_pmid", "i_topic", "i_source_url")
+    abstract = rows.select(key, F.lit(-1).alias("position"), F.lit("abstract").alias("kind"), F.lit("Abstract").alias("section"), F.col("abstract").alias("content"))
+    body = sections(rows.select(key, "body"), "body").select(key, "position", F.lit("body").alias("kind"), F.col("heading").alias("section"), "content")
+    cut = chunks(abstract.unionByName(body), [key, "position", "kind", "section"], "content")
+    numbered = numbered_chunks(cut, key, ["position", "number"])
+    out = numbered.join(rows.drop("abstract", "body"), key)
+    return out.select("chunk_id", key, "title", *CARRIED, "section", "source_url", F.col("chunk").alias("text"))
+
+
 def with_index(docs: DataFrame, index: DataFrame, key: str, fields: Sequence[str], missing: str = "unknown") -> DataFrame:
     """Fields from the document, else its index row, else `missing`; documents that the index excludes are dropped."""
     i = index.select(key, "ingested", *[F.col(f).alias(f"__{f}") for f in fields])
@@ -104,9 +178,22 @@ def tokenized(chunks_: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumn("length", F.size("tokens")).filter("length > 0")
 
 
-def postings(tokens: DataFrame, key: str) -> DataFrame:
-    """(token, key, tf, length): the inverted index."""
-    return tokens.select(key, "length", F.explode("tokens").alias("token")).groupBy("token", key, "length").agg(F.count(F.lit(1)).alias("tf"))
+def built_index(chunks_: DataFrame, key: str, text: str = "text", *carried: str) -> DataFrame:
+    """The corpus as a written table (key, tokens, length, carried columns): one scan and one tokenising pass, whatever is asked of it later.
+
+    The tokens of a chunk stay together, so building shuffles nothing; lengths and statistics read one narrow column.
+    """
+    rows = tokenized(chunks_.select(key, *carried, text), text).select(key, "tokens", "length", *carried)
+    path = sinks.scratch_folder(chunks_.sparkSession, "index")
+    rows.write.parquet(path)
+    return chunks_.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def postings(tokens: DataFrame, key: str, wanted: DataFrame | None = None) -> DataFrame:
+    """(token, key, tf, length): the inverted index, of the tokens in `wanted` only if given; others go before the shuffle."""
+    rows = tokens.select(key, "length", F.explode("tokens").alias("token"))
+    rows = rows if wanted is None else rows.join(wanted, "token", "left_semi")
+    return rows.groupBy("token", key, "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_frequency(post: DataFrame) -> DataFrame:
@@ -117,16 +204,20 @@ def corpus_stats(tokens: DataFrame) -> DataFrame:
     return tokens.agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("length"), 6).alias("avgdl"))
 
 
-def bm25(queries: DataFrame, post: DataFrame, stats: DataFrame, query_key: str, key: str, text: str = "text", df: DataFrame | None = None) -> DataFrame:
-    """(query, key, score) of every chunk that shares a token with a query. A token that a query repeats counts each time.
+def query_terms(queries: DataFrame, query_key: str, text: str = "text") -> DataFrame:
+    """(query, token, times). A token that a query repeats counts each time."""
+    return queries.select(query_key, F.explode(T.tokens(F.col(text))).alias("token")).groupBy(query_key, "token").agg(F.count(F.lit(1)).alias("times"))
+
+
+def bm25(queries: DataFrame, index: DataFrame, query_key: str, key: str, text: str = "text") -> DataFrame:
+    """(query, key, score) of every chunk that shares a token with a query, from the tables of `built_index`.
 
-    Touches only the postings of the queries' tokens: a semi-join reduces the index first, and document frequencies
-    are counted on what is left (all postings of those tokens).
+    Only the queries' tokens are grouped and shuffled: a semi-join drops all others where they are read. Document
+    frequencies are counted on what is left, all postings of those tokens.
     """
-    terms = queries.select(query_key, F.explode(T.tokens(F.col(text))).alias("token")).groupBy(query_key, "token").agg(F.count(F.lit(1)).alias("times"))
-    wanted = post.join(terms.select("token").distinct(), "token", "left_semi")
-    df = document_frequency(wanted) if df is None else df
-    rows = wanted.join(df, "token").join(terms, "token").join(F.broadcast(stats))  # one row
+    terms = query_terms(queries, query_key, text)
+    post = postings(index, key, terms.select("token").distinct())
+    rows = post.join(document_frequency(post), "token").join(terms, "token").join(F.broadcast(corpus_stats(index)))  # one row
     score = F.col("times") * N.bm25_idf(F.col("n_docs"), F.col("df")) * N.bm25_tf(F.col("tf"), F.col("length"), F.col("avgdl"))
     return rows.groupBy(query_key, key).agg(F.sum(score).alias("score"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,6 +98,11 @@ def usage_issues(expected: Column, used: Column) -> Column:
     return F.transform(short, lambda e: F.concat(F.lit("missing_mcp_usage:"), e["key"]))
 
 
+def step_issues(expected: Column, steps: Column) -> Column:
+    """Steps of a plan that the trace doesn't have."""
+    return F.transform(F.filter(expected, lambda s: ~F.array_contains(steps, s)), lambda s: F.concat(F.lit("missing_mcp_step:"), s))
+
+
 def severity(error: Column, forbidden: Column, missing_must: Column, missing_should: Column, issues: Column) -> Column:
     begins = lambda i: F.greatest(*[F.startswith(i, F.lit(p)) for p in P1_PREFIXES])
     return (
@@ -137,44 +144,128 @@ def completed(output: Column, signal: Column) -> Column:
     return T.present(signal) & F.contains(F.upper(F.coalesce(output, F.lit(""))), F.upper(signal))
 
 
-def review(risk: Column, channels: Column, prediction: Column, knowledge: Column) -> Column:
-    """Flags of a finished run, and whether a person should look."""
-    expected = F.array(F.lit("data"), F.lit("model"), F.lit("knowledge"))
-    gone = F.array_except(expected, channels)
-    return F.struct(prediction.alias("used_prediction"), knowledge.alias("used_knowledge"), gone.alias("missing_channels"), ((risk == "high") | (F.size(gone) > 1)).alias("human_review"))
+def review(risk: Column, knowledge: Column, web: Column, prediction: Column, usage: Column) -> Column:
+    """Flags of a finished run, channels that are missing, and whether a person should look.
+
+    `usage`: map of counts by access type. The model is missed where the risk is medium; a person is asked for where it is
+    high and knowledge or model had no part. A null risk means that no task was set.
+    """
+    used = lambda kind: F.coalesce(F.try_element_at(usage, F.lit(kind)), F.lit(0)) > 0
+    is_risk = lambda level: F.coalesce(F.lower(risk) == level, F.lit(False))
+    missing_ = F.array_compact(F.array(F.when(~knowledge, "internal_knowledge"), F.when(~prediction & is_risk("medium"), "model_judgement")))
+    hint = F.when(knowledge & prediction & web & used("resources") & used("prompts"), "all_layers").when(knowledge & prediction, "data_model_knowledge").when(knowledge, "knowledge_only").otherwise("workflow_only")
+    return F.struct(
+        knowledge.alias("used_knowledge"), web.alias("used_web"), prediction.alias("used_prediction"), used("tools").alias("used_tools"), used("resources").alias("used_resources"), used("prompts").alias("used_prompts"),
+        missing_.alias("missing_channels"), (is_risk("high") & ~(knowledge & prediction)).alias("human_review"), hint.alias("hint"),
+    )
+
 
+def evidence_channels(prediction: Column, knowledge: Column, external: Column) -> Column:
+    """Channels of an answer; business data always are one."""
+    return F.array_compact(F.array(F.lit("data"), F.when(prediction, "model"), F.when(knowledge, "knowledge"), F.when(external, "external")))
 
-def evidence_channels(data: Column, model: Column, knowledge: Column, external: Column) -> Column:
-    return F.array_compact(F.array(F.when(data, "data"), F.when(model, "model"), F.when(knowledge, "knowledge"), F.when(external, "external")))
 
+#: Layers of an answer by intent (key, fields in order), and the marks that join values and fields.
+LAYERS = {
+    "DASHBOARD_QA": (("dashboard_observation", ("totalPatients", "topDisease", "topRegion", "topDiseases")), ("internal_knowledge", None), ("external_evidence", None)),
+    "PREDICTION_ASSISTANT": (("prediction_result", ("predictionTop1Label", "predictionTop1Probability", "predictionTop2Label", "predictionTop2Probability")), ("model_boundary", None), ("external_evidence", None)),
+    "PATIENT_ANALYSIS": (
+        ("data_observation", ("sampleId", "currentDominanceLabel", "currentTopTaxa")), ("healthy_reference", ("healthyReferenceScope", "healthyDeviationLabel", "elevatedTaxa", "depletedTaxa")),
+        ("model_judgement", ("predictionTop1Label", "predictionTop2Label", "predictionConsistency")), ("internal_knowledge", None), ("external_evidence", None),
+    ),
+}
+BETWEEN_VALUES, BETWEEN_FIELDS = "、", "；"
 
-def layered_response(observation: Column, model: Column, knowledge: Column, external: Column, boundary: Column) -> Column:
-    """Sections that have content, each under its name."""
-    part = lambda name, c: F.when(T.present(c), F.concat(F.lit(f"[{name}] "), c))
-    return F.concat_ws("\n", part("observation", observation), part("model", model), part("knowledge", knowledge), part("external", external), part("boundary", boundary))
 
+def field_text(meta: dict[str, Column], arrays: set[str], name: str) -> Column:
+    """A field of the metadata as text: trimmed, lists joined without blanks, empty if it isn't there."""
+    c = meta.get(name, F.lit(None).cast("string"))
+    if name in arrays:
+        return F.array_join(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x)), T.present), BETWEEN_VALUES)
+    return F.coalesce(F.trim(c.cast("string")), F.lit(""))
 
-def polished_summary(routed: Column, summary: Column) -> Column:
-    lead = F.when(routed == "DASHBOARD_QA", "Overview: ").when(routed == "PREDICTION_ASSISTANT", "Prediction: ").otherwise("Sample: ")
-    return F.when(T.blank(summary), summary).when(F.startswith(summary, lead), summary).otherwise(F.concat(lead, summary))
 
+def layers(routed: Column, meta: dict[str, Column], arrays: set[str], knowledge: Column, external: Column) -> Column:
+    """Array of (key, summary) of the intent's layers. `knowledge`: array of titles; `external`: array of (title, domain)."""
+    first = lambda parts, none: F.coalesce(F.nullif(F.array_join(F.slice(F.filter(parts, lambda x: x.isNotNull()), 1, 2), BETWEEN_VALUES), F.lit("")), F.lit(none))
+    known = first(F.coalesce(knowledge, F.array().cast("array<string>")), "no internal knowledge")
+    seen = first(F.transform(F.coalesce(external, F.array().cast("array<struct<title:string,domain:string>>")), lambda e: F.when(e["domain"].isNotNull(), F.concat(e["title"], F.lit(" @ "), e["domain"])).otherwise(e["title"])), "no external evidence")
+    out: Column | None = None
+    for name, parts in LAYERS.items():
+        made = []
+        for key, fields in parts:
+            joined = F.array_join(F.filter(F.array(*[field_text(meta, arrays, f) for f in fields]), T.present), BETWEEN_FIELDS) if fields else known if key != "external_evidence" else seen
+            made.append(F.struct(F.lit(key).alias("key"), F.when(T.present(joined), joined).otherwise("none").alias("summary")))
+        out = F.when(routed == name, F.array(*made)) if out is None else out.when(routed == name, F.array(*made))
+        last = F.array(*made)
+    return out.otherwise(last)
+
+
+def layered_summary(summary: Column) -> Column:
+    """A summary that says that the answer is layered, once."""
+    return F.when(T.blank(summary), "layered answer").when(F.contains(summary, F.lit("layered")), summary).otherwise(F.concat(summary, F.lit(" (layered answer)")))
+
+
+def polished_summary(routed: Column, meta: dict[str, Column], arrays: set[str] = frozenset()) -> Column:
+    """The summary of an intent from its metadata, fields that are blank by their defaults; that of a patient says where it deviates."""
+    read = lambda name, default="--": F.coalesce(F.nullif(field_text(meta, arrays, name), F.lit("")), F.lit(default))
+    overview = F.concat(F.lit("overview: "), read("totalPatients"), F.lit(" samples, mostly "), read("topDisease"), F.lit(", from "), read("topRegion"))
+    prediction = F.concat(F.lit("prediction: "), read("predictionTop1Label"), F.lit(" ("), read("predictionTop1Probability"), F.lit("%), then "), read("predictionTop2Label"))
+    patient = F.concat(F.lit("sample "), read("sampleId"), F.lit(": "), read("healthyDeviationLabel", "to be added"), F.lit(", model says "), read("predictionTop1Label"), F.lit(" ("), read("predictionConsistency", "consistency open"), F.lit(")"))
+    top, level = (field_text(meta, arrays, x) for x in ("deviationTopTaxa", "spatialDeviationLevel"))
+    patient = F.concat(patient, F.when(top != "", F.concat(F.lit("; deviating taxa: "), top)).otherwise(""), F.when(level != "", F.concat(F.lit("; distance: "), level)).otherwise(""))
+    return F.when(routed == "DASHBOARD_QA", overview).when(routed == "PREDICTION_ASSISTANT", prediction).otherwise(patient)
+
+
+def evidence_suffixes(summary: Column, knowledge: Column, medical: Column, web: Column) -> Column:
+    """A summary with what evidence was added, unless it names it; a blank one becomes a sentence of its own by what was found."""
+    base = F.coalesce(summary, F.lit(""))
+    alone = (
+        F.when(knowledge & medical & web, "knowledge, medical and web evidence added").when(knowledge & medical, "knowledge and medical evidence added").when(knowledge, "knowledge evidence added")
+        .when(medical, "medical evidence added").when(web, "web evidence added").otherwise("no evidence found")
+    )
+    rules = ((knowledge, ("knowledge base",), " knowledge evidence added."), (medical, ("medical evidence", "literature"), " medical evidence added."), (web, ("external evidence", "web evidence"), " web evidence added."))
+    named = lambda words: F.greatest(*[F.contains(base, F.lit(w)) for w in words], F.lit(False))
+    return F.when(T.blank(base), alone).otherwise(F.concat(base, *[F.when(holds & ~named(words), text).otherwise("") for holds, words, text in rules]))
 
-def with_suffixes(summary: Column, *suffixes: tuple[Column, str]) -> Column:
-    """Each suffix whose condition holds and that the text doesn't have yet."""
-    out = summary
-    for holds, text in suffixes:
-        out = F.when(holds & ~F.contains(out, F.lit(text)), F.concat(out, F.lit(text))).otherwise(out)
-    return out
 
+#: Types of cards that are never shown, and those that come first.
+NOISE_CARDS, FIRST_CARDS = ("multi_agent", "agent_insights", "hybrid_orchestration"), ("medical_evidence", "knowledge_support", "web_evidence")
+#: The page's order of cards; others follow as they come.
+PAGE_ORDER = ("patient_difference", "healthy_reference", "prediction_link")
 
-def kept_cards(cards: Column, noise: tuple[str, ...], first: tuple[str, ...], most: int = 4, longest: int = 520) -> Column:
-    """Cards without noise and blanks, priority types first, one of each type and title, texts cut, at most `most`."""
-    good = F.filter(cards, lambda c: ~c["type"].isin(*noise) & T.present(c["content"]))
+
+def tidy_text(c: Column) -> Column:
+    return F.trim(F.replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "), F.lit("Fo."), F.lit("")))
+
+
+def shown_cards(cards: Column, rank: Callable[[Column], Column], cut: Callable[[Column, Column], Column], untitled: str, most: int) -> Column:
+    """Cards (type, title, content) without noise and blanks, one of each type and title, by `rank`, then as they come."""
+    tidy = F.transform(F.coalesce(cards, F.array().cast("array<struct<type:string,title:string,content:string>>")), lambda c: F.struct(F.lower(F.trim(F.coalesce(c["type"], F.lit("")))).alias("type"), tidy_text(F.coalesce(c["title"], F.lit(untitled))).alias("title"), tidy_text(c["content"]).alias("content")))
+    good = F.filter(tidy, lambda c: ~c["type"].isin(*NOISE_CARDS) & (c["title"] != "") & (c["content"] != ""))
     key = lambda c: F.concat_ws("|", c["type"], c["title"])
-    keys = F.transform(good, key)
-    once = F.filter(good, lambda c, i: F.array_position(keys, key(c)) == i + 1)
-    ranked = F.transform(once, lambda c, i: F.struct(F.when(c["type"].isin(*first), 0).otherwise(1).alias("p"), i.alias("i"), c["type"].alias("type"), c["title"].alias("title"), T.cut(c["content"], longest, longest).alias("content")))
-    return F.slice(F.transform(F.array_sort(ranked), lambda c: F.struct(c["type"].alias("type"), c["title"].alias("title"), c["content"].alias("content"))), 1, most)
+    ranked = F.array_sort(F.transform(good, lambda c, i: F.struct(rank(c["type"]).alias("p"), i.alias("i"), key(c).alias("k"), c["type"].alias("type"), c["title"].alias("title"), cut(c["type"], c["content"]).alias("content"))))
+    keys = F.transform(ranked, lambda c: c["k"])
+    once = F.filter(ranked, lambda c, i: F.array_position(keys, c["k"]) == i + 1)
+    return F.slice(F.transform(once, lambda c: F.struct(c["type"].alias("type"), c["title"].alias("title"), c["content"].alias("content"))), 1, most)
+
+
+def kept_cards(cards: Column, most: int = 4, longest: int = 520) -> Column:
+    """Cards of an answer: evidence first and whole, other texts cut."""
+    first = lambda t: t.isin(*FIRST_CARDS)
+    return shown_cards(cards, lambda t: F.when(first(t), 0).otherwise(1), lambda t, c: F.when(first(t), c).otherwise(T.cut(c, longest, longest)), "", most)
+
+
+def page_cards(cards: Column, most: int = 5) -> Column:
+    """Cards of the page, in its order."""
+    rank = lambda t: F.coalesce(*[F.when(t == n, i) for i, n in enumerate(PAGE_ORDER)], F.lit(99))
+    return shown_cards(cards, rank, lambda t, c: c, "analysis", most)
+
+
+def page_actions(actions: Column, most: int = 3) -> Column:
+    """Distinct actions that aren't blank and aren't about agents."""
+    tidy = F.transform(F.coalesce(actions, F.array().cast("array<string>")), tidy_text)
+    return F.slice(F.array_distinct(F.filter(tidy, lambda a: (a != "") & ~F.contains(F.lower(a), F.lit("agent")))), 1, most)
 
 
 def staged_fold(steps: Column, first_input: Column) -> Column:
@@ -197,6 +288,8 @@ def comparison_question(c: Column) -> Column:
 
 
 def prediction_insight(predictions: Column) -> Column:
-    """Labels and percents of the two most probable classes, with defaults."""
-    at = lambda i: F.get(predictions, F.lit(i))
-    return F.struct(F.coalesce(at(0)["label"], F.lit("-")).alias("top1"), F.coalesce(at(0)["percent"], F.lit(0.0)).alias("top1_percent"), F.coalesce(at(1)["label"], F.lit("-")).alias("top2"), F.coalesce(at(1)["percent"], F.lit(0.0)).alias("top2_percent"))
+    """Labels (else groups, else a default) and probabilities (text is read, else 0) of the two most probable classes."""
+    at = lambda i: F.get(F.coalesce(predictions, F.array().cast("array<struct<label:string,group:string,probability:string>>")), F.lit(i))
+    label = lambda i, none: F.coalesce(F.nullif(F.trim(at(i)["label"]), F.lit("")), F.nullif(F.trim(at(i)["group"]), F.lit("")), F.lit(none))
+    number = lambda i: F.coalesce(F.trim(at(i)["probability"]).try_cast("double"), F.lit(0.0))
+    return F.struct(label(0, "unlabelled").alias("top1"), number(0).alias("top1_probability"), label(1, "none").alias("top2"), number(1).alias("top2_probability"))

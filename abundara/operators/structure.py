@@ -68,18 +68,27 @@ def compared(current: DataFrame, other: DataFrame, shared: DataFrame) -> DataFra
     return rows.select("patient_id", "sample_id", "other_sample_id", "feature_delta", "overlap", advice.alias("advice"))
 
 
-def deviation_insight(comparisons: DataFrame, level: Column | None = None) -> DataFrame:
-    """Labels of each sample's ranked comparisons: first 5 names, first 3 raised and lowered, and an overall label."""
+def deviation_insight(comparisons: DataFrame, levels: DataFrame | None = None, signature: DataFrame | None = None) -> DataFrame:
+    """Labels of each sample's ranked comparisons: first 5 names, first 3 raised and lowered, an overall label and a recommendation.
+
+    `levels`: (patient_id, sample_id, level) of the distance to the healthy centre, where it is known. `signature`: missing
+    healthy taxa (patient_id, sample_id, position, taxon).
+    """
+    key = ["patient_id", "sample_id"]
     name = T.short_taxon_name(F.col("taxon"))
-    item = F.struct("rank", name.alias("name"), "direction")
-    rows = comparisons.groupBy("patient_id", "sample_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    rows = comparisons.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("rank", name.alias("name"), "direction"))).alias("items"))
     names = lambda which: F.array_distinct(F.transform(F.filter("items", which), lambda x: x["name"]))
     raised, lowered = F.slice(names(lambda x: x["direction"] == "higher"), 1, 3), F.slice(names(lambda x: x["direction"] == "lower"), 1, 3)
-    out = rows.select("patient_id", "sample_id", F.slice(names(lambda x: x["name"] != ""), 1, 5).alias("top"), raised.alias("raised"), lowered.alias("lowered"))
-    level = F.lit("mild") if level is None else level
+    out = rows.select(*key, F.slice(names(lambda x: x["name"] != ""), 1, 5).alias("top"), raised.alias("raised"), lowered.alias("lowered"))
+    out = out.withColumn("level", F.lit("mild")) if levels is None else out.join(levels.select(*key, "level"), key, "left")
+    if signature is not None:
+        listed = signature.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("position", name.alias("name")))).alias("s"))
+        out = out.join(listed, key, "left").withColumn("signature", F.coalesce(F.slice(F.array_distinct(F.transform("s", lambda x: x["name"])), 1, 3), F.array().cast("array<string>"))).drop("s")
     some = (F.size("raised") > 0) | (F.size("lowered") > 0)
-    label = F.when((level == "high") | ((F.size("raised") >= 2) & (F.size("lowered") >= 1)), "clear_deviation").when((level == "moderate") | some, "some_deviation").otherwise("near_healthy")
-    return out.withColumn("deviation_label", label)
+    is_level = lambda x: F.coalesce(F.col("level") == x, F.lit(False))
+    label = F.when(is_level("high") | ((F.size("raised") >= 2) & (F.size("lowered") >= 1)), "clear_deviation").when(is_level("moderate") | some, "some_deviation").otherwise("near_healthy")
+    advice = F.when(F.col("deviation_label") == "clear_deviation", "look_at_top_scores").when(F.col("deviation_label") == "some_deviation", "check_against_prediction").otherwise("follow_up")
+    return out.withColumn("deviation_label", label).withColumn("recommendation", advice)
 
 
 def consistency_label(disease: Column, top1: Column) -> Column:
@@ -95,6 +104,8 @@ def confidence_advice(top1_percent: Column) -> Column:
     return F.when(top1_percent >= 70, "follow_top1").otherwise("weigh_top2")
 
 
-def difference_text(name: Column, value: Column, reference: Column, fold: Column) -> Column:
-    """One line per taxon: value, reference and signed fold change."""
-    return F.format_string("%s: %.4f vs %.4f (log2FC %+.2f)", name, value, reference, fold)
+def difference_text(items: DataFrame, k: int = 3) -> DataFrame:
+    """One line per sample: its k most telling taxa with fold change and z. `items` has ranks from 1."""
+    line = F.format_string("%s(log2FC %+.2f, Z=%.2f)", T.clean_taxon_name(F.col("taxon")), "log2_fold", "z")
+    rows = items.filter(F.col("rank") <= k).groupBy("patient_id", "sample_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("x"))
+    return rows.select("patient_id", "sample_id", F.array_join(F.transform("x", lambda x: x["line"]), "、").alias("text"))

@@ -58,14 +58,10 @@ def best_features(scores: DataFrame, by: str, k: int) -> DataFrame:
     return scores.orderBy(F.desc(by), "feature").limit(k).orderBy("feature")
 
 
-def stratified_sample(rows: DataFrame, label: str, key: str, most: int, seed: int = 42) -> DataFrame:
-    """About `most` rows, the same share of each label, by hash of the key: deterministic and without a sort."""
-    n = rows.count()
-    if n <= most:
-        return rows
-    share = rows.groupBy(label).agg(F.ceil(F.count(F.lit(1)) * F.lit(most / n)).alias("take"))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
-    return rows.withColumn("__rank", rank).join(share, label).filter(F.col("__rank") <= F.col("take")).drop("__rank", "take")
+def stratified_sample(rows: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
+    """The same share of every label: a row stays if the hash of its key falls in it. Deterministic, without a sort or a window."""
+    place = F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("long")
+    return rows.filter(F.pmod(place, F.lit(1_000_000)) < int(share * 1_000_000))
 
 
 def folds(rows: DataFrame, label: str, key: str, k: int) -> DataFrame:
@@ -125,15 +121,20 @@ def ellipse(points: DataFrame, x: str = "pc1", y: str = "pc2") -> DataFrame:
 
 
 def classifier(rows: DataFrame, vector: str, label: str, seed: int = 42):
-    """Multiclass forest over arrays; labels are numbered in order of their text."""
-    prepared = rows.withColumn("__f", array_to_vector(F.transform(vector, lambda x: x.cast("double")))).withColumn("__label", F.col(label).cast("string"))
-    stages = [StringIndexer(inputCol="__label", outputCol="__y", stringOrderType="alphabetAsc"), RandomForestClassifier(featuresCol="__f", labelCol="__y", numTrees=20, maxDepth=5, seed=seed)]
+    """Multiclass forest over arrays, rows weighted by their class; labels are numbered in order of their text."""
+    weighed = rows.join(F.broadcast(class_weights(rows.filter(F.col(label).isNotNull()), label).select(label, F.col("weight").alias("__w"))), label)  # a row per class
+    prepared = weighed.withColumn("__f", array_to_vector(F.transform(vector, lambda x: x.cast("double")))).withColumn("__label", F.col(label).cast("string"))
+    stages = [StringIndexer(inputCol="__label", outputCol="__y", stringOrderType="alphabetAsc"), RandomForestClassifier(featuresCol="__f", labelCol="__y", weightCol="__w", numTrees=20, maxDepth=5, seed=seed)]
     return Pipeline(stages=stages).fit(prepared)
 
 
+def class_name(label: str, names: dict[str, str] | None = None) -> str:
+    return (names or {}).get(label, f"Group {label}")
+
+
 def predictions(model, rows: DataFrame, vector: str, key: str, names: dict[str, str] | None = None) -> DataFrame:
     """Three most probable classes of each row, with display names; unnamed groups are "Group x"."""
-    labels = F.array(*[F.lit((names or {}).get(x, f"Group {x}")) for x in model.stages[0].labels])
+    labels = F.array(*[F.lit(class_name(x, names)) for x in model.stages[0].labels])
     prepared = rows.withColumn("__f", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
     return model.stages[1].transform(prepared).select(key, top_classes(labels, vector_to_array("probability")).alias("top"), F.col("prediction").cast("int").alias("predicted"))
 
@@ -161,7 +162,8 @@ def report(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
 
 
 def best_rounds(rounds: DataFrame, column: str, floor: int = 120) -> DataFrame:
-    return rounds.agg(F.greatest(F.median(column).cast("int"), F.lit(floor)).alias("rounds"))
+    """Median of the folds' best rounds, rounded down, `floor` at least."""
+    return rounds.agg(F.greatest(F.floor(F.median(column)).cast("int"), F.lit(floor)).alias("rounds"))
 
 
 def reference_bundle(rows: DataFrame, vector: str, label: str, healthy: str) -> tuple[str, DataFrame]:

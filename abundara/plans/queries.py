@@ -99,8 +99,9 @@ def patient_features(spark, d):
 def disease_distribution(spark, d):
     bridge = t(spark, d, "orders").select("o_custkey", F.col("o_orderpriority").alias("disease")).distinct()
     top = cohort.top_groups(bridge, "disease", 10)
-    share = F.round(100.0 * F.col("count") / F.sum("count").over(Window.partitionBy(F.lit(0))), 6)  # ten rows
-    return top.select("disease", "count", F.col("count").alias("percentage"), share.alias("share"))
+    total = bridge.filter(T.present(F.col("disease"))).agg(F.count(F.lit(1)).alias("total"))
+    share = F.round(100.0 * F.col("count") / F.col("total"), 6)
+    return top.join(F.broadcast(total)).select("disease", "count", F.col("count").alias("percentage"), share.alias("share"))  # one row
 
 
 @query(WITH + "SELECT disease, count(*) AS count FROM v_patients WHERE trim(disease) <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")
@@ -215,8 +216,9 @@ def healthy_feature_matrix(spark, d):
 
 @query(WITH + STATS + """, sig AS (SELECT taxon, row_number() OVER (ORDER BY avg_abundance DESC, sample_hits DESC, taxon) AS p FROM st QUALIFY p <= 12),
 ids AS (SELECT DISTINCT patient_id, sample_id FROM v_abundance),
+big AS (SELECT *, row_number() OVER (PARTITION BY patient_id, sample_id ORDER BY value DESC, taxon, pos) AS r FROM v_abundance QUALIFY r <= 120),
 m AS (SELECT i.patient_id, i.sample_id, g.taxon, row_number() OVER (PARTITION BY i.patient_id, i.sample_id ORDER BY g.p) AS k FROM ids i CROSS JOIN sig g
-      WHERE NOT EXISTS (SELECT 1 FROM v_abundance a WHERE a.sample_id = i.sample_id AND a.taxon = g.taxon))
+      WHERE NOT EXISTS (SELECT 1 FROM big a WHERE a.sample_id = i.sample_id AND a.taxon = g.taxon))
 SELECT patient_id, sample_id, CAST(k AS INTEGER) AS position, taxon FROM m WHERE k <= 3""")
 def healthy_signature_missing(spark, d):
     top = deviation.top_taxa(deviation.taxon_stats(H(spark, d)), 12)
@@ -277,12 +279,13 @@ lastv AS (SELECT 0 AS side, sample_id, taxon, arg_max(value, pos) AS value FROM
 dist AS (SELECT side, sample_id, sqrt(greatest(0.0::DOUBLE, (max(base) + sum(value * value - 2 * value * c)) / max(dims))) AS distance FROM lastv JOIN ce USING (taxon) CROSS JOIN base GROUP BY 1, 2)"""
 
 
+def _target(spark, d) -> DataFrame:
+    return cohort.sample_summaries(A(spark, d)).orderBy(F.desc("feature_count"), F.desc("abundance_total"), "sample_id").select("patient_id", "sample_id").limit(1)
+
+
 def _reference(spark, d) -> dict[str, DataFrame]:
-    facts = A(spark, d)
-    target = cohort.sample_summaries(facts).orderBy(F.desc("feature_count"), F.desc("abundance_total"), "sample_id").first()
-    pid, sid = (target.patient_id, target.sample_id) if target else (-1, "")
     patients = P(spark, d)
-    return deviation.healthy_reference(patients, tables.healthy(patients), facts, pid, sid)
+    return deviation.healthy_reference(patients, tables.healthy(patients), A(spark, d), _target(spark, d))
 
 
 @query(WITH + SCOPED + SPATIAL + " SELECT (SELECT coalesce(max(distance), 0) FROM dist WHERE side = 1) AS current_distance, count(*) AS healthy_samples FROM dist WHERE side = 0".replace("(SELECT coalesce", "(SELECT round(coalesce").replace("0) FROM dist WHERE side = 1)", "0), 6) FROM dist WHERE side = 1)"))
@@ -475,6 +478,8 @@ def classification_report(spark, d):
 # --- text and retrieval ----------------------------------------------------------------
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+_EXPANSIONS = "".join(" || CASE WHEN " + " OR ".join(f"contains(lower(coalesce(text, '')), '{w}')" for w in words) + f" THEN '{more}' ELSE '' END" for words, more in T.EXPANSIONS)
+EXPANDED = f"SELECT item_id, trim(trim(coalesce(text, '')){_EXPANSIONS} || CASE WHEN regexp_matches(lower(coalesce(text, '')), '[a-z]') THEN '' ELSE '{T.NO_LATIN}' END) AS expanded FROM benchmark"
 TOKENS = f"WITH tk AS (SELECT doc_id, lang, list_filter(regexp_extract_all(lower(text), '[A-Za-z][A-Za-z0-9_-]+|[\\x{{4e00}}-\\x{{9fff}}]+'), lambda x: length(x) > 1 AND x NOT IN ({_STOP})) AS tokens FROM documents), dl AS (SELECT doc_id, len(tokens) AS length FROM tk WHERE len(tokens) > 0), po AS (SELECT token, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS token FROM tk) GROUP BY 1, 2)"
 BM25 = TOKENS + f""", df AS (SELECT token, count(*) AS df FROM po GROUP BY 1), cs AS (SELECT count(*) AS n, round(avg(length), 6) AS avgdl FROM dl),
 q AS (SELECT item_id, token, count(*) AS times FROM (SELECT item_id, unnest(list_filter(regexp_extract_all(lower(text), '[A-Za-z][A-Za-z0-9_-]+|[\\x{{4e00}}-\\x{{9fff}}]+'), lambda x: length(x) > 1 AND x NOT IN ({_STOP}))) AS token FROM benchmark) GROUP BY 1, 2),
@@ -485,9 +490,10 @@ def _tokens(spark, d) -> DataFrame:
     return retrieval.tokenized(t(spark, d, "documents").select("doc_id", "lang", "text"))
 
 
-def _hits(spark, d) -> DataFrame:
-    tokens = _tokens(spark, d)
-    return retrieval.bm25(t(spark, d, "benchmark"), retrieval.postings(tokens, "doc_id"), retrieval.corpus_stats(tokens), "item_id", "doc_id")
+def _hits(spark, d, expanded: bool = False) -> DataFrame:
+    asked = t(spark, d, "benchmark")
+    asked = asked.withColumn("text", T.expanded_query(F.col("text"))) if expanded else asked
+    return retrieval.bm25(asked, retrieval.built_index(t(spark, d, "documents"), "doc_id"), "item_id", "doc_id")
 
 
 @query(TOKENS + " SELECT doc_id, CAST(len(tokens) AS INTEGER) AS length, CAST(len(list_distinct(tokens)) AS INTEGER) AS n_distinct FROM tk WHERE len(tokens) > 0")
@@ -515,14 +521,15 @@ def bm25_search(spark, d):
     return rounded(retrieval.best(_hits(spark, d), "item_id", "doc_id", 10), "score").select("item_id", "doc_id", "rank", "score")
 
 
-@query(BM25 + """, nm AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9_-]+')) AS topic FROM benchmark),
+@query(BM25.replace("lower(text), '[A-Za-z][A-Za-z0-9_-]+|[\\x{4e00}-\\x{9fff}]+'), lambda x: length(x) > 1 AND x NOT IN (" + _STOP + "))) AS token FROM benchmark)", "lower(expanded), '[A-Za-z][A-Za-z0-9_-]+|[\\x{4e00}-\\x{9fff}]+'), lambda x: length(x) > 1 AND x NOT IN (" + _STOP + "))) AS token FROM (" + EXPANDED + "))") + """, nm AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9_-]+')) AS topic FROM benchmark),
 ev AS (SELECT b.item_id, dd.doc_id, coalesce(h.score, 0) + CASE WHEN nm.topic IS NOT NULL THEN 0.20::DOUBLE ELSE 0 END AS score FROM benchmark b CROSS JOIN documents dd LEFT JOIN hit h ON h.item_id = b.item_id AND h.doc_id = dd.doc_id LEFT JOIN nm ON nm.item_id = b.item_id AND nm.topic = lower(dd.lang)),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM ev WHERE score >= 0.20::DOUBLE)
 SELECT item_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 10""")
 def bm25_search_boosted(spark, d):
     topics = t(spark, d, "documents").select("doc_id", F.col("lang").alias("topic"))
-    boosted = retrieval.topic_bonus(_hits(spark, d), t(spark, d, "benchmark"), topics, "item_id", "doc_id", 10)
-    return rounded(retrieval.best(boosted, "item_id", "doc_id", 10, 0.20, strict=False), "score").select("item_id", "doc_id", "rank", "score")
+    limit = N.clamp_limit(50, 10, 10)  # asked for too many
+    boosted = retrieval.topic_bonus(_hits(spark, d, expanded=True), t(spark, d, "benchmark"), topics, "item_id", "doc_id", limit)
+    return rounded(retrieval.best(boosted, "item_id", "doc_id", limit, 0.20, strict=False), "score").select("item_id", "doc_id", "rank", "score")
 
 
 _KB = "license version token released"
@@ -539,22 +546,26 @@ def kb_search(spark, d):
     return retrieval.keyword_search(_library(spark, d), _KB, ["src1"], 10).select("id", "library", "score")
 
 
-@query("""WITH k AS (SELECT doc_id, text, CASE WHEN instr(lower(text), 'license') > 0 THEN instr(lower(text), 'license') ELSE nullif(instr(lower(text), 'token'), 0) END AS hit FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, CASE WHEN hit IS NULL THEN CASE WHEN length(text) > 120 THEN substring(text, 1, 120) || '...' ELSE text END
- ELSE CASE WHEN hit - 28 > 1 THEN '...' ELSE '' END || substring(text, greatest(1, hit - 28), least(length(text), hit + 88) - greatest(1, hit - 28) + 1) || CASE WHEN hit + 88 < length(text) THEN '...' ELSE '' END END AS snippet FROM k""")
+def collapsed(text: str) -> str:
+    return f"trim(regexp_replace(replace(translate(coalesce({text}, ''), '`|', '  '), '- ', ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
+
+
+@query(f"""WITH f AS (SELECT doc_id, {collapsed("text")} AS flat FROM documents),
+k AS (SELECT *, CASE WHEN contains(lower(flat), 'license') THEN strpos(lower(flat), 'license') WHEN contains(lower(flat), 'token') THEN strpos(lower(flat), 'token') END AS hit FROM f)
+SELECT doc_id, CASE WHEN hit IS NULL THEN CASE WHEN length(flat) > 120 THEN trim(flat[1:120]) || '...' ELSE flat END
+ ELSE CASE WHEN hit > 29 THEN '...' ELSE '' END || trim(flat[greatest(1, hit - 28):hit + 87]) || CASE WHEN hit + 87 < length(flat) THEN '...' ELSE '' END END AS snippet FROM k""")
 def kwic_snippet(spark, d):
     words = F.array(F.lit("license"), F.lit("token"))
-    return t(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", T.kwic(F.col("text"), words).alias("snippet"))
+    return t(spark, d, "documents").select("doc_id", T.kwic(F.coalesce("text", F.lit("")), words).alias("snippet"))
 
 
 _HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)', 1))"
 _LABEL = "CASE WHEN contains(h, 'pubmed') THEN 'PubMed' WHEN contains(h, 'pmc') THEN 'PubMed Central' " + " ".join(f"WHEN h LIKE '%{e}' THEN '{n}'" for k, e, n, _ in T.DOMAIN_RULES[2:]) + " ELSE h END"
 
 
-@query(f"SELECT page_id, 'page: ' || CAST(page_id AS VARCHAR) || ' | host: ' || h AS citation FROM (SELECT page_id, {_HOST} AS h FROM pages) WHERE h <> ''")
+@query(f"SELECT page_id, 'page: ' || CAST(page_id AS VARCHAR) || CASE WHEN trim(coalesce(h, '')) <> '' THEN ' | host: ' || h ELSE '' END AS citation FROM (SELECT page_id, {_HOST} AS h FROM pages)")
 def citation(spark, d):
-    rows = t(spark, d, "pages").withColumn("h", T.host(F.col("url"))).filter("h <> ''")
-    return rows.select("page_id", T.citation(page=F.col("page_id").cast("string"), host=F.col("h"), note=F.lit(" ")).alias("citation"))
+    return t(spark, d, "pages").select("page_id", T.citation(page=F.col("page_id").cast("string"), host=T.host(F.col("url")), note=F.lit(" ")).alias("citation"))
 
 
 @query(f"SELECT page_id, h AS host, {_LABEL} AS label, CASE WHEN contains(h, 'pubmed') THEN 'literature_index' WHEN contains(h, 'pmc') THEN 'literature_fulltext' WHEN h LIKE '%nih.gov' THEN 'government_research' WHEN h LIKE '%who.int' THEN 'global_guidance' WHEN h LIKE '%cdc.gov' THEN 'public_health_guidance' ELSE 'clinical_reference' END AS kind FROM (SELECT page_id, {_HOST} AS h FROM pages)")
@@ -568,15 +579,34 @@ def domain_whitelist(spark, d):
     return t(spark, d, "pages").select("page_id", T.allowed_domain(T.host(F.col("url")), ["example.com", "example.org"]).alias("allowed"))
 
 
-@query()
+def normalised(text: str) -> str:
+    unified = f"regexp_replace(regexp_replace(coalesce({text}, ''), '\\r\\n?', chr(10), 'g'), '[\\x{{2009}}\\x{{2002}}\\x{{2003}}\\x{{a0}}]', ' ', 'g')"
+    return f"regexp_replace(regexp_replace({unified}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"""WITH n AS (SELECT doc_id, {normalised("text")} AS body, trim(source) AS source FROM documents)
+SELECT doc_id, 0 AS position, 'One' AS heading, length(body) AS n FROM n WHERE body <> '' UNION ALL SELECT doc_id, 2, '正文', length(source) FROM n WHERE source <> ''""")
 def md_sections(spark, d):
-    docs = t(spark, d, "documents").select("doc_id", T.normalise(F.coalesce("text", F.lit(""))).alias("text"))
-    return retrieval.sections(docs, "text", "#{2,3}").select("doc_id", "position", "heading", F.length("content").alias("n"))
+    parts = [F.lit("### One\n"), F.coalesce("text", F.lit("")), F.lit("\n### References of all\n"), "lang", F.lit("\n### \n"), "source"]
+    docs = t(spark, d, "documents").select("doc_id", F.concat(*parts).alias("text"))
+    return retrieval.sections(docs, "text").select("doc_id", "position", "heading", F.length("content").alias("n"))
 
 
-@query()
+_END = "CASE WHEN marked = 0 THEN least(total, s + 1800) WHEN s + p - marked + 1 < least(total, s + 1116) THEN least(total, s + 1800) ELSE s + p - marked + 1 END"
+_MARKED = """SELECT *, length(m) - length(w) AS marked, length(m) - strpos(reverse(m), chr(1)) + 1 AS p FROM (
+ SELECT *, regexp_replace(w, '([。！？.!?;；]\\s|\\n\\n)', chr(1) || '\\1', 'g') AS m FROM (SELECT *, substring(body, s + 1, 1800) AS w FROM {rows}))"""
+#: The chunker as a recursion over the places where chunks begin.
+CHUNKS = f"""WITH RECURSIVE n AS (SELECT doc_id, {normalised("text")} AS body FROM documents),
+r AS (SELECT doc_id, body, length(body) AS total, CAST(0 AS BIGINT) AS s FROM n WHERE length(body) > 1800
+ UNION ALL SELECT doc_id, body, total, e - 250 FROM (SELECT *, {_END} AS e FROM ({_MARKED.format(rows="r")})) WHERE e < total),
+z AS (SELECT doc_id, s, {normalised(f"substring(body, s + 1, {_END} - s)")} AS chunk FROM ({_MARKED.format(rows="r")})),
+ch AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS number, chunk FROM z WHERE length(chunk) >= 240
+ UNION ALL SELECT doc_id, 1, body FROM n WHERE length(body) BETWEEN 240 AND 1800)"""
+
+
+@query(CHUNKS + " SELECT doc_id, CAST(number AS INTEGER) AS number, length(chunk) AS n_chars, md5(chunk) AS digest FROM ch")
 def chunk_documents(spark, d):
-    docs = t(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = t(spark, d, "documents").select("doc_id", "text")
     return retrieval.chunks(docs, "doc_id", "text").select("doc_id", "number", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("digest"))
 
 
@@ -596,13 +626,12 @@ def evidence_merge(spark, d):
     return retrieval.merged_evidence(lists, "item_id", 8).select("item_id", "key", "rank")
 
 
-@query("SELECT conv_id, turn, CASE WHEN lower(trim(role)) = 'user' THEN concat_ws(' ', 'user', split_part(text, ' ', 1)) ELSE concat_ws(' ', role, CASE WHEN split_part(text, ' ', 1) <> role THEN split_part(text, ' ', 1) END) END AS built FROM conversations WHERE trim(split_part(text, ' ', 1)) <> '' AND role <> split_part(text, ' ', 1)")
+@query("SELECT conv_id, turn, concat_ws(' ', CASE WHEN trim(role) <> '' THEN role END, CASE WHEN trim(text) <> '' AND (role IS NULL OR text <> role) THEN text END) AS built FROM conversations")
 def query_builder(spark, d):
-    first = F.split("text", " ")[0]
-    return t(spark, d, "conversations").select("conv_id", "turn", T.distinct_words(F.col("role"), first, F.col("role"), F.lit(" ")).alias("built"))
+    return t(spark, d, "conversations").select("conv_id", "turn", T.distinct_words(F.col("role"), F.col("text"), F.col("role"), F.lit(" ")).alias("built"))
 
 
-@query("SELECT item_id, trim(text) || CASE WHEN contains(lower(text), 'ad') THEN ' alzheimer disease ad' ELSE '' END || CASE WHEN contains(lower(text), 'ms') THEN ' multiple sclerosis ms' ELSE '' END AS expanded FROM (SELECT * FROM benchmark WHERE NOT regexp_matches(lower(text), 't2d|ibd|crc|nafld|cirrhosis|obesity|cad'))")
+@query(EXPANDED)
 def query_expansion(spark, d):
     return t(spark, d, "benchmark").select("item_id", T.expanded_query(F.col("text")).alias("expanded"))
 
@@ -654,29 +683,32 @@ def quality_gate(spark, d):
 
 # --- ingest ----------------------------------------------------------------------------
 
-_MATRIX = "WITH cells AS (SELECT 't' || CAST(vec_id AS VARCHAR) AS taxon, vec_id, unnest(range(1, len(embedding) + 1)) AS i, CAST(round(unnest(embedding)::DOUBLE * 20) AS BIGINT) AS value FROM embeddings), pat AS (SELECT c_custkey, c_name FROM customer)"
+_MATRIX = """WITH n AS (SELECT max(c_custkey) AS n FROM customer), e AS (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i, CAST(round(unnest(embedding)::DOUBLE * 20) AS BIGINT) AS value FROM embeddings),
+cells AS (SELECT 't' || CAST(vec_id AS VARCHAR) AS taxon, (vec_id * 64 + i - 1) % (n + 4) + 1 AS k, n, value FROM e CROSS JOIN n)"""
 
 
 def _matrix(spark, d) -> tuple[DataFrame, DataFrame]:
-    """A wide text matrix from the embeddings: a line per vector, a column per patient; the last four columns are nobody's."""
-    names = [r.c_name for r in t(spark, d, "customer").filter("c_custkey BETWEEN 1 AND 60").orderBy("c_custkey").select("c_name").collect()]
-    names += [f"nobody-{i}" for i in range(64 - len(names))]
-    cells = F.array_join(F.transform("embedding", lambda x: F.round(x * 20).cast("long").cast("string")), ",")
-    lines = E(spark, d).select(F.concat(F.lit("t"), F.col("vec_id").cast("string"), F.lit(","), cells).alias("value"))
-    return files.matrix_cells(lines, "value", "taxon," + ",".join(names)), ingest.patient_lookup(P(spark, d))
+    """Cells of a matrix from the embeddings, dealt over all patients and four samples that are nobody's."""
+    customers = t(spark, d, "customer")
+    n = F.broadcast(customers.agg(F.max("c_custkey").alias("n")))  # one row
+    long = E(spark, d).select("vec_id", F.posexplode("embedding").alias("i", "x")).join(n)
+    long = long.select(F.concat(F.lit("t"), F.col("vec_id").cast("string")).alias("taxon"), ((F.col("vec_id") * 64 + F.col("i")) % (F.col("n") + 4) + 1).alias("k"), "n", F.round(F.col("x") * 20).cast("long").cast("string").alias("cell"))
+    named = long.join(customers.select(F.col("c_custkey").alias("k"), "c_name"), "k", "left")
+    nobody = F.concat(F.lit("nobody-"), (F.col("k") - F.col("n") - 1).cast("string"))
+    return named.select("taxon", F.coalesce("c_name", nobody).alias("sample"), "cell"), ingest.patient_lookup(P(spark, d))
 
 
-@query(_MATRIX + " SELECT c_custkey AS patient_id, c_name AS sample_id, taxon, md5(taxon) AS taxon_hash, value::DOUBLE AS value FROM cells JOIN pat ON c_custkey = i WHERE i <= 60 AND value <> 0")
+@query(_MATRIX + " SELECT c_custkey AS patient_id, c_name AS sample_id, taxon, md5(taxon) AS taxon_hash, value::DOUBLE AS value FROM cells JOIN customer ON c_custkey = k WHERE value <> 0")
 def matrix_ingest(spark, d):
     return ingest.facts(*_matrix(spark, d), "v1", "b1").select("patient_id", "sample_id", "taxon", "taxon_hash", "value")
 
 
-@query(_MATRIX + " SELECT count(DISTINCT taxon) AS taxa, count(*) FILTER (i <= 60 AND value <> 0) AS inserted, count(*) FILTER (i > 60) AS skipped_missing, count(*) FILTER (i <= 60 AND value = 0) AS skipped_zero FROM cells")
+@query(_MATRIX + " SELECT count(DISTINCT taxon) AS taxa, count(*) FILTER (k <= n AND value <> 0) AS inserted, count(*) FILTER (k > n) AS skipped_missing, count(*) FILTER (k <= n AND value = 0) AS skipped_zero FROM cells")
 def ingest_metrics(spark, d):
     return ingest.metrics(*_matrix(spark, d))
 
 
-@query(_MATRIX + " SELECT DISTINCT 'nobody-' || CAST(i - 61 AS VARCHAR) AS sample FROM cells WHERE i > 60 ORDER BY 1 LIMIT 20")
+@query(_MATRIX + " SELECT DISTINCT 'nobody-' || CAST(k - n - 1 AS VARCHAR) AS sample FROM cells WHERE k > n ORDER BY 1 LIMIT 20")
 def missing_samples(spark, d):
     return ingest.missing_samples(*_matrix(spark, d))
 
@@ -808,7 +840,7 @@ def trace_completeness(spark, d):
     return t(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).cast("int").alias("n_steps"), (len(rules.CORE_STEPS) - there).cast("int").alias("n_missing"))
 
 
-@query("SELECT doc_id, CASE WHEN contains(upper(coalesce(text, '')), 'WARN') THEN 'OPTIMIZE' WHEN contains(upper(coalesce(text, '')), 'FAIL') THEN 'FAIL' ELSE 'PASS' END AS gate FROM documents WHERE NOT (contains(upper(coalesce(text, '')), 'FAIL') AND contains(upper(coalesce(text, '')), 'WARN')) AND NOT contains(upper(coalesce(text, '')), 'OPTIMIZE')")
+@query("SELECT doc_id, CASE WHEN contains(u, 'FAIL') THEN 'FAIL' WHEN contains(u, 'OPTIMIZE') OR contains(u, 'WARN') THEN 'OPTIMIZE' ELSE 'PASS' END AS gate FROM (SELECT doc_id, upper(coalesce(text, '')) AS u FROM documents)")
 def staged_gate(spark, d):
     steps = F.array(F.struct(F.lit("assistant").alias("kind"), F.col("text").alias("output")), F.struct(F.lit("quality").alias("kind"), F.lit("").alias("output")))
     return t(spark, d, "documents").select("doc_id", rules.staged_fold(steps, F.lit("")).getField("gate").alias("gate"))
@@ -838,10 +870,9 @@ def stratified_folds(spark, d):
     return vectors.folds(E(spark, d), "label", "vec_id", 5).select("vec_id", "fold")
 
 
-@query("SELECT doc_id, CAST(doc_id % 1000 AS VARCHAR) AS first_id FROM documents")
+@query("SELECT doc_id, nullif(regexp_extract(coalesce(text, ''), '(?:^|[^0-9])([0-9]{1,6})(?:[^0-9]|$)', 1), '') AS first_id FROM documents")
 def first_id(spark, d):
-    text = F.concat(F.lit("ref 1234567, id "), (F.col("doc_id") % 1000).cast("string"), F.lit(" or 77"))
-    return t(spark, d, "documents").select("doc_id", T.first_id(text).alias("first_id"))
+    return t(spark, d, "documents").select("doc_id", T.first_id(F.coalesce("text", F.lit(""))).alias("first_id"))
 
 
 @query("SELECT (SELECT count(DISTINCT o_custkey) FROM orders) AS matched, (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) AS unmatched")
@@ -849,3 +880,6 @@ def semi_and_anti(spark, d):
     c, o = t(spark, d, "customer"), t(spark, d, "orders")
     side = c.join(o, c.c_custkey == o.o_custkey, "left_semi").select(F.lit(1).alias("m")).unionByName(c.join(o, c.c_custkey == o.o_custkey, "left_anti").select(F.lit(0).alias("m")))
     return side.agg(F.count_if(F.col("m") == 1).alias("matched"), F.count_if(F.col("m") == 0).alias("unmatched"))
+
+
+from . import models, responses, texts  # noqa: E402, F401  (they register their queries)

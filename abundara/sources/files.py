@@ -14,7 +14,7 @@ def without_bom(c: Column) -> Column:
 
 
 def matrix_cells(lines: DataFrame, line_col: str = "value", header: str | None = None, sep: str = ",") -> DataFrame:
-    """Long cells (taxon, sample, cell) of a wide matrix given as text lines; plan width doesn't grow with the samples.
+    """Long cells (taxon, sample, cell) of a wide matrix given as text lines; names of samples are one literal array in the plan, not columns.
 
     `header` is the first line (read by `read_matrix`); blank rows and blank taxa are skipped, a row of another
     width than the header raises.
@@ -56,10 +56,11 @@ def last_of_each(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def read_index(spark: SparkSession, path: str, schema: str, key: str = "pmcid") -> DataFrame:
-    """JSON lines without the malformed ones; the last line of a key wins."""
-    lines = spark.read.text(path).filter(F.trim("value") != "").withColumn("__line", F.monotonically_increasing_id())
-    parsed = lines.select("__line", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r")).filter(F.col("r").isNotNull())
-    return last_of_each(parsed.select("__line", "r.*"), key, "__line").drop("__line")
+    """JSON lines without the malformed ones; the last line of a key wins: files in order of their path, lines in order of their place."""
+    place = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start")]
+    lines = spark.read.text(path).select("value", *[c.alias(f"__{i}") for i, c in enumerate(place)]).withColumn("__line", F.monotonically_increasing_id()).filter(F.trim("value") != "")
+    parsed = lines.select(F.struct("__0", "__1", "__line").alias("__at"), F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r")).filter(F.col("r").isNotNull())
+    return last_of_each(parsed.select("__at", "r.*"), key, "__at").drop("__at")
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -68,8 +69,12 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_artifact(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON document of one row."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """A JSON document of one row, and whether it is ready: all its fields are there."""
+    rows = spark.read.schema(schema).option("multiLine", True).json(path)
+    ready = F.lit(True)
+    for c in rows.columns:
+        ready = ready & F.col(c).isNotNull()
+    return rows.withColumn("ready", ready)
 
 
 def read_markdown(spark: SparkSession, path: str, pattern: str = "*.md", recursive: bool = False, key_pattern: str = r"([^/]+)\.md$") -> DataFrame:

@@ -14,11 +14,22 @@ from pyspark.sql import functions as F
 
 
 def scratch_folder(spark, tag: str) -> str:
-    """A new folder under spark.checkpoint.dir, which executors share; a local one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="abundara-")
+    """A new folder under spark.checkpoint.dir, which executors share; in local mode a temporary one where that is unset, elsewhere an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="abundara-")
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """The rows as a table in the shared folder, for plans that read them several times."""
+    path = scratch_folder(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str], updated: Sequence[str] | None = None, order: str | None = None) -> DataFrame:
     """Rows after an insert that updates on conflict.
 
@@ -75,8 +86,9 @@ def write_document(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
-def write_sorted_csv(df: DataFrame, path: str, by: str) -> None:
-    df.orderBy(F.desc(by)).write.mode("overwrite").option("header", True).csv(path)
+def write_sorted_csv(df: DataFrame, path: str, by: str, *ties: str) -> None:
+    """One sorted CSV file: for results of a row per feature, not for data."""
+    df.orderBy(F.desc(by), *ties).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 class ResultCache:
@@ -102,8 +114,3 @@ class ResultCache:
         for k in keys:
             self.kept.pop(k)[1].unpersist()
         return len(keys)
-
-
-def top_of(df: DataFrame, by: Sequence[str], order: Sequence[Any], k: int) -> DataFrame:
-    """At most k rows of each group."""
-    return df.withColumn("__rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("__rank") <= k).drop("__rank")

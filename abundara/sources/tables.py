@@ -17,6 +17,12 @@ def jdbc(spark: SparkSession, url: str, name: str, predicates: list[str] | None
     return spark.read.jdbc(url, name, predicates=predicates, properties=properties) if predicates else spark.read.jdbc(url, name, properties=properties)
 
 
+def camel_case(df: DataFrame) -> DataFrame:
+    """Names like patient_id become patientId."""
+    camel = lambda name: name.split("_")[0] + "".join(x[:1].upper() + x[1:] for x in name.split("_")[1:])
+    return df.withColumnsRenamed({c: camel(c) for c in df.columns})
+
+
 def register_views(spark: SparkSession, sf_dir: str) -> None:
     for name in TABLES:
         table(spark, sf_dir, name).createOrReplaceTempView(name)

@@ -5,6 +5,7 @@ Files stand for the queue; a broker's source takes their place by format and opt
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,23 +40,45 @@ def newest(rows: DataFrame, key: str) -> DataFrame:
 class Consumer:
     """Merges each batch into a versioned table, then tells listeners which keys changed.
 
-    A batch that was merged before is skipped, so a restart changes nothing. With `enabled` off nothing is started.
+    Each batch writes a new version and, as its last step, a marker file named by batch and version; a consumer that starts
+    anew reads the latest marker, so it goes on from that table and skips a batch that was merged before. The version before the
+    last is removed. A failing listener is logged and doesn't stop the queue. With `enabled` off nothing is started.
     """
 
     def __init__(self, spark: SparkSession, root: str, view: str, key: str, notify: Callable[[DataFrame], None] | None = None, enabled: bool = True):
-        self.spark, self.root, self.view, self.key, self.notify, self.enabled = spark, root, view, key, notify, enabled
-        self.path: str | None = None
-        self.done = -1
+        self.spark, self.root, self.view, self.key, self.notify, self.enabled = spark, root.rstrip("/"), view, key, notify, enabled
+        self.done, self.path = max(self.markers(), default=(-1, None))
+
+    def files(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/batches")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def markers(self) -> list[tuple[int, str]]:
+        """(batch, version) of the merged batches that are still marked."""
+        path, fs = self.files()
+        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        return [(int(n.split("=")[0]), f"{self.root}/{n.split('=')[1]}") for n in names if "=" in n]
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         if number <= self.done:
             return
         latest = newest(scored(batch, self.key).select(self.key, "risk_score", "risk_level", "ts"), self.key)
         table = latest if self.path is None else newest(self.spark.read.parquet(self.path).unionByName(latest), self.key)
-        self.path = sinks.versioned_overwrite(table, self.root, self.view)
+        before, self.path = self.path, sinks.versioned_overwrite(table, self.root, self.view)
+        folder, fs = self.files()
+        child = lambda name: self.spark._jvm.org.apache.hadoop.fs.Path(folder, name)
+        fs.mkdirs(folder)
+        fs.create(child(f"{number}={self.path.rsplit('/', 1)[1]}")).close()
+        for n, path in self.markers():
+            if path not in (self.path, before):  # readers of the version before may not be done
+                fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
+                fs.delete(child(f"{n}={path.rsplit('/', 1)[1]}"), False)
         self.done = number
         if self.notify:
-            self.notify(latest.select(self.key))
+            try:
+                self.notify(latest.select(self.key))
+            except Exception:  # noqa: BLE001
+                logging.getLogger(__name__).exception("listener of batch %s", number)
 
     def start(self, messages: DataFrame, checkpoint: str) -> StreamingQuery | None:
         if not self.enabled:
@@ -78,7 +101,7 @@ class SessionState(StatefulProcessor):
         n, last = self.state.get() if self.state.exists() else (0, None)
         for pdf in rows:
             n += len(pdf)
-            last = str(pdf.sort_values("ts").iloc[-1]["event_type"])
+            last = str(pdf.sort_values(["ts", "event_id"]).iloc[-1]["event_type"])
         self.state.update((n, last))
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "last": [last]})
 
