@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
@@ -133,18 +133,20 @@ def sql_names(spark, d):
     return spark.sql("SELECT taxon, short_taxon_name(taxon) AS name, round(bm25_idf(100D, 7D), 6) AS idf FROM (SELECT DISTINCT taxon FROM abundara_facts)")
 
 
-@query("SELECT user_id, count(*) AS n, arg_max(event_type, (ts, event_id)) AS last FROM events GROUP BY 1")
+@query("SELECT user_id, count(*) AS n, arg_max(event_type, (ts, event_id)) AS last, list(event_id ORDER BY ts DESC, event_id DESC)[least(20, count(*))] AS oldest FROM events GROUP BY 1")
 def session_counts(spark, d):
     """Running state of every session, fed by a stream that is run to its end."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    events = t(spark, d, "events")
+    path = sinks.scratch_folder(spark, "sessions")
+    stream = queue.session_state(queue.read_queue(spark, f"{d}/events.parque[t]", events.schema))
+    run = stream.writeStream.foreachBatch(lambda rows, number: rows.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)).outputMode("update")
+    # state that times out asks for batches without data for ever; a run to the end of the files has none of these
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
     try:
-        events = t(spark, d, "events")
-        path = sinks.scratch_folder(spark, "sessions")
-        stream = queue.session_state(queue.read_queue(spark, f"{d}/events.parque[t]", events.schema))
-        run = stream.writeStream.foreachBatch(lambda rows, number: rows.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)).outputMode("update")
         run.option("checkpointLocation", sinks.scratch_folder(spark, "sessions-checkpoint")).trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-    return spark.read.parquet(path).groupBy("user_id").agg(F.max("n").alias("n"), F.max_by("last", F.struct("batch", "n")).alias("last"))
+        spark.conf.set(name, before)
+    latest = F.max_by(F.struct("last", "oldest"), F.struct("batch", "n")).alias("latest")
+    return spark.read.parquet(path).groupBy("user_id").agg(F.max("n").alias("n"), latest).select("user_id", "n", "latest.last", "latest.oldest")

@@ -10,7 +10,8 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import vectors
 from ..sources import sinks
@@ -86,32 +87,34 @@ class Consumer:
         return messages.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-class SessionState(StatefulProcessor):
-    """Last known value of a session and how many events it had; forgotten after `ttl_ms` without events."""
+#: Latest events that a session remembers.
+REMEMBERED = 20
 
-    def __init__(self, ttl_ms: int = 600_000):
-        self.ttl_ms = ttl_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("session", "n long, last string", self.ttl_ms)
+def session_state(events: DataFrame, ttl_ms: int = 600_000) -> DataFrame:
+    """Running state of each session: events so far, the last type, and the latest REMEMBERED events.
+
+    A session without events for `ttl_ms` of processing time is forgotten.
+    """
 
-    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
+    def update(key, batches: Iterator, state: GroupState) -> Iterator:
         import pandas as pd
 
-        n, last = self.state.get() if self.state.exists() else (0, None)
-        for pdf in rows:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, recent = state.get if state.exists else (0, [])
+        recent = [tuple(r) for r in recent]
+        for pdf in batches:
             n += len(pdf)
-            last = str(pdf.sort_values(["ts", "event_id"]).iloc[-1]["event_type"])
-        self.state.update((n, last))
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "last": [last]})
-
-    def close(self) -> None:
-        pass
-
-
-def session_state(events: DataFrame, ttl_ms: int = 600_000) -> DataFrame:
-    """Running session state by transformWithState (needs the RocksDB state store)."""
-    return events.groupBy("user_id").transformWithStateInPandas(statefulProcessor=SessionState(ttl_ms), outputStructType="user_id long, n long, last string", outputMode="Update", timeMode="ProcessingTime")
+            recent += [(int(t.value), int(i), str(e)) for t, i, e in zip(pd.to_datetime(pdf["ts"]), pdf["event_id"], pdf["event_type"])]
+            recent = sorted(recent)[-REMEMBERED:]
+        state.update((n, recent))
+        state.setTimeoutDuration(ttl_ms)
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "last": [recent[-1][2]], "oldest": [recent[0][1]]})
+
+    kept = "n long, recent array<struct<ts:long,event_id:long,event_type:string>>"
+    return events.groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, last string, oldest long", kept, "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def tumbling(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:

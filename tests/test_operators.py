@@ -1,16 +1,20 @@
 """Edge rows that the tables don't have, and properties."""
 
 import math
+import re
 import statistics
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from abundara.functions import numeric as N
 from abundara.functions import text as T
 from abundara.operators import cohort, deviation, ingest, retrieval, rules, structure, traces, vectors
 from abundara.plans import queries as Q
-from abundara.sources import files, sinks
+from abundara.sources import files, sinks, tables
 from abundara.streaming import queue
 
 
@@ -98,10 +102,34 @@ def test_taxon_absent_from_the_cohort(spark):
 
 
 def test_missing_signature(spark):
-    samples = spark.createDataFrame([(1, "a", "t1"), (1, "a", "t3"), (2, "b", "zz")], "patient_id long, sample_id string, taxon string")
+    many = [(3, "c", f"x{k:03d}", 1000.0 - k, k) for k in range(120)] + [(3, "c", "t1", 1.0, 500), (3, "c", "t2", 2000.0, 501)]
+    samples = spark.createDataFrame([(1, "a", "t1", 1.0, 1), (1, "a", "t3", 2.0, 2), (2, "b", "zz", 1.0, 3), *many], "patient_id long, sample_id string, taxon string, value double, pos long")
     signature = spark.createDataFrame([(i, f"t{i}") for i in range(1, 6)], "position int, taxon string")
     got = sorted((r.sample_id, r.position, r.taxon) for r in deviation.missing_signature(samples, signature).collect())
-    assert got == [("a", 1, "t2"), ("a", 2, "t4"), ("a", 3, "t5"), ("b", 1, "t1"), ("b", 2, "t2"), ("b", 3, "t3")]
+    # t1 of c is stored, but not among its 120 largest
+    assert got == [("a", 1, "t2"), ("a", 2, "t4"), ("a", 3, "t5"), ("b", 1, "t1"), ("b", 2, "t2"), ("b", 3, "t3"), ("c", 1, "t1"), ("c", 2, "t3"), ("c", 3, "t4")]
+
+
+def test_share_counts_all_groups(spark, tmp_path):
+    rows = [(i * 100 + k, i) for i in range(12) for k in range(20 - i)]
+    d = sf_of(tmp_path, spark, "orders", [(c, f"p{i:02d}") for c, i in rows], "o_custkey long, o_orderpriority string")
+    got = Q.disease_distribution(spark, d).collect()
+    assert len(got) == 10 and got[0].share == pytest.approx(100 * 20 / len(rows), abs=1e-6)
+
+
+def test_kwic_window(spark):
+    text = "a" * 40 + " `token` " + "b |" * 60
+    flat = re.sub(r"\s+", " ", text.replace("`", " ").replace("|", " ").replace("- ", "")).strip()
+    at = flat.index("token")
+    assert one(spark, T.kwic(F.lit(text), F.array(F.lit("absent"), F.lit("TOKEN")))) == "..." + flat[at - 28 : at + 88].strip() + "..."
+    assert one(spark, T.kwic(F.lit("x" * 130), F.array(F.lit("y")))) == "x" * 120 + "..."
+
+
+def test_spatial_level_raises_the_label(spark):
+    rows = spark.createDataFrame([(1, "a", 1, "g__x", "similar"), (2, "b", 1, "g__x", "similar"), (3, "c", 1, "g__x", "similar")], "patient_id long, sample_id string, rank int, taxon string, direction string")
+    levels = spark.createDataFrame([(1, "a", "high"), (2, "b", "moderate")], "patient_id long, sample_id string, level string")
+    got = {r.sample_id: (r.deviation_label, r.recommendation) for r in structure.deviation_insight(rows, levels).collect()}
+    assert got == {"a": ("clear_deviation", "look_at_top_scores"), "b": ("some_deviation", "check_against_prediction"), "c": ("near_healthy", "follow_up")}
 
 
 def test_dominance_labels(spark):
@@ -174,36 +202,72 @@ def test_markdown(spark, tmp_path):
     (tmp_path / "PMCID-1.md").write_text("﻿# Title\n## Metadata\n- Year: 2020\n- year: 2021\n## Abstract\nShort.\n## Full Text\n### Intro\nText a.\n### References\nNo.\n", encoding="utf-8")
     docs = files.read_markdown(spark, str(tmp_path), "PMCID-*.md")
     row = retrieval.paper(docs).first()
-    assert (row.key, row.title, row.metadata["year"], row.abstract) == ("PMCID-1", "Title", "2020", "Short.")
+    assert (row.key, row.title, row.metadata["year"], row.abstract) == ("PMCID-1", "Title", "2021", "Short.")  # the last of a key wins
     parts = retrieval.sections(retrieval.paper(docs).select("key", "body"), "body").collect()
     assert [(p.heading, p.content) for p in parts] == [("Intro", "Text a.")]
 
 
-@pytest.mark.parametrize("n", [239, 240, 1800, 1801, 5000])
-def test_chunks_cover_the_text(n):
-    for text in ("x" * n, ("Some words here. " * 400)[:n]):
-        spans = retrieval.cut_points(text)
-        assert spans[0][0] == 0 and all(b - a <= retrieval.MOST for a, b in spans)
-        assert all(spans[i + 1][0] == spans[i][1] - retrieval.OVERLAP for i in range(len(spans) - 1))
-        assert len(text) - spans[-1][1] < retrieval.LEAST
+def chunks_brute(text, most, overlap, least):
+    """The rule by single steps: positions of boundaries found one after another, no regular expression."""
+    text, out, at = text.strip(), [], 0
+    if len(text) <= most:
+        return [text] if len(text) >= least else []
+    while at < len(text):
+        hard, found, i = min(len(text), at + most), None, at
+        while i < hard - 1:
+            two = text[i : i + 2]
+            if (two[0] in "。！？.!?;；" and two[1].isspace()) or two == "\n\n":
+                found, i = i, i + 2
+            else:
+                i += 1
+        end = hard if found is None or found + 1 < min(len(text), at + int(most * 0.62)) else found + 1
+        chunk = text[at:end].strip()
+        if len(chunk) >= least:
+            out.append(chunk)
+        if end >= len(text):
+            return out
+        at = max(0, end - overlap)
+    return out
+
+
+@pytest.mark.parametrize("n", [0, 239, 240, 1800, 1801, 5000])
+def test_chunks_of_sizes(n):
+    for text in ("x" * n, ("Some words here. " * 400)[:n], ("one; two\n\nthree ！ four。 five" * 300)[:n]):
+        assert retrieval.cut_texts(text.strip()) == chunks_brute(text, retrieval.MOST, retrieval.OVERLAP, retrieval.LEAST)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "bc", " ", ". ", ".", "; ", "；", "\n", "\n\n", "。 "]), max_size=80).map("".join))
+def test_chunks_equal_the_rule(text):
+    text = retrieval.normalised(text)
+    assert retrieval.cut_texts(text, 20, 5, 4) == chunks_brute(text, 20, 5, 4)
 
 
 def test_chunk_overlap_must_advance():
     with pytest.raises(ValueError):
-        retrieval.cut_points("x" * 5000, 1000, 700)
+        retrieval.cut_texts("x" * 5000, 1000, 700)
+
+
+def test_knowledge_sections(spark):
+    rows = [("Model/a.md", "# Top\nintro `x`\n## One\n# Instead\ntext | more\n# late\n- item\n### Two\n\n"), ("b.md", "just text"), ("c/d.md", "# Only\n## Empty\n"), ("e.md", " "), ("f.md", None)]
+    got = [(r.id, r.library, r.title, r.content) for r in retrieval.knowledge_sections(spark.createDataFrame(rows, "path string, text string")).orderBy("id").collect()]
+    assert got == [("Model/a.md#1", "model", "Top", "intro x"), ("Model/a.md#2", "model", "Instead", "text more item"), ("b.md#1", "general", "b", "just text"), ("c/d.md#1", "c", "Only", "# Only ## Empty")]
 
 
 def test_bm25_repeats_and_stop_words(spark):
     docs = spark.createDataFrame([(1, "alpha beta beta"), (2, "alpha gamma"), (3, "the and of")], "doc_id long, text string")
-    tokens = retrieval.tokenized(docs)
-    post, stats = retrieval.postings(tokens, "doc_id"), retrieval.corpus_stats(tokens)
     q = spark.createDataFrame([(1, "beta"), (2, "beta beta"), (3, "the of")], "item_id long, text string")
-    got = {(r.item_id, r.doc_id): r.score for r in retrieval.bm25(q, post, stats, "item_id", "doc_id").collect()}
+    got = {(r.item_id, r.doc_id): r.score for r in retrieval.bm25(q, retrieval.built_index(docs, "doc_id"), "item_id", "doc_id").collect()}
     idf = math.log(1 + (2 - 1 + 0.5) / (1 + 0.5))
     want = idf * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 3 / 2.5))
     assert got == {(1, 1): pytest.approx(want), (2, 1): pytest.approx(2 * want)}
 
 
+def test_documents_are_tokenised_once(spark, sf_dir):
+    plan = Q.bm25_search(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan
+
+
 def test_chinese_runs(spark):
     assert one(spark, T.tokens(F.lit("菌群 the a-b 菌 X1"))) == ["菌群", "a-b", "x1"]
 
@@ -264,7 +328,7 @@ def test_staged_gate_takes_all_rows(spark, tmp_path):
 
 def test_query_builder_takes_all_rows(spark, tmp_path):
     rows = [("user", "user asks"), ("user", "hello all"), ("user", None), ("user", ""), ("user", " led by a blank"), ("bot", "bot"), (None, "hello"), (None, None)]
-    built = ["user", "user hello", "user", "user", "user", "bot", "hello", ""]
+    built = ["user user asks", "user hello all", "user", "user", "user  led by a blank", "bot", "hello", ""]
     d = sf_of(tmp_path, spark, "conversations", [(i, 0, *r) for i, r in enumerate(rows)], "conv_id long, turn long, role string, text string")
     assert [r.built for r in Q.query_builder(spark, d).orderBy("conv_id").collect()] == built
 
@@ -312,6 +376,54 @@ def test_stream_equals_batch_and_restarts(spark, sf_dir, tmp_path):
     assert queue.Consumer(spark, "x", "y", "user_id", enabled=False).start(stream, "z") is None
 
 
+def test_a_new_consumer_goes_on(spark, sf_dir, tmp_path):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    halves = [events.filter(F.col("user_id") % 2 == i) for i in (0, 1)]
+    for number, half in enumerate(halves):
+        queue.Consumer(spark, str(tmp_path), "restart_view", "user_id")(half, number)
+    third = queue.Consumer(spark, str(tmp_path), "restart_view", "user_id", notify=lambda keys: 1 / 0)
+    assert third.done == 1 and {r.user_id for r in spark.read.parquet(third.path).collect()} == {r.user_id for r in events.select("user_id").distinct().collect()}
+    third(halves[0], 1)  # merged before
+    third(halves[0], 2)  # its listener fails, the table stays
+    assert third.done == 2 and spark.read.parquet(third.path).count() == events.select("user_id").distinct().count() and len(list(tmp_path.glob("v-*"))) == 2
+
+
+def test_jdbc_reads_by_predicates(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    spark.range(10).write.jdbc(url, "numbers", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    rows = tables.jdbc(spark, url, "numbers", ['"id" < 4', '"id" >= 4'], driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert rows.rdd.getNumPartitions() == 2 and sorted(r.id for r in rows.collect()) == list(range(10))
+
+
+def planted_vectors(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(3, 8)) * 3
+    rows = [(i, [float(x) for x in centres[i % 3] + rng.normal(size=8)], "ab1"[i % 3]) for i in range(240)]
+    return rows, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+
+
+def test_models_separate_planted_classes(spark):
+    rows, df = planted_vectors(spark)
+    truth = {i: label for i, _, label in rows}
+    got = {r.vec_id: r.predicted_label for r in vectors.cross_validated(df, "embedding", "label", "vec_id", 3).collect()}
+    assert set(got) == set(truth) and sum(got[i] == truth[i] for i in truth) > 0.9 * len(truth)
+    model = vectors.classifier(df, "embedding", "label")
+    assert list(model.stages[0].labels) == ["1", "a", "b"]
+    top = {r.vec_id: r.top for r in vectors.predictions(model, df, "embedding", "vec_id", {"a": "Alpha"}).collect()}
+    assert sum(t[0].label == {"a": "Alpha"}.get(truth[i], f"Group {truth[i]}") for i, t in top.items()) > 0.9 * len(truth) and all(len(t) == 3 for t in top.values())
+
+
+def test_ordination_equals_singular_vectors(spark):
+    rows, df = planted_vectors(spark)
+    x = np.array([v for _, v, _ in rows])
+    _, _, vt = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    coords, loads, mean = vectors.ordination(df, "embedding", "vec_id")
+    want = vt[:2] * np.sign(vt[:2][range(2), abs(vt[:2]).argmax(1)])[:, None]
+    assert np.allclose(loads, want, atol=1e-6) and np.allclose(mean, x.mean(0))
+    got = np.array([[r.pc1, r.pc2] for r in coords.orderBy("vec_id").collect()])
+    assert np.allclose(got, (x - x.mean(0)) @ want.T, atol=1e-6)
+
+
 def test_empty_tables(spark):
     facts = spark.createDataFrame([], "patient_id long, sample_id string, taxon string, value double, pos long")
     assert deviation.cohort_counts(facts).first() == (0, 0)
