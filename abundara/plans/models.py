@@ -105,7 +105,7 @@ def healthy_insight(spark, d):
     return rows.select("sample_id", *joined, "level", "deviation_label", "recommendation")
 
 
-@query(WITH + STATS + _scored_sql("v_abundance", "st") + f", r AS (SELECT *, {RANKED} AS rank FROM sc) SELECT patient_id, sample_id, string_agg(substring(regexp_replace({_NAME}, '^_+|_+$', '', 'g'), 1, 20) || '(log2FC ' || CASE WHEN round(fold, 2) >= 0 THEN '+' ELSE '' END || printf('%.2f', round(fold, 2)) || ', Z=' || printf('%.2f', round(z, 2)) || ')', '、' ORDER BY rank) AS text FROM r WHERE rank <= 3 GROUP BY 1, 2")
+@query(WITH + STATS + _scored_sql("v_abundance", "st") + f", r AS (SELECT *, {RANKED} AS rank FROM sc) SELECT patient_id, sample_id, string_agg(substring(regexp_replace({_NAME}, '^_+|_+$', '', 'g'), 1, 20) || '(log2FC ' || CASE WHEN round(fold, 2) >= 0 THEN '+' ELSE '' END || printf('%.2f', round(fold, 2) + 0.0::DOUBLE) || ', Z=' || printf('%.2f', round(z, 2) + 0.0::DOUBLE) || ')', '、' ORDER BY rank) AS text FROM r WHERE rank <= 3 GROUP BY 1, 2")
 def difference_lines(spark, d):
     rows = rounded2(deviation.ranked(deviation.scored(A(spark, d), deviation.taxon_stats(H(spark, d))), 8))
     return structure.difference_text(rows)
