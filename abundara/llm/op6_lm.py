@@ -37,6 +37,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -210,7 +211,7 @@ def answers(table: pa.Table) -> pa.Table:
     """Adds up one range's counts: (block, part, kind, counts, words, tokens); the row without block has the range's words."""
     out = []
     for k in range(ORDER):
-        mine = table.filter(pa.compute.equal(table.column("kind"), k)).to_pylist()
+        mine = table.filter(pc.equal(table.column("kind"), k)).to_pylist()
         if not mine:
             continue
         hashes = [np.cumsum(unsqueezed(r["hashes"]), dtype=np.uint64) for r in mine]
@@ -239,7 +240,7 @@ def answered(table: pa.Table, folder: str) -> tuple[Block, list[np.ndarray]]:
     block = Block.load(f"{folder}/{table.column('block')[0].as_py()}.arrow")
     counts = []
     for k in range(ORDER):
-        mine = table.filter(pa.compute.equal(table.column("kind"), k)).sort_by("part")
+        mine = table.filter(pc.equal(table.column("kind"), k)).sort_by("part")
         found = np.concatenate([unsqueezed(x.as_py()) for x in mine.column("counts")]) if len(mine) else np.zeros(0)
         by_gram = np.empty(len(found), np.int64)
         by_gram[block.order(k)] = found
@@ -325,7 +326,7 @@ def scores(docs: DataFrame, text_col: str = "text", block_bytes: int | None = No
         c = found[0][block.ids]
         base = per(np.log10((c + 0.1) / (tokens + 0.1 * (words + 1))))
         d = block.docs
-        return pa.table([d.column("doc_id"), pa.compute.invert(d.column("train")), d.column("n_tokens"), pa.array(per(c > 0).astype(np.int64)), pa.array(np.full(len(d), tokens)), pa.array(base), pa.array(per(np.log10(mix)))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pa.table([d.column("doc_id"), pc.invert(d.column("train")), d.column("n_tokens"), pa.array(per(c > 0).astype(np.int64)), pa.array(np.full(len(d), tokens)), pa.array(base), pa.array(per(np.log10(mix)))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return counts.filter("block is not null").groupBy("block").applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
