@@ -105,15 +105,15 @@ def healthy_insight(spark, d):
     return rows.select("sample_id", *joined, "level", "deviation_label", "recommendation")
 
 
-@query(WITH + STATS + _scored_sql("v_abundance", "st") + f", r AS (SELECT *, {RANKED} AS rank FROM sc) SELECT patient_id, sample_id, string_agg(substring(regexp_replace({_NAME}, '^_+|_+$', '', 'g'), 1, 20) || '(log2FC ' || CASE WHEN round(fold, 2) >= 0 THEN '+' ELSE '' END || printf('%.2f', round(fold, 2) + 0.0::DOUBLE) || ', Z=' || printf('%.2f', round(z, 2) + 0.0::DOUBLE) || ')', '、' ORDER BY rank) AS text FROM r WHERE rank <= 3 GROUP BY 1, 2")
+@query(WITH + STATS + _scored_sql("v_abundance", "st") + f", r AS (SELECT *, {RANKED} AS rank FROM sc) SELECT patient_id, sample_id, string_agg(substring(regexp_replace({_NAME}, '^_+|_+$', '', 'g'), 1, 20) || '(log2FC ' || CASE WHEN round(fold + 1e-9::DOUBLE, 2) >= 0 THEN '+' ELSE '' END || printf('%.2f', round(fold + 1e-9::DOUBLE, 2) + 0.0::DOUBLE) || ', Z=' || printf('%.2f', round(z + 1e-9::DOUBLE, 2) + 0.0::DOUBLE) || ')', '、' ORDER BY rank) AS text FROM r WHERE rank <= 3 GROUP BY 1, 2")
 def difference_lines(spark, d):
     rows = rounded2(deviation.ranked(deviation.scored(A(spark, d), deviation.taxon_stats(H(spark, d))), 8))
     return structure.difference_text(rows)
 
 
 def rounded2(df: DataFrame) -> DataFrame:
-    """Two digits, half up and without a negative zero, so that both sides print the same digits."""
-    return df.withColumns({c: F.round(c, 2) + 0.0 for c in ("log2_fold", "z")})
+    """Two digits without a negative zero. Values on a half (2.625) are nudged up, as sums in another order fall on either side of it."""
+    return df.withColumns({c: F.round(F.col(c) + 1e-9, 2) + 0.0 for c in ("log2_fold", "z")})
 
 
 # --- SQL surface and state -------------------------------------------------------------
