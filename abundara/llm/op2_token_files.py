@@ -2,9 +2,10 @@
 
 Documents are range-partitioned and sorted by id; each task encodes its range, appends an end id to each
 document, and writes the stream of ids as rows of `sequence_length` ids with a mask of the same length
-(a byte for each id, 0 in the padding of a shard's last row). Every record batch but the last holds ROWS_PER_BATCH
-rows, so row i is row i % ROWS_PER_BATCH of batch i // ROWS_PER_BATCH: with a memory map, any sequence or
-mask is a view of the file. Ids take 16 bits if the vocabulary allows it. A second small Arrow file
+(a bit for each id, 0 in the padding of a shard's last row; eight to a byte, the lowest bit first, so a row's mask
+is a list of whole bytes). Every record batch but the last holds ROWS_PER_BATCH rows, so row i is row
+i % ROWS_PER_BATCH of batch i // ROWS_PER_BATCH: with a memory map, the ids of any row and the bits of its
+mask are views of the file; only unpacking the bits copies them. Ids take 16 bits if the vocabulary allows it. A second small Arrow file
 beside each shard has the place of each document. Tasks write under a new name and tell it in their
 result, so a repeated or speculative attempt never meets another's file.
 
@@ -31,6 +32,10 @@ SEQUENCE_LENGTH, ROWS_PER_BATCH, END_ID = 2048, 64, 2
 SHARD_BYTES = 256 << 20
 
 
+def mask_bytes(length: int) -> int:
+    return -(-length // 8)
+
+
 def id_type(vocabulary: int) -> pa.DataType:
     return pa.uint16() if vocabulary <= 1 << 16 else pa.uint32()
 
@@ -40,7 +45,7 @@ class ShardWriter:
 
     def __init__(self, sink, kind: pa.DataType, length: int):
         self.kind, self.length, self.held, self.size = kind, length, [], 0
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), mask_bytes(length)))])
         self.writer = pa.ipc.new_file(sink, self.schema)
 
     def add(self, ids: np.ndarray) -> None:
@@ -63,7 +68,8 @@ class ShardWriter:
         self.held, self.size = [rest], len(rest)
 
     def put(self, ids: np.ndarray, n: int) -> None:
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, (np.arange(len(ids)) < n).astype(np.uint8))]
+        mask = np.packbits((np.arange(len(ids)) < n).reshape(-1, self.length), axis=1, bitorder="little").reshape(-1)
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), size) for x, size in ((ids, self.length), (mask, mask_bytes(self.length)))]
         self.writer.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
     def close(self) -> None:
@@ -89,10 +95,15 @@ class TokenFile:
         return b.column(0).values.to_numpy(zero_copy_only=True), b.column(1).values.to_numpy(zero_copy_only=True)
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of row i."""
-        ids, mask = self.batch(i // ROWS_PER_BATCH)
+        """Ids of row i, a view, and its mask as a byte for each id, unpacked from its bits."""
         at = i % ROWS_PER_BATCH * self.length
-        return ids[at : at + self.length], mask[at : at + self.length]
+        return self.batch(i // ROWS_PER_BATCH)[0][at : at + self.length], np.unpackbits(self.packed_mask(i), count=self.length, bitorder="little")
+
+    def packed_mask(self, i: int) -> np.ndarray:
+        """The bits of row i's mask, a view."""
+        width = mask_bytes(self.length)
+        at = i % ROWS_PER_BATCH * width
+        return self.batch(i // ROWS_PER_BATCH)[1][at : at + width]
 
     def stream(self, start: int, n: int) -> np.ndarray:
         """n ids from place `start` of the shard."""

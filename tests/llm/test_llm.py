@@ -433,6 +433,20 @@ def test_token_files(spark, edges, library, length):
     assert total == at
 
 
+def test_token_masks_are_views_of_bits(spark):
+    docs = spark.createDataFrame([(i, "some words of a text " * 5) for i in range(9)], "doc_id long, text string")
+    length = 13  # not a multiple of eight
+    for s in op2_token_files.write_token_files(docs, common.new_folder(spark, "tokens"), BYTE, 50_257, length=length, partitions=2):
+        f = op2_token_files.TokenFile(s["uri"])
+        left = s["tokens"]
+        for i in range(-(-s["tokens"] // length)):
+            bits, mask = f.packed_mask(i), f.sequence(i)[1]
+            assert len(bits) == 2 and not bits.flags.owndata
+            assert mask.tolist() == [int(k < left) for k in range(length)]
+            assert [bits[k // 8] >> k % 8 & 1 for k in range(length)] == mask.tolist()
+            left -= length
+
+
 def test_token_files_of_nothing(spark, empty):
     shards = op2_token_files.write_token_files(empty, common.new_folder(spark, "tokens"), BYTE, 50_257)
     assert shards == [] and op2_token_files.read_token_files(spark, shards).count() == 0
