@@ -30,7 +30,7 @@ from . import common
 
 K = 10
 #: Characters of text in a shard, documents in a window, queries that a task takes on at once.
-SHARD_CHARS, WINDOW, QUERY_BLOCK = 32 << 20, 1024, 1024
+SHARD_CHARS, WINDOW, QUERY_BLOCK = 8 << 20, 1024, 1024
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 FIND = re.compile(TERM).findall
 BREAK = re.compile(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]").search
