@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as T
-from ..operators import deviation, structure, vectors
+from ..operators import boosting, deviation, information, structure, vectors
 from ..sources import sinks
 from ..streaming import queue
 from .queries import CHUNKS, LONG, RANKED, SCOPED, SPATIAL, STATS, WITH, A, E, H, _reference, _scored_sql, _target, query, rounded, t
@@ -21,6 +21,56 @@ def best_features(spark, d):
     return rounded(vectors.best_features(scores, "variance", vectors.kept_features(64)), "variance")
 
 
+_PSI = "(ln({0} + 6.0::DOUBLE) - 0.5::DOUBLE / ({0} + 6) - 1 / 12.0::DOUBLE / ({0} + 6) ** 2 + 1 / 120.0::DOUBLE / ({0} + 6) ** 4 - 1 / 252.0::DOUBLE / ({0} + 6) ** 6 + 1 / 240.0::DOUBLE / ({0} + 6) ** 8 - 1 / 132.0::DOUBLE / ({0} + 6) ** 10 - 1.0::DOUBLE / {0} - 1.0::DOUBLE / ({0} + 1) - 1.0::DOUBLE / ({0} + 2) - 1.0::DOUBLE / ({0} + 3) - 1.0::DOUBLE / ({0} + 4) - 1.0::DOUBLE / ({0} + 5))"
+_NEAR = (
+    LONG
+    + f""", s AS (SELECT label, count(*) AS n FROM embeddings WHERE label IS NOT NULL GROUP BY 1 HAVING count(*) > 1), v AS MATERIALIZED (SELECT l.*, s.n FROM l JOIN s USING (label)),
+r AS MATERIALIZED (SELECT a.feature, a.vec_id, a.value, a.n, list_sort(list(abs(a.value - b.value)))[least(5, a.n - 1)] AS r FROM v a JOIN v b ON a.feature = b.feature AND a.label = b.label AND a.vec_id <> b.vec_id GROUP BY a.feature, a.vec_id, a.value, a.n),
+m AS (SELECT r.feature, r.vec_id, r.n, count(*) AS m FROM r JOIN v b ON b.feature = r.feature AND (abs(r.value - b.value) < r.r OR (r.r = 0 AND b.value = r.value)) GROUP BY r.feature, r.vec_id, r.n),
+mi AS (SELECT feature, greatest(0, {_PSI.format("count(*)")} + avg({_PSI.format("least(5, n - 1)")}) - avg({_PSI.format("n")}) - avg({_PSI.format("m")})) AS information FROM m GROUP BY 1)"""
+)
+
+
+@query(_NEAR + " SELECT CAST(feature AS INTEGER) AS feature, round(information, 6) AS information FROM mi")
+def mi_knn(spark, d):
+    return rounded(information.knn_information(E(spark, d), "embedding", "label"), "information")
+
+
+@query(_NEAR + " SELECT CAST(feature AS INTEGER) AS feature, round(information, 6) AS information FROM (SELECT * FROM mi ORDER BY round(information, 9) DESC, feature LIMIT 38)")
+def informative_features(spark, d):
+    scores = information.knn_information(E(spark, d), "embedding", "label").withColumn("information", F.round("information", 9))
+    return rounded(vectors.best_features(scores, "information", vectors.kept_features(64)), "information")
+
+
+#: Few, shallow trees at a high rate: a model that a registered query can train.
+SHORT = boosting.Params(rounds=8, patience=3, floor=4, depth=3, rate=0.4, bins=32, least_hessian=1.0)
+
+
+@query()
+def train_predict(spark, d):
+    rows = E(spark, d)
+    model = boosting.fitted(rows, "embedding", "label", "vec_id", SHORT)
+    return boosting.predictions(model, rows, "embedding", "vec_id").select("vec_id", "predicted", F.get("top", F.lit(0))["label"].alias("top1"))
+
+
+@query()
+def cv_oof(spark, d):
+    return boosting.cross_validated(E(spark, d), "embedding", "label", "vec_id", SHORT, 3)[0]
+
+
+@query()
+def selected_model(spark, d):
+    """Variance filter, CLR, features by information, then a model whose rounds the folds decide: top classes of every row."""
+    rows = vectors.clr_rows(E(spark, d), "embedding")
+    kept = vectors.variance_filter(vectors.variance(vectors.long_form(rows, "vec_id", "embedding"))).select("feature")
+    scores = information.knn_information(rows, "clr", "label").join(kept, "feature", "left_semi")
+    chosen = [r.feature for r in vectors.best_features(scores, "information", vectors.kept_features(52)).collect()]  # a number per kept feature
+    picked = rows.select("vec_id", "label", F.array(*[F.get("clr", F.lit(f)) for f in chosen]).alias("x"))
+    _, model = boosting.cross_validated(picked, "x", "label", "vec_id", SHORT, 3)
+    top = boosting.predictions(model, picked, "x", "vec_id", {"0": "Healthy"})
+    return top.select("vec_id", F.lit(model.rounds).alias("rounds"), F.posexplode("top").alias("place", "c")).select("vec_id", "rounds", "place", F.col("c.label").alias("label"), F.col("c.percent").alias("percent"))
+
+
 _SHARE = "(('0x' || substring(md5(CAST(vec_id AS VARCHAR) || ':42'), 1, 8))::BIGINT % 1000000) < 400000"
 
 

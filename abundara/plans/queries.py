@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as T
-from ..operators import cohort, deviation, ingest, retrieval, rules, structure, traces, vectors
+from ..operators import cohort, deviation, ingest, retrieval, rules, search_index, structure, traces, vectors
 from ..sources import files, sinks, tables
 from ..streaming import queue
 
@@ -458,17 +458,6 @@ def mi_rank(spark, d):
     return rounded(vectors.mutual_information(vectors.long_form(rows, "vec_id", "embedding"), rows.select("vec_id", "label"), "vec_id", "label"), "information")
 
 
-@query()
-def train_predict(spark, d):
-    rows = E(spark, d)
-    return vectors.predictions(vectors.classifier(rows, "embedding", "label"), rows, "embedding", "vec_id").select("vec_id", "predicted", F.get("top", F.lit(0))["label"].alias("top1"))
-
-
-@query()
-def cv_oof(spark, d):
-    return vectors.cross_validated(E(spark, d), "embedding", "label", "vec_id", 3)
-
-
 @query("SELECT CAST(q AS VARCHAR) AS label, support, round(coalesce(hit / nullif(named, 0), 0), 6) AS precision, round(coalesce(hit / nullif(support, 0), 0), 6) AS recall FROM (SELECT q, (SELECT count(*) FROM x WHERE quality = q) AS support, (SELECT count(*) FROM x WHERE guess = q) AS named, (SELECT count(*) FROM x WHERE quality = q AND guess = q) AS hit FROM (VALUES (0), (1)) v(q))".replace("SELECT CAST(q", "WITH x AS (SELECT quality, CASE WHEN n_chars >= 600 THEN 1 ELSE 0 END AS guess FROM labels JOIN documents USING (doc_id)) SELECT CAST(q", 1))
 def classification_report(spark, d):
     rows = t(spark, d, "labels").join(t(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").select(F.col("quality").cast("string").alias("truth"), F.when(F.col("n_chars") >= 600, "1").otherwise("0").alias("guess"))
@@ -490,10 +479,14 @@ def _tokens(spark, d) -> DataFrame:
     return retrieval.tokenized(t(spark, d, "documents").select("doc_id", "lang", "text"))
 
 
-def _hits(spark, d, expanded: bool = False) -> DataFrame:
-    asked = t(spark, d, "benchmark")
-    asked = asked.withColumn("text", T.expanded_query(F.col("text"))) if expanded else asked
-    return retrieval.bm25(asked, retrieval.built_index(t(spark, d, "documents"), "doc_id"), "item_id", "doc_id")
+def _index(spark, d) -> search_index.Index:
+    """The one index that all BM25 queries share."""
+    return search_index.kept(t(spark, d, "documents"), "doc_id", topic="lang")
+
+
+def _top(spark, d, k: int, **kind) -> DataFrame:
+    asked = t(spark, d, "benchmark").withColumn("expanded", T.expanded_query(F.col("text")))
+    return search_index.top_hits(asked, _index(spark, d), "item_id", k, **kind)
 
 
 @query(TOKENS + " SELECT doc_id, CAST(len(tokens) AS INTEGER) AS length, CAST(len(list_distinct(tokens)) AS INTEGER) AS n_distinct FROM tk WHERE len(tokens) > 0")
@@ -518,7 +511,7 @@ def topic_counts(spark, d):
 
 @query(BM25 + ", r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM hit WHERE score > 0) SELECT item_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 10")
 def bm25_search(spark, d):
-    return rounded(retrieval.best(_hits(spark, d), "item_id", "doc_id", 10), "score").select("item_id", "doc_id", "rank", "score")
+    return rounded(_top(spark, d, 10), "score")
 
 
 @query(BM25.replace("lower(text), '[A-Za-z][A-Za-z0-9_-]+|[\\x{4e00}-\\x{9fff}]+'), lambda x: length(x) > 1 AND x NOT IN (" + _STOP + "))) AS token FROM benchmark)", "lower(expanded), '[A-Za-z][A-Za-z0-9_-]+|[\\x{4e00}-\\x{9fff}]+'), lambda x: length(x) > 1 AND x NOT IN (" + _STOP + "))) AS token FROM (" + EXPANDED + "))") + """, nm AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9_-]+')) AS topic FROM benchmark),
@@ -526,10 +519,8 @@ ev AS (SELECT b.item_id, dd.doc_id, coalesce(h.score, 0) + CASE WHEN nm.topic IS
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM ev WHERE score >= 0.20::DOUBLE)
 SELECT item_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 10""")
 def bm25_search_boosted(spark, d):
-    topics = t(spark, d, "documents").select("doc_id", F.col("lang").alias("topic"))
     limit = N.clamp_limit(50, 10, 10)  # asked for too many
-    boosted = retrieval.topic_bonus(_hits(spark, d, expanded=True), t(spark, d, "benchmark"), topics, "item_id", "doc_id", limit)
-    return rounded(retrieval.best(boosted, "item_id", "doc_id", limit, 0.20, strict=False), "score").select("item_id", "doc_id", "rank", "score")
+    return rounded(_top(spark, d, limit, text="expanded", least=0.20, strict=False, bonus=0.20, named="text"), "score")
 
 
 _KB = "license version token released"
@@ -618,7 +609,7 @@ f AS (SELECT item_id, key, min(source_rank * 1000 + position) AS o FROM u GROUP
 z AS (SELECT item_id, key, row_number() OVER (PARTITION BY item_id ORDER BY o, key) AS rank FROM f)
 SELECT item_id, key, CAST(rank AS INTEGER) AS rank FROM z WHERE rank <= 8""")
 def evidence_merge(spark, d):
-    top = retrieval.best(_hits(spark, d), "item_id", "doc_id", 10)
+    top = sinks.written(_top(spark, d, 10), "top")  # both lists read it
     none = F.lit(None).cast("string")
     shape = lambda df, prefix, position: df.select("item_id", position.alias("position"), F.concat(F.lit(prefix), F.col("doc_id").cast("string")).alias("pmcid"), none.alias("url"), none.alias("title"))
     second = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("doc_id")))

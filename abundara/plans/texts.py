@@ -9,7 +9,7 @@ from ..functions import numeric as N
 from ..functions import text as T
 from ..operators import cohort, retrieval
 from ..sources import files, sinks, tables
-from .queries import _MATRIX, BM25, CHUNKS, SUMMARY, TOP, WITH, A, P, _hits, _matrix, collapsed, normalised, query, rounded, t
+from .queries import _MATRIX, BM25, CHUNKS, SUMMARY, TOP, WITH, A, P, _matrix, _top, collapsed, normalised, query, rounded, t
 
 # --- text functions --------------------------------------------------------------------
 
@@ -121,8 +121,7 @@ def paper_chunks(spark, d):
 
 @query(BM25 + ", r AS (SELECT hit.*, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM hit JOIN documents USING (doc_id) WHERE score > 0 AND lower(lang) = 'en') SELECT item_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 5")
 def bm25_search_topic(spark, d):
-    topic = t(spark, d, "documents").filter(F.lower("lang") == "EN".lower()).select("doc_id")
-    return rounded(retrieval.best(_hits(spark, d).join(topic, "doc_id", "left_semi"), "item_id", "doc_id", 5), "score").select("item_id", "doc_id", "rank", "score")
+    return rounded(_top(spark, d, 5, only="EN"), "score")
 
 
 @query("SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'summary,evidence,prediction' ELSE 'summary,notes,evidence' END AS types FROM conversations")
