@@ -92,9 +92,13 @@ def tokens(c: Column) -> Column:
     return F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS))
 
 
+#: Fixed value: what parts the tokens of a keyword query.
+QUERY_SEPARATORS = "[\\s,.;:!?()\\[\\]\"'/|，。；：！？、（）]+"
+
+
 def query_tokens(c: Column) -> Column:
     """Distinct parts of two characters and more between blanks and punctuation."""
-    return F.array_distinct(F.filter(F.split(F.lower(c), "[\\s,.;:!?()\\[\\]\"'/|，。；：！？、（）]+"), lambda t: F.length(t) >= 2))
+    return F.array_distinct(F.filter(F.split(F.lower(c), QUERY_SEPARATORS), lambda t: F.length(t) >= 2))
 
 
 def snippet(c: Column, most: int) -> Column:
