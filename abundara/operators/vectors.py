@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import PCA, StringIndexer
+from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,7 +65,7 @@ def stratified_sample(rows: DataFrame, key: str, share: float, seed: int = 42) -
 
 
 def folds(rows: DataFrame, label: str, key: str, k: int) -> DataFrame:
-    """Fold number, dealt out in turn within each label."""
+    """Fold number, dealt out in turn within each label: by a window, for tables of a few thousand rows a label; `boosting.folds_by_rank` has no such bound."""
     return rows.withColumn("fold", F.pmod(F.row_number().over(Window.partitionBy(label).orderBy(key)) - 1, F.lit(k)))
 
 
@@ -96,20 +96,6 @@ def top_classes(labels: Column, probabilities: Column, k: int = 3) -> Column:
     return F.transform(F.slice(F.array_sort(pairs), 1, k), lambda p: F.struct(p["label"].alias("label"), p["percent"].alias("percent")))
 
 
-def ordination(rows: DataFrame, vector: str, key: str, k: int = 2) -> tuple[DataFrame, list[list[float]], list[float]]:
-    """Principal coordinates of every row, components (largest loading positive), and the mean that is subtracted."""
-    long = rows.select(F.posexplode(vector).alias("at", "value"))
-    mean = [r.m for r in long.groupBy("at").agg(F.avg("value").alias("m")).orderBy("at").collect()]  # a number per dimension
-    centre = F.array(*[F.lit(m) for m in mean])
-    centred = rows.withColumn("__v", array_to_vector(F.zip_with(vector, centre, lambda a, b: a - b)))
-    model = PCA(k=k, inputCol="__v", outputCol="__p").fit(centred)
-    loads = model.pc.toArray()
-    signs = [1.0 if loads[abs(loads[:, j]).argmax(), j] >= 0 else -1.0 for j in range(k)]
-    point = vector_to_array("__p")
-    coords = model.transform(centred).select(key, *[(F.get(point, F.lit(j)) * signs[j]).alias(f"pc{j + 1}") for j in range(k)])
-    return coords, (loads * signs).T.tolist(), mean
-
-
 def ellipse(points: DataFrame, x: str = "pc1", y: str = "pc2") -> DataFrame:
     """95 % confidence ellipse as points; none for fewer than three points."""
     s = points.agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_samp(x).alias("a"), F.var_samp(y).alias("c"), F.covar_samp(x, y).alias("b"))
@@ -139,18 +125,6 @@ def predictions(model, rows: DataFrame, vector: str, key: str, names: dict[str,
     return model.stages[1].transform(prepared).select(key, top_classes(labels, vector_to_array("probability")).alias("top"), F.col("prediction").cast("int").alias("predicted"))
 
 
-def cross_validated(rows: DataFrame, vector: str, label: str, key: str, k: int = 5) -> DataFrame:
-    """Out-of-fold prediction of every row: k models, none of which saw the row."""
-    dealt = folds(rows, label, key, k).persist()
-    out = None
-    for f in range(k):
-        model = classifier(dealt.filter(F.col("fold") != f), vector, label)
-        part = predictions(model, dealt.filter(F.col("fold") == f), vector, key)
-        part = part.withColumn("predicted_label", F.get(F.array(*[F.lit(x) for x in model.stages[0].labels]), F.col("predicted")))
-        out = part if out is None else out.unionByName(part)
-    return rows.select(key, F.col(label).cast("string").alias("label")).join(out.select(key, "predicted_label"), key)
-
-
 def report(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
     """Precision, recall, F1 and support by label; 0 where undefined."""
     n = rows.groupBy(F.col(truth).alias("t"), F.col(predicted).alias("p")).agg(F.count(F.lit(1)).alias("n"))

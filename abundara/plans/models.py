@@ -190,13 +190,13 @@ def session_counts(spark, d):
     path = sinks.scratch_folder(spark, "sessions")
     stream = queue.session_state(queue.read_queue(spark, f"{d}/events.parque[t]", events.schema))
     run = stream.writeStream.foreachBatch(lambda rows, number: rows.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)).outputMode("update")
-    # state that times out asks for batches without data for ever; a run to the end of the files has none of these
-    name = "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+    before = {k: spark.conf.get(k, None) for k in queue.ROCKS_DB}
+    for k, v in queue.ROCKS_DB.items():
+        spark.conf.set(k, v)
     try:
         run.option("checkpointLocation", sinks.scratch_folder(spark, "sessions-checkpoint")).trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
     latest = F.max_by(F.struct("last", "oldest"), F.struct("batch", "n")).alias("latest")
     return spark.read.parquet(path).groupBy("user_id").agg(F.max("n").alias("n"), latest).select("user_id", "n", "latest.last", "latest.oldest")

@@ -7,10 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import numeric as N
 from ..functions import text as T
-from ..operators import cohort, deviation, ingest, retrieval, rules, search_index, structure, substrings, traces, vectors
+from ..operators import boosting, cohort, deviation, ingest, ordination, retrieval, rules, search_index, structure, substrings, traces, vectors
 from ..sources import files, sinks, tables
 from ..streaming import queue
 
@@ -445,7 +446,17 @@ def cov_ellipse(spark, d):
 
 @query()
 def pca_project(spark, d):
-    return rounded(vectors.ordination(E(spark, d), "embedding", "vec_id")[0], "pc1", "pc2")
+    rows = ordination.dense_rows(E(spark, d), "vec_id", "embedding")
+    return rounded(ordination.coordinates(rows, ordination.fitted(rows), "vec_id"), "pc1", "pc2")
+
+
+@query()
+def ordination_ellipse(spark, d):
+    """The confidence ellipse of a group in the coordinates of all rows."""
+    rows = E(spark, d)
+    sparse = ordination.dense_rows(rows, "vec_id", "embedding")
+    points = ordination.coordinates(sparse, ordination.fitted(sparse), "vec_id")
+    return rounded(vectors.ellipse(points.join(rows.filter("label = 0").select("vec_id"), "vec_id", "left_semi")), "x", "y")
 
 
 @query(LONG + """, sp AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM l GROUP BY 1),
@@ -779,10 +790,10 @@ _LAST = "SELECT user_id, arg_max(event_id, (ts, event_id)) AS e, max(ts) AS ts F
 
 def _streamed(spark, d) -> DataFrame:
     events = t(spark, d, "events")
-    consumer = queue.Consumer(spark, sinks.scratch_folder(spark, "stream"), "stream_scores", "user_id")
+    consumer = queue.Consumer(spark, sinks.scratch_folder(spark, "stream"), "user_id", f"user_id long, risk_score double, risk_level string, ts {events.schema['ts'].dataType.simpleString()}", lambda b: queue.scored(b, "user_id"))
     run = consumer.start(queue.read_queue(spark, f"{d}/events.parque[t]", events.schema), sinks.scratch_folder(spark, "stream-checkpoint"))
     run.awaitTermination()
-    return spark.read.parquet(consumer.path)
+    return consumer.read()
 
 
 @query("SELECT user_id, ((user_id * 7919 + 104729) % 10000) / 10000.0::DOUBLE AS risk_score, CASE WHEN ((user_id * 7919 + 104729) % 10000) / 10000.0::DOUBLE > 0.7 THEN 'HIGH' ELSE 'LOW' END AS risk_level FROM (SELECT DISTINCT user_id FROM events)")
@@ -795,6 +806,21 @@ def stream_latest_state(spark, d):
     return _streamed(spark, d).select("user_id", "ts")
 
 
+@query("""WITH g AS (SELECT user_id, arg_max(value, ts) FILTER (event_type <> 'error') AS risk_score, count(*) FILTER (event_type = 'error') AS dead FROM events GROUP BY 1)
+SELECT user_id AS patient_id, round(risk_score, 6) AS risk_score, dead FROM g""")
+def stream_dead_letters(spark, d):
+    """Results as JSON messages; those of errors have no number for a score and end among the dead letters."""
+    events = t(spark, d, "events")
+    text = F.to_json(F.struct(F.col("user_id").alias("patient_id"), F.when(F.col("event_type") == "error", "n/a").otherwise(F.col("value").cast("string")).alias("risk_score"), F.col("event_type").alias("risk_level"), F.col("ts").cast("string").alias("ts")))
+    schema = StructType.fromDDL("patient_id long, risk_score double, risk_level string, ts timestamp")
+    root = sinks.scratch_folder(spark, "results")
+    consumer = queue.Consumer(spark, root, "patient_id", schema, queue.parsed)
+    messages = queue.read_queue(spark, f"{d}/events.parque[t]", events.schema).select(text.alias("value"))
+    consumer.start(messages, sinks.scratch_folder(spark, "results-checkpoint")).awaitTermination()
+    bad = queue.dead_letters(spark, root, StructType.fromDDL("message string, patient_id long, fault string")).groupBy("patient_id").agg(F.count_if(F.col("fault") == "bad_score").alias("dead"))
+    return consumer.read().join(bad, "patient_id", "full").select("patient_id", F.round("risk_score", 6).alias("risk_score"), F.coalesce("dead", F.lit(0)).alias("dead"))
+
+
 @query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def x_tumbling(spark, d):
     return queue.tumbling(t(spark, d, "events")).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
@@ -872,7 +898,7 @@ def running_context(spark, d):
 
 @query("SELECT vec_id, CAST((row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) % 5 AS INTEGER) AS fold FROM embeddings")
 def stratified_folds(spark, d):
-    return vectors.folds(E(spark, d), "label", "vec_id", 5).select("vec_id", "fold")
+    return boosting.folds_by_rank(E(spark, d).select("vec_id", "label"), "label", "vec_id", 5).select("vec_id", "fold")
 
 
 @query("SELECT doc_id, nullif(regexp_extract(coalesce(text, ''), '(?:^|[^0-9])([0-9]{1,6})(?:[^0-9]|$)', 1), '') AS first_id FROM documents")

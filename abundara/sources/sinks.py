@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import json
 import tempfile
 import time
@@ -108,6 +109,10 @@ class ResultCache:
         self.kept[key] = (self.clock() + self.seconds, df)
         return df
 
+    def invalidate_matching(self, pattern: str) -> int:
+        """Drops all results whose key matches a pattern with * and ?."""
+        return sum(self.invalidate(k) for k in [k for k in self.kept if fnmatch.fnmatchcase(k, pattern)])
+
     def invalidate(self, prefix: str) -> int:
         """Drops all results whose key begins with the prefix."""
         keys = [k for k in self.kept if k.startswith(prefix)]

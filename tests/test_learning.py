@@ -5,7 +5,8 @@ import math
 import numpy as np
 import pytest
 
-from abundara.operators import boosting, information
+from abundara.operators import boosting, information, ordination
+from abundara.plans import queries as Q
 
 
 def planted(n=300, width=6, classes=3, seed=5):
@@ -194,3 +195,61 @@ def test_interval_ends_are_the_last_doubles():
     with np.errstate(over="ignore"):
         assert ((x - np.nextafter(low, -np.inf))[inside] >= r[inside]).all() and ((np.nextafter(high, np.inf) - x)[inside] >= r[inside]).all()
     assert low[-1] == high[-1] == 5.0
+
+
+# --- ordination --------------------------------------------------------------------
+
+
+def singular(x, k=2):
+    centred = x - x.mean(0)
+    _, s, vt = np.linalg.svd(centred, full_matrices=False)
+    axes = vt[:k] * np.sign(vt[:k][range(k), abs(vt[:k]).argmax(1)])[:, None]
+    return axes, s[:k] ** 2 / (len(x) - 1), centred @ axes.T
+
+
+def test_ordination_equals_singular_vectors(spark):
+    rows = planted(240, 30)
+    x = np.array([v for _, v, _ in rows])
+    frame = ordination.dense_rows(spark.createDataFrame(rows, SCHEMA).repartition(3), "vec_id", "embedding")
+    axes = ordination.fitted(frame, power=12)
+    want, variances, points = singular(x)
+    assert np.allclose(axes.components, want, atol=1e-6) and np.allclose(axes.mean, x.mean(0)) and np.allclose(axes.variances, variances)
+    got = np.array([[r.pc1, r.pc2] for r in ordination.coordinates(frame, axes, "vec_id").orderBy("vec_id").collect()])
+    assert np.allclose(got, points, atol=1e-5)
+
+
+def test_ordination_of_ten_thousand_sparse_features(spark):
+    """Two planted directions among 10,000 features, of which a row stores sixty."""
+    rng = np.random.default_rng(8)
+    n, features = 300, 10_000
+    x = np.zeros((n, features))
+    for i in range(n):
+        x[i, rng.choice(features, 40, replace=False)] = rng.random(40)
+        x[i, :10] += 8 * (i % 3 == 0)
+        x[i, 10:20] += 5 * (i % 2)
+    long = spark.createDataFrame([(int(i), int(f), float(x[i, f])) for i, f in zip(*np.nonzero(x))], "vec_id long, feature int, value double")
+    rows = ordination.sparse_rows(long, "vec_id")
+    axes = ordination.fitted(rows, features=features)
+    want, variances, _ = singular(x)
+    assert np.allclose(np.abs((axes.components * want).sum(1)), 1, atol=1e-6) and np.allclose(axes.variances, variances, rtol=1e-6)
+
+
+def test_ordination_edges(spark):
+    rows = [(1, [1.0, None, 3.0]), (2, None), (3, []), (4, [2.0])]
+    frame = ordination.dense_rows(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    got = ordination.coordinates(frame, ordination.fitted(frame), "vec_id").collect()
+    assert sorted(r.vec_id for r in got) == [1, 3, 4]
+    none = frame.filter("false")
+    assert ordination.coordinates(none, ordination.fitted(none), "vec_id").count() == 0
+
+
+def test_models_of_the_tables(spark, sf_dir):
+    """Accuracy on the given vectors: in sample, and out of fold against guessing."""
+    labels = {r.vec_id: str(r.label) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
+    got = {r.vec_id: r.top1 for r in Q.QUERIES["train_predict"](spark, sf_dir).collect()}
+    assert sum(got[i] == f"Group {x}" for i, x in labels.items()) > 0.9 * len(labels)
+    out = Q.QUERIES["cv_oof"](spark, sf_dir).collect()
+    assert {r.vec_id: r.label for r in out} == labels
+    hits = sum(r.label == r.predicted_label for r in out)
+    print(hits, len(out))
+    assert hits > 0.5 * len(out)

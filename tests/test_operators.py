@@ -360,34 +360,6 @@ def test_ellipse_needs_three_points(spark):
     assert vectors.ellipse(two.unionByName(spark.createDataFrame([(2.0, 2.0)], "pc1 double, pc2 double"))).count() == vectors.ELLIPSE_POINTS
 
 
-def test_stream_equals_batch_and_restarts(spark, sf_dir, tmp_path):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    for i in range(3):
-        events.filter(F.col("event_id") % 3 == i).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{i}"))
-    told = []
-    consumer = queue.Consumer(spark, str(tmp_path / "t"), "scores_view", "user_id", notify=lambda keys: told.append(keys.count()))
-    stream = queue.read_queue(spark, str(tmp_path / "in" / "*"), events.schema, 1)
-    consumer.start(stream, str(tmp_path / "cp")).awaitTermination()
-    got = {r.user_id: r.ts for r in spark.read.parquet(consumer.path).collect()}
-    assert got == {r.user_id: r.ts for r in events.groupBy("user_id").agg(F.max("ts").alias("ts")).collect()}
-    path = consumer.path
-    consumer(events, 0)  # a batch that was merged before
-    assert consumer.path == path and told
-    assert queue.Consumer(spark, "x", "y", "user_id", enabled=False).start(stream, "z") is None
-
-
-def test_a_new_consumer_goes_on(spark, sf_dir, tmp_path):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    halves = [events.filter(F.col("user_id") % 2 == i) for i in (0, 1)]
-    for number, half in enumerate(halves):
-        queue.Consumer(spark, str(tmp_path), "restart_view", "user_id")(half, number)
-    third = queue.Consumer(spark, str(tmp_path), "restart_view", "user_id", notify=lambda keys: 1 / 0)
-    assert third.done == 1 and {r.user_id for r in spark.read.parquet(third.path).collect()} == {r.user_id for r in events.select("user_id").distinct().collect()}
-    third(halves[0], 1)  # merged before
-    third(halves[0], 2)  # its listener fails, the table stays
-    assert third.done == 2 and spark.read.parquet(third.path).count() == events.select("user_id").distinct().count() and len(list(tmp_path.glob("v-*"))) == 2
-
-
 def test_jdbc_reads_by_predicates(spark, tmp_path):
     url = f"jdbc:derby:{tmp_path}/db;create=true"
     spark.range(10).write.jdbc(url, "numbers", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
@@ -402,28 +374,15 @@ def planted_vectors(spark):
     return rows, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
 
 
-def test_models_separate_planted_classes(spark):
+def test_forest_separates_planted_classes(spark):
     rows, df = planted_vectors(spark)
     truth = {i: label for i, _, label in rows}
-    got = {r.vec_id: r.predicted_label for r in vectors.cross_validated(df, "embedding", "label", "vec_id", 3).collect()}
-    assert set(got) == set(truth) and sum(got[i] == truth[i] for i in truth) > 0.9 * len(truth)
     model = vectors.classifier(df, "embedding", "label")
     assert list(model.stages[0].labels) == ["1", "a", "b"]
     top = {r.vec_id: r.top for r in vectors.predictions(model, df, "embedding", "vec_id", {"a": "Alpha"}).collect()}
     assert sum(t[0].label == {"a": "Alpha"}.get(truth[i], f"Group {truth[i]}") for i, t in top.items()) > 0.9 * len(truth) and all(len(t) == 3 for t in top.values())
 
 
-def test_ordination_equals_singular_vectors(spark):
-    rows, df = planted_vectors(spark)
-    x = np.array([v for _, v, _ in rows])
-    _, _, vt = np.linalg.svd(x - x.mean(0), full_matrices=False)
-    coords, loads, mean = vectors.ordination(df, "embedding", "vec_id")
-    want = vt[:2] * np.sign(vt[:2][range(2), abs(vt[:2]).argmax(1)])[:, None]
-    assert np.allclose(loads, want, atol=1e-6) and np.allclose(mean, x.mean(0))
-    got = np.array([[r.pc1, r.pc2] for r in coords.orderBy("vec_id").collect()])
-    assert np.allclose(got, (x - x.mean(0)) @ want.T, atol=1e-6)
-
-
 def test_empty_tables(spark):
     facts = spark.createDataFrame([], "patient_id long, sample_id string, taxon string, value double, pos long")
     assert deviation.cohort_counts(facts).first() == (0, 0)
