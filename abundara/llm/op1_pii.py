@@ -57,6 +57,8 @@ AGAINST = r"(?i)(?:order|invoice|isbn|issn|version|build|serial|sku|part|item|pa
 DIGIT_EDGES, LENGTH_EDGES = (1, 7, 9, 13, 16, 17, 20), (8, 12, 16, 20, 28)
 FEATURES = ("kind", "loose", "digits", "length", "separators", "left", "right", "near")
 ROUNDS, RATE, FOLDS, PRECISION = 24, 0.4, 4, 0.95
+#: Deviations of the lower bound of a precision.
+CONFIDENCE = 1.0
 BLOCK = 128
 
 
@@ -176,6 +178,37 @@ def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
+#: Spans whose overlaps are decided in one go; longer lists go block by block.
+SPANS = 128
+
+
+def clusters(spans: Column) -> Column:
+    """Arrays of spans that overlap, directly or through others, in order of place: one pass, so a text may hold any number of spans.
+
+    Where clusters begin is found in blocks; a state that grew with every span would be copied with every span.
+    """
+    n = lambda s: F.size(s)
+    ints = F.array().cast("array<int>")
+
+    def step(state: Column, s: Column) -> Column:
+        begins = F.when(s["start"] >= state["far"], F.concat(state["out"], F.array(state["at"]))).otherwise(state["out"])
+        return F.struct(F.greatest(state["far"], s["end"]).alias("far"), (state["at"] + 1).alias("at"), begins.alias("out"))
+
+    def block(s: Column):
+        def one(acc: Column, k: Column) -> Column:
+            inner = F.aggregate(F.slice(s, k * SPANS + 1, F.lit(SPANS)), F.struct(acc["far"].alias("far"), (k * SPANS).alias("at"), ints.alias("out")), step)
+            return let(inner, lambda x: F.struct(x["far"].alias("far"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+        return one
+
+    def cut(s: Column) -> Column:
+        found = F.aggregate(F.sequence(F.lit(0), F.floor((F.greatest(n(s), F.lit(1)) - 1) / SPANS).cast("int")), F.struct(F.lit(-1).alias("far"), F.array().cast("array<array<int>>").alias("out")), block(s))
+        return let(F.flatten(found["out"]), lambda b: F.transform(b, lambda at, i: F.slice(s, at + 1, F.coalesce(F.get(b, i + 1), n(s)) - at)))
+
+    placed = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s.alias("span"))))
+    return F.transform(let(placed, cut), lambda c: F.transform(c, lambda x: x["span"]))
+
+
 def candidates(text: Column) -> Column:
     """Array of candidate spans of `text` (a column without nulls), in order of kind."""
     clean = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, STAND_IN)).otherwise(text)
@@ -190,16 +223,17 @@ def candidates(text: Column) -> Column:
             loose.append(F.transform(matches(clean, LOOSE[kind], may_match(text, kind, 1)), candidate(kind, True)))
 
     def agreed(s: Column) -> Column:
-        base = F.filter(s["strict"], lambda b: b["base"])
+        """A cluster with labels of its loose candidates from the base spans that they overlap."""
+        base = F.filter(s, lambda b: b["base"])
 
         def one(c: Column) -> Column:
             met = F.filter(base, lambda b: overlaps(b, c))
             label = F.when(F.exists(met, lambda b: b["kind"] == c["kind"]), 1).when(F.size(met) > 0, 0).otherwise(c["label"])
-            return c.withField("label", F.when(c["label"] == 0, 0).otherwise(label))
+            return F.when(c["loose"] == 1, c.withField("label", F.when(c["label"] == 0, 0).otherwise(label))).otherwise(c)
 
-        return F.concat(s["strict"], F.when(F.size(s["loose"]) > 0, F.transform(s["loose"], one)).otherwise(s["loose"]))
+        return F.when(F.size(base) > 0, F.transform(s, one)).otherwise(s)
 
-    return let(F.struct(F.concat(*strict).alias("strict"), F.concat(*loose).alias("loose")), agreed)
+    return F.flatten(F.transform(clusters(F.concat(*strict, *loose)), agreed))
 
 
 # --- boosted trees over counts -------------------------------------------------
@@ -258,28 +292,39 @@ def score_column(model: tuple[float, list], c: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-sum((walk(t) for t in model[1]), F.lit(model[0]))))
 
 
+def lower_bound(hit: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Lower end of Wilson's interval for a share of `hit` in `n`, CONFIDENCE deviations wide."""
+    z = CONFIDENCE
+    n = np.maximum(n, 1e-9)
+    p = hit / n
+    return (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
 def fit(found: DataFrame, id_col: str) -> tuple[tuple[float, list] | None, dict[int, float]]:
-    """Model and thresholds by kind (none: nothing more is selected for it), from the `candidates` of all documents."""
+    """Model and thresholds by kind (none: nothing more is selected for it), from the `candidates` of all documents.
+
+    Thresholds are cross-fitted: every candidate is scored by a model that didn't see its fold, so a kind is calibrated on all it has. A
+    threshold is the least score above which the lower bound of precision is PRECISION, and PRECISION itself at least. The model that selects has seen all.
+    """
     rows = found.select(common.fold(F.col(id_col), FOLDS).alias("fold"), F.explode("candidates").alias("c")).filter("c.label >= 0")
     counts = rows.groupBy("fold", *[F.col(f"c.{f}").alias(f) for f in FEATURES]).agg(F.sum("c.label").alias("pos"), F.count(F.lit(1)).alias("n")).collect()
     if not counts:
         return None, {}
     x = np.array([[r[f] for f in FEATURES] for r in counts])
-    pos, n, held = (np.array(v, float) for v in zip(*[(r["pos"], r["n"], r["fold"] == 0) for r in counts]))
-    held = held > 0
-    model = fit_trees(x[~held], pos[~held], (n - pos)[~held]) if (~held).any() else fit_trees(x, pos, n - pos)
+    pos, n, fold = (np.array(v, float) for v in zip(*[(r["pos"], r["n"], r["fold"]) for r in counts]))
+    p = np.zeros(len(x))
+    for f in np.unique(fold):
+        own, rest = fold == f, fold != f
+        p[own] = predict(fit_trees(x[rest], pos[rest], (n - pos)[rest]), x[own]) if rest.any() else 0.0
     thresholds: dict[int, float] = {}
-    p = predict(model, x)
-    for kind in np.unique(x[held, 0]):
-        at = held & (x[:, 0] == kind)
-        order = np.argsort(-p[at])
-        hit, all_ = np.cumsum(pos[at][order]), np.cumsum(n[at][order])
+    for kind in np.unique(x[:, 0]):
+        at = x[:, 0] == kind
+        order = np.argsort(-p[at], kind="stable")
         score = p[at][order]
-        good = np.flatnonzero((hit >= PRECISION * all_) & (np.append(np.diff(score), -1) < 0))
-        if len(good):  # halfway to the next lower score, but never what is likelier wrong than right
-            below = score[good[-1] + 1] if good[-1] + 1 < len(score) else 0.0
-            thresholds[int(kind)] = float(max(0.5, (score[good[-1]] + below) / 2))
-    return model, thresholds
+        good = np.flatnonzero((lower_bound(np.cumsum(pos[at][order]), np.cumsum(n[at][order])) >= PRECISION) & (np.append(np.diff(score), -1) < 0))
+        if len(good):
+            thresholds[int(kind)] = float(max(PRECISION, score[good[-1]]))
+    return fit_trees(x, pos, n - pos), thresholds
 
 
 # --- selection ------------------------------------------------------------------
@@ -293,10 +338,17 @@ def selected(model, thresholds: dict[int, float]) -> Column:
     if model is None or not thresholds:
         return F.array_sort(base)
     enough = lambda c, score: F.coalesce(*[F.when(c["kind"] == k, score >= t) for k, t in thresholds.items()], F.lit(False))
-    scored = F.transform(F.filter(cands, lambda c: ~c["base"]), lambda c: F.struct((-score_column(model, c)).alias("less"), span(c).alias("span")))
-    able = F.array_sort(F.filter(scored, lambda x: enough(x["span"], -x["less"])))
-    kept = lambda bs: F.aggregate(able, bs, lambda acc, x: F.when(F.exists(acc, lambda b: overlaps(b, x["span"])), acc).otherwise(F.concat(acc, F.array(x["span"]))))
-    return F.array_sort(kept(base))
+    able = F.transform(cands, lambda c: F.struct(F.when(c["base"], float("-inf")).otherwise(-score_column(model, c)).alias("less"), span(c).alias("span")))
+    able = F.filter(able, lambda x: x["span"]["base"] | enough(x["span"], -x["less"]))
+
+    def best(cluster: Column) -> Column:
+        """Base spans, then others by falling score where they overlap nothing that is kept."""
+        first = F.filter(cluster, lambda x: x["base"])
+        others = F.array_sort(F.transform(F.filter(cluster, lambda x: ~x["base"]), lambda x: F.struct(x["less"].alias("less"), x["span"].alias("span"))))
+        return F.aggregate(others, F.transform(first, lambda x: x["span"]), lambda acc, x: F.when(F.exists(acc, lambda b: overlaps(b, x["span"])), acc).otherwise(F.concat(acc, F.array(x["span"]))))
+
+    flat = F.transform(able, lambda x: F.struct(x["span"]["start"].alias("start"), x["span"]["end"].alias("end"), x["span"]["kind"].alias("kind"), x["span"]["base"].alias("base"), x["less"].alias("less"), x["span"].alias("span")))
+    return F.array_sort(F.flatten(F.transform(clusters(flat), best)))
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -312,14 +364,6 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each span replaced by <KIND>; spans that overlap become one, named by the first."""
     size = 4096
-    by_place = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    empty = F.array().cast("array<struct<start:int,end:int,kind:int>>")
-
-    def join(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
-        return F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] > s["start"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(acc, F.array(s)))
-
     def between(blocks: Column, start: Column, end: Column) -> Column:
         first = F.floor(start / size).cast("int")
         return F.substring(F.array_join(F.slice(blocks, first + 1, F.floor(end / size).cast("int") - first + 1), ""), start - first * size + 1, end - start)
@@ -333,7 +377,7 @@ def redacted(text: Column, spans: Column) -> Column:
 
     n = F.length(text)
     blocks = F.transform(F.sequence(F.lit(0), F.floor(n / size).cast("int")), lambda b: F.substring(text, b * size + 1, F.lit(size)))
-    merged = F.aggregate(by_place, empty, join)
+    merged = F.transform(clusters(spans), lambda c: F.struct(F.get(c, F.lit(0))["start"].alias("start"), F.array_max(F.transform(c, lambda x: x["end"])).alias("end"), F.get(c, F.lit(0))["kind"].alias("kind")))
     return F.when(F.size(spans) > 0, let(F.struct(blocks.alias("blocks"), merged.alias("spans"), n.alias("n")), build)).otherwise(text)
 
 
