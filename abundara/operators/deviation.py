@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as T
-from ..sources import sinks
 
 #: Samples a body site needs for a cohort of its own; limits and sizes of the comparison.
 LEAST_SCOPED_SAMPLES, DEFAULT_LIMIT, MOST_LIMIT, DOMINANT = 20, 8, 30, 120
@@ -60,7 +59,11 @@ def scored(samples: DataFrame, stats: DataFrame) -> DataFrame:
     """Every positive value of every sample against the reference; taxa without reference count as 0 there."""
     rows = samples.filter(T.present(F.col("taxon")) & (F.coalesce("value", F.lit(0.0)) > 0))
     rows = rows.withColumn("top", F.max("value").over(Window.partitionBy("patient_id", "sample_id")))
-    joined = rows.join(stats, "taxon", "left").fillna(0.0, ["avg_abundance", "std_abundance"]).fillna(0, ["sample_hits"])
+    return described(rows.join(stats, "taxon", "left").fillna(0.0, ["avg_abundance", "std_abundance"]).fillna(0, ["sample_hits"]))
+
+
+def described(joined: DataFrame) -> DataFrame:
+    """Adds how a value differs from its reference. `top`: the greatest value of the sample, which goes."""
     value, mean = F.col("value"), F.col("avg_abundance")
     out = joined.withColumns({
         "delta": value - mean, "ratio": N.ratio_to(value, mean), "log2_fold": N.log2_fold(value, mean),
@@ -125,21 +128,78 @@ def missing_signature(samples: DataFrame, signature: DataFrame, k: int = 3) -> D
     return all_.select("patient_id", "sample_id", F.posexplode(kept).alias("at", "w")).select("patient_id", "sample_id", (F.col("at") + 1).alias("position"), F.col("w.taxon").alias("taxon"))
 
 
-def healthy_reference(patients: DataFrame, healthy: DataFrame, facts: DataFrame, target: DataFrame, limit: int = DEFAULT_LIMIT) -> dict[str, DataFrame]:
-    """All parts of the comparison of one sample: `target` is one row (patient_id, sample_id).
+#: Distances that differ by less are equal: a sample of the cohort lies as far as itself, whatever the order of its sums.
+TIE = 1e-9
+#: The scope of all healthy samples, beside those named by body sites.
+EVERYWHERE = "\x00all"
+
+
+def scoped(cohort_sites: DataFrame) -> DataFrame:
+    """Cohort facts (with body_site) once for all healthy samples and once for their own site, as `scope`."""
+    names = F.when(T.present(F.col("body_site")), F.array(F.lit(EVERYWHERE), F.col("body_site"))).otherwise(F.array(F.lit(EVERYWHERE)))
+    return cohort_sites.withColumn("scope", F.explode(names)).drop("body_site")
+
+
+def compared_samples(patients: DataFrame, healthy: DataFrame, facts: DataFrame, targets: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
+    """Every asked sample (patient_id, sample_id) with stored values against its reference, a row each: one plan for a sample or for thousands.
 
-    The cohort's rows are joined once and written: scope, counts, statistics and distances all read that table.
+    Statistics exist once for each scope (a body site with enough samples, or all); samples meet them by (scope, taxon). A sample's centre meets the cohort's values of
+    its scope by taxon: a sparse product, in which the sum over all taxa is that of the centre's squares plus a correction for stored
+    values. Nothing runs before an action, and facts are read four times whatever is asked. Columns besides the key:
+    reference_scope, healthy_sample_count, healthy_patient_count, comparisons (by rank), missing (signature taxa in order), current_distance, healthy_samples, distance_mean,
+    distance_std, distance_z, distance_percentile, deviation_level.
     """
-    limit = N.clamp_limit(limit, DEFAULT_LIMIT, MOST_LIMIT)
-    one = F.broadcast(target.select("patient_id", "sample_id"))  # one row
-    patient = patients.join(F.broadcast(target.select("patient_id")), "patient_id", "left_semi")  # one row
-    current = facts.join(one, ["patient_id", "sample_id"], "left_semi")
-    every = sinks.written(cohort_facts(healthy, facts, ("body_site",)).select("patient_id", "sample_id", "taxon", "value", "pos", "body_site"), "cohort")
-    scope = scopes(patient, every)
-    mine = F.broadcast(scope)  # one row
-    cohort = every.join(mine.select(F.col("body_site").alias("site"), "reference_scope"), (F.col("reference_scope") == "all_healthy") | (F.col("body_site") == F.col("site"))).drop("site", "reference_scope", "body_site")
-    stats = taxon_stats(cohort)
-    comparisons = scored(current, stats)
-    near = ranked(comparisons, spatial_size(limit)).select("taxon", F.col("avg_abundance").alias("c")).distinct()
-    signature = top_taxa(stats, limit + 4).select("taxon", F.row_number().over(Window.orderBy(F.desc("avg_abundance"), F.desc("sample_hits"), "taxon")).alias("position"))
-    return {"scope": scope, "counts": cohort_counts(cohort), "comparisons": ranked(comparisons, limit), "spatial": spatial_deviation(current, cohort, near), "missing": missing_signature(current, signature)}
+    limit, key = N.clamp_limit(limit, DEFAULT_LIMIT, MOST_LIMIT), ["patient_id", "sample_id"]
+    cohort = scoped(cohort_facts(healthy, facts, ("body_site",)).select(*key, "taxon", "value", "pos", "body_site"))
+    named = cohort.filter("taxon IS NOT NULL AND scope IS NOT NULL")  # as a join would ask for, so all uses of the statistics have one plan
+    stats = named.groupBy("scope", "taxon").agg(F.avg("value").alias("avg_abundance"), F.stddev_pop("value").alias("std_abundance"), F.count_distinct(*key).alias("sample_hits"))
+    sizes = cohort.groupBy("scope").agg(F.count_distinct(*key).alias("healthy_sample_count"), F.count_distinct("patient_id").alias("healthy_patient_count"))
+    # each asked sample meets its own scope and that of all; the own one is taken if it is large enough
+    asked = targets.select(*key).distinct().join(patients.select("patient_id", "body_site"), "patient_id", "left")
+    asked = asked.select(*key, F.explode(F.array(F.struct(F.lit(True).alias("own"), F.col("body_site").alias("scope")), F.struct(F.lit(False).alias("own"), F.lit(EVERYWHERE).alias("scope")))).alias("s")).select(*key, "s.*")
+    asked = asked.join(sizes, "scope", "left").fillna(0, ["healthy_sample_count", "healthy_patient_count"])
+    good = ~F.col("own") | (T.present(F.col("scope")) & (F.col("healthy_sample_count") >= LEAST_SCOPED_SAMPLES))
+    asked = asked.filter(good).groupBy(*key).agg(F.max(F.struct("own", "scope", "healthy_sample_count", "healthy_patient_count")).alias("size"))
+    current = facts.select(*key, "taxon", "value", "pos").join(asked.select(*key, "size.scope", "size"), key)
+
+    # one sample's rows are sorted in one task: ranks, the last value of a taxon, and the largest rows
+    sample = Window.partitionBy(*key)
+    usable = T.present(F.col("taxon")) & (F.coalesce("value", F.lit(0.0)) > 0)
+    rows = current.join(stats, ["scope", "taxon"], "left").fillna(0.0, ["avg_abundance", "std_abundance"]).fillna(0, ["sample_hits"])
+    rows = described(rows.withColumn("top", F.max(F.when(usable, F.col("value"))).over(sample)))
+    rows = rows.withColumns({
+        "usable": usable, "rank": F.row_number().over(sample.orderBy(F.desc(usable), *ranking())), "place": F.row_number().over(sample.orderBy(F.desc("value"), "taxon", "pos")),
+        "last": F.max_by("value", F.struct("pos", "value")).over(Window.partitionBy(*key, "taxon")),
+    })
+    ranked_ = lambda n: F.col("usable") & (F.col("rank") <= n)
+    fields = F.struct("rank", "taxon", "pos", "value", "avg_abundance", "delta", "ratio", "log2_fold", "z", "percentile", "combined_score", "sample_hits", "direction")
+    per = rows.groupBy(*key, "scope", "size").agg(
+        F.array_sort(F.collect_list(F.when(ranked_(limit), fields))).alias("comparisons"),
+        F.collect_set(F.when(ranked_(spatial_size(limit)), F.struct("taxon", F.col("avg_abundance").alias("c"), "last"))).alias("centre"),
+        F.collect_set(F.when(F.col("place") <= DOMINANT, F.col("taxon"))).alias("held"),
+    )  # bounded by the limits
+    total = lambda f: F.aggregate("centre", F.lit(0.0), lambda acc, x: acc + f(x))
+    near = lambda shift: F.sqrt(F.greatest(F.lit(0.0), (F.col("base") + shift) / F.col("dims")))
+    per = per.withColumns({"base": total(lambda x: x["c"] * x["c"]), "dims": F.size("centre"), "shift": total(lambda x: x["last"] * x["last"] - 2 * x["last"] * x["c"])})
+    per = per.withColumn("current_distance", F.when(F.col("dims") > 0, near(F.col("shift"))).otherwise(0.0))
+
+    # a row for each taxon of a centre, and one for the sample itself, which meets no value
+    values = cohort.groupBy("scope", "taxon", *[F.col(k).alias(f"of_{k}") for k in key]).agg(F.max_by("value", F.struct("pos", "value")).alias("v"))
+    own = F.struct("comparisons", "held", "size", "current_distance")
+    cells = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("taxon"), F.lit(None).cast("double").alias("c"), own.alias("own"))), F.transform("centre", lambda x: F.struct(x["taxon"].alias("taxon"), x["c"].alias("c"), F.lit(None).alias("own"))))
+    met = per.select(*key, "scope", "base", "dims", "current_distance", F.inline(cells)).join(values, ["scope", "taxon"], "left")
+    pairs = met.groupBy(*key, "scope", "base", "dims", "current_distance", "of_patient_id", "of_sample_id").agg(F.sum(F.col("v") * F.col("v") - 2 * F.col("v") * F.col("c")).alias("shift"), F.first("own", ignorenulls=True).alias("own"))
+    pairs = pairs.withColumn("distance", F.when(F.col("shift").isNotNull(), near(F.col("shift"))))
+    is_near = F.when(F.col("distance") <= F.col("current_distance") + TIE, 1.0).when(F.col("distance").isNotNull(), 0.0)
+    out = pairs.groupBy(*key, "scope").agg(F.first("own", ignorenulls=True).alias("own"), F.count("distance").alias("healthy_samples"), N.mean_or_zero(F.col("distance")).alias("distance_mean"), N.std_or_zero(F.col("distance")).alias("distance_std"), F.coalesce(100.0 * F.avg(is_near), F.lit(50.0)).alias("distance_percentile"))
+
+    # all columns of the statistics are used here too, so their shuffle serves both
+    first = Window.partitionBy("scope").orderBy(F.desc("avg_abundance"), F.desc("sample_hits"), "taxon", "std_abundance")
+    signature = stats.withColumn("position", F.row_number().over(first)).filter(F.col("position") <= limit + 4).groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("position", "taxon"))).alias("signature"))
+    out = out.join(signature, "scope", "left").select(*key, "scope", "signature", "healthy_samples", "distance_mean", "distance_std", "distance_percentile", "own.comparisons", "own.held", "own.current_distance", "own.size.healthy_sample_count", "own.size.healthy_patient_count")
+    missing = F.slice(F.filter(F.transform(F.coalesce("signature", F.array().cast("array<struct<position:int,taxon:string>>")), lambda x: x["taxon"]), lambda x: ~F.array_contains("held", x)), 1, 3)
+    out = out.withColumn("distance_z", N.z_score(F.col("current_distance"), F.col("distance_mean"), F.col("distance_std")))
+    return out.select(
+        *key, F.when(F.col("scope") == EVERYWHERE, "all_healthy").otherwise("same_body_site_healthy").alias("reference_scope"), "healthy_sample_count", "healthy_patient_count", "comparisons", missing.alias("missing"),
+        "current_distance", "healthy_samples", "distance_mean", "distance_std", "distance_z", "distance_percentile", N.deviation_level(F.col("distance_z"), F.col("distance_percentile")).alias("deviation_level"),
+    )

@@ -68,6 +68,26 @@ def compared(current: DataFrame, other: DataFrame, shared: DataFrame) -> DataFra
     return rows.select("patient_id", "sample_id", "other_sample_id", "feature_delta", "overlap", advice.alias("advice"))
 
 
+def insight_of(compared: DataFrame, comparisons: str, level: Column, missing: Column) -> DataFrame:
+    """`deviation_insight` for rows that hold a sample's ranked comparisons, level and missing taxa (in order): nothing is joined."""
+    name = lambda x: T.short_taxon_name(x)
+    items = F.transform(comparisons, lambda x: F.struct(x["rank"].alias("rank"), name(x["taxon"]).alias("name"), x["direction"].alias("direction")))
+    signature = F.slice(F.array_distinct(F.transform(missing, name)), 1, 3)
+    return _labelled(compared.select("patient_id", "sample_id", items.alias("items"), level.alias("level"), signature.alias("signature")), "level", "signature")
+
+
+def _labelled(rows: DataFrame, *carried: str) -> DataFrame:
+    key = ["patient_id", "sample_id"]
+    names = lambda which: F.array_distinct(F.transform(F.filter("items", which), lambda x: x["name"]))
+    raised, lowered = F.slice(names(lambda x: x["direction"] == "higher"), 1, 3), F.slice(names(lambda x: x["direction"] == "lower"), 1, 3)
+    out = rows.select(*key, F.slice(names(lambda x: x["name"] != ""), 1, 5).alias("top"), raised.alias("raised"), lowered.alias("lowered"), *carried)
+    some = (F.size("raised") > 0) | (F.size("lowered") > 0)
+    is_level = lambda x: F.coalesce(F.col("level") == x, F.lit(False))
+    label = F.when(is_level("high") | ((F.size("raised") >= 2) & (F.size("lowered") >= 1)), "clear_deviation").when(is_level("moderate") | some, "some_deviation").otherwise("near_healthy")
+    advice = F.when(F.col("deviation_label") == "clear_deviation", "look_at_top_scores").when(F.col("deviation_label") == "some_deviation", "check_against_prediction").otherwise("follow_up")
+    return out.withColumn("deviation_label", label).withColumn("recommendation", advice)
+
+
 def deviation_insight(comparisons: DataFrame, levels: DataFrame | None = None, signature: DataFrame | None = None) -> DataFrame:
     """Labels of each sample's ranked comparisons: first 5 names, first 3 raised and lowered, an overall label and a recommendation.
 
@@ -77,18 +97,12 @@ def deviation_insight(comparisons: DataFrame, levels: DataFrame | None = None, s
     key = ["patient_id", "sample_id"]
     name = T.short_taxon_name(F.col("taxon"))
     rows = comparisons.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("rank", name.alias("name"), "direction"))).alias("items"))
-    names = lambda which: F.array_distinct(F.transform(F.filter("items", which), lambda x: x["name"]))
-    raised, lowered = F.slice(names(lambda x: x["direction"] == "higher"), 1, 3), F.slice(names(lambda x: x["direction"] == "lower"), 1, 3)
-    out = rows.select(*key, F.slice(names(lambda x: x["name"] != ""), 1, 5).alias("top"), raised.alias("raised"), lowered.alias("lowered"))
-    out = out.withColumn("level", F.lit("mild")) if levels is None else out.join(levels.select(*key, "level"), key, "left")
+    carried = ["level"] if signature is None else ["level", "signature"]
+    rows = rows.withColumn("level", F.lit("mild")) if levels is None else rows.join(levels.select(*key, "level"), key, "left")
     if signature is not None:
         listed = signature.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("position", name.alias("name")))).alias("s"))
-        out = out.join(listed, key, "left").withColumn("signature", F.coalesce(F.slice(F.array_distinct(F.transform("s", lambda x: x["name"])), 1, 3), F.array().cast("array<string>"))).drop("s")
-    some = (F.size("raised") > 0) | (F.size("lowered") > 0)
-    is_level = lambda x: F.coalesce(F.col("level") == x, F.lit(False))
-    label = F.when(is_level("high") | ((F.size("raised") >= 2) & (F.size("lowered") >= 1)), "clear_deviation").when(is_level("moderate") | some, "some_deviation").otherwise("near_healthy")
-    advice = F.when(F.col("deviation_label") == "clear_deviation", "look_at_top_scores").when(F.col("deviation_label") == "some_deviation", "check_against_prediction").otherwise("follow_up")
-    return out.withColumn("deviation_label", label).withColumn("recommendation", advice)
+        rows = rows.join(listed, key, "left").withColumn("signature", F.coalesce(F.slice(F.array_distinct(F.transform("s", lambda x: x["name"])), 1, 3), F.array().cast("array<string>"))).drop("s")
+    return _labelled(rows, *carried)
 
 
 def consistency_label(disease: Column, top1: Column) -> Column:

@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import boosting, deviation, information, structure, vectors
 from ..sources import sinks
 from ..streaming import queue
-from .queries import CHUNKS, LONG, RANKED, SCOPED, SPATIAL, STATS, WITH, A, E, H, _reference, _scored_sql, _target, query, rounded, t
+from .queries import CHUNKS, LONG, RANKED, SCOPED, SPATIAL, STATS, WITH, A, E, H, _compared, _scored_sql, _target, query, rounded, t
 
 # --- features and curves ---------------------------------------------------------------
 
@@ -148,9 +148,8 @@ ff AS (SELECT (SELECT string_agg(name, ',' ORDER BY rank) FROM (SELECT * FROM b
 g AS (SELECT *, CASE WHEN level = 'high' OR (nr >= 2 AND nl >= 1) THEN 'clear_deviation' WHEN level = 'moderate' OR nr > 0 OR nl > 0 THEN 'some_deviation' ELSE 'near_healthy' END AS deviation_label FROM ff)
 SELECT (SELECT sample_id FROM tg) AS sample_id, top, raised, lowered, level, signature, deviation_label, CASE deviation_label WHEN 'clear_deviation' THEN 'look_at_top_scores' WHEN 'some_deviation' THEN 'check_against_prediction' ELSE 'follow_up' END AS recommendation FROM g""")
 def healthy_insight(spark, d):
-    parts = _reference(spark, d)
-    level = parts["spatial"].select(F.col("deviation_level").alias("level")).join(F.broadcast(_target(spark, d)))  # single rows
-    rows = structure.deviation_insight(parts["comparisons"], level, parts["missing"])
+    rows = _compared(spark, d, _target(spark, d))
+    rows = structure.insight_of(rows, "comparisons", F.col("deviation_level"), F.col("missing"))
     joined = [F.array_join(c, ",").alias(c) for c in ("top", "raised", "lowered", "signature")]
     return rows.select("sample_id", *joined, "level", "deviation_label", "recommendation")
 

@@ -284,31 +284,49 @@ def _target(spark, d) -> DataFrame:
     return cohort.sample_summaries(A(spark, d)).orderBy(F.desc("feature_count"), F.desc("abundance_total"), "sample_id").select("patient_id", "sample_id").limit(1)
 
 
-def _reference(spark, d) -> dict[str, DataFrame]:
+def _compared(spark, d, targets: DataFrame) -> DataFrame:
     patients = P(spark, d)
-    return deviation.healthy_reference(patients, tables.healthy(patients), A(spark, d), _target(spark, d))
+    return deviation.compared_samples(patients, tables.healthy(patients), A(spark, d), targets)
 
 
 @query(WITH + SCOPED + SPATIAL + " SELECT (SELECT coalesce(max(distance), 0) FROM dist WHERE side = 1) AS current_distance, count(*) AS healthy_samples FROM dist WHERE side = 0".replace("(SELECT coalesce", "(SELECT round(coalesce").replace("0) FROM dist WHERE side = 1)", "0), 6) FROM dist WHERE side = 1)"))
 def spatial_distance(spark, d):
-    return rounded(_reference(spark, d)["spatial"].select("current_distance", "healthy_samples"), "current_distance")
+    return rounded(_compared(spark, d, _target(spark, d)).select("current_distance", "healthy_samples"), "current_distance")
 
 
 @query(WITH + SCOPED + SPATIAL + """, agg AS (SELECT (SELECT max(distance) FROM dist WHERE side = 1) AS cd, avg(distance) AS mean, stddev_pop(distance) AS sd, 100.0 * count(*) FILTER (distance <= (SELECT max(distance) FROM dist WHERE side = 1)) / count(*) AS pct FROM dist WHERE side = 0),
 z AS (SELECT *, CASE WHEN sd > 0 THEN (cd - mean) / sd ELSE 0 END AS z FROM agg)
 SELECT round(mean, 6) AS distance_mean, round(sd, 6) AS distance_std, round(z, 5) AS distance_z, round(pct, 5) AS distance_percentile, CASE WHEN z >= 2 OR pct >= 97.5 THEN 'high' WHEN z >= 1 OR pct >= 85 THEN 'moderate' WHEN z <= -1 OR pct <= 35 THEN 'close_to_healthy' ELSE 'mild' END AS deviation_level FROM z""")
 def spatial_level(spark, d):
-    rows = rounded(_reference(spark, d)["spatial"], "distance_mean", "distance_std")
+    rows = rounded(_compared(spark, d, _target(spark, d)), "distance_mean", "distance_std")
     return rows.select("distance_mean", "distance_std", F.round("distance_z", 5).alias("distance_z"), F.round("distance_percentile", 5).alias("distance_percentile"), "deviation_level")
 
 
 @query(WITH + SCOPED + _scored_sql("cur", "st") + f", r AS (SELECT *, {RANKED} AS rank FROM sc) SELECT CAST(rank AS INTEGER) AS rank, sample_id, taxon, value, round(m, 6) AS avg_abundance, round(fold, 6) AS log2_fold, round(percentile, 5) AS percentile, round(score, 5) AS combined_score, direction, CASE WHEN (SELECT own FROM own) THEN 'same_body_site_healthy' ELSE 'all_healthy' END AS reference_scope FROM r WHERE rank <= 8")
 def healthy_reference(spark, d):
-    parts = _reference(spark, d)
-    rows = parts["comparisons"].join(F.broadcast(parts["scope"].select("reference_scope")))  # one row
+    rows = _compared(spark, d, _target(spark, d)).select("sample_id", "reference_scope", F.inline("comparisons"))
     return rows.select("rank", "sample_id", "taxon", "value", F.round("avg_abundance", 6).alias("avg_abundance"), F.round("log2_fold", 6).alias("log2_fold"), F.round("percentile", 5).alias("percentile"), F.round("combined_score", 5).alias("combined_score"), "direction", "reference_scope")
 
 
+@query(WITH + COHORT + """, n AS (SELECT body_site, count(DISTINCT sample_id) AS n FROM h GROUP BY 1),
+sco AS (SELECT DISTINCT a.patient_id, a.sample_id, CASE WHEN coalesce(n, 0) >= 20 THEN p.body_site ELSE 'all' END AS scope FROM v_abundance a JOIN v_patients p USING (patient_id) LEFT JOIN n ON n.body_site = p.body_site),
+hs AS (SELECT *, body_site AS scope FROM h UNION ALL SELECT *, 'all' FROM h),
+sst AS (SELECT scope, taxon, avg(value) AS avg_abundance, stddev_pop(value) AS std_abundance, count(DISTINCT sample_id) AS sample_hits FROM hs GROUP BY 1, 2),
+va AS (SELECT v.patient_id, v.sample_id, v.pos, v.value, v.taxon AS name, scope || '|' || v.taxon AS taxon FROM v_abundance v JOIN sco USING (patient_id, sample_id)), st AS (SELECT scope || '|' || taxon AS taxon, avg_abundance, std_abundance, sample_hits FROM sst)""" + _scored_sql("va", "st") + f""", ce AS (SELECT DISTINCT patient_id, sample_id, taxon, m AS c FROM (SELECT *, {RANKED} AS rank FROM sc) WHERE rank <= 64),
+base AS (SELECT patient_id, sample_id, sum(c * c) AS base, count(*) AS dims FROM ce GROUP BY 1, 2),
+lv AS (SELECT scope || '|' || taxon AS taxon, sample_id AS other, arg_max(value, (pos, value)) AS v FROM hs GROUP BY scope, taxon, sample_id),
+di AS (SELECT patient_id, sample_id, other, sqrt(greatest(0.0::DOUBLE, (max(base) + sum(v * v - 2 * v * c)) / max(dims))) AS distance FROM ce JOIN lv USING (taxon) JOIN base USING (patient_id, sample_id) GROUP BY 1, 2, 3),
+ow AS (SELECT patient_id, sample_id, sqrt(greatest(0.0::DOUBLE, (max(base) + sum(v * v - 2 * v * c)) / max(dims))) AS distance FROM ce JOIN (SELECT patient_id, sample_id, taxon, arg_max(value, (pos, value)) AS v FROM va GROUP BY 1, 2, 3) USING (patient_id, sample_id, taxon) JOIN base USING (patient_id, sample_id) GROUP BY 1, 2),
+ag AS (SELECT patient_id, sample_id, count(*) AS n, avg(di.distance) AS mean, 100.0 * count(*) FILTER (di.distance <= ow.distance + 1e-9::DOUBLE) / count(*) AS pct FROM di JOIN ow USING (patient_id, sample_id) GROUP BY 1, 2)
+SELECT patient_id, sample_id, CASE scope WHEN 'all' THEN 'all_healthy' ELSE 'same_body_site_healthy' END AS reference_scope, round(ow.distance, 5) AS current_distance, coalesce(n, 0) AS healthy_samples, round(coalesce(mean, 0), 5) AS distance_mean, round(coalesce(pct, 50), 3) AS distance_percentile,
+ (SELECT max(combined) FROM (SELECT round(score, 4) AS combined FROM sc WHERE sc.patient_id = sco.patient_id AND sc.sample_id = sco.sample_id)) AS best_score FROM sco LEFT JOIN ow USING (patient_id, sample_id) LEFT JOIN ag USING (patient_id, sample_id)""".replace("\n", "\n"))
+def compared_samples(spark, d):
+    """All samples against their cohorts, in the plan that one sample has."""
+    facts = A(spark, d)
+    rows = _compared(spark, d, facts.select("patient_id", "sample_id"))
+    return rows.select("patient_id", "sample_id", "reference_scope", F.round("current_distance", 5).alias("current_distance"), "healthy_samples", F.round("distance_mean", 5).alias("distance_mean"), F.round("distance_percentile", 3).alias("distance_percentile"), F.round(F.get("comparisons", F.lit(0))["combined_score"], 4).alias("best_score"))
+
+
 # --- structure -------------------------------------------------------------------------
 
 RICH = SUMMARY + ", rk AS (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY feature_count DESC, abundance_total DESC, sample_id) AS rank FROM s)"
