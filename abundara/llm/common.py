@@ -42,6 +42,16 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(owner: str | None) -> dict:
+    """This Python worker's cache for `owner`, whose caches alone it keeps: workers outlive stages, and what one operator kept is no use to the next."""
+    for other in [k for k in _caches if k != owner]:
+        del _caches[other]
+    return _caches.setdefault(owner, {}) if owner else {}
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -60,17 +60,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_word_hashes: dict[bytes, int] = {}
-
-
-def word_hash(word: bytes) -> int:
-    h = _word_hashes.get(word)
+def word_hash(word: bytes, kept: dict[bytes, int]) -> int:
+    h = kept.get(word)
     if h is None:
         h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         if len(word) <= 64:
-            if len(_word_hashes) > 200_000:
-                _word_hashes.clear()
-            _word_hashes[word] = h
+            if len(kept) > 200_000:
+                kept.clear()
+            kept[word] = h
     return h
 
 
@@ -79,7 +76,8 @@ def shingle_set(data: bytes) -> np.ndarray:
     words = data.lower().split()  # bytes.lower() changes A-Z only, bytes.split() cuts at the six ASCII separators
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(word_hash, words), np.uint64, len(words))
+    kept = common.worker_cache("word hashes")
+    h = np.fromiter((word_hash(w, kept) for w in words), np.uint64, len(words))
     width = min(SHINGLE, len(h))
     out = np.zeros(len(h) - width + 1, np.uint64)
     with np.errstate(over="ignore"):

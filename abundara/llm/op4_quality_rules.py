@@ -77,6 +77,7 @@ def with_counts(docs: DataFrame, text_col: str = "text", keep: list[str] | None
     schema = StructType([rows.schema["row"], *[StructField(c, LongType()) for c in COUNTS]])
 
     def count(batches):
+        common.worker_cache(None)
         for batch in batches:
             table = np.array([text_counts(x.as_py()) for x in batch.column(1)], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(table[:, i]) for i in range(len(COUNTS))]], names=["row", *COUNTS])

@@ -12,6 +12,8 @@ import re
 from array import array
 from collections.abc import Callable
 
+from . import common
+
 #: Pieces in each of a cache's two generations.
 GENERATION = 200_000
 #: Longer pieces (one "word" of many kilobytes) are encoded but not kept.
@@ -102,12 +104,10 @@ class BareEncoder:
         return b"".join(map(self.bare.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-_encoders: dict[str, SpacedEncoder | BareEncoder] = {}
-
-
 def library_encoder(path: str) -> SpacedEncoder | BareEncoder:
     """This worker's encoder over the tokenizers library with the file at `path`."""
-    if path not in _encoders:
+    encoders = common.worker_cache("encoders")
+    if path not in encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -116,8 +116,8 @@ def library_encoder(path: str) -> SpacedEncoder | BareEncoder:
         tokenizer.no_padding()
         model = tokenizer.model
         kind = BareEncoder if tokenizer.normalizer else SpacedEncoder
-        _encoders[path] = kind(lambda word: [t.id for t in model.tokenize(word)], lambda text: tokenizer.encode(text, add_special_tokens=False).ids)
-    return _encoders[path]
+        encoders[path] = kind(lambda word: [t.id for t in model.tokenize(word)], lambda text: tokenizer.encode(text, add_special_tokens=False).ids)
+    return encoders[path]
 
 
 def tokenizer_path(name: str) -> str:
