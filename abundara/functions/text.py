@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -41,10 +44,6 @@ def composite(*cols: Column) -> Column:
     return F.concat(*parts)
 
 
-def key_hash(c: Column) -> Column:
-    return F.md5(c)
-
-
 def strip_taxon_prefix(c: Column) -> Column:
     return F.trim(F.translate(F.regexp_replace(F.trim(c), "^[a-z]__", ""), "_-", "  "))
 
@@ -75,10 +74,18 @@ def last_segment(c: Column) -> Column:
 ENDS = r"^[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+|[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+$"
 
 
+#: Line ends become LF, special blanks blanks, three breaks or more two; the ends are trimmed last.
+CLEANING = {"\r\n?": "\n", "[\u2009\u2002\u2003\xa0]": " ", "\n{3,}": "\n\n", ENDS: ""}
+
+
 def normalise(c: Column) -> Column:
-    """Line ends to LF, special blanks to blanks, three breaks or more to two, trimmed."""
-    unified = F.regexp_replace(F.regexp_replace(c, "\r\n?", "\n"), r"[\u2009\u2002\u2003\xa0]", " ")
-    return F.regexp_replace(F.regexp_replace(unified, "\n{3,}", "\n\n"), ENDS, "")
+    """A text cleaned by CLEANING."""
+    return reduce(lambda cleaned, rule: F.regexp_replace(cleaned, *rule), CLEANING.items(), c)
+
+
+def normalised(text: str) -> str:
+    """`normalise` for one text."""
+    return reduce(lambda cleaned, rule: re.sub(*rule, cleaned), CLEANING.items(), text)
 
 
 def collapse(c: Column) -> Column:

@@ -29,12 +29,6 @@ def page_totals(df: DataFrame, size: int) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total")).select("total", F.ceil(F.col("total") / size).cast("long").alias("pages"))
 
 
-def nested_detail(patients: DataFrame, facts: DataFrame) -> DataFrame:
-    """Patients with their stored values as an array, in one job."""
-    rows = facts.groupBy("patient_id").agg(F.array_sort(F.collect_list(F.struct("sample_id", "taxon", "pos", "value"))).alias("features"))
-    return patients.join(rows, "patient_id", "left").withColumn("features", F.coalesce("features", F.array().cast(rows.schema["features"].dataType)))
-
-
 def overview(patients: DataFrame, facts: DataFrame) -> DataFrame:
     """Samples and values per patient."""
     n = facts.groupBy("patient_id").agg(F.count_distinct("sample_id").alias("sample_count"), F.count(F.lit(1)).alias("value_count"))
@@ -110,12 +104,6 @@ def dashboard(patients: DataFrame) -> DataFrame:
     return one.join(F.broadcast(top)).withColumn("most_common_disease", F.coalesce("most_common_disease", F.lit("N/A")))  # two single rows
 
 
-def grouped_rows(facts: DataFrame) -> DataFrame:
-    """Rows of each sample in input order, with the first date that isn't null."""
-    item = F.struct("pos", "taxon", "value")
-    return facts.groupBy("patient_id", "sample_id").agg(F.min_by("sample_date", F.when(F.col("sample_date").isNotNull(), F.col("pos"))).alias("first_date"), F.array_sort(F.collect_list(item)).alias("rows"))
-
-
 def insight(values: Column, k: int = 3) -> Column:
     """The first k values that aren't blank, and how many there are."""
     kept = F.filter(F.coalesce(values, F.array().cast("array<string>")), T.present)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -65,37 +66,31 @@ def knowledge_sections(docs: DataFrame, text: str = "text", path: str = "path")
     return rows.select(F.concat(F.col(path), F.lit("#"), (F.col("at") + 1).cast("string")).alias("id"), T.library_of(F.col(path)).alias("library"), F.col("s.title").alias("title"), F.col("s.content").alias("content"))
 
 
-#: A place where a chunk may end: behind the mark, or in a blank line.
-BOUNDARY = re.compile(r"[。！？.!?;；]\s|\n\n")
+#: Where a chunk may end: behind a mark that white space follows, and within a blank line that is no such white space.
+MAY_END = re.compile(r"(?<=[。！？.!?;；])(?=\s)|(?<![。！？.!?;；])\n(?=\n)")
 
 
-def normalised(text: str) -> str:
-    """T.normalise for one text."""
-    return re.sub(r"\n{3,}", "\n\n", re.sub("[\u2009\u2002\u2003\xa0]", " ", re.sub("\r\n?", "\n", text))).strip()
+def spans(ends: Sequence[int], n: int, most: int, overlap: int):
+    """(start, end) of overlapping chunks of a text of n characters that may end at `ends`, which are in order.
 
-
-def cut_texts(text: str, most: int = MOST, overlap: int = OVERLAP, least: int = LEAST) -> list[str]:
-    """Overlapping chunks of a normalised text, each normalised, without those below `least` characters.
-
-    A chunk ends one character behind the start of the last boundary in its window, if that is at least 62 % into it.
+    A chunk has at most `most` characters. It ends at the last place inside it, if that is far enough from its start, and the next one begins `overlap` before.
     """
     if overlap >= BOUNDARY_FROM * most:
         raise ValueError("an overlap this large would never advance")
-    if len(text) <= most:
-        return [text] if len(text) >= least else []
-    out, at = [], 0
-    while at < len(text):
-        end = min(at + most, len(text))
-        last = max((m.start() for m in BOUNDARY.finditer(text[at:end])), default=None)
-        if last is not None and at + last + 1 >= min(len(text), at + int(most * BOUNDARY_FROM)):
-            end = at + last + 1
-        chunk = normalised(text[at:end])
-        if len(chunk) >= least:
-            out.append(chunk)
-        if end >= len(text):
-            break
-        at = max(0, end - overlap)
-    return out
+    start = end = 0
+    while end < n:
+        limit = min(start + most, n)
+        last = bisect_left(ends, limit) - 1  # the character behind the place lies inside too
+        soft = ends[last] if last >= 0 else -1
+        end = soft if soft >= min(n, start + int(BOUNDARY_FROM * most)) else limit
+        yield start, end
+        start = max(0, end - overlap)
+
+
+def cut_texts(text: str, most: int = MOST, overlap: int = OVERLAP, least: int = LEAST) -> list[str]:
+    """Chunks of a normalised text, each normalised, without those below `least` characters. All places where one may end are found once."""
+    whole = [(0, len(text))] if len(text) <= most else spans([m.end() for m in MAY_END.finditer(text)], len(text), most, overlap)
+    return [chunk for chunk in (T.normalised(text[a:b]) for a, b in whole) if len(chunk) >= least]
 
 
 def chunks(docs: DataFrame, key: str | list[str], text: str, most: int = MOST, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
@@ -128,7 +123,7 @@ def chunk_table():
     @udtf(returnType="number int, chunk string")
     class TextChunks:
         def eval(self, text: str):
-            yield from enumerate(cut_texts(normalised(text or "")), 1)
+            yield from enumerate(cut_texts(T.normalised(text or "")), 1)
 
     return TextChunks
 
@@ -151,7 +146,7 @@ def paper_chunks(docs: DataFrame, index: DataFrame, key: str = "pmcid", text: st
     known = index.select(key, "ingested", *[F.col(c).alias(f"i_{c}") for c in ("pmid", "topic", "source_url")])
     rows = paper(docs.select(key, text), text).drop(text).join(known, key, "left").filter(~F.col("ingested").eqNullSafe(False))
     meta = lambda c: F.coalesce(F.try_element_at("metadata", F.lit(c)), F.lit(""))
-    first = lambda *cs: F.coalesce(*[F.nullif(c, F.lit("")) for c in cs], F.lit(""))
+    first = lambda *cs: F.coalesce(T.first_present(*cs), F.lit(""))
     fields = {"pmid": first(meta("pmid"), F.col("i_pmid")), "topic": F.coalesce(F.nullif(first(meta("topic"), F.col("i_topic")), F.lit("")), F.lit("unknown")), "year": meta("year"), "journal": meta("journal"), "doi": meta("doi"), "source_url": first(F.col("i_source_url"), meta("europepmc"))}
     rows = rows.withColumns(fields).drop("metadata", "ingested", "i_pmid", "i_topic", "i_source_url")
     abstract = rows.select(key, F.lit(-1).alias("position"), F.lit("abstract").alias("kind"), F.lit("Abstract").alias("section"), F.col("abstract").alias("content"))
@@ -162,13 +157,6 @@ def paper_chunks(docs: DataFrame, index: DataFrame, key: str = "pmcid", text: st
     return out.select("chunk_id", key, "title", *CARRIED, "section", "source_url", F.col("chunk").alias("text"))
 
 
-def with_index(docs: DataFrame, index: DataFrame, key: str, fields: Sequence[str], missing: str = "unknown") -> DataFrame:
-    """Fields from the document, else its index row, else `missing`; documents that the index excludes are dropped."""
-    i = index.select(key, "ingested", *[F.col(f).alias(f"__{f}") for f in fields])
-    rows = docs.join(i, key, "left").filter(~F.col("ingested").eqNullSafe(False))
-    return rows.select(*[F.coalesce(T.first_present(F.col(f), F.col(f"__{f}")), F.lit(missing)).alias(f) if f in fields else F.col(f) for f in docs.columns])
-
-
 # --- index -------------------------------------------------------------------------
 
 

@@ -293,3 +293,11 @@ def prediction_insight(predictions: Column) -> Column:
     label = lambda i, none: F.coalesce(F.nullif(F.trim(at(i)["label"]), F.lit("")), F.nullif(F.trim(at(i)["group"]), F.lit("")), F.lit(none))
     number = lambda i: F.coalesce(F.trim(at(i)["probability"]).try_cast("double"), F.lit(0.0))
     return F.struct(label(0, "unlabelled").alias("top1"), number(0).alias("top1_probability"), label(1, "none").alias("top2"), number(1).alias("top2_probability"))
+
+
+def tags_added(tags: Column, when: dict[str, Column]) -> Column:
+    """`tags` with those whose condition holds behind them, in the order given, each once. A null condition doesn't hold."""
+    none = F.array().cast("array<string>")
+    for tag, holds in when.items():
+        tags = F.array_union(tags, F.when(holds, F.array(F.lit(tag))).otherwise(none))
+    return tags

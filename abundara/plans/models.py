@@ -128,6 +128,14 @@ def direction_by_ratio(spark, d):
     return rows.select("patient_id", "sample_id", "taxon", "pos", N.direction_by_ratio(F.col("ratio")).alias("direction"))
 
 
+@query("SELECT vec_id, CASE WHEN round(100 * list_max(w) / list_sum(w), 2) >= 70 THEN 'follow_top1' ELSE 'weigh_top2' END AS advice FROM (SELECT vec_id, list_transform(embedding[1:5], lambda x: greatest(x::DOUBLE, 0) + 0.001::DOUBLE) AS w FROM embeddings)")
+def confidence_advice(spark, d):
+    """Whether the first class of a row is sure enough to go by."""
+    rows = E(spark, d).select("vec_id", F.transform(F.slice("embedding", 1, 5), lambda x: F.greatest(x, F.lit(0.0)) + 0.001).alias("w"))
+    percent = F.round(100 * F.array_max("w") / F.aggregate("w", F.lit(0.0), lambda s, x: s + x), 2)
+    return rows.select("vec_id", structure.confidence_advice(percent).alias("advice"))
+
+
 @query("SELECT event_type, round(100.0 * count(*) FILTER (value <= 50) / count(*), 6) AS percentile FROM events GROUP BY 1")
 def empirical_percentile(spark, d):
     return t(spark, d, "events").groupBy("event_type").agg(F.round(N.empirical_percentile(F.col("value"), F.lit(50)), 6).alias("percentile"))

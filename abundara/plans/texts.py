@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as T
-from ..operators import cohort, retrieval
+from ..operators import cohort, retrieval, rules, traces
 from ..sources import files, sinks, tables
-from .queries import _MATRIX, BM25, CHUNKS, SUMMARY, TOP, WITH, A, P, _matrix, _top, collapsed, normalised, query, rounded, t
+from .queries import _HOST, _MATRIX, BM25, CHUNKS, SUMMARY, TOP, WITH, A, P, _matrix, _top, collapsed, normalised, query, rounded, t
 
 # --- text functions --------------------------------------------------------------------
 
@@ -132,12 +132,18 @@ def evidence_card_inserted(spark, d):
     return t(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.transform(put, lambda c: c["type"]), ",").alias("types"))
 
 
-@query("SELECT 0 AS rank, 'internal' AS domain, 'internal' AS label UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({i}, '{h}', '{next((n for k, e, n, _ in T.DOMAIN_RULES if (e in h if k == 'contains' else h.endswith(e))), h)}')" for i, h in enumerate(T.TRUSTED_DOMAINS, 1)) + ") v(rank, domain, label) WHERE domain IN (SELECT domain FROM (VALUES " + ", ".join(f"('{h}')" for h in T.TRUSTED_DOMAINS) + ") w(domain)) AND (SELECT count(*) FROM pages) > 0")
-def source_catalogue(spark, d):
-    from ..operators import traces
+_TRUSTED = "(VALUES " + ", ".join(f"({i}, '{h}', '{next((n for k, e, n, _ in T.DOMAIN_RULES if (e in h if k == 'contains' else h.endswith(e))), h)}')" for i, h in enumerate(T.TRUSTED_DOMAINS, 1)) + ") v(rank, domain, label)"
+
 
-    some = F.broadcast(t(spark, d, "pages").agg((F.count(F.lit(1)) > 0).alias("some")))  # one row
-    return traces.source_catalogue(spark, "internal", T.TRUSTED_DOMAINS, T.source_label(F.col("domain"))).join(some).filter("some OR rank = 0").drop("some")
+@query(f"""WITH h AS (SELECT {_HOST} AS host FROM pages), m AS (SELECT host, (SELECT min(rank) FROM {_TRUSTED} WHERE host = domain OR host LIKE '%.' || domain) AS rank FROM h)
+SELECT CAST(v.rank AS INTEGER) AS rank, domain, label, (SELECT count(*) FROM m WHERE coalesce(m.rank, 0) = v.rank) AS pages FROM (SELECT 0 AS rank, 'internal' AS domain, 'internal' AS label UNION ALL SELECT * FROM {_TRUSTED}) v""")
+def source_catalogue(spark, d):
+    """Sources with the pages that each has: the first trusted domain of a page's host, else the internal source."""
+    catalogue = traces.source_catalogue(spark, "internal", T.TRUSTED_DOMAINS, T.source_label(F.col("domain")))
+    host = T.host(F.col("url"))
+    of = F.coalesce(*[F.when((host == h) | F.endswith(host, F.lit(f".{h}")), i) for i, h in enumerate(T.TRUSTED_DOMAINS, 1)], F.lit(0))
+    n = t(spark, d, "pages").groupBy(of.alias("rank")).agg(F.count(F.lit(1)).alias("pages"))
+    return catalogue.join(n, "rank", "left").fillna(0, ["pages"])
 
 
 # --- sources and sinks -----------------------------------------------------------------
@@ -196,7 +202,7 @@ def overwrite_then_append(spark, d):
 @query("SELECT count(*) AS rows, sum(l_quantity) AS quantity FROM lineitem")
 def dry_run(spark, d):
     seen = sinks.dry_run(t(spark, d, "lineitem"), quantity=F.sum("l_quantity"))
-    return t(spark, d, "lineitem").limit(1).select(F.lit(seen["rows"]).cast("long").alias("rows"), F.lit(seen["quantity"]).cast("double").alias("quantity"))
+    return spark.range(1).select(F.lit(seen["rows"]).cast("long").alias("rows"), F.lit(seen["quantity"]).cast("double").alias("quantity"))
 
 
 @query(WITH + SUMMARY + " SELECT patient_id, sample_id, feature_count FROM s")
@@ -211,7 +217,5 @@ def cached_summaries(spark, d):
 
 @query(WITH + "SELECT patient_id, 'stored' || CASE WHEN age > 50 THEN ',aged' ELSE '' END || CASE WHEN gender IS NULL THEN ',unknown' ELSE '' END AS tags FROM v_patients")
 def tags_appended(spark, d):
-    start = F.array(F.lit("stored"))
-    tags = lambda acc, holds, tag: F.array_union(acc, F.when(holds, F.array(F.lit(tag))).otherwise(F.array().cast("array<string>")))
-    made = tags(tags(tags(start, F.col("age") > 50, "aged"), F.col("gender").isNull(), "unknown"), F.lit(True), "stored")
+    made = rules.tags_added(F.array(F.lit("stored")), {"aged": F.col("age") > 50, "unknown": F.col("gender").isNull(), "stored": F.lit(True)})
     return P(spark, d).select("patient_id", F.array_join(made, ",").alias("tags"))

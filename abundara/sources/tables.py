@@ -23,11 +23,6 @@ def camel_case(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({c: camel(c) for c in df.columns})
 
 
-def register_views(spark: SparkSession, sf_dir: str) -> None:
-    for name in TABLES:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
-
-
 def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per patient. The small geography tables are joined by Spark's own size check."""
     t = lambda n: table(spark, sf_dir, n)

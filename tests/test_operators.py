@@ -239,7 +239,7 @@ def test_chunks_of_sizes(n):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["a", "bc", " ", ". ", ".", "; ", "；", "\n", "\n\n", "。 "]), max_size=80).map("".join))
 def test_chunks_equal_the_rule(text):
-    text = retrieval.normalised(text)
+    text = T.normalised(text)
     assert retrieval.cut_texts(text, 20, 5, 4) == chunks_brute(text, 20, 5, 4)
 
 
