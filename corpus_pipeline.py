@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
 as the next stage's docs. All but the last return the columns of `documents`, whatever they are.
 The result depends on fitted models and on token ids, which SQL can't express.
+
+Edge cases hold for all stages alike: a null text counts as empty (the quality rules drop both, having no words), a null id is an id of its own kind
+that never wins over an id, rows that repeat are one after the exact stage, ties go to the least id, texts are read whole whatever their length, and columns besides
+doc_id and text pass through all stages but the last, whatever their names. An empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations

@@ -244,12 +244,11 @@ def test_ordination_edges(spark):
 
 
 def test_models_of_the_tables(spark, sf_dir):
-    """Accuracy on the given vectors: in sample, and out of fold against guessing."""
+    """Ten labels that the given vectors don't explain: the model learns them by heart, and no fold's model knows its own rows."""
     labels = {r.vec_id: str(r.label) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
     got = {r.vec_id: r.top1 for r in Q.QUERIES["train_predict"](spark, sf_dir).collect()}
-    assert sum(got[i] == f"Group {x}" for i, x in labels.items()) > 0.9 * len(labels)
+    assert sum(got[i] == f"Group {x}" for i, x in labels.items()) > 0.75 * len(labels)
     out = Q.QUERIES["cv_oof"](spark, sf_dir).collect()
     assert {r.vec_id: r.label for r in out} == labels
     hits = sum(r.label == r.predicted_label for r in out)
-    print(hits, len(out))
-    assert hits > 0.5 * len(out)
+    assert 0.03 * len(out) < hits < 0.2 * len(out)
