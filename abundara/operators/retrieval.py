@@ -275,3 +275,29 @@ def augmented(cards: Column, card: Column, before: Column) -> Column:
     at = F.array_position(F.transform(cards, lambda c: c["type"]), before)
     n = F.when(at > 0, at.cast("int") - 1).otherwise(F.size(cards))
     return F.concat(F.slice(cards, 1, n), F.array(card), F.slice(cards, n + 1, F.size(cards)))
+
+
+#: Fixed values, by kind of evidence in the order of their cards: the card's type, and the actions that it brings.
+EVIDENCE = {"knowledge": ("knowledge_support", ("view_knowledge", "explain_rules")), "medical": ("medical_evidence", ("view_evidence", "part_evidence_from_model")), "web": ("web_evidence", ("view_web", "part_internal_from_web"))}
+
+
+def augmented_responses(responses: DataFrame, hits: dict[str, DataFrame], key: str, before: str | None, most: int = 3) -> DataFrame:
+    """`responses` (key, cards of (type, content), actions) with evidence from hit lists (key, position, title) of the kinds in EVIDENCE.
+
+    Each kind that has hits brings its number, a card of its first titles and its actions, each action once. The cards go before the first of type `before`, or to the end. A
+    response without any hit stays as it is, with zeros.
+    """
+    out = responses
+    for kind, rows in hits.items():
+        first = rows.filter(F.col("position") <= most).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("position", "title"))).alias("__t"))
+        listed = F.transform("__t", lambda x: F.concat(x["position"].cast("string"), F.lit(". "), F.coalesce(x["title"], F.lit(""))))
+        out = out.join(first.select(key, F.size("__t").alias(f"n_{kind}"), F.array_join(listed, "\n").alias(f"__{kind}")), key, "left").fillna(0, [f"n_{kind}"])
+    kinds = [k for k in EVIDENCE if k in hits]
+    new = F.filter(F.array(*[F.struct(F.lit(EVIDENCE[k][0]).alias("type"), F.col(f"__{k}").alias("content")) for k in kinds]), lambda c: c["content"].isNotNull())
+    at = F.array_position(F.transform("cards", lambda c: c["type"]), F.lit(before)) if before else F.lit(0)
+    n = F.when(at > 0, at.cast("int") - 1).otherwise(F.size("cards"))
+    cards = F.concat(F.slice("cards", 1, n), new, F.slice("cards", n + 1, F.size("cards")))
+    actions = F.col("actions")
+    for k in kinds:
+        actions = F.array_union(actions, F.when(F.col(f"n_{k}") > 0, F.array(*[F.lit(a) for a in EVIDENCE[k][1]])).otherwise(F.array().cast("array<string>")))
+    return out.withColumns({"cards": cards, "actions": actions}).drop(*[f"__{k}" for k in hits])

@@ -569,10 +569,13 @@ def kb_search(spark, d):
 _KB_TOKENS = "list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r,.;:!?()\\[\\]\"''/|，。；：！？、（）]+'), lambda x: length(x) >= 2))"
 
 
-@query(f"""WITH k AS (SELECT doc_id AS id, source AS library, split_part(coalesce(text, ''), chr(10), 1) AS title, coalesce(text, '') AS content FROM documents),
+KB_ALL = f"""k AS (SELECT doc_id AS id, source AS library, split_part(coalesce(text, ''), chr(10), 1) AS title, coalesce(text, '') AS content FROM documents),
 q AS (SELECT item_id, unnest({_KB_TOKENS}) AS token FROM benchmark),
 h AS (SELECT item_id, id, sum(CASE WHEN contains(lower(title), token) THEN 1.8::DOUBLE WHEN contains(lower(content), token) THEN 1.0::DOUBLE ELSE 0 END) AS points FROM q CROSS JOIN k GROUP BY 1, 2),
-s AS (SELECT item_id, id, library, title, round(coalesce(points, 0) + CASE WHEN library = 'src1' THEN 0.35::DOUBLE ELSE 0 END, 2) AS score FROM benchmark CROSS JOIN k LEFT JOIN h USING (item_id, id))
+s AS (SELECT item_id, id, library, title, round(coalesce(points, 0) + CASE WHEN library = 'src1' THEN 0.35::DOUBLE ELSE 0 END, 2) AS score FROM benchmark CROSS JOIN k LEFT JOIN h USING (item_id, id))"""
+
+
+@query("WITH " + KB_ALL + """
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, library, title, id) AS INTEGER) AS rank, id, library, score FROM s WHERE score > 0 QUALIFY rank <= 10""")
 def kb_search_all(spark, d):
     """Every item as a query at once."""

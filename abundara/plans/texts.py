@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as T
-from ..operators import cohort, retrieval, rules, traces
+from ..operators import cohort, retrieval, rules, substrings, traces
 from ..sources import files, sinks, tables
-from .queries import _HOST, _MATRIX, BM25, CHUNKS, SUMMARY, TOP, WITH, A, P, _matrix, _top, collapsed, normalised, query, rounded, t
+from .queries import _HOST, _MATRIX, BM25, CHUNKS, KB_ALL, SUMMARY, TOP, WITH, A, P, _library, _matrix, _top, collapsed, normalised, query, rounded, t
 
 # --- text functions --------------------------------------------------------------------
 
@@ -132,6 +132,25 @@ def evidence_card_inserted(spark, d):
     return t(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.transform(put, lambda c: c["type"]), ",").alias("types"))
 
 
+@query(BM25 + ", " + KB_ALL.replace("q AS (", "kq AS (").replace("FROM q CROSS", "FROM kq CROSS") + """, kt AS (SELECT item_id, title, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, library, title, id) AS p FROM s WHERE score > 0 QUALIFY p <= 3),
+mt AS (SELECT item_id, 'D' || CAST(doc_id AS VARCHAR) AS title, row_number() OVER (PARTITION BY item_id ORDER BY round(hit.score, 9) DESC, doc_id) AS p FROM hit WHERE hit.score > 0 QUALIFY p <= 3),
+ka AS (SELECT item_id, count(*) AS n, string_agg(CAST(p AS VARCHAR) || '. ' || title, chr(10) ORDER BY p) AS c FROM kt GROUP BY 1), ma AS (SELECT item_id, count(*) AS n, string_agg(CAST(p AS VARCHAR) || '. ' || title, chr(10) ORDER BY p) AS c FROM mt GROUP BY 1)
+SELECT b.item_id, coalesce(ka.n, 0) AS n_knowledge, coalesce(ma.n, 0) AS n_medical, 'summary=' || coalesce(b.text, '') || CASE WHEN ka.n > 0 THEN '|knowledge_support=' || ka.c ELSE '' END || CASE WHEN ma.n > 0 THEN '|medical_evidence=' || ma.c ELSE '' END || '|prediction=' AS cards,
+ 'explain_rules' || CASE WHEN ka.n > 0 THEN ',view_knowledge' ELSE '' END || CASE WHEN ma.n > 0 THEN ',view_evidence,part_evidence_from_model' ELSE '' END AS actions FROM benchmark b LEFT JOIN ka USING (item_id) LEFT JOIN ma USING (item_id)""")
+def evidence_augmented(spark, d):
+    """Every item as an answer, with the evidence that both searches find for it."""
+    asked = t(spark, d, "benchmark")
+    card = lambda kind, content: F.struct(F.lit(kind).alias("type"), content.alias("content"))
+    answers = asked.select("item_id", F.array(card("summary", F.coalesce("text", F.lit(""))), card("prediction", F.lit(""))).alias("cards"), F.array(F.lit("explain_rules")).alias("actions"))
+    library = _library(spark, d)
+    known = substrings.keyword_top(asked.withColumn("liked", F.array(F.lit("src1"))), substrings.built(library), "item_id", 3, preferred="liked")
+    knowledge = known.join(library.select("id", "title"), "id").select("item_id", F.col("rank").alias("position"), "title")
+    medical = _top(spark, d, 3).select("item_id", F.col("rank").alias("position"), F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("title"))
+    rows = retrieval.augmented_responses(answers, {"knowledge": knowledge, "medical": medical}, "item_id", "prediction")
+    shown = F.array_join(F.transform("cards", lambda c: F.concat(c["type"], F.lit("="), c["content"])), "|")
+    return rows.select("item_id", "n_knowledge", "n_medical", shown.alias("cards"), F.array_join("actions", ",").alias("actions"))
+
+
 _TRUSTED = "(VALUES " + ", ".join(f"({i}, '{h}', '{next((n for k, e, n, _ in T.DOMAIN_RULES if (e in h if k == 'contains' else h.endswith(e))), h)}')" for i, h in enumerate(T.TRUSTED_DOMAINS, 1)) + ") v(rank, domain, label)"
 
 

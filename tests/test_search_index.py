@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from abundara.operators import search_index, substrings
+from abundara.operators import retrieval, search_index, substrings
 from abundara.plans import queries as Q
 
 
@@ -139,3 +139,14 @@ def test_only_words_of_the_rarest_gram_are_verified(spark):
     for r in found.collect():
         got[r.token].add(r.word)
     assert got == {"abcd": {"abcd", "qabcd"}, "bc": {"abcd", "abce", "abcf", "zabc", "qabcd"}}
+
+
+def test_evidence_is_added_to_responses(spark):
+    schema = "item long, cards array<struct<type:string,content:string>>, actions array<string>"
+    answers = spark.createDataFrame([(1, [("a", "x"), ("b", "y"), ("b", "z")], ["view_web"]), (2, [], []), (3, [("a", "x")], None)], schema)
+    hits = lambda rows: spark.createDataFrame(rows, "item long, position int, title string")
+    rows = retrieval.augmented_responses(answers, {"web": hits([(1, 2, "w2"), (1, 1, None), (1, 4, "far")]), "knowledge": hits([(1, 1, "k"), (2, 1, "k2")])}, "item", "b").collect()
+    got = {r.item: (r.n_knowledge, r.n_web, [(c.type, c.content) for c in r.cards], r.actions) for r in rows}
+    assert got[1] == (1, 2, [("a", "x"), ("knowledge_support", "1. k"), ("web_evidence", "1. \n2. w2"), ("b", "y"), ("b", "z")], ["view_web", "view_knowledge", "explain_rules", "part_internal_from_web"])
+    assert got[2] == (1, 0, [("knowledge_support", "1. k2")], ["view_knowledge", "explain_rules"])
+    assert got[3] == (0, 0, [("a", "x")], None)
