@@ -87,33 +87,6 @@ def spatial_size(limit: int) -> int:
     return min(80, max(40, 8 * limit))
 
 
-def one_value_each(facts: DataFrame) -> DataFrame:
-    """The last value of a taxon in a sample."""
-    return facts.groupBy("patient_id", "sample_id", "taxon").agg(F.max_by("value", "pos").alias("value"))
-
-
-def distances(samples: DataFrame, centre: DataFrame) -> DataFrame:
-    """Root mean square distance of every sample to a centre (taxon, c) over the centre's taxa; absent taxa count as 0.
-
-    The sum over all taxa is that of the centre's squares plus a correction for the stored values, so nothing is
-    filled in. Samples without any of the taxa don't appear.
-    """
-    base = centre.agg(F.sum(F.col("c") * F.col("c")).alias("base"), F.count(F.lit(1)).alias("dims"))
-    moved = one_value_each(samples.join(centre.select("taxon"), "taxon", "left_semi")).join(centre, "taxon")
-    per = moved.groupBy("patient_id", "sample_id").agg(F.sum(F.col("value") * F.col("value") - 2 * F.col("value") * F.col("c")).alias("shift"))
-    return per.join(F.broadcast(base)).select("patient_id", "sample_id", F.sqrt(F.greatest(F.lit(0.0), (F.col("base") + F.col("shift")) / F.col("dims"))).alias("distance"))  # one row
-
-
-def spatial_deviation(current: DataFrame, cohort: DataFrame, centre: DataFrame) -> DataFrame:
-    """One row: how far a sample lies from the centre, against the cohort's own distances."""
-    own = distances(current, centre).agg(F.coalesce(F.max("distance"), F.lit(0.0)).alias("current_distance"))
-    every = distances(cohort, centre).join(F.broadcast(own), how="full")  # one row
-    target = F.col("current_distance")
-    out = every.groupBy("current_distance").agg(F.count("distance").alias("healthy_samples"), N.mean_or_zero(F.col("distance")).alias("distance_mean"), N.std_or_zero(F.col("distance")).alias("distance_std"), F.coalesce(100.0 * F.avg(F.when(F.col("distance") <= target, 1.0).when(F.col("distance").isNotNull(), 0.0)), F.lit(50.0)).alias("distance_percentile"))
-    z = N.z_score(F.col("current_distance"), F.col("distance_mean"), F.col("distance_std"))
-    return out.withColumn("distance_z", z).withColumn("deviation_level", N.deviation_level(F.col("distance_z"), F.col("distance_percentile")))
-
-
 def missing_signature(samples: DataFrame, signature: DataFrame, k: int = 3) -> DataFrame:
     """For each sample, the first k signature taxa (taxon, position) that aren't among its DOMINANT largest rows.
 

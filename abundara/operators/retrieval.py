@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as T
-from ..sources import sinks
 
 #: Chunk sizes in characters, and the share of a chunk behind which a boundary counts.
 MOST, OVERLAP, LEAST, BOUNDARY_FROM = 1800, 250, 240, 0.62
@@ -166,17 +165,6 @@ def tokenized(chunks_: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumn("length", F.size("tokens")).filter("length > 0")
 
 
-def built_index(chunks_: DataFrame, key: str, text: str = "text", *carried: str) -> DataFrame:
-    """The corpus as a written table (key, tokens, length, carried columns): one scan and one tokenising pass, whatever is asked of it later.
-
-    The tokens of a chunk stay together, so building shuffles nothing; lengths and statistics read one narrow column.
-    """
-    rows = tokenized(chunks_.select(key, *carried, text), text).select(key, "tokens", "length", *carried)
-    path = sinks.scratch_folder(chunks_.sparkSession, "index")
-    rows.write.parquet(path)
-    return chunks_.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def postings(tokens: DataFrame, key: str, wanted: DataFrame | None = None) -> DataFrame:
     """(token, key, tf, length): the inverted index, of the tokens in `wanted` only if given; others go before the shuffle."""
     rows = tokens.select(key, "length", F.explode("tokens").alias("token"))
@@ -192,47 +180,6 @@ def corpus_stats(tokens: DataFrame) -> DataFrame:
     return tokens.agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("length"), 6).alias("avgdl"))
 
 
-def query_terms(queries: DataFrame, query_key: str, text: str = "text") -> DataFrame:
-    """(query, token, times). A token that a query repeats counts each time."""
-    return queries.select(query_key, F.explode(T.tokens(F.col(text))).alias("token")).groupBy(query_key, "token").agg(F.count(F.lit(1)).alias("times"))
-
-
-def bm25(queries: DataFrame, index: DataFrame, query_key: str, key: str, text: str = "text") -> DataFrame:
-    """(query, key, score) of every chunk that shares a token with a query, from the tables of `built_index`.
-
-    Only the queries' tokens are grouped and shuffled: a semi-join drops all others where they are read. Document
-    frequencies are counted on what is left, all postings of those tokens.
-    """
-    terms = query_terms(queries, query_key, text)
-    post = postings(index, key, terms.select("token").distinct())
-    rows = post.join(document_frequency(post), "token").join(terms, "token").join(F.broadcast(corpus_stats(index)))  # one row
-    score = F.col("times") * N.bm25_idf(F.col("n_docs"), F.col("df")) * N.bm25_tf(F.col("tf"), F.col("length"), F.col("avgdl"))
-    return rows.groupBy(query_key, key).agg(F.sum(score).alias("score"))
-
-
-def best(hits: DataFrame, query_key: str, key: str, k: int, least: float = 0.0, strict: bool = True) -> DataFrame:
-    """The k best hits of each query with their rank."""
-    kept = hits.filter(F.col("score") > least if strict else F.col("score") >= least)
-    w = Window.partitionBy(query_key).orderBy(F.desc(F.round("score", 9)), key)
-    return kept.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def topic_bonus(hits: DataFrame, queries: DataFrame, topics: DataFrame, query_key: str, key: str, k: int, bonus: float = 0.20) -> DataFrame:
-    """Adds the bonus to chunks whose topic the query names.
-
-    A chunk without any shared token gets the bonus alone, so it can only follow in order of key: the first k of
-    each topic are enough for a list of k. `topics`: (key, topic).
-    """
-    named = queries.select(query_key, F.explode(F.array_distinct(F.split(F.lower("text"), r"[^a-z0-9_-]+"))).alias("topic"))
-    low = topics.select(key, F.lower("topic").alias("topic")).filter("topic <> ''")
-    first = low.withColumn("rank", F.row_number().over(Window.partitionBy("topic").orderBy(key))).filter(F.col("rank") <= k).drop("rank")
-    alone = named.join(first, "topic").select(query_key, key, "topic", F.lit(0.0).alias("score"))
-    every = hits.join(low, key, "left").select(query_key, key, "topic", "score").unionByName(alone)
-    best_ = every.groupBy(query_key, key, "topic").agg(F.max("score").alias("score"))
-    given = best_.join(named.withColumn("hit", F.lit(True)), [query_key, "topic"], "left")
-    return given.select(query_key, key, (F.col("score") + F.when(F.col("hit"), bonus).otherwise(0.0)).alias("score"))
-
-
 # --- keyword search ----------------------------------------------------------------
 
 

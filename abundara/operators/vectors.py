@@ -1,11 +1,7 @@
-"""Compositional vectors: feature selection, ordination, curves, multiclass models."""
+"""Compositional vectors: feature selection, ordination, curves, evaluation."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import StringIndexer
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,11 +60,6 @@ def stratified_sample(rows: DataFrame, key: str, share: float, seed: int = 42) -
     return rows.filter(F.pmod(place, F.lit(1_000_000)) < int(share * 1_000_000))
 
 
-def folds(rows: DataFrame, label: str, key: str, k: int) -> DataFrame:
-    """Fold number, dealt out in turn within each label: by a window, for tables of a few thousand rows a label; `boosting.folds_by_rank` has no such bound."""
-    return rows.withColumn("fold", F.pmod(F.row_number().over(Window.partitionBy(label).orderBy(key)) - 1, F.lit(k)))
-
-
 def descending(v: Column, n: int) -> Column:
     return F.slice(F.reverse(F.array_sort(v)), 1, n)
 
@@ -106,25 +97,10 @@ def ellipse(points: DataFrame, x: str = "pc1", y: str = "pc2") -> DataFrame:
     return rows.select("i", (F.col("mx") + F.col("r1") * F.cos(t) * F.cos("angle") - F.col("r2") * F.sin(t) * F.sin("angle")).alias("x"), (F.col("my") + F.col("r1") * F.cos(t) * F.sin("angle") + F.col("r2") * F.sin(t) * F.cos("angle")).alias("y"))
 
 
-def classifier(rows: DataFrame, vector: str, label: str, seed: int = 42):
-    """Multiclass forest over arrays, rows weighted by their class; labels are numbered in order of their text."""
-    weighed = rows.join(F.broadcast(class_weights(rows.filter(F.col(label).isNotNull()), label).select(label, F.col("weight").alias("__w"))), label)  # a row per class
-    prepared = weighed.withColumn("__f", array_to_vector(F.transform(vector, lambda x: x.cast("double")))).withColumn("__label", F.col(label).cast("string"))
-    stages = [StringIndexer(inputCol="__label", outputCol="__y", stringOrderType="alphabetAsc"), RandomForestClassifier(featuresCol="__f", labelCol="__y", weightCol="__w", numTrees=20, maxDepth=5, seed=seed)]
-    return Pipeline(stages=stages).fit(prepared)
-
-
 def class_name(label: str, names: dict[str, str] | None = None) -> str:
     return (names or {}).get(label, f"Group {label}")
 
 
-def predictions(model, rows: DataFrame, vector: str, key: str, names: dict[str, str] | None = None) -> DataFrame:
-    """Three most probable classes of each row, with display names; unnamed groups are "Group x"."""
-    labels = F.array(*[F.lit(class_name(x, names)) for x in model.stages[0].labels])
-    prepared = rows.withColumn("__f", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
-    return model.stages[1].transform(prepared).select(key, top_classes(labels, vector_to_array("probability")).alias("top"), F.col("prediction").cast("int").alias("predicted"))
-
-
 def report(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
     """Precision, recall, F1 and support by label; 0 where undefined."""
     n = rows.groupBy(F.col(truth).alias("t"), F.col(predicted).alias("p")).agg(F.count(F.lit(1)).alias("n"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,7 +11,7 @@ from pyspark.sql.types import StructType
 from ..functions import numeric as N
 from ..functions import text as T
 from ..operators import boosting, cohort, deviation, ingest, ordination, retrieval, rules, search_index, structure, substrings, traces, vectors
-from ..sources import files, sinks, tables
+from ..sources import sinks, tables
 from ..streaming import queue
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -1,6 +1,8 @@
 """Many samples against their cohorts in one plan."""
 
+import math
 import re
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,3 +70,16 @@ def test_edges(spark):
     none = deviation.compared_samples(patients, patients.filter("false"), facts, targets)
     assert {r.sample_id: r.healthy_samples for r in none.collect()} == {"s1": 0, "s2": 0}
     assert deviation.compared_samples(patients, patients, facts.filter("false"), targets).count() == 0
+
+
+def test_sparse_distances_are_the_dense_ones(spark):
+    """Distances to the centre with zeros filled in, of samples that share a taxon with it."""
+    patients = spark.createDataFrame([(i, None) for i in range(1, 5)], "patient_id long, body_site string")
+    rows = [(1, "a", "t1", 2.0), (1, "a", "t2", 3.0), (1, "a", "new", 1.0), (2, "b", "t2", 1.0), (2, "b", "zz", 9.0), (3, "c", "t1", 4.0), (3, "c", "t2", 2.0), (4, "d", "zz", 1.0)]
+    facts = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "patient_id long, sample_id string, taxon string, value double, pos long")
+    row = deviation.compared_samples(patients, patients.filter("patient_id > 1"), facts, spark.createDataFrame([(1, "a")], "patient_id long, sample_id string")).first()
+    centre = {"t1": 4.0, "t2": 1.5, "new": 0.0}
+    far = lambda v: math.sqrt(sum((v.get(t, 0) - c) ** 2 for t, c in centre.items()) / 3)
+    dense = [far({"t2": 1.0}), far({"t1": 4.0, "t2": 2.0})]  # sample d shares nothing
+    assert row.healthy_samples == 2 and row.current_distance == pytest.approx(far({"t1": 2.0, "t2": 3.0, "new": 1.0}))
+    assert row.distance_mean == pytest.approx(statistics.mean(dense)) and row.distance_std == pytest.approx(statistics.pstdev(dense))

@@ -4,7 +4,6 @@ import math
 import re
 import statistics
 
-import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,10 +11,9 @@ from pyspark.sql import functions as F
 
 from abundara.functions import numeric as N
 from abundara.functions import text as T
-from abundara.operators import cohort, deviation, ingest, retrieval, rules, structure, traces, vectors
+from abundara.operators import cohort, deviation, ingest, retrieval, rules, search_index, structure, traces, vectors
 from abundara.plans import queries as Q
 from abundara.sources import files, sinks, tables
-from abundara.streaming import queue
 
 
 def one(spark, column, **values):
@@ -85,15 +83,6 @@ def test_scope_needs_twenty_samples(spark, samples, scope):
     assert found["gut"].healthy_sample_count == (20 if scope != "all_healthy" else samples + 1)
 
 
-def test_sparse_distance_is_the_dense_one(spark):
-    facts = spark.createDataFrame([(1, "a", "t1", 2.0, 1), (1, "a", "t2", 3.0, 2), (2, "b", "t2", 1.0, 3), (2, "b", "zz", 9.0, 4)], "patient_id long, sample_id string, taxon string, value double, pos long")
-    centre = spark.createDataFrame([("t1", 1.0), ("t2", 0.5), ("t3", 4.0)], "taxon string, c double")
-    got = {r.sample_id: r.distance for r in deviation.distances(facts, centre).collect()}
-    dense = {"a": [2, 3, 0], "b": [0, 1, 0]}
-    for s, v in dense.items():
-        assert got[s] == pytest.approx(math.sqrt(sum((x - c) ** 2 for x, c in zip(v, [1, 0.5, 4])) / 3), abs=1e-9)
-
-
 def test_taxon_absent_from_the_cohort(spark):
     facts = spark.createDataFrame([(1, "a", "t", 2.0, 1)], "patient_id long, sample_id string, taxon string, value double, pos long")
     stats = deviation.taxon_stats(facts.filter("false"))
@@ -257,7 +246,7 @@ def test_knowledge_sections(spark):
 def test_bm25_repeats_and_stop_words(spark):
     docs = spark.createDataFrame([(1, "alpha beta beta"), (2, "alpha gamma"), (3, "the and of")], "doc_id long, text string")
     q = spark.createDataFrame([(1, "beta"), (2, "beta beta"), (3, "the of")], "item_id long, text string")
-    got = {(r.item_id, r.doc_id): r.score for r in retrieval.bm25(q, retrieval.built_index(docs, "doc_id"), "item_id", "doc_id").collect()}
+    got = {(r.item_id, r.doc_id): r.score for r in search_index.top_hits(q, search_index.built(docs, "doc_id"), "item_id", 5).collect()}
     idf = math.log(1 + (2 - 1 + 0.5) / (1 + 0.5))
     want = idf * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 3 / 2.5))
     assert got == {(1, 1): pytest.approx(want), (2, 1): pytest.approx(2 * want)}
@@ -367,25 +356,6 @@ def test_jdbc_reads_by_predicates(spark, tmp_path):
     assert rows.rdd.getNumPartitions() == 2 and sorted(r.id for r in rows.collect()) == list(range(10))
 
 
-def planted_vectors(spark):
-    rng = np.random.default_rng(5)
-    centres = rng.normal(size=(3, 8)) * 3
-    rows = [(i, [float(x) for x in centres[i % 3] + rng.normal(size=8)], "ab1"[i % 3]) for i in range(240)]
-    return rows, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
-
-
-def test_forest_separates_planted_classes(spark):
-    rows, df = planted_vectors(spark)
-    truth = {i: label for i, _, label in rows}
-    model = vectors.classifier(df, "embedding", "label")
-    assert list(model.stages[0].labels) == ["1", "a", "b"]
-    top = {r.vec_id: r.top for r in vectors.predictions(model, df, "embedding", "vec_id", {"a": "Alpha"}).collect()}
-    assert sum(t[0].label == {"a": "Alpha"}.get(truth[i], f"Group {truth[i]}") for i, t in top.items()) > 0.9 * len(truth) and all(len(t) == 3 for t in top.values())
-
-
 def test_empty_tables(spark):
     facts = spark.createDataFrame([], "patient_id long, sample_id string, taxon string, value double, pos long")
     assert deviation.cohort_counts(facts).first() == (0, 0)
-    centre = spark.createDataFrame([], "taxon string, c double")
-    row = deviation.spatial_deviation(facts, facts, centre).first()
-    assert (row.healthy_samples, row.distance_percentile, row.distance_z) == (0, 50.0, 0.0)
