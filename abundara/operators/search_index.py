@@ -22,7 +22,7 @@ from ..functions import text as T
 from ..sources import sinks
 
 #: Documents in a block, documents and characters in a shard, bytes of input in a task, queries that a task takes on at once.
-BLOCK, SHARD_DOCS, SHARD_CHARS, TASK_BYTES, QUERY_BLOCK = 512, 16_384, 8 << 20, 2 << 20, 1024
+BLOCK, SHARD_DOCS, SHARD_CHARS, TASK_BYTES, QUERY_BLOCK = 512, 16_384, 8 << 20, 1 << 20, 1024
 #: Scores that differ by less count as equal, so bounds are widened by twice as much.
 DIGITS, SLACK = 9, 2e-9
 #: Begins the names of topic lists; no token has it.
@@ -95,8 +95,8 @@ def built(docs: DataFrame, key: str, text: str = "text", topic: str | None = Non
     kind = rows.schema["key"].dataType.simpleString()
     execution = rows._jdf.queryExecution()
     size = int(execution.optimizedPlan().stats().sizeInBytes())
-    wanted = min(math.ceil(size / TASK_BYTES), 100_000) if size < 1 << 60 else 1
-    if execution.toRdd().getNumPartitions() < wanted:  # few row groups: their rows are dealt out before they are read into tokens
+    wanted = min(math.ceil(size / TASK_BYTES), 2 * docs.sparkSession.sparkContext.defaultParallelism) if size < 1 << 60 else 1
+    if execution.toRdd().getNumPartitions() < wanted:  # fewer row groups than the cluster has cores: rows are dealt out before they are read into tokens
         rows = rows.repartition(wanted)
 
     def run(batches):
