@@ -29,10 +29,20 @@ def page_totals(df: DataFrame, size: int) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total")).select("total", F.ceil(F.col("total") / size).cast("long").alias("pages"))
 
 
-def overview(patients: DataFrame, facts: DataFrame) -> DataFrame:
-    """Samples and values per patient."""
+def overview(patients: DataFrame, facts: DataFrame, fields: tuple[str, ...] = (), **others: DataFrame) -> DataFrame:
+    """Samples and values per patient, beside the patient's `fields`. Each of `others` (by name, with a patient_id) is a further table whose rows are counted."""
     n = facts.groupBy("patient_id").agg(F.count_distinct("sample_id").alias("sample_count"), F.count(F.lit(1)).alias("value_count"))
-    return patients.join(n, "patient_id", "left").select("patient_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("sample_count", "value_count")])
+    rows, counts = patients.join(n, "patient_id", "left"), ["sample_count", "value_count"]
+    for name, table in others.items():
+        counts.append(f"{name}_count")
+        rows = rows.join(table.groupBy("patient_id").agg(F.count(F.lit(1)).alias(counts[-1])), "patient_id", "left")
+    return rows.select("patient_id", *fields, *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
+
+
+def linked(patients: DataFrame, links: DataFrame, targets: DataFrame, column: str, value: str) -> DataFrame:
+    """Patients with a link to a target whose `column` is `value`: patients and targets are m:n by `links` (patient_id, target_id). Each patient once, however many links lead to it."""
+    met = links.join(targets.filter(F.col(column) == value), "target_id", "left_semi")
+    return patients.join(met, "patient_id", "left_semi")
 
 
 def top_groups(df: DataFrame, column: str, k: int, name: str = "count") -> DataFrame:
@@ -60,10 +70,13 @@ def age_gender_pivot(patients: DataFrame) -> DataFrame:
 def rolled_up(df: DataFrame, column: str, k: int = 5, when_over: int = 6) -> DataFrame:
     """The k largest groups and the sum of the others, if there are more than `when_over`."""
     counts = df.filter(T.present(F.col(column))).groupBy(F.col(column).alias("name")).agg(F.count(F.lit(1)).alias("n"))
-    # one row per group by now; the window is over counts
-    all_ = Window.partitionBy(F.lit(0))
-    ranked = counts.withColumn("rank", F.row_number().over(all_.orderBy(F.desc("n"), "name"))).withColumn("groups", F.count(F.lit(1)).over(all_))
-    return ranked.groupBy(F.when((F.col("groups") <= when_over) | (F.col("rank") <= k), F.col("name")).otherwise("other").alias("name")).agg(F.sum("n").alias("n"))
+    # the largest groups are a top-k and the others a sum less theirs, so no task sees all groups
+    largest = counts.orderBy(F.desc("n"), "name").limit(max(k, when_over)).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "name", "n"))).alias("all"))
+    one = largest.join(F.broadcast(counts.agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("total"))))  # two single rows
+    head = F.transform(F.when(F.col("groups") <= when_over, F.col("all")).otherwise(F.slice("all", 1, k)), lambda x: F.struct(x["name"].alias("name"), x["n"].alias("n")))
+    rest = F.col("total") - F.aggregate("head", F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    rows = one.withColumn("head", head).withColumn("rest", rest).select(F.explode(F.when(F.col("rest") > 0, F.concat("head", F.array(F.struct(F.lit("other").alias("name"), F.col("rest").alias("n"))))).otherwise(F.col("head"))).alias("g"))
+    return rows.groupBy("g.name").agg(F.sum("g.n").alias("n"))
 
 
 def sample_summaries(facts: DataFrame) -> DataFrame:
@@ -76,13 +89,12 @@ def top_features(facts: DataFrame, k: int) -> DataFrame:
     return facts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= N.clamp_limit(k, 20, 100))
 
 
-def sample_detail(facts: DataFrame) -> DataFrame:
-    """Values, date and name of the largest one, per sample."""
-    return facts.groupBy("patient_id", "sample_id").agg(
-        F.count(F.lit(1)).alias("feature_count"),
-        F.min_by("sample_date", F.struct(-F.col("value"), F.col("pos"), F.col("taxon"))).alias("top_date"),
-        F.min_by("taxon", F.struct(-F.col("value"), F.col("pos"), F.col("taxon"))).alias("top_taxon"),
-    )
+def sample_detail(facts: DataFrame, patients: DataFrame | None = None) -> DataFrame:
+    """Values, date and name of the largest one, per sample; its unit too where `facts` have one, and the patient's fields where `patients` are given."""
+    first = F.struct(-F.col("value"), F.col("pos"), F.col("taxon"), *[F.col(c) for c in facts.columns if c == "unit"])
+    names = {"sample_date": "top_date", "taxon": "top_taxon", "unit": "unit"}
+    rows = facts.groupBy("patient_id", "sample_id").agg(F.count(F.lit(1)).alias("feature_count"), *[F.min_by(c, first).alias(n) for c, n in names.items() if c in facts.columns])
+    return rows if patients is None else rows.join(patients, "patient_id", "left")
 
 
 def payload(facts: DataFrame) -> DataFrame:
@@ -104,6 +116,22 @@ def dashboard(patients: DataFrame) -> DataFrame:
     return one.join(F.broadcast(top)).withColumn("most_common_disease", F.coalesce("most_common_disease", F.lit("N/A")))  # two single rows
 
 
+def dashboard_bundle(patients: DataFrame, diseases: DataFrame) -> DataFrame:
+    """The whole dashboard as one row: the ten most common diseases, countries of origin, counts by age and gender, headline numbers.
+
+    `diseases` has a row per patient and disease. Lists are made from counts: ten diseases, seven brackets and one entry for each country.
+    """
+    entry = F.struct((-F.col("count")).alias("o"), "name", "count")
+    listed = lambda df, by, name: df.withColumnRenamed(by, "name").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: F.struct(x["name"].alias("name"), x["count"].alias("count"))).alias(name))
+    origins = patients.filter(T.present(F.col("country"))).groupBy("country").agg(F.count(F.lit(1)).alias("count"))
+    ages = age_gender_pivot(patients).agg(F.array_sort(F.collect_list(F.struct("position", "age_group", "male", "female"))).alias("a"))
+    ages = ages.select(*[F.col(f"a.{c}").alias(n) for c, n in (("age_group", "age_brackets"), ("male", "male_counts"), ("female", "female_counts"))])
+    out = dashboard(patients).withColumn("most_common_count", F.coalesce("most_common_count", F.lit(0)))
+    for part in (listed(top_groups(diseases, "disease", 10), "disease", "diseases"), listed(origins, "country", "origins"), ages):
+        out = out.join(F.broadcast(part))  # single rows
+    return out
+
+
 def insight(values: Column, k: int = 3) -> Column:
     """The first k values that aren't blank, and how many there are."""
     kept = F.filter(F.coalesce(values, F.array().cast("array<string>")), T.present)

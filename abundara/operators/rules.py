@@ -144,18 +144,19 @@ def completed(output: Column, signal: Column) -> Column:
     return T.present(signal) & F.contains(F.upper(F.coalesce(output, F.lit(""))), F.upper(signal))
 
 
-def review(risk: Column, knowledge: Column, web: Column, prediction: Column, usage: Column) -> Column:
+def review(risk: Column, knowledge: Column, web: Column, prediction: Column, usage: Column, hybrid: Column | None = None, agents: Column | None = None) -> Column:
     """Flags of a finished run, channels that are missing, and whether a person should look.
 
     `usage`: map of counts by access type. The model is missed where the risk is medium; a person is asked for where it is
-    high and knowledge or model had no part. A null risk means that no task was set.
+    high and knowledge or model had no part. A null risk means that no task was set. Modes that aren't given, or null, weren't used.
     """
+    mode = lambda c: F.lit(False) if c is None else F.coalesce(c, F.lit(False))
     used = lambda kind: F.coalesce(F.try_element_at(usage, F.lit(kind)), F.lit(0)) > 0
     is_risk = lambda level: F.coalesce(F.lower(risk) == level, F.lit(False))
     missing_ = F.array_compact(F.array(F.when(~knowledge, "internal_knowledge"), F.when(~prediction & is_risk("medium"), "model_judgement")))
     hint = F.when(knowledge & prediction & web & used("resources") & used("prompts"), "all_layers").when(knowledge & prediction, "data_model_knowledge").when(knowledge, "knowledge_only").otherwise("workflow_only")
     return F.struct(
-        knowledge.alias("used_knowledge"), web.alias("used_web"), prediction.alias("used_prediction"), used("tools").alias("used_tools"), used("resources").alias("used_resources"), used("prompts").alias("used_prompts"),
+        knowledge.alias("used_knowledge"), web.alias("used_web"), prediction.alias("used_prediction"), mode(hybrid).alias("used_hybrid"), mode(agents).alias("used_agents"), used("tools").alias("used_tools"), used("resources").alias("used_resources"), used("prompts").alias("used_prompts"),
         missing_.alias("missing_channels"), (is_risk("high") & ~(knowledge & prediction)).alias("human_review"), hint.alias("hint"),
     )
 
@@ -175,6 +176,13 @@ LAYERS = {
     ),
 }
 BETWEEN_VALUES, BETWEEN_FIELDS = "、", "；"
+#: Titles of layers by key, and of the card that says how an answer is layered, by intent.
+LAYER_TITLES = {
+    "dashboard_observation": "dashboard", "prediction_result": "prediction", "model_boundary": "limits of the model", "data_observation": "data", "healthy_reference": "healthy reference",
+    "model_judgement": "model", "internal_knowledge": "knowledge", "external_evidence": "external evidence",
+}
+LAYERED_TITLES = {"DASHBOARD_QA": "layered dashboard analysis", "PREDICTION_ASSISTANT": "layered prediction analysis"}
+LAYERED_ACTIONS = ("view_layers", "tell_data_from_evidence")
 
 
 def field_text(meta: dict[str, Column], arrays: set[str], name: str) -> Column:
@@ -186,7 +194,7 @@ def field_text(meta: dict[str, Column], arrays: set[str], name: str) -> Column:
 
 
 def layers(routed: Column, meta: dict[str, Column], arrays: set[str], knowledge: Column, external: Column) -> Column:
-    """Array of (key, summary) of the intent's layers. `knowledge`: array of titles; `external`: array of (title, domain)."""
+    """Array of (key, title, summary) of the intent's layers. `knowledge`: array of titles; `external`: array of (title, domain)."""
     first = lambda parts, none: F.coalesce(F.nullif(F.array_join(F.slice(F.filter(parts, lambda x: x.isNotNull()), 1, 2), BETWEEN_VALUES), F.lit("")), F.lit(none))
     known = first(F.coalesce(knowledge, F.array().cast("array<string>")), "no internal knowledge")
     seen = first(F.transform(F.coalesce(external, F.array().cast("array<struct<title:string,domain:string>>")), lambda e: F.when(e["domain"].isNotNull(), F.concat(e["title"], F.lit(" @ "), e["domain"])).otherwise(e["title"])), "no external evidence")
@@ -195,7 +203,7 @@ def layers(routed: Column, meta: dict[str, Column], arrays: set[str], knowledge:
         made = []
         for key, fields in parts:
             joined = F.array_join(F.filter(F.array(*[field_text(meta, arrays, f) for f in fields]), T.present), BETWEEN_FIELDS) if fields else known if key != "external_evidence" else seen
-            made.append(F.struct(F.lit(key).alias("key"), F.when(T.present(joined), joined).otherwise("none").alias("summary")))
+            made.append(F.struct(F.lit(key).alias("key"), F.lit(LAYER_TITLES[key]).alias("title"), F.when(T.present(joined), joined).otherwise("none").alias("summary")))
         out = F.when(routed == name, F.array(*made)) if out is None else out.when(routed == name, F.array(*made))
         last = F.array(*made)
     return out.otherwise(last)
@@ -206,6 +214,25 @@ def layered_summary(summary: Column) -> Column:
     return F.when(T.blank(summary), "layered answer").when(F.contains(summary, F.lit("layered")), summary).otherwise(F.concat(summary, F.lit(" (layered answer)")))
 
 
+def composed(routed: Column, layered: Column, channels: Column, summary: Column, cards: Column, actions: Column) -> Column:
+    """A layered answer: its summary says so, a card with channels and number of layers comes first, two actions follow those that it has, each once.
+
+    Null cards and actions are empty; no channels are business data alone. Cards are (type, title, content).
+    """
+    title = F.lit("layered patient analysis")
+    for name, text in LAYERED_TITLES.items():
+        title = F.when(routed == name, text).otherwise(title)
+    listed = F.when(F.coalesce(F.size(channels), F.lit(0)) > 0, F.array_join(channels, BETWEEN_VALUES)).otherwise("data")
+    content = F.concat(F.lit("combined: "), listed, F.lit("; layers: "), F.size(layered).cast("string"))
+    card = F.struct(F.lit("hybrid_orchestration").alias("type"), title.alias("title"), content.alias("content"))
+    held = F.coalesce(actions, F.array().cast("array<string>"))
+    missing_ = F.filter(F.array(*[F.lit(a) for a in LAYERED_ACTIONS]), lambda a: ~F.coalesce(F.array_contains(held, a), F.lit(False)))
+    return F.struct(
+        layered_summary(summary).alias("summary"), F.concat(F.array(card), F.coalesce(cards, F.array().cast("array<struct<type:string,title:string,content:string>>"))).alias("cards"),
+        F.concat(held, missing_).alias("actions"), layered.alias("layers"), channels.alias("channels"),
+    )
+
+
 def polished_summary(routed: Column, meta: dict[str, Column], arrays: set[str] = frozenset()) -> Column:
     """The summary of an intent from its metadata, fields that are blank by their defaults; that of a patient says where it deviates."""
     read = lambda name, default="--": F.coalesce(F.nullif(field_text(meta, arrays, name), F.lit("")), F.lit(default))

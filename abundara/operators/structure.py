@@ -42,13 +42,6 @@ def dominance(top: DataFrame, summaries: DataFrame) -> DataFrame:
     return rows.withColumns({"top1_ratio": part("top1"), "top3_ratio": part("top3")}).withColumn("dominance", dominance_label(F.col("top1_ratio"), F.col("top3_ratio"))).drop("top1", "top3", "listed")
 
 
-def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Per patient: shared and unshared keys of two samples' listed taxa, both as distinct sets."""
-    keys = lambda df, name: df.groupBy("patient_id").agg(F.array_sort(F.collect_set("taxon")).alias(name))
-    both = keys(a, "a").join(keys(b, "b"), "patient_id")
-    return both.select("patient_id", F.size(F.array_intersect("a", "b")).alias("overlap"), F.size(F.array_except("a", "b")).alias("only_current"), F.size(F.array_except("b", "a")).alias("only_other"))
-
-
 def comparison_advice(delta: Column, top1: Column, top3: Column, other_top1: Column, other_top3: Column, shared: Column, rank: Column, other_rank: Column) -> Column:
     """Which sample to look at; the first rule that holds."""
     return (
@@ -59,13 +52,32 @@ def comparison_advice(delta: Column, top1: Column, top3: Column, other_top1: Col
     )
 
 
-def compared(current: DataFrame, other: DataFrame, shared: DataFrame) -> DataFrame:
-    """Advice per patient; both sides have feature_count, ratios and rank."""
-    names = ("sample_id", "feature_count", "top1_ratio", "top3_ratio", "rank")
-    o = other.select("patient_id", *[F.col(c).alias(f"other_{c}") for c in names])
-    rows = current.join(o, "patient_id").join(shared, "patient_id").withColumn("feature_delta", F.col("feature_count") - F.col("other_feature_count"))
-    advice = comparison_advice(F.col("feature_delta"), F.col("top1_ratio"), F.col("top3_ratio"), F.col("other_top1_ratio"), F.col("other_top3_ratio"), F.col("overlap"), F.col("rank"), F.col("other_rank"))
-    return rows.select("patient_id", "sample_id", "other_sample_id", "feature_delta", "overlap", advice.alias("advice"))
+def profiles(facts: DataFrame, k: int = 8) -> DataFrame:
+    """Row per sample: its summary, its k largest values' taxa and its dominance, from one ranking of the facts that the grouping shares."""
+    w = Window.partitionBy("patient_id", "sample_id").orderBy(F.desc("value"), "taxon", "pos")
+    upto = lambda n: F.sum(F.when(F.col("rank") <= n, F.col("value")))
+    rows = facts.withColumn("rank", F.row_number().over(w)).groupBy("patient_id", "sample_id").agg(
+        F.count(F.lit(1)).alias("feature_count"), F.sum("value").alias("abundance_total"), F.collect_set(F.when(F.col("rank") <= k, F.col("taxon"))).alias("heads"),
+        upto(1).alias("top1"), upto(3).alias("top3"), upto(k).alias("listed"),
+    )
+    total = F.when(F.col("abundance_total") > 0, F.col("abundance_total")).otherwise(F.col("listed"))
+    part = lambda c: F.when(total > 0, F.col(c) / total).otherwise(F.lit(0.0))
+    return rows.withColumns({"top1_ratio": part("top1"), "top3_ratio": part("top3")}).drop("top1", "top3", "listed")
+
+
+def richest_two(profiles: DataFrame) -> DataFrame:
+    """Row per patient with two samples at least: its richest (`a`) and its second (`b`) as structs, and sizes of what their heads share."""
+    both = richness_rank(profiles).filter("rank <= 2").groupBy("patient_id").agg(*[F.max(F.when(F.col("rank") == n, F.struct("sample_id", "feature_count", "top1_ratio", "top3_ratio", "rank", "heads"))).alias(s) for n, s in ((1, "a"), (2, "b"))])
+    size = lambda f, x, y: F.size(f(F.col(f"{x}.heads"), F.col(f"{y}.heads")))
+    sizes = {"overlap": size(F.array_intersect, "a", "b"), "only_current": size(F.array_except, "a", "b"), "only_other": size(F.array_except, "b", "a")}
+    return both.filter("b IS NOT NULL").withColumns(sizes)
+
+
+def compared(pairs: DataFrame) -> DataFrame:
+    """Advice per patient of `richest_two`."""
+    delta = F.col("a.feature_count") - F.col("b.feature_count")
+    advice = comparison_advice(delta, F.col("a.top1_ratio"), F.col("a.top3_ratio"), F.col("b.top1_ratio"), F.col("b.top3_ratio"), F.col("overlap"), F.col("a.rank"), F.col("b.rank"))
+    return pairs.select("patient_id", F.col("a.sample_id").alias("sample_id"), F.col("b.sample_id").alias("other_sample_id"), delta.alias("feature_delta"), "overlap", advice.alias("advice"))
 
 
 def insight_of(compared: DataFrame, comparisons: str, level: Column, missing: Column) -> DataFrame:

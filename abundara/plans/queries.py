@@ -87,6 +87,25 @@ def ids_by_disease(spark, d):
     return P(spark, d).select("patient_id", "patient_name").join(bridge, "patient_id", "left_semi")
 
 
+_FIELDS = ("patient_name", "age", "gender", "country", "body_site", "disease", "bmi")
+
+
+@query(WITH + f"""SELECT p.patient_id, {", ".join(_FIELDS)}, coalesce(sample_count, 0) AS sample_count, coalesce(value_count, 0) AS value_count, coalesce(event_count, 0) AS event_count FROM v_patients p
+ LEFT JOIN (SELECT patient_id, count(DISTINCT sample_id) AS sample_count, count(*) AS value_count FROM v_abundance GROUP BY 1) a USING (patient_id) LEFT JOIN (SELECT user_id AS patient_id, count(*) AS event_count FROM events GROUP BY 1) e USING (patient_id)""")
+def patient_overview_full(spark, d):
+    """All fields of a patient, with counts of samples, values and events."""
+    return cohort.overview(P(spark, d), A(spark, d), _FIELDS, event=t(spark, d, "events").select(F.col("user_id").alias("patient_id")))
+
+
+@query("SELECT DISTINCT c_custkey AS patient_id, c_name AS patient_name FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE p_brand = 'Brand#2'")
+def patients_by_link(spark, d):
+    """Patients that a table of links leads to through a target's name."""
+    sold = t(spark, d, "lineitem").join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    links = sold.select(F.col("o_custkey").alias("patient_id"), F.col("l_partkey").alias("target_id"))
+    targets = t(spark, d, "part").select(F.col("p_partkey").alias("target_id"), "p_brand")
+    return cohort.linked(P(spark, d).select("patient_id", "patient_name"), links, targets, "p_brand", "Brand#2")
+
+
 @query(WITH + "SELECT patient_id, sample_id, taxon, value FROM v_abundance WHERE patient_id = 7 ORDER BY value DESC, taxon")
 def patient_features(spark, d):
     return A(spark, d).filter("patient_id = 7").select("patient_id", "sample_id", "taxon", "value")
@@ -156,6 +175,20 @@ def dashboard_summary(spark, d):
     return cohort.dashboard(P(spark, d))
 
 
+@query(WITH + f""", b AS (SELECT DISTINCT o_custkey, o_orderpriority AS name FROM orders), dd AS (SELECT name, count(*) AS n FROM b WHERE trim(name) <> '' GROUP BY 1 ORDER BY n DESC, name LIMIT 10),
+oo AS (SELECT country AS name, count(*) AS n FROM v_patients WHERE trim(country) <> '' GROUP BY 1), c AS (SELECT disease, count(*) AS n FROM v_patients WHERE trim(disease) <> '' GROUP BY 1), g AS (SELECT {AGE_SQL} AS age_group, gender FROM v_patients),
+ag AS (SELECT b.age_group, count(*) FILTER (gender = 'male') AS male, count(*) FILTER (gender = 'female') AS female FROM (VALUES {_BRACKETS}) b(age_group) LEFT JOIN g USING (age_group) GROUP BY 1)
+SELECT (SELECT string_agg(name || '=' || CAST(n AS VARCHAR), ',' ORDER BY n DESC, name) FROM dd) AS diseases, (SELECT string_agg(name || '=' || CAST(n AS VARCHAR), ',' ORDER BY n DESC, name) FROM oo) AS origins,
+ (SELECT string_agg(age_group || '=' || CAST(male AS VARCHAR) || '/' || CAST(female AS VARCHAR), ',' ORDER BY age_group) FROM ag) AS ages, (SELECT count(*) FROM v_patients) AS total_patients,
+ (SELECT min(age) FROM v_patients) AS min_age, (SELECT max(age) FROM v_patients) AS max_age, (SELECT disease FROM c ORDER BY n DESC, disease DESC LIMIT 1) AS most_common_disease, (SELECT max(n) FROM c) AS most_common_count""")
+def dashboard_bundle(spark, d):
+    """The dashboard's one row, its lists as text."""
+    diseases = t(spark, d, "orders").select("o_custkey", F.col("o_orderpriority").alias("disease")).distinct()
+    named = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("=", x["name"], x["count"].cast("string"))), ",").alias(c)
+    ages = F.array_join(F.transform(F.arrays_zip("age_brackets", "male_counts", "female_counts"), lambda x: F.concat(x["age_brackets"], F.lit("="), x["male_counts"].cast("string"), F.lit("/"), x["female_counts"].cast("string"))), ",")
+    return cohort.dashboard_bundle(P(spark, d), diseases).select(named("diseases"), named("origins"), ages.alias("ages"), "total_patients", "min_age", "max_age", "most_common_disease", "most_common_count")
+
+
 # --- samples ---------------------------------------------------------------------------
 
 SUMMARY = ", s AS (SELECT patient_id, sample_id, max(sample_date) AS sample_date, count(*) AS feature_count, sum(value) AS abundance_total FROM v_abundance GROUP BY 1, 2)"
@@ -177,6 +210,15 @@ def sample_detail(spark, d):
     return cohort.sample_detail(A(spark, d))
 
 
+@query(WITH + f""", u AS (SELECT o_custkey AS patient_id, CAST(o_custkey AS VARCHAR) || '-' || CAST(year(o_orderdate) AS VARCHAR) AS sample_id, 'k__life.g__part_' || CAST(l_partkey AS VARCHAR) AS taxon, l_quantity AS value,
+ CAST(o_orderdate AS DATE) AS sample_date, l_orderkey * 100 + l_linenumber AS pos, l_linestatus AS unit FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+s AS (SELECT patient_id, sample_id, count(*) AS feature_count, first(sample_date ORDER BY value DESC, pos, taxon, unit) AS top_date, first(taxon ORDER BY value DESC, pos, taxon, unit) AS top_taxon, first(unit ORDER BY value DESC, pos, taxon, unit) AS unit FROM u GROUP BY 1, 2)
+SELECT s.*, {", ".join(_FIELDS)} FROM s LEFT JOIN v_patients USING (patient_id)""")
+def sample_detail_full(spark, d):
+    """A sample with date, name and unit of its largest value, beside its patient."""
+    return cohort.sample_detail(A(spark, d, "l_linestatus"), P(spark, d))
+
+
 @query(WITH + "SELECT patient_id, sample_id, 'standard_abundance' AS source, taxon AS name, value, 'count' AS meta FROM v_abundance")
 def prediction_payload(spark, d):
     return A(spark, d).select("patient_id", "sample_id", F.lit("standard_abundance").alias("source"), F.col("taxon").alias("name"), "value", F.lit("count").alias("meta"))
@@ -364,16 +406,12 @@ ov AS (SELECT patient_id, count(*) FILTER (a AND b) AS overlap, count(*) FILTER
 
 
 def _two_samples(spark, d):
-    facts = A(spark, d)
-    s = structure.richness_rank(structure.dominance(top := cohort.top_features(facts, 8), cohort.sample_summaries(facts)))
-    a, b = s.filter("rank = 1"), s.filter("rank = 2")
-    key = ["patient_id", "sample_id"]
-    return a, b, structure.overlap(top.join(a.select(*key), key, "left_semi"), top.join(b.select(*key), key, "left_semi"))
+    return structure.richest_two(structure.profiles(A(spark, d)))
 
 
 @query(WITH + RICH + TOP + OVERLAP + " SELECT patient_id, CAST(overlap AS INTEGER) AS overlap, CAST(only_current AS INTEGER) AS only_current, CAST(only_other AS INTEGER) AS only_other FROM ov")
 def sample_overlap(spark, d):
-    return _two_samples(spark, d)[2]
+    return _two_samples(spark, d).select("patient_id", "overlap", "only_current", "only_other")
 
 
 @query(WITH + RICH + TOP + SHARES + OVERLAP + """ SELECT a.patient_id, a.sample_id, b.sample_id AS other_sample_id, a.feature_count - b.feature_count AS feature_delta, CAST(overlap AS INTEGER) AS overlap,
@@ -381,7 +419,7 @@ def sample_overlap(spark, d):
   WHEN a.top1_ratio > b.top1_ratio + 0.10 AND overlap <= 2 THEN 'current_shift' WHEN overlap >= 4 THEN 'stable_heads' ELSE 'visible_difference' END AS advice
  FROM dm a JOIN dm b ON a.patient_id = b.patient_id AND a.rank = 1 AND b.rank = 2 JOIN ov ON ov.patient_id = a.patient_id""")
 def comparison_recommendation(spark, d):
-    return structure.compared(*_two_samples(spark, d))
+    return structure.compared(_two_samples(spark, d))
 
 
 @query(WITH + STATS + _scored_sql("v_abundance", "st") + f""", r AS (SELECT *, {RANKED} AS rank FROM sc),

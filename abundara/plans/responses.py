@@ -188,6 +188,58 @@ def run_review(spark, d):
     return t(spark, d, "conversations").select("conv_id", "turn", F.array_join(r["missing_channels"], ",").alias("missing"), r["human_review"].alias("human_review"), r["hint"].alias("hint"))
 
 
+_TURNS = """WITH w AS (SELECT *, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r]+'), lambda x: x <> '')) AS words FROM conversations),
+c AS (SELECT conv_id, count(*) FILTER (role = 'assistant') AS tools, count(*) FILTER (role = 'user') AS resources, count(*) FILTER (role = 'system') AS prompts, sum(words) AS words,
+ coalesce(max(words) FILTER (role = 'assistant'), 0) >= 100 AS k, count(*) FILTER (contains(text, chr(10))) > 0 AS web, count(*) FILTER (role = 'user') >= 2 AS p FROM w GROUP BY 1)"""
+
+
+def _reviewed(spark, d):
+    """Conversations as finished runs, all by what their turns hold: long answers are knowledge, lines are pages, a second question is a prediction; risk goes by words."""
+    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\t\\n\\r]+"), lambda x: x != ""))
+    of = lambda role: F.coalesce(F.col("role") == role, F.lit(False))
+    rows = t(spark, d, "conversations").withColumn("words", words).groupBy("conv_id").agg(
+        F.count_if(of("assistant")).alias("tools"), F.count_if(of("user")).alias("resources"), F.count_if(of("system")).alias("prompts"), F.sum("words").alias("words"),
+        (F.coalesce(F.max(F.when(of("assistant"), F.col("words"))), F.lit(0)) >= 100).alias("knowledge"), (F.count_if(F.contains("text", F.lit("\n"))) > 0).alias("web"),
+    )
+    risk = F.when(F.col("words") >= 400, "high").when(F.col("words") >= 100, "Medium").otherwise("low")
+    usage = F.create_map(*[x for n in ("tools", "resources", "prompts") for x in (F.lit(n), F.col(n))])
+    return rows, rules.review(risk, F.col("knowledge"), F.col("web"), F.col("resources") >= 2, usage, F.col("prompts") > 0, F.col("tools") > F.col("resources"))
+
+
+@query(_TURNS + """ SELECT conv_id, concat_ws(',', CASE WHEN k THEN 'knowledge' END, CASE WHEN web THEN 'web' END, CASE WHEN p THEN 'prediction' END, CASE WHEN prompts > 0 THEN 'hybrid' END, CASE WHEN tools > resources THEN 'agents' END, CASE WHEN tools > 0 THEN 'tools' END, CASE WHEN resources > 0 THEN 'resources' END, CASE WHEN prompts > 0 THEN 'prompts' END) AS used,
+ concat_ws(',', CASE WHEN NOT k THEN 'internal_knowledge' END, CASE WHEN NOT p AND words BETWEEN 100 AND 399 THEN 'model_judgement' END) AS missing, words >= 400 AND NOT (k AND p) AS human_review,
+ CASE WHEN k AND p AND web AND resources > 0 AND prompts > 0 THEN 'all_layers' WHEN k AND p THEN 'data_model_knowledge' WHEN k THEN 'knowledge_only' ELSE 'workflow_only' END AS hint FROM c""")
+def conversation_review(spark, d):
+    """Every flag of a run's review, over whole conversations."""
+    rows, r = _reviewed(spark, d)
+    kinds = ("knowledge", "web", "prediction", "hybrid", "agents", "tools", "resources", "prompts")
+    used = F.array_join(F.array_compact(F.array(*[F.when(r[f"used_{x}"], x) for x in kinds])), ",")
+    return rows.select("conv_id", used.alias("used"), F.array_join(r["missing_channels"], ",").alias("missing"), r["human_review"].alias("human_review"), r["hint"].alias("hint"))
+
+
+@query(_TURNS + """, r AS (SELECT *, CASE WHEN words >= 400 THEN 'PREDICTION_ASSISTANT' WHEN words >= 100 THEN 'DASHBOARD_QA' ELSE 'PATIENT_ANALYSIS' END AS intent FROM c)
+SELECT conv_id, CASE WHEN k THEN CAST(tools AS VARCHAR) || ' answers (layered answer)' ELSE 'layered answer' END AS summary,
+ 'hybrid_orchestration|' || CASE intent WHEN 'PREDICTION_ASSISTANT' THEN 'layered prediction analysis' WHEN 'DASHBOARD_QA' THEN 'layered dashboard analysis' ELSE 'layered patient analysis' END || '|combined: ' || concat_ws('、', 'data', CASE WHEN p THEN 'model' END, CASE WHEN k THEN 'knowledge' END, CASE WHEN web THEN 'external' END) || '; layers: ' || CASE WHEN intent = 'PATIENT_ANALYSIS' THEN '5' ELSE '3' END
+  || CASE WHEN prompts > 0 THEN chr(10) || 'note|prompts|' || CAST(prompts AS VARCHAR) ELSE '' END AS cards,
+ CASE WHEN web THEN 'tell_data_from_evidence,view_layers' ELSE 'view_layers,tell_data_from_evidence' END AS actions,
+ CASE intent WHEN 'PREDICTION_ASSISTANT' THEN 'prediction=' || CAST(words AS VARCHAR) || chr(10) || 'limits of the model=' WHEN 'DASHBOARD_QA' THEN 'dashboard=' || CAST(words AS VARCHAR) || chr(10) || 'knowledge='
+  ELSE 'data=' || CAST(words AS VARCHAR) || chr(10) || 'healthy reference=none' || chr(10) || 'model=none' || chr(10) || 'knowledge=' END || CASE WHEN k THEN 'long answer' ELSE 'no internal knowledge' END || chr(10) || 'external evidence=' || CASE WHEN web THEN 'lines' ELSE 'no external evidence' END AS layers FROM r""")
+def answer_composed(spark, d):
+    """Layered answers of whole conversations: titles, the card in front, the actions behind."""
+    rows, r = _reviewed(spark, d)
+    routed = F.when(F.col("words") >= 400, "PREDICTION_ASSISTANT").when(F.col("words") >= 100, "DASHBOARD_QA").otherwise("PATIENT_ANALYSIS")
+    number, none = F.col("words").cast("string"), F.lit(None).cast("string")
+    meta = {"sampleId": number, "totalPatients": number, "predictionTop1Label": F.when(F.col("words") >= 400, number)}
+    page = F.array(F.struct(F.lit("lines").alias("title"), none.alias("domain")))
+    layered = rules.layers(routed, meta, set(), F.when(r["used_knowledge"], F.array(F.lit("long answer"))), F.when(r["used_web"], page))
+    channels = rules.evidence_channels(r["used_prediction"], r["used_knowledge"], r["used_web"])
+    note = F.array(F.struct(F.lit("note").alias("type"), F.lit("prompts").alias("title"), F.col("prompts").cast("string").alias("content")))
+    summary = F.when(r["used_knowledge"], F.concat(F.col("tools").cast("string"), F.lit(" answers")))
+    made = rules.composed(routed, layered, channels, summary, F.when(r["used_prompts"], note), F.when(r["used_web"], F.array(F.lit("tell_data_from_evidence"))))
+    line = lambda sep, *names: lambda x: F.concat_ws(sep, *[x[n] for n in names])
+    return rows.select("conv_id", made["summary"].alias("summary"), F.array_join(F.transform(made["cards"], line("|", "type", "title", "content")), "\n").alias("cards"), F.array_join(made["actions"], ",").alias("actions"), F.array_join(F.transform(made["layers"], line("=", "title", "summary")), "\n").alias("layers"))
+
+
 @query("SELECT conv_id, turn, 'data' || CASE WHEN turn % 2 = 0 THEN ',model' ELSE '' END || CASE WHEN turn % 3 = 0 THEN ',knowledge' ELSE '' END || CASE WHEN conv_id % 2 = 0 THEN ',external' ELSE '' END AS channels FROM conversations")
 def channels_used(spark, d):
     c = rules.evidence_channels(F.col("turn") % 2 == 0, F.col("turn") % 3 == 0, F.col("conv_id") % 2 == 0)

@@ -196,6 +196,37 @@ def test_markdown(spark, tmp_path):
     assert [(p.heading, p.content) for p in parts] == [("Intro", "Text a.")]
 
 
+def test_markdown_in_folders(spark, tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    for path in ("top.md", "a/one.md", "a/b/two.md", "a/b/no.txt"):
+        (tmp_path / path).write_text(path, encoding="utf-8")
+    read = lambda recursive: [(r.key, r.text) for r in files.read_markdown(spark, str(tmp_path), recursive=recursive).orderBy("path").collect()]
+    assert read(True) == [("two", "a/b/two.md"), ("one", "a/one.md"), ("top", "top.md")] and read(False) == [("top", "top.md")]
+
+
+def test_rolled_up(spark):
+    rows = lambda names: {r.name: r.n for r in cohort.rolled_up(spark.createDataFrame([(x,) for x in names], "c string"), "c", 2, 3).collect()}
+    assert rows([]) == {} and rows([None, " "]) == {}
+    assert rows(["a", "b", "b", "c"]) == {"a": 1, "b": 2, "c": 1}  # three groups stay
+    assert rows(["a", "b", "b", "c", "d", "d", "d"]) == {"d": 3, "b": 2, "other": 2}
+    assert rows(["other", "other", "b", "b", "c", "d"]) == {"b": 2, "other": 4}  # a group of that name joins the rest
+
+
+def test_bundles_of_nothing(spark):
+    people = spark.createDataFrame([], "patient_id long, age int, gender string, country string, disease string")
+    row = cohort.dashboard_bundle(people, people.select("patient_id", "disease")).first()
+    assert (row.diseases, row.origins, row.male_counts, row.total_patients, row.most_common_disease, row.most_common_count) == ([], [], [0] * 7, 0, "N/A", 0)
+    facts = spark.createDataFrame([], "patient_id long, sample_id string, taxon string, value double, sample_date date, pos long")
+    assert structure.compared(structure.richest_two(structure.profiles(facts))).count() == 0 and cohort.overview(people, facts, event=people.select("patient_id")).count() == 0
+
+
+def test_composed(spark):
+    none = F.lit(None)
+    layered = F.array(F.lit("x"))
+    got = one(spark, rules.composed(F.lit("OTHER"), layered, F.array().cast("array<string>"), none.cast("string"), none.cast("array<struct<type:string,title:string,content:string>>"), none.cast("array<string>")))
+    assert (got.summary, [tuple(c) for c in got.cards], got.actions) == ("layered answer", [("hybrid_orchestration", "layered patient analysis", "combined: data; layers: 1")], list(rules.LAYERED_ACTIONS))
+
+
 def chunks_brute(text, most, overlap, least):
     """The rule by single steps: positions of boundaries found one after another, no regular expression."""
     text, out, at = text.strip(), [], 0
