@@ -197,13 +197,11 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def star_round(edges: DataFrame) -> DataFrame:
-    """Large-star, then small-star. Edges go from a to a smaller b, before and after."""
+    """Large-star, then small-star. Edges go from a to a smaller b, before and after. A hub's neighbours meet it by salt, so no task holds them all."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    large = common.with_group(both, ["u"], {"m": F.min("v")}, ["v"]).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
     # each node keeps its least neighbour; its other neighbours, all smaller than it, hang on that one
-    return large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
+    return common.with_group(large, ["u"], {"m": F.min("v")}, ["v"]).select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -305,13 +303,16 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
     first = seen.withColumn("place", place).filter(100 * (F.col("n") - F.col("place") + 1) >= PERCENT * F.col("n")).drop("f")
     first = common.spill(first, "prefixes")
     counted = common.with_group(first, ["shingle", "root"], {"n_root": F.count(F.lit(1))}, ["node"])
-    aggs = {"top": F.max(F.struct("n_root", "root")), "least": F.min("root"), "most": F.max("root")}
+    counted = counted.withColumn("salt", common.salt_of(F.col("node")))
+    aggs = {"top": F.max(F.struct("n_root", "root")), "least": F.min("root"), "most": F.max("root"), "salts": common.salt_bits("salt")}
     first = common.with_group(counted, ["shingle"], aggs, ["node"], "least <> most").withColumn("main", F.col("top.root"))
-    one = lambda x: first.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "n", "place", "main")])
+    one = lambda x: first.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "n", "place", "main")], dealt[x])
+    dealt = {"x": F.col("salts"), "y": F.col("salt")}
     behind = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y")) + 1
     # x lies outside the shingle's largest component; where y does too, the lesser node is x
     fits = (F.col("root_x") != F.col("root_y")) & ((F.col("root_y") == F.col("main_y")) | (F.col("node_x") < F.col("node_y"))) & ((100 + PERCENT) * behind >= PERCENT * (F.col("n_x") + F.col("n_y")))
-    met = one("x").filter("root_x <> main_x").join(one("y"), "shingle").filter(fits)
+    # each x goes to the salts that its shingle's rows have, no more copies than it has partners
+    met = common.by_salt(one("x").filter("root_x <> main_x"), "salts", "salt").join(one("y"), ["shingle", "salt"]).filter(fits)
     return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
