@@ -36,6 +36,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -113,10 +114,15 @@ def estimated(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> n
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Row per document: id, text_hash, n_shingles, node, sketch (null for empty sets)."""
+    """Row per document: id, text_hash, n_shingles, node, sketch (null for empty sets), salt.
+
+    The salt goes by the row's place in its task, so rows without id and rows that repeat are dealt out like all others. A task that runs
+    again may number its rows anew: callers write the rows before they use it twice.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(common.text_or_empty(text_col)).alias("text_hash"), common.text_or_empty(text_col).cast("binary").alias("data"))
 
     def run(batches):
+        seen = 37 * TaskContext.get().partitionId()  # tasks of few rows begin at different salts
         for batch in batches:
             n, node, sketch = [], [], []
             for data in batch.column(2):
@@ -124,9 +130,10 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 n.append(len(s))
                 node.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sketch.append(registers(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(sketch, pa.binary())], names=["id", "text_hash", "n_shingles", "node", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(sketch, pa.binary()), pa.array(np.arange(seen, seen + len(n)) % common.SALTS, pa.int32())], names=["id", "text_hash", "n_shingles", "node", "sketch", "salt"])
+            seen += len(n)
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text_hash long, n_shingles long, node binary, sketch binary")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text_hash long, n_shingles long, node binary, sketch binary, salt int")
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
@@ -318,7 +325,7 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
 
 def rooted(docs: DataFrame, sketched: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Row per node: node, root (the node that names its component), first (the least (no id, id, text_hash) of its rows), salts."""
-    rows = sketched.filter("node is not null").select("id", "text_hash", "node", common.salt_of(F.col("id"), F.col("text_hash")).alias("salt"))
+    rows = sketched.filter("node is not null").select("id", "text_hash", "node", "salt")
     nodes = rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("first"), common.salt_bits("salt").alias("salts"))
     roots = links(docs, sketched, id_col, text_col)
     if roots is None:
@@ -331,8 +338,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketched = common.spill(sketches(docs, id_col, text_col), "sketches")
     named = common.with_group(rooted(docs, sketched, id_col, text_col), ["root"], {"component": F.min("first")}, ["node"])
     named = common.by_salt(named.select("node", "salts", F.col("component.id").alias("component_id")), "salts", "salt")
-    rows = sketched.select("id", "text_hash", "n_shingles", "node")
-    some = rows.filter("node is not null").withColumn("salt", common.salt_of(F.col("id"), F.col("text_hash"))).join(named, ["node", "salt"])
+    rows = sketched.select("id", "text_hash", "n_shingles", "node", "salt")
+    some = rows.filter("node is not null").join(named, ["node", "salt"])
     none = rows.filter("node is null").withColumn("component_id", F.col("id"))
     names = ["id", "text_hash", "n_shingles", "component_id"]
     return some.select(*names).unionByName(none.select(*names))

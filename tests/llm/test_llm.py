@@ -183,6 +183,23 @@ def test_sketch_estimates():
         assert abs(got - share) < 0.13
 
 
+def test_copies_without_id_have_many_salts(spark):
+    rows = [(None, "one two three four five six seven")] * 300 + [(i, f"row {i} has words of its own and no other") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)  # one task numbers all copies in a row
+    got = op10_near_dedup.sketches(docs).filter("id is null").groupBy("salt").count().collect()
+    assert len(got) == 64 and max(r["count"] for r in got) < 30
+    found = op10_near_dedup.near_components(docs)
+    assert found.count() == 900 and found.filter("id is null and component_id is null").count() == 300
+
+
+def test_a_hub_meets_its_neighbours_by_salt(spark):
+    edge = lambda a, b: (a.to_bytes(8, "big"), b.to_bytes(8, "big"))
+    edges = spark.createDataFrame([edge(i, 0) for i in range(1, 3000)], "a binary, b binary")
+    plan = op10_near_dedup.star_round(edges)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(u" in plan and "__salt" in plan
+    assert op10_near_dedup.components(edges).select("root").distinct().count() == 1
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)]
