@@ -142,9 +142,8 @@ def evidence_augmented(spark, d):
     asked = t(spark, d, "benchmark")
     card = lambda kind, content: F.struct(F.lit(kind).alias("type"), content.alias("content"))
     answers = asked.select("item_id", F.array(card("summary", F.coalesce("text", F.lit(""))), card("prediction", F.lit(""))).alias("cards"), F.array(F.lit("explain_rules")).alias("actions"))
-    library = _library(spark, d)
-    known = substrings.keyword_top(asked.withColumn("liked", F.array(F.lit("src1"))), substrings.built(library), "item_id", 3, preferred="liked")
-    knowledge = known.join(library.select("id", "title"), "id").select("item_id", F.col("rank").alias("position"), "title")
+    known = substrings.keyword_top(asked.withColumn("liked", F.array(F.lit("src1"))), substrings.built(_library(spark, d)), "item_id", 3, preferred="liked")
+    knowledge = known.select("item_id", F.col("rank").alias("position"), "title")
     medical = _top(spark, d, 3).select("item_id", F.col("rank").alias("position"), F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("title"))
     rows = retrieval.augmented_responses(answers, {"knowledge": knowledge, "medical": medical}, "item_id", "prediction")
     shown = F.array_join(F.transform("cards", lambda c: F.concat(c["type"], F.lit("="), c["content"])), "|")
