@@ -14,6 +14,8 @@ from ..functions import text as T
 
 #: Chunk sizes in characters, and the share of a chunk behind which a boundary counts.
 MOST, OVERLAP, LEAST, BOUNDARY_FROM = 1800, 250, 240, 0.62
+#: Texts that a task cuts at once.
+TEXTS = 1024
 #: Headings of sections that aren't indexed.
 SKIPPED_SECTIONS = ("references", "reference", "bibliography", "acknowledgment", "acknowledgement", "supplementary", "supporting information")
 
@@ -39,13 +41,18 @@ def paper(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumns({"title": F.trim(F.regexp_extract(head, r"(?m)^# ([^\n]*)", 1)), "metadata": F.map_from_entries(last), "abstract": T.normalise(abstract), "body": T.normalise(body)})
 
 
+def section_parts(text: Column, marks: str = "#{3}", untitled: str = "正文") -> Column:
+    """Array of (position, heading, content) of the parts that headings begin; parts without content and reference-like ones are dropped."""
+    heading = lambda p: F.trim(F.regexp_extract(p, rf"^{marks} ([^\n]*)", 1))
+    content = lambda p: T.normalise(F.regexp_replace(p, rf"^{marks} [^\n]*\n?", ""))
+    parts = F.transform(F.split(text, rf"(?m)(?=^{marks} )"), lambda p, i: F.struct(i.alias("position"), heading(p).alias("heading"), content(p).alias("content")))
+    kept = F.filter(parts, lambda s: (s["content"] != "") & ~F.lower(s["heading"]).rlike("|".join(map(re.escape, SKIPPED_SECTIONS))))
+    return F.transform(kept, lambda s: F.struct(s["position"].alias("position"), F.when(s["heading"] == "", untitled).otherwise(s["heading"]).alias("heading"), s["content"].alias("content")))
+
+
 def sections(docs: DataFrame, text: str = "text", marks: str = "#{3}", untitled: str = "正文") -> DataFrame:
-    """(position, heading, content) of the parts that headings begin; parts without content and reference-like ones are dropped."""
-    rows = docs.select("*", F.posexplode(F.split(F.col(text), rf"(?m)(?=^{marks} )")).alias("position", "part"))
-    heading = F.trim(F.regexp_extract("part", rf"^{marks} ([^\n]*)", 1))
-    content = T.normalise(F.regexp_replace("part", rf"^{marks} [^\n]*\n?", ""))
-    skipped = F.lower("heading").rlike("|".join(map(re.escape, SKIPPED_SECTIONS)))
-    return rows.select("*", F.when(heading == "", untitled).otherwise(heading).alias("heading"), content.alias("content")).filter((F.col("content") != "") & ~skipped).drop("part")
+    """(position, heading, content) of `section_parts`, a row each. An outer generator, as Spark would work an inner one's array out twice to filter by its size."""
+    return docs.select("*", F.inline_outer(section_parts(F.col(text), marks, untitled))).filter("content IS NOT NULL")
 
 
 def knowledge_sections(docs: DataFrame, text: str = "text", path: str = "path") -> DataFrame:
@@ -66,7 +73,7 @@ def knowledge_sections(docs: DataFrame, text: str = "text", path: str = "path")
 
 
 #: Where a chunk may end: behind a mark that white space follows, and within a blank line that is no such white space.
-MAY_END = re.compile(r"(?<=[。！？.!?;；])(?=\s)|(?<![。！？.!?;；])\n(?=\n)")
+MAY_END = re.compile(r"[。！？.!?;；](?=\s)|(?<![。！？.!?;；])\n(?=\n)")
 
 
 def spans(ends: Sequence[int], n: int, most: int, overlap: int):
@@ -93,26 +100,26 @@ def cut_texts(text: str, most: int = MOST, overlap: int = OVERLAP, least: int =
 
 
 def chunks(docs: DataFrame, key: str | list[str], text: str, most: int = MOST, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
-    """(*key, number, chunk): texts that fit are one chunk without leaving the JVM; longer ones are cut in Arrow batches."""
+    """(*key, number, chunk): texts are cleaned and cut in Arrow batches, in one scan in which each is cleaned once."""
     keys = [key] if isinstance(key, str) else list(key)
-    rows = docs.select(*keys, T.normalise(F.coalesce(text, F.lit(""))).alias("chunk"))
-    short = rows.filter(F.length("chunk").between(least, most)).select(*keys, F.lit(1).alias("number"), "chunk")
-    long = rows.filter(F.length("chunk") > most)
+    rows = docs.select(*keys, F.coalesce(text, F.lit("")).alias("chunk"))
 
     def cut(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            row, number, chunk = [], [], []
-            for i, t in enumerate(batch.column(len(keys)).to_pylist()):
-                for n, piece in enumerate(cut_texts(t, most, overlap, least), 1):
-                    row.append(i)
-                    number.append(n)
-                    chunk.append(piece)
-            yield pa.RecordBatch.from_arrays([*[c.take(pa.array(row, pa.int64())) for c in batch.columns[:-1]], pa.array(number, pa.int32()), pa.array(chunk, pa.string())], names=[*keys, "number", "chunk"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(at, TEXTS)
+                row, number, chunk = [], [], []
+                for i, t in enumerate(batch.column(len(keys)).to_pylist()):
+                    for n, piece in enumerate(cut_texts(T.normalised(t), most, overlap, least), 1):
+                        row.append(i)
+                        number.append(n)
+                        chunk.append(piece)
+                yield pa.RecordBatch.from_arrays([*[c.take(pa.array(row, pa.int64())) for c in batch.columns[:-1]], pa.array(number, pa.int32()), pa.array(chunk, pa.string())], names=[*keys, "number", "chunk"])
 
     schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys), "number int", "chunk string"])
-    return short.unionByName(long.mapInArrow(cut, schema))
+    return rows.mapInArrow(cut, schema)
 
 
 def chunk_table():
@@ -148,11 +155,11 @@ def paper_chunks(docs: DataFrame, index: DataFrame, key: str = "pmcid", text: st
     first = lambda *cs: F.coalesce(T.first_present(*cs), F.lit(""))
     fields = {"pmid": first(meta("pmid"), F.col("i_pmid")), "topic": F.coalesce(F.nullif(first(meta("topic"), F.col("i_topic")), F.lit("")), F.lit("unknown")), "year": meta("year"), "journal": meta("journal"), "doi": meta("doi"), "source_url": first(F.col("i_source_url"), meta("europepmc"))}
     rows = rows.withColumns(fields).drop("metadata", "ingested", "i_pmid", "i_topic", "i_source_url")
-    abstract = rows.select(key, F.lit(-1).alias("position"), F.lit("abstract").alias("kind"), F.lit("Abstract").alias("section"), F.col("abstract").alias("content"))
-    body = sections(rows.select(key, "body"), "body").select(key, "position", F.lit("body").alias("kind"), F.col("heading").alias("section"), "content")
-    cut = chunks(abstract.unionByName(body), [key, "position", "kind", "section"], "content")
-    numbered = numbered_chunks(cut, key, ["position", "number"])
-    out = numbered.join(rows.drop("abstract", "body"), key)
+    part = lambda position, kind, section, content: F.struct(position.alias("position"), F.lit(kind).alias("kind"), section.alias("section"), content.alias("content"))
+    body = F.transform(section_parts(F.col("body")), lambda x: part(x["position"], "body", x["heading"], x["content"]))
+    parts = F.concat(F.array(part(F.lit(-1), "abstract", F.lit("Abstract"), F.col("abstract"))), F.coalesce(body, F.array().cast("array<struct<position:int,kind:string,section:string,content:string>>")))
+    carried = [key, "title", *CARRIED, "source_url"]
+    out = numbered_chunks(chunks(rows.select(*carried, F.inline_outer(parts)), [*carried, "position", "kind", "section"], "content"), key, ["position", "number"])
     return out.select("chunk_id", key, "title", *CARRIED, "section", "source_url", F.col("chunk").alias("text"))
 
 

@@ -390,3 +390,30 @@ def test_jdbc_reads_by_predicates(spark, tmp_path):
 def test_empty_tables(spark):
     facts = spark.createDataFrame([], "patient_id long, sample_id string, taxon string, value double, pos long")
     assert deviation.cohort_counts(facts).first() == (0, 0)
+
+
+def test_rounding_is_that_of_the_sql(spark):
+    import duckdb
+
+    values = [1.005, 0.0015625, 2.675, 1.0000005, -1.005, 0.0390625, 25.0078125, float("inf"), 0.0, 123456.7890125] + [k / 640 for k in range(1, 400)] + [k / 64 for k in range(1, 300)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (2, 5, 6):
+        got = [r.r for r in rows.select(N.rounded(F.col("v"), digits).alias("r")).collect()]
+        assert got == [duckdb.execute(f"SELECT round(?::DOUBLE, {digits})", [v]).fetchone()[0] for v in values]
+
+
+def test_chunks_read_texts_once(spark, sf_dir):
+    """One scan of the texts, cleaned in the task that cuts them; the plan cleans nothing twice."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plan = retrieval.chunks(docs, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "regexp_replace" not in plan
+    papers = docs.select(F.col("doc_id").cast("string").alias("pmcid"), "text")
+    index = spark.createDataFrame([("1", True, "p", "t", "u")], "pmcid string, ingested boolean, pmid string, topic string, source_url string")
+    assert retrieval.paper_chunks(papers, index)._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_ends_are_trimmed_alike_in_both_places(spark):
+    texts = [f"{c}{c}a{c}b.{c}\n{c}" for c in T.BLANKS] + ["", " \n\t", "　 x\r\n\r\n\r\n\r\ny\xa0", "x" + " " * 50_000 + "y"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.normalise(F.col("t")).alias("n")).collect()
+    assert {r.i: r.n for r in rows} == {i: T.normalised(t) for i, t in enumerate(texts)}
+    assert {T.normalised(f"{c}a{c}") for c in T.BLANKS} == {"a"}
