@@ -83,3 +83,19 @@ def test_sparse_distances_are_the_dense_ones(spark):
     dense = [far({"t2": 1.0}), far({"t1": 4.0, "t2": 2.0})]  # sample d shares nothing
     assert row.healthy_samples == 2 and row.current_distance == pytest.approx(far({"t1": 2.0, "t2": 3.0, "new": 1.0}))
     assert row.distance_mean == pytest.approx(statistics.mean(dense)) and row.distance_std == pytest.approx(statistics.pstdev(dense))
+
+
+def test_samples_are_gathered_once_for_a_ranking(spark):
+    """The greatest value and the ranks of a sample share a shuffle, which comes after the join by taxon."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        samples = spark.createDataFrame([(1, "s", "a", 2.0, 1), (1, "s", "b", 4.0, 2), (2, "t", "a", 1.0, 3)], "patient_id long, sample_id string, taxon string, value double, pos long")
+        rows = deviation.ranked(deviation.scored(samples, deviation.taxon_stats(samples.filter("patient_id = 2"))), 8)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"Exchange hashpartitioning\(patient_id#\d+L, sample_id#\d+, \d+\)", plan)) == 1
+        got = {(r.sample_id, r.taxon): r for r in rows.collect()}
+        assert {k: r.avg_abundance for k, r in got.items()} == {("s", "a"): 1.0, ("s", "b"): 0.0, ("t", "a"): 1.0}
+        assert got["s", "b"]["rank"] == 1 and got["s", "b"].combined_score == pytest.approx(0.40 + 0.45)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
