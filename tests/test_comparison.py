@@ -99,3 +99,43 @@ def test_samples_are_gathered_once_for_a_ranking(spark):
         assert got["s", "b"]["rank"] == 1 and got["s", "b"].combined_score == pytest.approx(0.40 + 0.45)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_what_waits_and_what_is_shared(spark, sf_dir):
+    """Of a sample only keys, taxa and numbers go through the product, the facts' lines are shuffled once for samples and cohort, and the cohort's values once for all their uses."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = Q.QUERIES["compared_samples"](spark, sf_dir)
+        assert scans(df) <= 2
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        shuffles = re.findall(r"(?m)^[^\nA-Za-z]*Exchange hashpartitioning\(([^)]*)\)", plan)
+        assert not any("of_" in s or "struct" in s for s in shuffles)
+        assert sum(s.startswith("scope") and "taxon" in s for s in shuffles) == 3  # the cohort's values, samples, cells
+        assert sum(s.startswith("patient_id") and "sample_id" in s for s in shuffles) == 2  # a sample's rows, its products
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_every_sample_without_targets(spark):
+    """As with all of them asked for, also for patients of two sites or none, values without a taxon and samples without a known patient."""
+    patients = spark.createDataFrame([(i, "gut" if i % 2 else None) for i in range(1, 31)] + [(3, "skin"), (40, " ")], "patient_id long, body_site string")
+    rows = [(i, f"{i}-{i * j % 4}", [None, "a", "b", "c", " "][(i + j) % 5], float((i * j) % 7), 100 * i + j) for i in [*range(1, 31), 40, 99] for j in range(12)] + [(5, None, "a", 1.0, 1)]
+    facts = spark.createDataFrame(rows, "patient_id long, sample_id string, taxon string, value double, pos long")
+    healthy = patients.filter("patient_id < 28")
+    frames = [deviation.compared_samples(patients, healthy, facts, t) for t in (None, facts.select("patient_id", "sample_id"))]
+    text = lambda r: re.sub(r"\d+\.\d+(e-\d+)?", lambda m: f"{float(m[0]):.9f}", str(r))  # noqa: E731 sums in another order
+    got = [sorted(map(text, f.collect())) for f in frames]
+    assert got[0] == got[1] and len(got[0]) == len({r[:2] for r in rows if r[1]})
+    scopes = {r.patient_id: r.reference_scope for r in frames[0].collect()}
+    assert scopes[3] == scopes[29] == "same_body_site_healthy" and scopes[2] == scopes[40] == scopes[99] == "all_healthy"
+    for r in frames[0].collect():
+        assert all(m is not None and "\x00" not in m for m in r.missing)
+
+
+def test_patients_join_orders(spark, sf_dir):
+    """The cohort's facts are those of a join by patient; lines are shuffled by order alone."""
+    p = tables.healthy(tables.patients(spark, sf_dir))
+    joined = Q.H(spark, sf_dir)
+    other = deviation.cohort_facts(p, tables.abundance(spark, sf_dir), ("body_site",))
+    assert joined.columns == other.columns and sorted(map(str, joined.collect())) == sorted(map(str, other.collect()))
