@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import numeric as N
 from ..functions import text as T
 
 
@@ -131,7 +132,10 @@ def confidence_advice(top1_percent: Column) -> Column:
 
 
 def difference_text(items: DataFrame, k: int = 3) -> DataFrame:
-    """One line per sample: its k most telling taxa with fold change and z. `items` has ranks from 1."""
-    line = F.format_string("%s(log2FC %+.2f, Z=%.2f)", T.clean_taxon_name(F.col("taxon")), "log2_fold", "z")
-    rows = items.filter(F.col("rank") <= k).groupBy("patient_id", "sample_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("x"))
-    return rows.select("patient_id", "sample_id", F.array_join(F.transform("x", lambda x: x["line"]), "、").alias("text"))
+    """One line per sample: its k most telling taxa with fold change and z. `items` has ranks from 1, each once.
+
+    A line is the greatest text of its rank: rows that were ranked lie in the order of the samples, which such a grouping keeps, while lists would be hashed and sorted again.
+    """
+    line = F.concat(F.coalesce(T.clean_taxon_name(F.col("taxon")), F.lit("null")), F.lit("(log2FC "), N.hundredths_text(F.col("log2_fold"), "+"), F.lit(", Z="), N.hundredths_text(F.col("z")), F.lit(")"))
+    rows = items.filter(F.col("rank") <= k).withColumn("line", line).groupBy("patient_id", "sample_id").agg(*[F.max(F.when(F.col("rank") == i, F.col("line"))).alias(f"line{i}") for i in range(1, k + 1)])
+    return rows.select("patient_id", "sample_id", F.concat_ws("、", *[f"line{i}" for i in range(1, k + 1)]).alias("text"))

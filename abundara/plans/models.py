@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..functions import text as T
 from ..operators import boosting, deviation, information, structure, vectors
-from ..sources import sinks
+from ..sources import sinks, tables
 from ..streaming import queue
-from .queries import CHUNKS, LONG, RANKED, SCOPED, SPATIAL, STATS, WITH, A, E, H, _compared, _scored_sql, _target, query, rounded, t
+from .queries import CHUNKS, LONG, RANKED, SCOPED, SPATIAL, STATS, WITH, A, E, H, _compared, _ranked, _scored, _scored_sql, _target, query, rounded, t
 
 # --- features and curves ---------------------------------------------------------------
 
@@ -124,7 +124,7 @@ def array_distance(spark, d):
 
 @query(WITH + STATS + " SELECT a.patient_id, a.sample_id, a.taxon, a.pos, CASE WHEN avg_abundance IS NULL OR value / avg_abundance >= 1.5 THEN 'higher' WHEN value / avg_abundance <= 1 / 1.5::DOUBLE THEN 'lower' ELSE 'similar' END AS direction FROM v_abundance a LEFT JOIN st USING (taxon) WHERE value > 0")
 def direction_by_ratio(spark, d):
-    rows = deviation.scored(A(spark, d), deviation.taxon_stats(H(spark, d)))
+    rows = tables.named(_scored(spark, d))
     return rows.select("patient_id", "sample_id", "taxon", "pos", N.direction_by_ratio(F.col("ratio")).alias("direction"))
 
 
@@ -164,13 +164,12 @@ def healthy_insight(spark, d):
 
 @query(WITH + STATS + _scored_sql("v_abundance", "st") + f", r AS (SELECT *, {RANKED} AS rank FROM sc) SELECT patient_id, sample_id, string_agg(substring(regexp_replace({_NAME}, '^_+|_+$', '', 'g'), 1, 20) || '(log2FC ' || CASE WHEN round(fold + 1e-9::DOUBLE, 2) >= 0 THEN '+' ELSE '' END || printf('%.2f', round(fold + 1e-9::DOUBLE, 2) + 0.0::DOUBLE) || ', Z=' || printf('%.2f', round(z + 1e-9::DOUBLE, 2) + 0.0::DOUBLE) || ')', '、' ORDER BY rank) AS text FROM r WHERE rank <= 3 GROUP BY 1, 2")
 def difference_lines(spark, d):
-    rows = rounded2(deviation.ranked(deviation.scored(A(spark, d), deviation.taxon_stats(H(spark, d))), 8))
-    return structure.difference_text(rows)
+    return tables.named(structure.difference_text(rounded2(_ranked(spark, d, 3))))
 
 
 def rounded2(df: DataFrame) -> DataFrame:
     """Two digits without a negative zero. Values on a half (2.625) are nudged up, as sums in another order fall on either side of it."""
-    return df.withColumns({c: F.round(F.col(c) + 1e-9, 2) + 0.0 for c in ("log2_fold", "z")})
+    return df.withColumns({c: F.rint((F.col(c) + 1e-9) * 100) / 100 + 0.0 for c in ("log2_fold", "z")})
 
 
 # --- SQL surface and state -------------------------------------------------------------

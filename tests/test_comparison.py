@@ -7,6 +7,8 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from abundara.functions import numeric as N
+from abundara.functions import text as T
 from abundara.operators import deviation
 from abundara.plans import queries as Q
 from abundara.sources import tables
@@ -101,6 +103,64 @@ def test_samples_are_gathered_once_for_a_ranking(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+@pytest.mark.parametrize("name", ["difference_lines", "deviation_insight"])
+def test_a_ranking_shuffles_numbers(spark, sf_dir, name):
+    """Samples and taxa get their texts once the most telling ones are found: all shuffles and joins go by numbers, and a sample's rows are gathered once."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = Q.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        keys = [k for ks in re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", plan) for k in ks.split(", ")]
+        taxa = [k for k in keys if k.startswith("taxon")]
+        assert taxa and all(k.endswith("L") for k in taxa)
+        assert sum(k.startswith("sample_id") for k in keys) == 1
+        below = plan.split("Exchange hashpartitioning(patient_id", 1)[1]
+        assert "k__life" not in below and "concat(" not in below
+        assert name != "difference_lines" or "ObjectHashAggregate" not in plan  # lists, which are hashed and sorted anew
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_numbers_stand_for_the_same_samples(spark):
+    """Coded values are the named ones, also without a patient, a date or a part; values without a patient are one sample whatever their year."""
+    orders = spark.sql("SELECT * FROM VALUES (1, 7, timestamp'1995-01-01 00:00:00'), (2, 7, timestamp'1996-12-31 23:59:59'), (3, NULL, timestamp'1995-05-05'), (4, NULL, timestamp'1996-05-05'), (5, 8, NULL) AS t(o_orderkey, o_custkey, o_orderdate)")
+    orders = orders.select(F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long"), "o_orderdate")
+    lines = spark.createDataFrame([(o, p, n, float(p or 3)) for o in range(1, 6) for n, p in enumerate([2, 10, 9, None])], "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double")
+    coded, plain = tables.facts(lines, orders, coded=True), tables.facts(lines, orders)
+    assert sorted(map(str, tables.named(coded).collect())) == sorted(map(str, plain.collect()))
+    assert tables.named(coded).columns == plain.columns
+    texts = deviation.ranked(deviation.scored(plain, deviation.taxon_stats(plain.filter("patient_id = 7"))), 3)
+    numbers = deviation.ranked(deviation.scored(coded, deviation.taxon_stats(coded.filter("patient_id = 7"))), 3, F.col("taxon").cast("string"))
+    assert sorted(map(str, tables.named(numbers).collect())) == sorted(map(str, texts.collect()))
+    assert texts.filter("patient_id IS NULL").count() == 3
+
+
+def test_equal_scores_are_ordered_by_name(spark):
+    """Part 10 comes before part 9, as their names do, and scores that differ by less than nine digits are equal."""
+    rows = [(1, 1, t, 1.0 + e, p) for p, (t, e) in enumerate([(9, 1e-12), (10, 0.0), (100, -1e-12)])]
+    facts = spark.createDataFrame(rows, "patient_id long, sample_id int, taxon long, value double, pos long").withColumn("value", F.lit(1.0))
+    got = deviation.ranked(deviation.scored(facts, deviation.taxon_stats(facts)), 3, F.col("taxon").cast("string")).collect()
+    assert [r.taxon for r in sorted(got, key=lambda r: r["rank"])] == [10, 100, 9]
+    scores = spark.createDataFrame([(1, "s", n, v, f, 1.0, i) for i, (n, v, f) in enumerate([("b", 0.5, 2.0), ("a", 0.5 + 3e-10, -2.0 - 4e-10), ("c", 0.5 + 2e-9, 0.0), ("d", math.nan, 0.0)])],
+        "patient_id long, sample_id string, taxon string, combined_score double, log2_fold double, value double, pos long")
+    assert [r.taxon for r in sorted(deviation.ranked(scores, 4).collect(), key=lambda r: r["rank"])] == ["d", "c", "a", "b"]
+
+
+def test_texts_of_numbers_and_names(spark):
+    """Put together without a formatter or patterns, and the same as with them."""
+    numbers = [0.0, -0.0, 0.01, -0.01, 0.005, -0.004, 0.29, 1.0, -1.1, 2.675, 9.995, -12.34, 100.05, 999999.99, -1e11 - 0.25, 1e12, 1e15, -1e300, math.inf, -math.inf, math.nan, None, *[i / 100 for i in range(-250, 250)], *[i / 1000 for i in range(-30, 30)]]
+    df = spark.createDataFrame([(x,) for x in numbers], "x double")
+    for plus in ("", "+"):
+        assert df.filter(~N.hundredths_text(F.col("x"), plus).eqNullSafe(F.format_string(f"%{plus}.2f", "x"))).collect() == []
+    names = ["k__life.g__part_7", "g___a_b__", "G__X", "\u212a__x", "k__a|p__", "k__a;p__unclassified", "a b\tc__D e", "x_", "___", "k____", "1__a", "ab__c", "", " ", ".", "Unknown", "s__Unknown.|;", "\u00e9__x", "g__" + "y" * 30, "a\x0bb__q", "a__b.c__ UNKNOWN", None]
+    tidy = lambda x: re.sub("^_+|_+$", "", re.sub("(?i)^[a-z]__+", "", x, flags=re.ASCII), flags=re.ASCII).strip(" ")
+    def brute(c):
+        levels = [tidy(x) for x in reversed(re.split(r"[|;.\s]", c, flags=re.ASCII)) if x]
+        return next((x for x in levels if x and x.lower() not in ("unclassified", "unknown")), c)[:20]
+    got = spark.createDataFrame([(x,) for x in names], "c string").select("c", T.clean_taxon_name(F.col("c")).alias("n")).collect()
+    assert [r.n for r in got] == [None if c is None else brute(c) for c in names]
+
+
 def test_what_waits_and_what_is_shared(spark, sf_dir):
     """Of a sample only keys, taxa and numbers go through the product, the facts' lines are shuffled once for samples and cohort, and the cohort's values once for all their uses."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
